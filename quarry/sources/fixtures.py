@@ -202,6 +202,74 @@ class Fixtures:
         return e.select(F.col("user_id").alias("entity"), "event_type", "ts", F.col("value").alias("x"))
 
 
+    # ------------------------------------------------------------ census-like blocks
+    @cached_property
+    def census_blocks(self) -> DataFrame:
+        """Census block table shaped like the INEGI files, one block per customer.
+
+        Codes: ENTIDAD = nation + 1, MUN / LOC / AGEB / MZA from the customer key
+        (MZA 0 and AGEB '0000' mark total rows); measures are text derived from
+        the account balance, with '*' and 'N/D' sentinels.
+        """
+        cust = self.table("customer").select("c_custkey", "c_nationkey", "c_acctbal")
+        nat = broadcast_if_small(self.table("nation").select("n_nationkey", "n_name"))
+        j = cust.join(nat, cust.c_nationkey == nat.n_nationkey)
+        k, b = F.col("c_custkey"), F.abs(F.col("c_acctbal"))
+        mun = (k % 4 + 1).cast("int")
+        loc = (k % 5 + 1).cast("int")
+
+        def txt(e):
+            return (F.when(k % 23 == 0, F.lit("*")).when(k % 29 == 0, F.lit("N/D"))
+                    .otherwise(e.cast("string")))
+        fl = lambda e: F.floor(e).cast("bigint")
+        measures = {name: txt(e) for name, e in CENSUS_MEASURES(k, b, fl).items()}
+        return j.select(
+            F.col("n_name").alias("NOM_ENT"), (F.col("c_nationkey") + 1).cast("int").alias("ENTIDAD"),
+            F.concat(F.col("n_name"), F.lit(" M"), mun.cast("string")).alias("NOM_MUN"), mun.alias("MUN"),
+            F.concat(F.lit("L"), loc.cast("string")).alias("NOM_LOC"), loc.alias("LOC"),
+            F.lpad((k % 6).cast("string"), 4, "0").alias("AGEB"), (k % 9).cast("int").alias("MZA"),
+            *[v.alias(n) for n, v in measures.items()])
+
+    @cached_property
+    def census_coords(self) -> DataFrame:
+        """Block coordinates for the census table (state_key, mun_key as text)."""
+        cust = self.table("customer").select("c_custkey", "c_nationkey")
+        k = F.col("c_custkey")
+        return cust.select(
+            (F.col("c_nationkey") + 1).cast("string").alias("state_key"),
+            (k % 4 + 1).cast("string").alias("mun_key"),
+            ((k * 37) % 180 - 90).cast("double").alias("lat"),
+            ((k * 73) % 360 - 180).cast("double").alias("lon"))
+
+
+# Census measure spec: (name, op, factor) applied to the balance magnitude b;
+# GRAPROES / PROM_OCUP are rate-type measures from the key.
+CENSUS_SPEC = (
+    ("POB15_64", "*", 0.65), ("POB65_MAS", "*", 0.08), ("GRAPROES", "k5", 8), ("PROM_OCUP", "k3", 3),
+    ("VIVPARH_CV", "/", 3.6), ("POBTOT", "*", 1.0), ("P_18YMAS", "*", 0.7), ("P_60YMAS", "*", 0.1),
+    ("PDER_SS", "*", 0.5), ("TVIVPARHAB", "/", 3.5), ("VPH_C_SERV", "/", 4.0), ("VPH_S_ELEC", "/", 100.0),
+    ("VPH_AGUAFV", "/", 50.0), ("VPH_NODREN", "/", 60.0), ("VPH_INTER", "/", 6.0), ("VPH_PISOTI", "/", 70.0),
+    ("VPH_AUTOM", "/", 5.0),
+)
+
+
+def CENSUS_MEASURES(k, b, fl):
+    out = {}
+    for name, op, f in CENSUS_SPEC:
+        if op == "*":
+            out[name] = fl(b * f) if not isinstance(b, str) else fl(f"{b} * {f}")
+        elif op == "/":
+            out[name] = fl(b / f) if not isinstance(b, str) else fl(f"{b} / {f}")
+        elif op == "k5":
+            out[name] = (k % 5 + f) if not isinstance(k, str) else f"({k} % 5 + {f})"
+        else:
+            out[name] = (k % 3 + f) if not isinstance(k, str) else f"({k} % 3 + {f})"
+    return out
+
+
+CENSUS_SHORT = [n for n, _, _ in CENSUS_SPEC]
+
+
 # --------------------------------------------------------------------------
 # DuckDB text of the same views (oracle side only).
 VIEW_SQL: dict[str, str] = {
@@ -274,6 +342,7 @@ SELECT o_orderkey AS doc_id,
             ELSE 'gap ' || CAST(o_custkey % 97 AS VARCHAR) || '.' || CAST(o_orderkey % 10 AS VARCHAR)
                  || '% then gap ' || CAST(o_orderkey % 13 AS VARCHAR) || '.5%' END AS text
 FROM orders""",
+    "census_blocks": None,  # filled below
     "series": """
 SELECT user_id AS entity, event_type, ts, value AS x FROM events""",
 }
@@ -294,3 +363,27 @@ def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> st
     if not parts:
         return sql
     return "WITH " + ",\n".join(parts) + "\n" + sql
+
+
+def _census_sql() -> str:
+    def fl(e):
+        return f"CAST(floor({e}) AS BIGINT)"
+    k, b = "c.c_custkey", "abs(c.c_acctbal)"
+    ms = CENSUS_MEASURES(k, b, fl)
+    meas = ",\n       ".join(
+        f"CASE WHEN {k} % 23 = 0 THEN '*' WHEN {k} % 29 = 0 THEN 'N/D' ELSE CAST({v} AS VARCHAR) END AS {n}"
+        for n, v in ms.items())
+    return f"""
+SELECT n.n_name AS NOM_ENT, CAST(c.c_nationkey + 1 AS INTEGER) AS ENTIDAD,
+       n.n_name || ' M' || CAST({k} % 4 + 1 AS VARCHAR) AS NOM_MUN, CAST({k} % 4 + 1 AS INTEGER) AS MUN,
+       'L' || CAST({k} % 5 + 1 AS VARCHAR) AS NOM_LOC, CAST({k} % 5 + 1 AS INTEGER) AS LOC,
+       lpad(CAST({k} % 6 AS VARCHAR), 4, '0') AS AGEB, CAST({k} % 9 AS INTEGER) AS MZA,
+       {meas}
+FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey"""
+
+
+VIEW_SQL["census_blocks"] = _census_sql()
+VIEW_SQL["census_coords"] = """
+SELECT CAST(c_nationkey + 1 AS VARCHAR) AS state_key, CAST(c_custkey % 4 + 1 AS VARCHAR) AS mun_key,
+       CAST((c_custkey * 37) % 180 - 90 AS DOUBLE) AS lat, CAST((c_custkey * 73) % 360 - 180 AS DOUBLE) AS lon
+FROM customer"""
