@@ -63,4 +63,4 @@ def load_all() -> dict[str, Case]:
     return REGISTRY
 
 
-MODULES = ["c_valuation", "c_clean"]
+MODULES = ["c_valuation", "c_clean", "c_panel"]

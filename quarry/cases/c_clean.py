@@ -61,7 +61,7 @@ def p03(fx):
 # ------------------------------------------------------------------ P04 / P05 / P06
 @case("p04_rename",
       with_views("SELECT state AS estado, mun AS municipio, pop AS POBTOT, hab_houses AS TVIVPARHAB, "
-                 "cars AS VPH_AUTOM FROM population", "population"), rounding=r(2, "VPH_AUTOM"))
+                 "cars AS VPH_AUTOM, lat, lon FROM population", "population"), rounding=r(2, "VPH_AUTOM", "lat", "lon"))
 def p04(fx):
     return C.rename(fx.population, {"state": "estado", "mun": "municipio", "pop": "POBTOT",
                                     "hab_houses": "TVIVPARHAB", "cars": "VPH_AUTOM"})

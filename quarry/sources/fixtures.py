@@ -59,15 +59,40 @@ class Fixtures:
     # ------------------------------------------------------------ population
     @cached_property
     def population(self) -> DataFrame:
-        cust = self.table("customer").select("c_nationkey", "c_mktsegment", "c_acctbal")
+        cust = self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
+        k = F.col("c_custkey")
         g = cust.groupBy("c_nationkey", "c_mktsegment").agg(
             F.count(F.lit(1)).cast("double").alias("pop"),
             F.sum(F.when(F.col("c_acctbal") > 0, 1).otherwise(0)).cast("double").alias("hab_houses"),
-            F.sum("c_acctbal").alias("cars"))
+            F.sum("c_acctbal").alias("cars"),
+            F.avg(((k * 37) % 180 - 90).cast("double")).alias("lat"),
+            F.avg(((k * 73) % 360 - 180).cast("double")).alias("lon"))
         nat = broadcast_if_small(self.table("nation").select("n_nationkey", "n_name"))
         return g.join(nat, g.c_nationkey == nat.n_nationkey).select(
             F.col("n_name").alias("state"), F.col("c_mktsegment").alias("mun"),
-            "pop", "hab_houses", "cars")
+            "pop", "hab_houses", "cars", "lat", "lon")
+
+    # ------------------------------------------------------------ product prices
+    @cached_property
+    def price_base(self) -> DataFrame:
+        """(flag, state, date, q, e): line items reduced to flag x supplier x day, then named."""
+        li = self.table("lineitem").select(
+            F.col("l_returnflag").alias("flag"), "l_suppkey", F.col("l_shipdate").cast("date").alias("date"),
+            "l_quantity", "l_extendedprice")
+        g = li.groupBy("flag", "l_suppkey", "date").agg(
+            F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("e"))
+        dim = broadcast_if_small(self.supplier_dim.select("s_suppkey", "n_name"))
+        return g.join(dim, g.l_suppkey == dim.s_suppkey).select(
+            "flag", F.col("n_name").alias("state"), "date", "q", "e")
+
+    def product_prices(self, flag: str):
+        """Price sheets of one product: (state_month, national_month, national_daily)."""
+        b = self.price_base.filter(F.col("flag") == flag)
+        px = safe_div(F.sum("e"), F.sum("q")).alias("price")
+        nd = b.groupBy("date").agg(px)
+        nm = b.groupBy(F.year("date").alias("year"), F.month("date").alias("month")).agg(px)
+        sm = b.groupBy("state", F.year("date").alias("year"), F.month("date").alias("month")).agg(px)
+        return sm, nm, nd
 
     # ------------------------------------------------------------ demand
     @cached_property
@@ -283,9 +308,17 @@ GROUP BY 1, 2, 3""",
     "population": """
 SELECT n.n_name AS state, c.c_mktsegment AS mun, CAST(count(*) AS DOUBLE) AS pop,
        CAST(sum(CASE WHEN c.c_acctbal > 0 THEN 1 ELSE 0 END) AS DOUBLE) AS hab_houses,
-       sum(c.c_acctbal) AS cars
+       sum(c.c_acctbal) AS cars,
+       avg(CAST((c.c_custkey * 37) % 180 - 90 AS DOUBLE)) AS lat,
+       avg(CAST((c.c_custkey * 73) % 360 - 180 AS DOUBLE)) AS lon
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 GROUP BY 1, 2""",
+    "price_base": """
+SELECT l.l_returnflag AS flag, n.n_name AS state, CAST(l.l_shipdate AS DATE) AS date,
+       sum(l.l_quantity) AS q, sum(l.l_extendedprice) AS e
+FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
+JOIN nation n ON s.s_nationkey = n.n_nationkey
+GROUP BY 1, 2, 3""",
     "demand": """
 SELECT n.n_name AS state, CAST(year(o.o_orderdate) AS INTEGER) AS year,
        CASE WHEN n.n_nationkey % 5 = 0 THEN NULL ELSE sum(o.o_totalprice) END AS volume
