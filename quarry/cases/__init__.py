@@ -26,7 +26,7 @@ class Case:
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(Fixtures(spark, sf_dir))
         if self.rounding:
-            df = df.select(*[F.round(F.col(c), self.rounding[c]).alias(c) if c in self.rounding else F.col(c)
+            df = df.select(*[snap(F.col(c), self.rounding[c]).alias(c) if c in self.rounding else F.col(c)
                              for c in df.columns])
         return df
 
@@ -35,10 +35,30 @@ class Case:
             return None
         if not self.rounding:
             return self.sql
-        rep = ", ".join(f"round({c}, {d}) AS {c}" for c, d in self.rounding.items())
+        rep = ", ".join(f"{snap_sql(c, d)} AS {c}" for c, d in self.rounding.items())
         return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) AS q"
 
 
+SNAP_OFFSET = 0.3819660112501051  # 1 - 1/phi
+
+
+def snap(x, d: int):
+    """Snap to a grid of 10^-d with IEEE operations only: floor(x 10^d + c) / 10^d.
+
+    Both engines produce bit-identical doubles from identical inputs.  The
+    offset ``c`` is irrational-looking instead of 0.5, so values with short
+    decimal expansions (ratios of cents to counts, exact halves) never sit on
+    a bucket edge where a one-ulp summation-order difference would flip them.
+    """
+    s = 10.0 ** d
+    return F.floor(x * F.lit(s) + F.lit(SNAP_OFFSET)).cast("double") / F.lit(s)
+
+
+def snap_sql(x: str, d: int) -> str:
+    s = 10.0 ** d
+    return f"(CAST(floor({x} * CAST({s!r} AS DOUBLE) + CAST({SNAP_OFFSET!r} AS DOUBLE)) AS DOUBLE) / CAST({s!r} AS DOUBLE))"
+
+
 REGISTRY: dict[str, Case] = {}
 
 
@@ -63,4 +83,4 @@ def load_all() -> dict[str, Case]:
     return REGISTRY
 
 
-MODULES = ["c_valuation", "c_clean", "c_panel"]
+MODULES = ["c_valuation", "c_clean", "c_panel", "c_windows"]

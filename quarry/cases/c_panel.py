@@ -91,17 +91,17 @@ def chain_sql(select: str, upto: str) -> str:
 
 
 # ------------------------------------------------------------------ V01 / V02 / A11
-@case("v01_daily_state_prices", chain_sql("SELECT date, state, price FROM v01_A", "v01_A"), rounding=r(6, "price"))
+@case("v01_daily_state_prices", chain_sql("SELECT date, state, price FROM v01_A", "v01_A"), rounding=r(4, "price"))
 def v01(fx):
     return PN.daily_state_prices(*fx.product_prices("A"))
 
 
-@case("v02_mean_price", chain_sql("SELECT * FROM prices", "prices"), rounding=r(6, "price"))
+@case("v02_mean_price", chain_sql("SELECT * FROM prices", "prices"), rounding=r(4, "price"))
 def v02(fx):
     return prices(fx)
 
 
-@case("a11_yearly_state_price", chain_sql("SELECT * FROM yearly_price", "yearly_price"), rounding=r(6, "price"))
+@case("a11_yearly_state_price", chain_sql("SELECT * FROM yearly_price", "yearly_price"), rounding=r(4, "price"))
 def a11(fx):
     return prices(fx).groupBy(F.year("date").alias("year"), "state").agg(F.avg("price").alias("price"))
 
@@ -142,7 +142,7 @@ def w11(fx):
     return consumption(fx)[2]["demand_filled"]
 
 
-@case("j06_elasticity_input", chain_sql("SELECT * FROM el", "el"), rounding={"BBL": 0, "price": 6})
+@case("j06_elasticity_input", chain_sql("SELECT * FROM el", "el"), rounding={"BBL": 0, "price": 4})
 def j06(fx):
     return consumption(fx)[2]["elasticity"]
 
@@ -190,7 +190,7 @@ def v03(fx):
 
 
 # ------------------------------------------------------------------ W07 / J08 / V04
-@case("w07_seasonal_curve", chain_sql("SELECT * FROM curve", "curve"), rounding={"price": 6, "curve": 9})
+@case("w07_seasonal_curve", chain_sql("SELECT * FROM curve", "curve"), rounding={"price": 4, "curve": 8})
 def w07(fx):
     loc, model, _ = consumption(fx)
     p = prices(fx).join(model.select("state", "intercept", "slope"), "state", "left")
@@ -201,7 +201,7 @@ def w07(fx):
 
 
 @case("v04_fuel_panel", chain_sql("SELECT * FROM v04", "v04"),
-      rounding={"lat": 6, "lon": 6, "price": 6, "litres": -4})
+      rounding={"lat": 6, "lon": 6, "price": 4, "litres": -4})
 def v04(fx):
     loc, model, _ = consumption(fx)
     return PN.fuel_panel(loc, model, prices(fx))
