@@ -51,12 +51,16 @@ def snap(x, d: int):
     a bucket edge where a one-ulp summation-order difference would flip them.
     """
     s = 10.0 ** d
-    return F.floor(x * F.lit(s) + F.lit(SNAP_OFFSET)).cast("double") / F.lit(s)
+    snapped = F.floor(x * F.lit(s) + F.lit(SNAP_OFFSET)).cast("double") / F.lit(s)
+    # beyond 2^53 the double is already coarser than the grid (and inf / NaN stay as they are)
+    return F.when(F.abs(x * F.lit(s)) < F.lit(1e15), snapped).otherwise(x)
 
 
 def snap_sql(x: str, d: int) -> str:
     s = 10.0 ** d
-    return f"(CAST(floor({x} * CAST({s!r} AS DOUBLE) + CAST({SNAP_OFFSET!r} AS DOUBLE)) AS DOUBLE) / CAST({s!r} AS DOUBLE))"
+    sd = f"CAST({s!r} AS DOUBLE)"
+    snapped = f"CAST(floor({x} * {sd} + CAST({SNAP_OFFSET!r} AS DOUBLE)) AS DOUBLE) / {sd}"
+    return f"(CASE WHEN abs({x} * {sd}) < 1e15 THEN {snapped} ELSE {x} END)"
 
 
 REGISTRY: dict[str, Case] = {}
@@ -83,4 +87,4 @@ def load_all() -> dict[str, Case]:
     return REGISTRY
 
 
-MODULES = ["c_valuation", "c_clean", "c_panel", "c_windows"]
+MODULES = ["c_valuation", "c_clean", "c_panel", "c_windows", "c_costing"]
