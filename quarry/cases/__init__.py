@@ -87,4 +87,4 @@ def load_all() -> dict[str, Case]:
     return REGISTRY
 
 
-MODULES = ["c_valuation", "c_clean", "c_panel", "c_windows", "c_costing", "c_plan"]
+MODULES = ["c_valuation", "c_clean", "c_panel", "c_windows", "c_costing", "c_plan", "c_reconcile"]
