@@ -35,7 +35,7 @@ class Case:
             return None
         if not self.rounding:
             return self.sql
-        rep = ", ".join(f"{snap_sql(c, d)} AS {c}" for c, d in self.rounding.items())
+        rep = ", ".join(f"{snap_sql(_q(c), d)} AS {_q(c)}" for c, d in self.rounding.items())
         return f"SELECT * REPLACE ({rep}) FROM (\n{self.sql}\n) AS q"
 
 
@@ -63,6 +63,10 @@ def snap_sql(x: str, d: int) -> str:
     return f"(CASE WHEN abs({x} * {sd}) < 1e15 THEN {snapped} ELSE {x} END)"
 
 
+def _q(c: str) -> str:
+    return c if c.replace("_", "").isalnum() else '"' + c.replace('"', '""') + '"'
+
+
 REGISTRY: dict[str, Case] = {}
 
 
@@ -87,4 +91,4 @@ def load_all() -> dict[str, Case]:
     return REGISTRY
 
 
-MODULES = ["c_valuation", "c_clean", "c_panel", "c_windows", "c_costing", "c_plan", "c_reconcile"]
+MODULES = ["c_valuation", "c_clean", "c_panel", "c_windows", "c_costing", "c_plan", "c_reconcile", "c_census"]

@@ -32,15 +32,31 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.ui.enabled", "false"))
+         .config("spark.ui.enabled", "false")
+         .config("spark.sql.constraintPropagation.enabled", "false"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the executor; the 1g default heap is too small
+        b = b.config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
 
+def tune_optimizer(spark: SparkSession) -> None:
+    """Session settings the wide census projections need.
+
+    Block tables carry ~20 aliased measure expressions; Catalyst's constraint
+    propagation enumerates alias substitutions of every IS NOT NULL / range
+    constraint and grows exponentially with them (a 100-row join took minutes
+    to plan).  Turning it off only drops *inferred* filters; explicit ones are
+    still pushed down to the scans.
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def plan_size_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan (no job is run)."""
     try:

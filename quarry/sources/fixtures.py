@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import safe_div
-from quarry.session import broadcast_if_small, table_path
+from quarry.session import broadcast_if_small, table_path, tune_optimizer
 
 BASE_YEAR = 1995  # plan period 0 (FIXTURES §4 `plan`)
 
@@ -26,6 +26,7 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        tune_optimizer(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(table_path(self.sf_dir, name))
@@ -255,6 +256,38 @@ class Fixtures:
             F.lpad((k % 6).cast("string"), 4, "0").alias("AGEB"), (k % 9).cast("int").alias("MZA"),
             *[v.alias(n) for n, v in measures.items()])
 
+    @cached_property
+    def economic_census(self) -> DataFrame:
+        """Economic census rows (ENTIDAD, MUNICIPIO, CODIGO, ID_ESTRATO, 12 measures) from line items.
+
+        Line items are reduced per (supplier, part, line number) before the
+        part dimension is attached; strata come from the line number (blank,
+        99, missing or a number).
+        """
+        li = self.table("lineitem").select(
+            "l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+            "l_returnflag", "l_linestatus")
+        part = self.codes.select("p_partkey", "code")
+        j = li.join(broadcast_if_small(part), li.l_partkey == part.p_partkey)
+        ln = F.col("l_linenumber")
+        strat = (F.when(ln == 1, F.lit("")).when(ln == 2, F.lit("99")).when(ln == 3, F.lit(None).cast("string"))
+                 .otherwise(ln.cast("string")))
+        g = j.groupBy(
+            ((F.col("l_suppkey") % 25) + 1).cast("string").alias("ENTIDAD"),
+            (F.col("l_suppkey") % 4 + 1).cast("string").alias("MUNICIPIO"),
+            F.col("code").alias("CODIGO"), strat.alias("ID_ESTRATO")).agg(*_eco_aggs())
+        return g
+
+    @cached_property
+    def activity_catalogue(self) -> DataFrame:
+        """(CODIGO, DESC_CODIGO, CLASIFICADOR_CODIGO): one row per code."""
+        p = self.table("part").select("p_partkey", "p_type", "p_brand")
+        c = self.codes.select("p_partkey", "code").join(p, "p_partkey")
+        b = F.regexp_replace("p_brand", "[^0-9]", "").cast("int")
+        cls = F.when(b <= 10, F.lit("Rama")).when(b <= 20, F.lit("Subrama")).otherwise(F.lit("Sector"))
+        return c.select(F.col("code").alias("CODIGO"), F.col("p_type").alias("DESC_CODIGO"),
+                        cls.alias("CLASIFICADOR_CODIGO")).distinct()
+
     @cached_property
     def census_coords(self) -> DataFrame:
         """Block coordinates for the census table (state_key, mun_key as text)."""
@@ -267,6 +300,23 @@ class Fixtures:
             ((k * 73) % 360 - 180).cast("double").alias("lon"))
 
 
+# Economic census measures (codes of the 12 economy columns).
+ECO_MEASURES = ("A111A", "A121A", "A131A", "A211A", "A221A", "A511A", "A700A", "A800A",
+                "H000A", "H000B", "H000C", "H000D")
+
+
+def _eco_aggs():
+    col = F.col
+    flag = lambda c, v: F.sum(F.when(col(c) == v, 1).otherwise(0)).cast("double")
+    return [F.sum("l_extendedprice").alias("A111A"), F.sum("l_quantity").alias("A121A"),
+            (F.sum("l_discount") * 100).alias("A131A"), (F.sum("l_tax") * 100).alias("A211A"),
+            F.count(F.lit(1)).cast("double").alias("A221A"),
+            F.sum(col("l_extendedprice") * (1 - col("l_discount"))).alias("A511A"),
+            F.max("l_quantity").alias("A700A"), F.min("l_quantity").alias("A800A"),
+            flag("l_returnflag", "A").alias("H000A"), flag("l_returnflag", "N").alias("H000B"),
+            flag("l_returnflag", "R").alias("H000C"), flag("l_linestatus", "O").alias("H000D")]
+
+
 # Census measure spec: (name, op, factor) applied to the balance magnitude b;
 # GRAPROES / PROM_OCUP are rate-type measures from the key.
 CENSUS_SPEC = (
@@ -420,3 +470,25 @@ VIEW_SQL["census_coords"] = """
 SELECT CAST(c_nationkey + 1 AS VARCHAR) AS state_key, CAST(c_custkey % 4 + 1 AS VARCHAR) AS mun_key,
        CAST((c_custkey * 37) % 180 - 90 AS DOUBLE) AS lat, CAST((c_custkey * 73) % 360 - 180 AS DOUBLE) AS lon
 FROM customer"""
+
+
+VIEW_SQL["economic_census"] = """
+SELECT CAST(l.l_suppkey % 25 + 1 AS VARCHAR) AS ENTIDAD, CAST(l.l_suppkey % 4 + 1 AS VARCHAR) AS MUNICIPIO,
+       c.code AS CODIGO,
+       CASE WHEN l.l_linenumber = 1 THEN '' WHEN l.l_linenumber = 2 THEN '99' WHEN l.l_linenumber = 3 THEN NULL
+            ELSE CAST(l.l_linenumber AS VARCHAR) END AS ID_ESTRATO,
+       sum(l_extendedprice) AS A111A, sum(l_quantity) AS A121A, sum(l_discount) * 100 AS A131A,
+       sum(l_tax) * 100 AS A211A, CAST(count(*) AS DOUBLE) AS A221A,
+       sum(l_extendedprice * (1 - l_discount)) AS A511A, max(l_quantity) AS A700A, min(l_quantity) AS A800A,
+       CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS DOUBLE) AS H000A,
+       CAST(sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS DOUBLE) AS H000B,
+       CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS DOUBLE) AS H000C,
+       CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS DOUBLE) AS H000D
+FROM lineitem l JOIN codes c ON l.l_partkey = c.p_partkey
+GROUP BY 1, 2, 3, 4"""
+VIEW_SQL["activity_catalogue"] = """
+SELECT DISTINCT c.code AS CODIGO, p.p_type AS DESC_CODIGO,
+       CASE WHEN CAST(regexp_replace(p.p_brand, '[^0-9]', '', 'g') AS INTEGER) <= 10 THEN 'Rama'
+            WHEN CAST(regexp_replace(p.p_brand, '[^0-9]', '', 'g') AS INTEGER) <= 20 THEN 'Subrama'
+            ELSE 'Sector' END AS CLASIFICADOR_CODIGO
+FROM codes c JOIN part p USING (p_partkey)"""
