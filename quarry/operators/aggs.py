@@ -146,3 +146,41 @@ def histogram(df: DataFrame, value: str, bins: int = 20, by: Sequence[str] = ())
            .select(*by, "bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("bin_lo"),
                    "n"))
     return out
+
+
+def attach_group_stat(df: DataFrame, keys: Sequence[str], stats: Sequence, names: Sequence[str]) -> DataFrame:
+    """Join group statistics back to their rows.
+
+    The statistics come from a partial + final aggregate (a hot key costs one
+    partial row per task), and the grouped table is joined back by broadcast
+    when its estimate is small, so no window drags a skewed group into one task.
+    """
+    from quarry.session import broadcast_if_small
+    g = df.groupBy(*keys).agg(*[s.alias(n) for s, n in zip(stats, names)])
+    return df.join(broadcast_if_small(g), list(keys), "left")
+
+
+def align_measures(frames: Sequence[tuple[str, DataFrame]], keys: Sequence[str], value: str = "value") -> DataFrame:
+    """Put several measures (each a (keys, value) frame) side by side on one key set.
+
+    Long rows are stacked and folded by one conditional aggregation: the
+    key set is the union of all inputs (missing measures stay NULL).
+    """
+    u = None
+    for name, f in frames:
+        x = f.select(*keys, F.lit(name).alias("_m"), F.col(value).cast("double").alias("_v"))
+        u = x if u is None else u.unionByName(x)
+    return u.groupBy(*keys).agg(*[F.first(F.when(F.col("_m") == n, F.col("_v")), ignorenulls=True).alias(n)
+                                  for n, _ in frames])
+
+
+def market_view(sales: DataFrame, demand: DataFrame, run: str = "file", market: str = "mun") -> DataFrame:
+    """A18 + O01: mean over runs of total sales and demand, mean price per market, ranked by sales."""
+    s = sales.groupBy(run, market).agg(F.sum("sales").alias("sales")).groupBy(market).agg(F.avg("sales").alias("sales"))
+    d = demand.groupBy(run, market).agg(F.sum("demand").alias("demand")).groupBy(market).agg(
+        F.avg("demand").alias("demand"))
+    p = demand.groupBy(market).agg(F.avg("price").alias("price"))
+    j = s.join(d, market, "full_outer").join(p, market, "full_outer")
+    # one row per market (a dimension): the order-only window is bounded
+    rank = F.row_number().over(Window.orderBy(F.col("sales").desc_nulls_last(), F.col(market)))
+    return j.select(market, "sales", "demand", "price", rank.alias("rank"))
