@@ -116,13 +116,13 @@ def v05(fx):
     return CE.municipal_indicators(blocks(fx), fx.census_coords)
 
 
-@case("a03_collapse_max", csql("SELECT * FROM collapsed", "collapsed"), rounding=r(4, "A111A", "A511A"))
+@case("a03_collapse_max", csql("SELECT * FROM collapsed", "collapsed"), rounding=r(4, *ECO_MEASURES))
 def a03(fx):
     e = C.keep_strata(fx.economic_census, "ID_ESTRATO")
     return e.groupBy("ENTIDAD", "MUNICIPIO", "CODIGO").agg(*[F.max(m).alias(m) for m in ECO_MEASURES])
 
 
-@case("v21_economic_normaliser", csql("SELECT * FROM v21", "v21"), rounding=r(4, "A111A", "A511A"))
+@case("v21_economic_normaliser", csql("SELECT * FROM v21", "v21"), rounding=r(4, *ECO_MEASURES))
 def v21(fx):
     return CE.economic_normaliser(fx.economic_census, fx.activity_catalogue, ECO_MEASURES)
 

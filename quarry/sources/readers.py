@@ -46,9 +46,18 @@ def read_census(spark: SparkSession, path: str, measures: Sequence[str], keep: S
 
 
 # ------------------------------------------------------------------ S02 / S03 / S04 / S07
+STANDARD_CHARSETS = {"iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8"}
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|",
                    encoding: str = "windows-1252", header: bool = True) -> DataFrame:
-    """Delimited text with a separator, encoding and explicit schema."""
+    """Delimited text with a separator, encoding and explicit schema.
+
+    Spark 4 accepts a short list of charsets by default; other JVM charsets
+    (windows-1252 for the coordinate files) need the legacy charset switch.
+    """
+    if encoding.lower() not in STANDARD_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     return (spark.read.schema(schema).option("header", header).option("sep", sep)
             .option("encoding", encoding).option("positiveInf", "inf").option("negativeInf", "-inf")
             .csv(path))
@@ -79,7 +88,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def read_scenarios(spark: SparkSession, base: str, kinds: Sequence[str] = tuple(RESULT_KINDS)) -> dict:
+def read_scenarios(spark: SparkSession, base: str, kinds: Sequence[str] = tuple(RESULT_KINDS),
+                   tag_from: str = "name") -> dict:
     """One DataFrame per result kind over all run files, tagged with the file name.
 
     A missing result folder gives ``None`` (the shipped data has no market /
@@ -93,7 +103,10 @@ def read_scenarios(spark: SparkSession, base: str, kinds: Sequence[str] = tuple(
             continue
         df = (spark.read.schema(RESULT_KINDS[k]).option("header", True).option("positiveInf", "inf")
               .option("pathGlobFilter", "*.csv").csv(path))
-        out[k] = df.withColumn("file", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
+        if tag_from == "partition":  # one folder per run (file=<tag>), as written by a partitioned job
+            out[k] = df
+        else:  # one file per run, tagged by its name
+            out[k] = df.withColumn("file", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
     stats = os.path.join(base, "ts_specs", "stats.csv")
     out["periods"] = (spark.read.schema(PERIOD_SCHEMA).option("header", True).csv(stats)
                       if _exists(spark, stats) else None)
@@ -120,8 +133,8 @@ def read_two_row_header(spark: SparkSession, path: str, id_name: str = "ENTIDAD"
     cols = raw.columns
     idx = raw.select("*", F.monotonically_increasing_id().alias("_rid"))
     first_two = idx.orderBy("_rid").limit(2)  # the header rows: a limit is the feature here
-    hdr = first_two.select(F.row_number().over(Window.orderBy("_rid")).alias("_h"),
-                           F.posexplode(F.array(*[F.col(c) for c in cols[1:]])).alias("pos", "v"))
+    numbered = first_two.select("*", F.row_number().over(Window.orderBy("_rid")).alias("_h"))
+    hdr = numbered.select("_h", F.posexplode(F.array(*[F.col(c) for c in cols[1:]])).alias("pos", "v"))
     hmap = hdr.groupBy("pos").agg(F.max(F.when(F.col("_h") == 1, F.col("v"))).alias("year_raw"),
                                   F.max(F.when(F.col("_h") == 2, F.col("v"))).alias("month_str"))
     w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
