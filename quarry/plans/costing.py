@@ -33,17 +33,20 @@ def base_rate(mxn_per_ton_km: float) -> float:
     return mxn_per_ton_km * tons_per_trip / PIPE_LITRES
 
 
-def attach_bounded(df: DataFrame, small: DataFrame, name: str = "_b") -> DataFrame:
-    """Expand each row of ``df`` by every row of a bounded table (periods, cases, sites).
-
-    The small table is folded into one array (a single row) and attached by a
-    broadcast equi-join on a constant key, then exploded: no nested-loop join,
-    and the expansion factor is the small table's row count.
+def attach_bounded(df: DataFrame, small: DataFrame, name: str = "_b", max_rows: int = 100_000) -> DataFrame:
+    """Expand each row of ``df`` by every row of a bounded table (periods, sites, cases).
+
+    The small table is folded into one array by a scalar subquery (computed
+    once, shipped to the tasks as a value) and exploded next to each row: no
+    join at all, and the expansion factor is the small table's row count.  The
+    bound is checked in the plan: a larger "small" table fails the query
+    instead of silently multiplying the data.
     """
     cols = small.columns
-    arr = small.agg(F.collect_list(F.struct(*cols)).alias(name)).withColumn("_one", F.lit(1))
-    j = df.withColumn("_one", F.lit(1)).join(F.broadcast(arr), "_one").drop("_one")
-    ex = j.select(*df.columns, F.explode(name).alias(name))
+    arr = small.agg(F.collect_list(F.struct(*cols)).alias(name)).scalar()
+    guarded = F.when(F.size(arr) <= max_rows, arr).otherwise(
+        F.raise_error(F.lit(f"attach_bounded: more than {max_rows} rows on the bounded side")))
+    ex = df.select(*df.columns, F.explode(guarded).alias(name))
     return ex.select(*df.columns, *[F.col(f"{name}.{c}").alias(c) for c in cols])
 
 
@@ -143,9 +146,8 @@ def market_sourcing(demand: DataFrame, lanes: DataFrame, inflation: float = 0.06
     ``demand(T, market, demand, price)``; lanes keyed by (source, destination).
     Missing lane cost -> 30 + 10 x max lane cost.
     """
-    mx = lanes.agg(F.max("freight").alias("_max")).withColumn("_one", F.lit(1))
-    ln = lanes.select("source", F.col("destination").alias("market"), "freight").withColumn("_one", F.lit(1)) \
-        .join(F.broadcast(mx), "_one").drop("_one")
+    mx = lanes.agg(F.max("freight")).scalar()  # one value, computed once
+    ln = lanes.select("source", F.col("destination").alias("market"), "freight", mx.alias("_max"))
     j = demand.join(ln, "market")
     cost = F.coalesce(F.col("freight"), F.lit(30.0) + F.lit(10.0) * F.col("_max")) * \
         F.pow(F.lit(1.0 + inflation), F.col("T"))

@@ -110,24 +110,29 @@ def npv_sensitivity(production: DataFrame, periods: DataFrame, wacc: float = 0.1
                     cases=SENSITIVITY_CASES) -> DataFrame:
     """V14 (long form): one row per (plant, case) with mean, std, count over runs.
 
-    Each row is expanded by the literal case array (six entries) with
-    ``explode``, so no join is needed; both discount factors come from one
-    broadcast period table.
+    Every case is linear in a few discounted sums, so the fact rows are
+    reduced once per (run, plant) to those sums (under both discount rates)
+    and the six cases are expanded on that small table with ``explode`` of a
+    literal array: the fact rows are never multiplied by the case count.
     """
     d1 = discount_table(periods, wacc).select("T", F.col("DF").alias("DF1"))
     d2 = discount_table(periods, wacc * max(c[3] for c in cases)).select("T", F.col("DF").alias("DF2"))
-    dfs = d1.join(d2, "T")
-    p = production.join(F.broadcast(dfs), "T")
+    p = production.join(F.broadcast(d1.join(d2, "T")), "T")
+    parts = {"rev": F.col("revenues"), "arev": F.abs(F.col("revenues")), "cost": F.col("costs"),
+             "dep": F.col("depreciation"), "capex": F.col("capex")}
+    sums = [F.sum(F.col(dfc) * e).alias(f"{k}_{dfc}") for dfc in ("DF1", "DF2") for k, e in parts.items()]
+    per_run = p.groupBy("file", "plant").agg(*sums)
     case_arr = F.array(*[F.struct(F.lit(n).alias("case"), F.lit(k).alias("k"), F.lit(cm).alias("cm"),
-                                  F.lit(wm != 1.0).alias("alt")) for n, k, cm, wm in cases])
-    x = p.select("file", "plant", "T", "revenues", "costs", "depreciation", "capex", "DF1", "DF2",
-                 F.explode(case_arr).alias("cs"))
-    rev = F.col("revenues") + F.col("cs.k") * F.abs(F.col("revenues"))
-    capex = F.col("capex") * F.col("cs.cm")
-    DF = F.when(F.col("cs.alt"), F.col("DF2")).otherwise(F.col("DF1"))
-    v = DF * fcf(rev, F.col("costs"), F.col("depreciation"), capex)
-    per_run = x.groupBy("file", "plant", F.col("cs.case").alias("case")).agg(F.sum(v).alias("npv"))
-    return per_run.groupBy("plant", "case").agg(
+                                  F.lit("DF2" if wm != 1.0 else "DF1").alias("df")) for n, k, cm, wm in cases])
+    x = per_run.select("*", F.explode(case_arr).alias("cs"))
+
+    def pick(k):
+        return F.when(F.col("cs.df") == "DF2", F.col(f"{k}_DF2")).otherwise(F.col(f"{k}_DF1"))
+
+    npv = ((pick("rev") + F.col("cs.k") * pick("arev") - pick("cost") - pick("dep")) * (1 - TAX)
+           + pick("dep") - F.col("cs.cm") * pick("capex"))
+    y = x.select("file", "plant", F.col("cs.case").alias("case"), npv.alias("npv"))
+    return y.groupBy("plant", "case").agg(
         F.avg("npv").alias("mean"), F.stddev_samp("npv").alias("std"), F.count("npv").alias("count"))
 
 
@@ -151,8 +156,8 @@ def mc_simulation(production: DataFrame, periods: DataFrame, wacc: float = 0.10,
     """
     s = npv_stats(production, periods, wacc, plant_pattern)
     ratio = safe_div("depreciation_mean", "capex_mean")
-    # f = mean over plants of mean(dep) / mean(capex), undefined skipped
-    factor = F.avg(ratio).over(Window.partitionBy())
+    # f = mean over plants of mean(dep) / mean(capex), undefined skipped (a scalar subquery)
+    factor = s.agg(F.avg(ratio)).scalar()
     base = s.select("plant", "NPV_revenues_mean", "NPV_revenues_std", "NPV_costs_mean", "NPV_costs_std",
                     "capex_mean", factor.alias("dep_factor"))
     x = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
