@@ -18,6 +18,10 @@ IMPORTS = ("Imports", "Imports", 29.749907, -95.358421)  # fixed value: import t
 
 # ------------------------------------------------------------------ fixtures: sites, overrides
 def sites(fx):
+    return fx.memo("sites", lambda: _sites(fx))
+
+
+def _sites(fx):
     """One plant per state: its lowest-keyed supplier; capacity from its yearly shipped volume."""
     dim = fx.supplier_dim
     first = dim.groupBy("n_name").agg(F.min("s_suppkey").alias("s_suppkey"))
@@ -49,15 +53,27 @@ def pair_rates(fx):
 
 
 def lanes(fx):
+    return fx.memo("lanes", lambda: _lanes(fx))
+
+
+def _lanes(fx):
     return CO.lane_distances(sites(fx), fx.coords)
 
 
 def freight(fx):
+    return fx.memo("freight", lambda: _freight(fx))
+
+
+def _freight(fx):
     ords = CO.location_ordinals(fx.coords.select("state", "name"), sites(fx).select("state", "name"))
     return CO.freight_costs(lanes(fx), RATE, pair_rates(fx), state_rates(fx), ords)
 
 
 def site_table(fx):
+    return fx.memo("site_table", lambda: _site_table(fx))
+
+
+def _site_table(fx):
     s = sites(fx).select("state", F.col("name").alias("mun"), "lat", "lon", "daily_capacity", "profile")
     schema = T.StructType([T.StructField(c, t) for c, t in (
         ("state", T.StringType()), ("mun", T.StringType()), ("lat", T.DoubleType()), ("lon", T.DoubleType()),
@@ -67,11 +83,19 @@ def site_table(fx):
 
 
 def sourcing(fx):
+    return fx.memo("sourcing", lambda: _sourcing(fx))
+
+
+def _sourcing(fx):
     dem = CO.markets_by_period(fx.panel, fx.periods)
     return CO.market_sourcing(dem, freight(fx))
 
 
 def sales(fx):
+    return fx.memo("sales", lambda: _sales(fx))
+
+
+def _sales(fx):
     best = CO.cheapest_source(sourcing(fx))
     dem = CO.markets_by_period(fx.panel, fx.periods)
     return best.join(dem, ["T", "market"]).select("T", "market", "source", (F.col("demand") * 0.9).alias("sales"))

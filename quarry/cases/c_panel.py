@@ -15,12 +15,12 @@ FLAGS = ("A", "N", "R")  # the three products: one per return flag
 
 
 def prices(fx):
-    frames = [PN.daily_state_prices(*fx.product_prices(f)) for f in FLAGS]
-    return PN.mean_price(frames)
+    return fx.memo("prices", lambda: PN.mean_price([PN.daily_state_prices(*fx.product_prices(f)) for f in FLAGS]))
 
 
 def consumption(fx, aggregated=True):
-    return PN.consumption_table(fx.population, fx.demand, prices(fx), YEAR, aggregated=aggregated)
+    return fx.memo(f"consumption-{aggregated}", lambda: PN.consumption_table(
+        fx.population, fx.demand, prices(fx), YEAR, aggregated=aggregated))
 
 
 # ------------------------------------------------------------------ SQL chain (named CTEs, in order)

@@ -28,6 +28,14 @@ class Fixtures:
         self.sf_dir = sf_dir
         tune_optimizer(spark)
 
+    def memo(self, key: str, build):
+        """One DataFrame object per derived view and fixture set, so a plan that
+        uses a view twice holds one subtree (exchange reuse, less planning)."""
+        cache = self.__dict__.setdefault("_memo", {})
+        if key not in cache:
+            cache[key] = build()
+        return cache[key]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(table_path(self.sf_dir, name))
 
