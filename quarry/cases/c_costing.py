@@ -22,19 +22,15 @@ def sites(fx):
 
 
 def _sites(fx):
-    """One plant per state: its lowest-keyed supplier; capacity from its yearly shipped volume."""
+    """One plant per state: its lowest-keyed supplier; capacity from the supplier's balance."""
     dim = fx.supplier_dim
     first = dim.groupBy("n_name").agg(F.min("s_suppkey").alias("s_suppkey"))
-    li = fx.table("lineitem").select("l_suppkey", "l_quantity")
-    vol = li.join(F.broadcast(first.select("s_suppkey")), li.l_suppkey == F.col("s_suppkey"), "left_semi") \
-        .groupBy("l_suppkey").agg(F.sum("l_quantity").alias("qty"))
-    sup = fx.table("supplier").select("s_suppkey", "s_acctbal")
-    s = first.join(dim.select("s_suppkey", "s_name"), "s_suppkey").join(sup, "s_suppkey") \
-        .join(vol, F.col("s_suppkey") == vol.l_suppkey)
+    sup = fx.table("supplier").select("s_suppkey", "s_name", "s_acctbal")
+    s = first.join(sup, "s_suppkey")
     return s.select(F.col("n_name").alias("state"), F.col("s_name").alias("name"),
                     ((F.col("s_suppkey") * 37) % 180 - 90).cast("double").alias("lat"),
                     ((F.col("s_suppkey") * 73) % 360 - 180).cast("double").alias("lon"),
-                    (F.col("qty") / 365.0 * 1.2).alias("daily_capacity"),
+                    ((F.col("s_acctbal") + 2000.0) * 40.0 / 365.0).alias("daily_capacity"),
                     (F.lit(1.0) + F.col("s_acctbal") / 10000.0).alias("profile"))
 
 
@@ -103,13 +99,12 @@ def _sales(fx):
 
 # ------------------------------------------------------------------ SQL twins
 SQL = {}
-SQL["sites"] = f"""
+SQL["sites"] = """
 SELECT n.n_name AS state, s.s_name AS name, CAST((s.s_suppkey * 37) % 180 - 90 AS DOUBLE) AS lat,
-       CAST((s.s_suppkey * 73) % 360 - 180 AS DOUBLE) AS lon, v.qty / 365.0 * 1.2 AS daily_capacity,
+       CAST((s.s_suppkey * 73) % 360 - 180 AS DOUBLE) AS lon, (s.s_acctbal + 2000.0) * 40.0 / 365.0 AS daily_capacity,
        1.0 + s.s_acctbal / 10000.0 AS profile
 FROM (SELECT n_name, min(s_suppkey) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name) f
-JOIN supplier s ON s.s_suppkey = f.k JOIN nation n ON n.n_nationkey = s.s_nationkey
-JOIN (SELECT l_suppkey, sum(l_quantity) AS qty FROM lineitem GROUP BY l_suppkey) v ON v.l_suppkey = s.s_suppkey"""
+JOIN supplier s ON s.s_suppkey = f.k JOIN nation n ON n.n_nationkey = s.s_nationkey"""
 SQL["lanes"] = (f"SELECT s.state AS source_state, s.name AS source, m.state AS destination_state, "
                 f"m.name AS destination, {haversine_sql('s.lon', 's.lat', 'm.lon', 'm.lat')} AS kms "
                 "FROM coords m, sites s")

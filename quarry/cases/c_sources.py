@@ -146,7 +146,10 @@ def s06(fx):
 
 
 # ------------------------------------------------------------------ S07 + U02
-@case("s07_small_wide_csv", with_views("SELECT state, year, volume FROM demand", "demand"), rounding=r(2, "volume"))
+@case("s07_small_wide_csv",
+      with_views("SELECT s.state, y.year, d.volume FROM (SELECT DISTINCT state FROM demand) s "
+                 "CROSS JOIN (SELECT CAST(range AS INTEGER) AS year FROM range(1995, 2002)) y "
+                 "LEFT JOIN demand d ON d.state = s.state AND d.year = y.year", "demand"), rounding=r(2, "volume"))
 def s07(fx):
     years = [str(y) for y in range(1995, 2002)]
     wide = fx.demand.groupBy("state").pivot("year", [int(y) for y in years]).agg(F.first("volume"))

@@ -87,7 +87,8 @@ def revenue_mape(obs: DataFrame, pred: DataFrame, history: DataFrame, keys: Sequ
     Returns rows (metric, loss).
     """
     wts = history.groupBy(*keys).agg(F.sum(F.col(p) * F.col(q)).alias("_rev"))
-    wts = wts.select(*keys, safe_div(F.col("_rev"), wts.agg(F.sum("_rev")).scalar()).alias("w"))
+    # one row per location (a dimension): the total shares the upstream pass
+    wts = wts.select(*keys, safe_div(F.col("_rev"), F.sum("_rev").over(Window.partitionBy())).alias("w"))
     j = obs.select(*keys, date, F.col(p).alias("p"), F.col(q).alias("q")).join(
         pred.select(*keys, date, F.col(p).alias("ph"), F.col(q).alias("qh")), [*keys, date])
 

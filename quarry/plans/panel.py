@@ -72,11 +72,12 @@ def fill_by_regression(state_data: DataFrame, inputs: Sequence[str], response: s
     complete = state_data.na.drop(subset=[response, *inputs])
     if len(inputs) == 1:
         x = inputs[0]
-        # one fit over the state table: the coefficients are scalar subqueries
-        coef = state_data.agg(F.struct(F.regr_intercept(response, x).alias("b0"), F.regr_slope(response, x).alias("b1"),
-                                       F.regr_r2(response, x).alias("r2"))).scalar()
-        out = state_data.select(*state_data.columns, (coef["b0"] + coef["b1"] * F.col(x)).alias("_pred"),
-                                coef["r2"].alias("r2"))
+        # the state table holds one row per state (a dimension): one window over all of it
+        # evaluates the fit in the same pass (cheaper than a separate scalar-subquery job)
+        w = Window.partitionBy()
+        b1, b0 = F.regr_slope(response, x).over(w), F.regr_intercept(response, x).over(w)
+        out = state_data.select(*state_data.columns, (b0 + b1 * F.col(x)).alias("_pred"),
+                                F.regr_r2(response, x).over(w).alias("r2"))
         filled = out.withColumn(response, F.coalesce(F.col(response), F.col("_pred"))).drop("_pred")
         return filled, {"model": "regr"}
     from pyspark.ml.feature import VectorAssembler
@@ -139,7 +140,8 @@ def consumption_table(pop: DataFrame, demand: DataFrame, prices: DataFrame, year
     loc = per_head_fuel(pop, filled)
     # State share of the national total
     st = loc.groupBy("state").agg(F.sum("MUN_FUEL").alias("fuel"))
-    shares = st.select("state", safe_div(F.col("fuel"), st.agg(F.sum("fuel")).scalar()).alias("share"))
+    # one row per state: a window over the whole (dimension-sized) table
+    shares = st.select("state", safe_div(F.col("fuel"), F.sum("fuel").over(Window.partitionBy())).alias("share"))
     dem = fill_demand(demand, shares)
     yearly_price = prices.groupBy(F.year("date").alias("year"), "state").agg(F.avg("price").alias("price"))  # A11
     el = (dem.select("state", "year", (F.col("volume") * BARRELS_PER_THOUSAND).alias("BBL"))

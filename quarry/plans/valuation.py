@@ -156,8 +156,10 @@ def mc_simulation(production: DataFrame, periods: DataFrame, wacc: float = 0.10,
     """
     s = npv_stats(production, periods, wacc, plant_pattern)
     ratio = safe_div("depreciation_mean", "capex_mean")
-    # f = mean over plants of mean(dep) / mean(capex), undefined skipped (a scalar subquery)
-    factor = s.agg(F.avg(ratio)).scalar()
+    # f = mean over plants of mean(dep) / mean(capex), undefined skipped.  The statistics
+    # table has one row per plant, so a window over all of it is bounded and shares the
+    # upstream work (a scalar subquery would recompute the whole NPV plan in its own job).
+    factor = F.avg(ratio).over(Window.partitionBy())
     base = s.select("plant", "NPV_revenues_mean", "NPV_revenues_std", "NPV_costs_mean", "NPV_costs_std",
                     "capex_mean", factor.alias("dep_factor"))
     x = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
