@@ -15,7 +15,8 @@ FLAGS = ("A", "N", "R")  # the three products: one per return flag
 
 
 def prices(fx):
-    return fx.memo("prices", lambda: PN.mean_price([PN.daily_state_prices(*fx.product_prices(f)) for f in FLAGS]))
+    # all three products priced in one pass (product = flag column), then averaged
+    return fx.memo("prices", lambda: PN.mean_price(PN.daily_state_prices(*fx.product_prices(), keys=["flag"])))
 
 
 def consumption(fx, aggregated=True):
@@ -190,7 +191,7 @@ def v03(fx):
 
 
 # ------------------------------------------------------------------ W07 / J08 / V04
-@case("w07_seasonal_curve", chain_sql("SELECT * FROM curve", "curve"), rounding={"price": 4, "curve": 8})
+@case("w07_seasonal_curve", chain_sql("SELECT * FROM curve", "curve"), rounding={"price": 4, "curve": 6})
 def w07(fx):
     loc, model, _ = consumption(fx)
     p = prices(fx).join(model.select("state", "intercept", "slope"), "state", "left")

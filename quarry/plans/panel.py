@@ -24,31 +24,39 @@ from quarry.session import broadcast_if_small
 
 # ------------------------------------------------------------------ V01 / V02
 def daily_state_prices(state_month: DataFrame, national_month: DataFrame, national_daily: DataFrame,
-                       mode: str = "reference", out: str = "price") -> DataFrame:
+                       mode: str = "reference", out: str = "price", keys: Sequence[str] = ()) -> DataFrame:
     """State daily price = state monthly price x curve(date).
 
     ``state_month(state, year, month, price)``, ``national_month(year, month, price)``,
     ``national_daily(date, price)``.  Reference curve = national monthly /
-    national daily; ``mode='proportional'`` uses daily / monthly.
+    national daily; ``mode='proportional'`` uses daily / monthly.  ``keys``
+    (e.g. a product column) lets one call price every product at once.
     """
-    nd = national_daily.select("date", F.col("price").alias("daily"),
+    keys = list(keys)
+    nd = national_daily.select(*keys, "date", F.col("price").alias("daily"),
                                F.year("date").alias("year"), F.month("date").alias("month"))
-    nm = national_month.select("year", "month", F.col("price").alias("monthly"))
-    cur = nd.join(nm, ["year", "month"])  # J02: join on computed (year, month)
+    nm = national_month.select(*keys, "year", "month", F.col("price").alias("monthly"))
+    cur = nd.join(nm, [*keys, "year", "month"])  # J02: join on computed (year, month)
     curve = safe_div("monthly", "daily") if mode == "reference" else safe_div("daily", "monthly")
-    cur = cur.select("date", "year", "month", curve.alias("curve"))
-    sm = state_month.select("state", "year", "month", F.col("price").alias("sp"))
-    # the curve table has one row per day: broadcast when its estimate is small
-    j = sm.join(broadcast_if_small(cur), ["year", "month"])
-    return j.select("date", "state", (F.col("sp") * F.col("curve")).alias(out))
-
-
-def mean_price(frames: Sequence[DataFrame], out: str = "price") -> DataFrame:
-    """Mean of several product prices per (date, state), missing skipped."""
-    u = None
-    for f in frames:
-        x = f.select("date", "state", F.col(f.columns[-1]).alias("p"))
-        u = x if u is None else u.unionByName(x)
+    cur = cur.select(*keys, "date", "year", "month", curve.alias("curve"))
+    sm = state_month.select(*keys, "state", "year", "month", F.col("price").alias("sp"))
+    # the curve table has one row per (product, day): broadcast when its estimate is small
+    j = sm.join(broadcast_if_small(cur), [*keys, "year", "month"])
+    return j.select(*keys, "date", "state", (F.col("sp") * F.col("curve")).alias(out))
+
+
+def mean_price(frames: Sequence[DataFrame] | DataFrame, out: str = "price") -> DataFrame:
+    """Mean of several product prices per (date, state), missing skipped.
+
+    Accepts a list of per-product frames or one frame holding all products.
+    """
+    if isinstance(frames, DataFrame):
+        u = frames.select("date", "state", F.col(out).alias("p"))
+    else:
+        u = None
+        for f in frames:
+            x = f.select("date", "state", F.col(f.columns[-1]).alias("p"))
+            u = x if u is None else u.unionByName(x)
     return u.groupBy("date", "state").agg(F.avg("p").alias(out))
 
 

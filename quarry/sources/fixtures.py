@@ -94,13 +94,15 @@ class Fixtures:
         return g.join(dim, g.l_suppkey == dim.s_suppkey).select(
             "flag", F.col("n_name").alias("state"), "date", "q", "e")
 
-    def product_prices(self, flag: str):
-        """Price sheets of one product: (state_month, national_month, national_daily)."""
-        b = self.price_base.filter(F.col("flag") == flag)
+    def product_prices(self, flag: str | None = None):
+        """Price sheets (state_month, national_month, national_daily) of one product, or of all
+        products at once (with a ``flag`` column) when ``flag`` is None."""
+        b = self.price_base if flag is None else self.price_base.filter(F.col("flag") == flag)
+        k = ["flag"] if flag is None else []
         px = safe_div(F.sum("e"), F.sum("q")).alias("price")
-        nd = b.groupBy("date").agg(px)
-        nm = b.groupBy(F.year("date").alias("year"), F.month("date").alias("month")).agg(px)
-        sm = b.groupBy("state", F.year("date").alias("year"), F.month("date").alias("month")).agg(px)
+        nd = b.groupBy(*k, "date").agg(px)
+        nm = b.groupBy(*k, F.year("date").alias("year"), F.month("date").alias("month")).agg(px)
+        sm = b.groupBy(*k, "state", F.year("date").alias("year"), F.month("date").alias("month")).agg(px)
         return sm, nm, nd
 
     # ------------------------------------------------------------ demand
