@@ -141,7 +141,7 @@ A18_VIEWS = dict(
     sales="SELECT file, T, plant AS mun, production AS sales FROM plan",
     dmd="SELECT file, T, plant AS mun, production * 1.1 AS demand, revenues / NULLIF(production, 0) AS price FROM plan")
 A18_SQL = """
-SELECT mun, sales, demand, price, row_number() OVER (ORDER BY sales DESC NULLS LAST, mun) AS rank FROM (
+SELECT mun, sales, demand, price, CAST(row_number() OVER (ORDER BY sales DESC NULLS LAST, mun) AS INTEGER) AS rank FROM (
   SELECT * FROM (SELECT mun, avg(s) AS sales FROM (SELECT file, mun, sum(sales) AS s FROM sales GROUP BY 1, 2) a GROUP BY mun) s
   FULL OUTER JOIN (SELECT mun, avg(d) AS demand FROM (SELECT file, mun, sum(demand) AS d FROM dmd GROUP BY 1, 2) b
                    GROUP BY mun) d USING (mun)

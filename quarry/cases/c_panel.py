@@ -68,8 +68,8 @@ CHAIN["cut"] = ("SELECT *, greatest(least(quantile_cont(state_share, 0.5) OVER w
                 "(quantile_cont(state_share, 0.75) OVER w - quantile_cont(state_share, 0.25) OVER w), 0.9), 0.1) "
                 "AS cutoff FROM loc2 WINDOW w AS (PARTITION BY state)")
 CHAIN["flagged"] = "SELECT *, CAST(state_share >= cutoff AS INTEGER) AS flag FROM cut"
-CHAIN["ranked"] = ("SELECT *, CASE WHEN flag = 1 THEN row_number() OVER (PARTITION BY state, flag ORDER BY mun) "
-                   "ELSE 0 END AS aggregate FROM flagged")
+CHAIN["ranked"] = ("SELECT *, CAST(CASE WHEN flag = 1 THEN row_number() OVER (PARTITION BY state, flag ORDER BY mun) "
+                   "ELSE 0 END AS INTEGER) AS aggregate FROM flagged")
 CHAIN["v03"] = ("SELECT state, sum(CASE WHEN lat IS NOT NULL THEN lat * MUN_FUEL END) / "
                 "NULLIF(sum(CASE WHEN lat IS NOT NULL THEN MUN_FUEL END), 0) AS lat, "
                 "sum(CASE WHEN lon IS NOT NULL THEN lon * MUN_FUEL END) / "

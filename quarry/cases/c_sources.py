@@ -120,8 +120,9 @@ def _production(fx):
 
 
 @case("s05_scenario_folders",
-      with_views("SELECT file, T, plant, state, 1.0 AS available, 0.0 AS expansion, capacity, production, "
-                 "0.0 AS init_inventory, 0.0 AS inventory, 0.0 AS switch_cost, 0.0 AS layoff_cost, capex, costs, "
+      with_views("SELECT file, T, plant, state, 1.0::DOUBLE AS available, 0.0::DOUBLE AS expansion, capacity, "
+                 "production, 0.0::DOUBLE AS init_inventory, 0.0::DOUBLE AS inventory, 0.0::DOUBLE AS switch_cost, "
+                 "0.0::DOUBLE AS layoff_cost, capex, costs, "
                  "revenues, ebitda, depreciation, nopat, fcf_wo_nwc, production / NULLIF(capacity, 0) AS utilization "
                  "FROM plan", "plan"),
       rounding=r(4, "capex", "costs", "revenues", "ebitda", "depreciation", "nopat", "fcf_wo_nwc", "utilization"))

@@ -38,8 +38,8 @@ NPV_VIEWS = dict(dfs=dfs_sql("dfs", D1), npv_run=NPV_RUN_SQL)
 # ---------------------------------------------------------------- W03
 @case("w03_discount_factors",
       with_views("SELECT T, date, days, accum_days, pow(" + repr(1.0 + D1) + ", -accum_days) AS DF FROM ("
-                 "SELECT T, date, days, sum(days) OVER (ORDER BY T ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-                 " - 365 AS accum_days FROM periods) x", "periods"),
+                 "SELECT T, date, days, CAST(sum(days) OVER (ORDER BY T ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+                 " - 365 AS BIGINT) AS accum_days FROM periods) x", "periods"),
       rounding=r(12, "DF"))
 def w03(fx):
     return V.discount_table(fx.periods, WACC).select(

@@ -395,7 +395,7 @@ SELECT n.n_name AS state, s.s_name AS name,
        CAST((s.s_suppkey * 73) % 360 - 180 AS DOUBLE) AS lon
 FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey""",
     "plan": f"""
-SELECT file, T, plant, 1.0 AS state, qty AS production, CAST(lines * 30 AS DOUBLE) AS capacity,
+SELECT file, T, plant, CAST(1.0 AS DOUBLE) AS state, qty AS production, CAST(lines * 30 AS DOUBLE) AS capacity,
        qty * 100 AS capex, costs, revenues, revenues - costs AS ebitda, tax * 1000 AS depreciation,
        (revenues - costs - tax * 1000) * 0.65 AS nopat,
        (revenues - costs - tax * 1000) * 0.65 + tax * 1000 - qty * 100 AS fcf_wo_nwc

@@ -9,6 +9,8 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF_SMALL
 
+TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+            "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 QUERIES = entry.queries()
 SQL = entry.oracle_sql()
 
@@ -37,6 +39,9 @@ def test_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    stypes = {f.name: TYPE_MAP.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    dtypes = {d[0]: str(d[1]).upper() for d in cur.description}
+    assert stypes == dtypes
     assert len(srows) == len(drows)
     assert _rows(df.columns, srows) == _rows(dcols, drows)
 
