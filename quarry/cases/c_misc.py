@@ -101,14 +101,14 @@ def j10(fx):
 
 # ------------------------------------------------------------------ J13
 @case("j13_attach_parameters",
-      with_views("SELECT p.plant, p.T, p.production, k.fixed_ratio, k.variable_ratio FROM plan p JOIN (SELECT s_name AS plant, "
-                 "1.0 + s_acctbal / 10000.0 AS fixed_ratio, 0.5 + s_nationkey / 50.0 AS variable_ratio FROM supplier) k "
-                 "USING (plant) WHERE p.file = '3-MEDIUM'", "plan"), rounding=r(6, "fixed_ratio", "variable_ratio"))
+      with_views("SELECT p.file, p.plant, p.T, p.production, k.fixed_ratio, k.variable_ratio FROM plan p JOIN (SELECT "
+                 "s_name AS plant, 1.0 + s_acctbal / 10000.0 AS fixed_ratio, 0.5 + s_nationkey / 50.0 AS variable_ratio "
+                 "FROM supplier) k USING (plant)", "plan"), rounding=r(6, "fixed_ratio", "variable_ratio"))
 def j13(fx):
     s = fx.table("supplier").select(F.col("s_name").alias("plant"),
                                     (F.lit(1.0) + F.col("s_acctbal") / 10000.0).alias("fixed_ratio"),
                                     (F.lit(0.5) + F.col("s_nationkey") / 50.0).alias("variable_ratio"))
-    p = fx.plan.filter(F.col("file") == "3-MEDIUM").select("plant", "T", "production")
+    p = fx.plan.select("file", "plant", "T", "production")
     return p.join(broadcast_if_small(s), "plant")
 
 
