@@ -48,6 +48,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def tune_optimizer(spark: SparkSession) -> None:
     """Session settings the wide census projections need.
 
+    Also pins the session zone to UTC (epoch seconds of zone-less timestamps).
     Block tables carry ~20 aliased measure expressions; Catalyst's constraint
     propagation enumerates alias substitutions of every IS NOT NULL / range
     constraint and grows exponentially with them (a 100-row join took minutes
@@ -55,6 +56,8 @@ def tune_optimizer(spark: SparkSession) -> None:
     still pushed down to the scans.
     """
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    # calendar features use epoch seconds of zone-less timestamps: read them as UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def plan_size_bytes(df: DataFrame) -> int:
