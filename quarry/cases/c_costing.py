@@ -275,3 +275,22 @@ def v11(fx):
     site = CO.site_costs(site_table(fx), fx.periods, **SITE_PARAMS)
     m, _ = CO.market_margin(sales(fx), sourcing(fx))
     return CO.plant_waterfall(site, m)
+
+
+SQL_SPARSE = """
+SELECT d.T, d.market, s.name AS source, d.demand, d.price,
+       CASE WHEN l.source IS NULL THEN 2.0 * mx.m ELSE coalesce(l.freight, 30.0 + 10.0 * mx.m) END
+         * pow(1.06, d.T) AS cost
+FROM dem d CROSS JOIN sites s
+LEFT JOIN (SELECT * FROM freight WHERE kms <= 10000) l ON l.destination = d.market AND l.source = s.name,
+     (SELECT max(freight) AS m FROM freight WHERE kms <= 10000) mx
+UNION ALL
+SELECT T, market, 'Imports' AS source, demand, price, price * 0.9 AS cost FROM dem"""
+
+
+@case("v09_market_sourcing_sparse_lanes", csql(SQL_SPARSE, "dem"), rounding={"demand": 4, "price": 4, "cost": 6})
+def v09s(fx):
+    """Plants reach markets within 10,000 km only; markets without a lane price the plant at 2 x max."""
+    dem = CO.markets_by_period(fx.panel, fx.periods)
+    ln = freight(fx).filter(F.col("kms") <= 10000)
+    return CO.market_sourcing(dem, ln, sources=sites(fx))

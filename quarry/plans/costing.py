@@ -140,17 +140,23 @@ def site_costs(sites: DataFrame, periods: DataFrame, fixed_base: float, fixed_ra
 
 # ------------------------------------------------------------------ V09 / O02 / A14
 def market_sourcing(demand: DataFrame, lanes: DataFrame, inflation: float = 0.06,
-                    imports_discount: float = 0.1) -> DataFrame:
+                    imports_discount: float = 0.1, sources: DataFrame | None = None) -> DataFrame:
     """Per (T, market, source) demand, price and inflated lane cost, imports priced from the market.
 
     ``demand(T, market, demand, price)``; lanes keyed by (source, destination).
-    Missing lane cost -> 30 + 10 x max lane cost.
+    A lane with a missing cost -> 30 + 10 x max lane cost; with ``sources``
+    (one row per plant, bounded), a plant without any lane to the market ->
+    2 x max lane cost.
     """
     mx = lanes.agg(F.max("freight")).scalar()  # one value, computed once
-    ln = lanes.select("source", F.col("destination").alias("market"), "freight", mx.alias("_max"))
-    j = demand.join(ln, "market")
-    cost = F.coalesce(F.col("freight"), F.lit(30.0) + F.lit(10.0) * F.col("_max")) * \
-        F.pow(F.lit(1.0 + inflation), F.col("T"))
+    ln = lanes.select("source", F.col("destination").alias("market"), "freight", F.lit(True).alias("_lane"))
+    if sources is None:
+        j = demand.join(ln, "market")
+    else:
+        cand = attach_bounded(demand, sources.select(F.col("name").alias("source")), "_src")
+        j = cand.join(ln, ["market", "source"], "left")
+    cost = F.when(F.col("_lane").isNull(), F.lit(2.0) * mx).otherwise(
+        F.coalesce(F.col("freight"), F.lit(30.0) + F.lit(10.0) * mx)) * F.pow(F.lit(1.0 + inflation), F.col("T"))
     plants = j.select("T", "market", "source", "demand", "price", cost.alias("cost"))
     imports = demand.select("T", "market", F.lit("Imports").alias("source"), "demand", "price",
                             (F.col("price") * F.lit(1.0 - imports_discount)).alias("cost"))
