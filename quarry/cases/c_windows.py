@@ -259,3 +259,25 @@ def m08(fx):
     out, _ = FC.scenario_panels(fx.panel, 10, seed=3, grain="year")
     return out.select(F.col("scenario").cast("bigint").alias("scenario"), "period", "state", "mun", "litres",
                       "price", "T")
+
+
+# ------------------------------------------------------------------ W04 (window at a date index)
+IDX = 1000
+
+
+@case("w04_window_at_index",
+      with_views(f"""
+SELECT state, mun, count(*) FILTER (WHERE idx <= {IDX}) AS n_inputs,
+       avg(price) FILTER (WHERE idx <= {IDX}) AS in_mean_price,
+       max(CASE WHEN idx = {IDX + 1} THEN litres END) AS response_litres
+FROM (SELECT p.*, d.idx FROM panel p JOIN (SELECT date, dense_rank() OVER (ORDER BY date) - 1 AS idx
+      FROM (SELECT DISTINCT date FROM panel) x) d USING (date)) y
+WHERE idx BETWEEN {IDX - L + 1} AND {IDX + 1}
+GROUP BY state, mun""", "panel"), rounding=r(4, "in_mean_price", "response_litres"))
+def w04i(fx):
+    w = W.window_at(fx.panel, LOC, "date", ["price", "litres"], L, IDX)
+    prices = F.transform("inputs", lambda s: s["price"])
+    return w.select("state", "mun", F.size("inputs").cast("bigint").alias("n_inputs"),
+                    F.try_divide(F.aggregate(prices, F.lit(0.0), lambda a, v: a + v), F.size(prices))
+                    .alias("in_mean_price"),
+                    F.col("response")["litres"].alias("response_litres"))

@@ -135,3 +135,19 @@ def limit_growth(df: DataFrame, keys: Sequence[str], order: str, value: str, lag
     clipped = F.greatest(F.lit(-ub), F.least(F.lit(ub), chg))
     rebuilt = F.coalesce(base * (F.lit(1.0) + clipped), F.col(value))
     return df.select(*df.columns, rebuilt.alias(out or f"{value}_limited"))
+
+
+def window_at(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], length: int,
+              end_index: int) -> DataFrame:
+    """W04 (``test_data``): the window of ``length`` dates ending at date index ``end_index``
+    plus the response row that follows it, per entity.
+
+    Date indices come from W02 (dense over the distinct dates); only the
+    ``length + 1`` rows per entity inside the range are collected.
+    """
+    x = dense_index(df, order, "_idx").filter(F.col("_idx").between(end_index - length + 1, end_index + 1))
+    st = F.struct(F.col("_idx").alias("i"), F.col(order).alias("t"), *[F.col(v) for v in values])
+    g = x.groupBy(*keys).agg(F.sort_array(F.collect_list(st)).alias("_w"))
+    inputs = F.filter("_w", lambda s: s["i"] <= end_index)
+    response = F.filter("_w", lambda s: s["i"] == end_index + 1)
+    return g.select(*keys, inputs.alias("inputs"), F.try_element_at(response, F.lit(1)).alias("response"))
