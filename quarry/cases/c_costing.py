@@ -166,22 +166,30 @@ FROM (
          daily_capacity * {P['storage_ratio']!r} + {P['storage_base']!r} AS storage,
          daily_capacity * {P['safety_ratio']!r} + {P['safety_base']!r} AS safety_inventory
   FROM ({_site_rows}) s) b, (SELECT T, days FROM periods) p"""
+SQL["projects"] = ("SELECT name AS mun, 'INITIAL' AS type, (profile * 1e6) AS capex, 0.0 AS increment FROM sites "
+                   "UNION ALL SELECT name, 'STRATEGIC', profile * 5e5, 1.0 + profile / 10.0 FROM sites")
 SQL["waterfall"] = """
-SELECT T, plant, capacity, production, revenues, freight, capex, costs, depreciation, ebitda,
+SELECT T, plant, capacity, production, revenues, freight, capex, costs, depreciation, expansion_capacity, ebitda,
        (ebitda - depreciation) * 0.65 AS nopat, (ebitda - depreciation) * 0.65 + depreciation - capex AS fcf_wo_nwc,
        production / NULLIF(capacity, 0) AS utilization
 FROM (
   SELECT *, revenues - costs - freight AS ebitda FROM (
     SELECT sc.T, sc.mun AS plant, sc.capacity, coalesce(r.production, 0.0) AS production,
-           coalesce(r.revenues, 0.0) AS revenues, coalesce(r.freight, 0.0) AS freight, 0.0 AS capex,
-           0.0 * 0.0 + sc.fixed * 0.0 * 0.25 + sc.fixed * 1.0 + sc.variable * coalesce(r.production, 0.0) AS costs,
-           (0.0 * 0.0 + 0.0 * 0.0) / 20.0 AS depreciation
-    FROM site_cost sc LEFT JOIN (SELECT T, source AS plant, sum(sales) AS production, sum(revenue) AS revenues,
-                                        sum(freight) AS freight FROM margin GROUP BY T, source) r
-      ON r.T = sc.T AND r.plant = sc.mun) a) b"""
+           coalesce(r.revenues, 0.0) AS revenues, coalesce(r.freight, 0.0) AS freight,
+           coalesce(pc.ci, 0.0) * 0 + coalesce(pc.cs, 0.0) * 0 AS capex,
+           sc.safety_inventory * 0 + sc.fixed * 0 * 0.25 + sc.fixed * 1 + sc.variable * coalesce(r.production, 0.0) AS costs,
+           (1 * coalesce(pc.ci, 0.0) + 0 * coalesce(pc.cs, 0.0)) / 20.0 AS depreciation,
+           sc.capacity * greatest(0.0, coalesce(pc.inc, 0.0) - 1) AS expansion_capacity
+    FROM site_cost sc
+    LEFT JOIN (SELECT T, source AS plant, sum(sales) AS production, sum(revenue) AS revenues,
+                      sum(freight) AS freight FROM margin GROUP BY T, source) r ON r.T = sc.T AND r.plant = sc.mun
+    LEFT JOIN (SELECT mun AS plant, coalesce(sum(CASE WHEN type = 'INITIAL' THEN capex END), 0.0) AS ci,
+                      coalesce(sum(CASE WHEN type = 'STRATEGIC' THEN capex END), 0.0) AS cs,
+                      coalesce(max(CASE WHEN type = 'STRATEGIC' THEN increment END), 0.0) AS inc
+               FROM projects GROUP BY mun) pc ON pc.plant = sc.mun) a) b"""
 
 ORDER = ["sites", "lanes", "pr", "sr", "ords", "freight", "dem", "sourcing", "best", "sales", "margin", "site_cost",
-         "waterfall"]
+         "projects", "waterfall"]
 
 
 def csql(select: str, upto: str) -> str:
@@ -268,13 +276,24 @@ def v10u(fx):
     return CO.market_margin(sales(fx), sourcing(fx))[1]
 
 
+def projects(fx):
+    """INITIAL and STRATEGIC projects per site (capex from the site profile)."""
+    s = sites(fx)
+    ini = s.select(F.col("name").alias("mun"), F.lit("INITIAL").alias("type"), (F.col("profile") * 1e6).alias("capex"),
+                   F.lit(0.0).alias("increment"))
+    strat = s.select(F.col("name").alias("mun"), F.lit("STRATEGIC").alias("type"),
+                     (F.col("profile") * 5e5).alias("capex"), (F.lit(1.0) + F.col("profile") / 10.0).alias("increment"))
+    return ini.unionByName(strat)
+
+
 @case("v11_plant_waterfall", csql("SELECT * FROM waterfall", "waterfall"),
       rounding={"capacity": 2, "production": 3, "revenues": 2, "freight": 2, "capex": 2, "costs": 2,
-                "depreciation": 2, "ebitda": 2, "nopat": 2, "fcf_wo_nwc": 2, "utilization": 9})
+                "depreciation": 2, "expansion_capacity": 2, "ebitda": 2, "nopat": 2, "fcf_wo_nwc": 2,
+                "utilization": 9})
 def v11(fx):
     site = CO.site_costs(site_table(fx), fx.periods, **SITE_PARAMS)
     m, _ = CO.market_margin(sales(fx), sourcing(fx))
-    return CO.plant_waterfall(site, m)
+    return CO.plant_waterfall(site, m, projects=projects(fx))
 
 
 SQL_SPARSE = """
@@ -294,3 +313,55 @@ def v09s(fx):
     dem = CO.markets_by_period(fx.panel, fx.periods)
     ln = freight(fx).filter(F.col("kms") <= 10000)
     return CO.market_sourcing(dem, ln, sources=sites(fx))
+
+
+def decisions(fx):
+    """Plant decisions per (T, plant), folded over all runs of the plan fixture."""
+    from quarry.cases.c_plan import plan_state
+    ps = plan_state(fx)
+    return ps.groupBy("T", "plant").agg(
+        F.min("s1").alias("STATE"), F.max("SWITCH").alias("SWITCH"), F.max("LAYOFF").alias("LAYOFF"),
+        F.min("a0").alias("a0"), F.max("c0").alias("c0"), F.max("INITIAL_CAPEX").alias("INITIAL_CAPEX"),
+        F.max("STRATEGIC_CAPEX").alias("STRATEGIC_CAPEX"))
+
+
+def _waterfall_dec_sql():
+    from quarry.cases.c_plan import PS_SQL
+    dec = ("SELECT T, plant, min(s1) AS STATE, max(SWITCH) AS SWITCH, max(LAYOFF) AS LAYOFF, min(a0) AS a0, "
+           "max(c0) AS c0, max(INITIAL_CAPEX) AS INITIAL_CAPEX, max(STRATEGIC_CAPEX) AS STRATEGIC_CAPEX FROM ps "
+           "GROUP BY T, plant")
+    body = """
+SELECT T, plant, capacity, production, revenues, freight, capex, costs, depreciation, expansion_capacity, ebitda,
+       (ebitda - depreciation) * 0.65 AS nopat, (ebitda - depreciation) * 0.65 + depreciation - capex AS fcf_wo_nwc,
+       production / NULLIF(capacity, 0) AS utilization
+FROM (
+  SELECT *, revenues - costs - freight AS ebitda FROM (
+    SELECT sc.T, sc.mun AS plant, sc.capacity, coalesce(r.production, 0.0) AS production,
+           coalesce(r.revenues, 0.0) AS revenues, coalesce(r.freight, 0.0) AS freight,
+           coalesce(pc.ci, 0.0) * coalesce(d.INITIAL_CAPEX, 0) + coalesce(pc.cs, 0.0) * coalesce(d.STRATEGIC_CAPEX, 0)
+             AS capex,
+           sc.safety_inventory * coalesce(d.SWITCH, 0) + sc.fixed * coalesce(d.LAYOFF, 0) * 0.25
+             + sc.fixed * coalesce(d.STATE, 1) + sc.variable * coalesce(r.production, 0.0) AS costs,
+           (coalesce(d.a0, 1) * coalesce(pc.ci, 0.0) + coalesce(d.c0, 0) * coalesce(pc.cs, 0.0)) / 20.0 AS depreciation,
+           sc.capacity * greatest(0.0, coalesce(pc.inc, 0.0) - 1) AS expansion_capacity
+    FROM site_cost sc
+    LEFT JOIN (SELECT T, source AS plant, sum(sales) AS production, sum(revenue) AS revenues,
+                      sum(freight) AS freight FROM margin GROUP BY T, source) r ON r.T = sc.T AND r.plant = sc.mun
+    LEFT JOIN dec d ON d.T = sc.T AND d.plant = sc.mun
+    LEFT JOIN (SELECT mun AS plant, coalesce(sum(CASE WHEN type = 'INITIAL' THEN capex END), 0.0) AS ci,
+                      coalesce(sum(CASE WHEN type = 'STRATEGIC' THEN capex END), 0.0) AS cs,
+                      coalesce(max(CASE WHEN type = 'STRATEGIC' THEN increment END), 0.0) AS inc
+               FROM projects GROUP BY mun) pc ON pc.plant = sc.mun) a) b"""
+    extra = {k: SQL[k] for k in ORDER[: ORDER.index("projects") + 1]}
+    extra.update(ps=PS_SQL, dec=dec)
+    return with_views(body, "coords", "periods", "panel", "plan", extra=extra)
+
+
+@case("v11_plant_waterfall_decisions", _waterfall_dec_sql(),
+      rounding={"capacity": 2, "production": 3, "revenues": 2, "freight": 2, "capex": 2, "costs": 2,
+                "depreciation": 2, "expansion_capacity": 2, "ebitda": 2, "nopat": 2, "fcf_wo_nwc": 2,
+                "utilization": 9})
+def v11d(fx):
+    site = CO.site_costs(site_table(fx), fx.periods, **SITE_PARAMS)
+    m, _ = CO.market_margin(sales(fx), sourcing(fx))
+    return CO.plant_waterfall(site, m, decisions=decisions(fx), projects=projects(fx))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import capacity_policy, haversine, safe_div
+from quarry.session import broadcast_if_small
 
 # Trip size (L), fuel and gasoline densities (kg/L) of the freight rate.
 PIPE_LITRES = 20000.0
@@ -193,41 +194,64 @@ def market_margin(sales: DataFrame, sourcing: DataFrame) -> tuple[DataFrame, Dat
 
 
 # ------------------------------------------------------------------ V11
-def plant_waterfall(site_cost: DataFrame, margins: DataFrame, plan: DataFrame | None = None,
-                    switch_cost: float = 0.0, min_months: float = 3.0, capex_years: float = 20.0,
+def project_costs(projects: DataFrame) -> DataFrame:
+    """Per plant: INITIAL and STRATEGIC capex and the expansion increment (one conditional aggregation)."""
+    t = F.col("type")
+    return projects.groupBy(F.col("mun").alias("plant")).agg(
+        F.coalesce(F.sum(F.when(t == "INITIAL", F.col("capex"))), F.lit(0.0)).alias("capex_initial"),
+        F.coalesce(F.sum(F.when(t == "STRATEGIC", F.col("capex"))), F.lit(0.0)).alias("capex_strategic"),
+        F.coalesce(F.max(F.when(t == "STRATEGIC", F.col("increment"))), F.lit(0.0)).alias("increment"))
+
+
+DEFAULT_DECISIONS = {"STATE": 1, "SWITCH": 0, "LAYOFF": 0, "a0": 1, "c0": 0, "INITIAL_CAPEX": 0,
+                     "STRATEGIC_CAPEX": 0}
+
+
+def plant_waterfall(site_cost: DataFrame, margins: DataFrame, decisions: DataFrame | None = None,
+                    projects: DataFrame | None = None, min_months: float = 3.0, capex_years: float = 20.0,
                     annual: bool = True) -> DataFrame:
     """Plant result table per (T, plant).
 
-    costs = switch x SWITCH + FIXED x LAYOFF x months + FIXED x STATE + VARIABLE x L;
-    ebitda = revenue - costs - freight; dep = (available x capex_initial +
-    expanded x capex_strategic) / years; nopat = 0.65 (ebitda - dep);
-    fcf = nopat + dep - capex; utilisation = production / capacity.
-    ``plan(T, plant, STATE, SWITCH, LAYOFF, available, expanded, capex_initial,
-    capex_strategic, capex)`` gives the decisions (defaults: running, no investment).
+    costs = switch cost (the site's safety inventory) x SWITCH + FIXED x LAYOFF x months (/12 if annual)
+            + FIXED x STATE + VARIABLE x production;
+    ebitda = revenue - costs - freight; capex = initial capex x INITIAL_CAPEX + strategic capex x STRATEGIC_CAPEX;
+    dep = (a0 x initial capex + c0 x strategic capex) / years (/12 if monthly), a0 / c0 = opening
+    availability / expansion; nopat = 0.65 (ebitda - dep); fcf = nopat + dep - capex;
+    utilisation = production / capacity; expansion capacity = capacity x max(0, increment - 1).
+    ``decisions(T, plant, STATE, SWITCH, LAYOFF, a0, c0, INITIAL_CAPEX, STRATEGIC_CAPEX)`` default to a
+    running plant with no investment; ``projects(mun, type, capex, increment)``.
     """
     roll = margins.groupBy("T", F.col("source").alias("plant")).agg(
         F.sum("sales").alias("production"), F.sum("revenue").alias("revenues"), F.sum("freight").alias("freight"))
-    sc = site_cost.select("T", F.col("mun").alias("plant"), "fixed", "variable", "capacity")
+    sc = site_cost.select("T", F.col("mun").alias("plant"), "fixed", "variable", "capacity",
+                          F.col("safety_inventory").alias("switch_unit"))
     j = sc.join(roll, ["T", "plant"], "left").na.fill(0.0, subset=["production", "revenues", "freight"])
-    if plan is not None:
-        j = j.join(plan, ["T", "plant"], "left")
+    if decisions is not None:
+        j = j.join(decisions, ["T", "plant"], "left")
+        j = j.na.fill({k: v for k, v in DEFAULT_DECISIONS.items()})
+    else:
+        j = j.select("*", *[F.lit(v).alias(k) for k, v in DEFAULT_DECISIONS.items()])
+    if projects is not None:
+        j = j.join(broadcast_if_small(project_costs(projects)), "plant", "left") \
+            .na.fill(0.0, subset=["capex_initial", "capex_strategic", "increment"])
     else:
-        j = j.select("*", F.lit(1.0).alias("STATE"), F.lit(0.0).alias("SWITCH"), F.lit(0.0).alias("LAYOFF"),
-                     F.lit(0.0).alias("available"), F.lit(0.0).alias("expanded"),
-                     F.lit(0.0).alias("capex_initial"), F.lit(0.0).alias("capex_strategic"),
-                     F.lit(0.0).alias("capex"))
+        j = j.select("*", F.lit(0.0).alias("capex_initial"), F.lit(0.0).alias("capex_strategic"),
+                     F.lit(0.0).alias("increment"))
+    col = F.col
     months = min_months / 12.0 if annual else min_months
-    costs = (F.lit(switch_cost) * F.col("SWITCH") + F.col("fixed") * F.col("LAYOFF") * F.lit(months)
-             + F.col("fixed") * F.col("STATE") + F.col("variable") * F.col("production"))
-    dep = (F.col("available") * F.col("capex_initial") + F.col("expanded") * F.col("capex_strategic")) / \
+    costs = (col("switch_unit") * col("SWITCH") + col("fixed") * col("LAYOFF") * F.lit(months)
+             + col("fixed") * col("STATE") + col("variable") * col("production"))
+    capex = col("capex_initial") * col("INITIAL_CAPEX") + col("capex_strategic") * col("STRATEGIC_CAPEX")
+    dep = (col("a0") * col("capex_initial") + col("c0") * col("capex_strategic")) / \
         F.lit(capex_years if annual else capex_years * 12)
-    x = j.select("T", "plant", "capacity", "production", "revenues", "freight", "capex",
-                 costs.alias("costs"), dep.alias("depreciation"))
-    x = x.withColumn("ebitda", F.col("revenues") - F.col("costs") - F.col("freight"))
-    nopat = (F.col("ebitda") - F.col("depreciation")) * F.lit(1 - TAX)
+    x = j.select("T", "plant", "capacity", "production", "revenues", "freight", capex.alias("capex"),
+                 costs.alias("costs"), dep.alias("depreciation"),
+                 (col("capacity") * F.greatest(F.lit(0.0), col("increment") - 1)).alias("expansion_capacity"))
+    x = x.withColumn("ebitda", col("revenues") - col("costs") - col("freight"))
+    nopat = (col("ebitda") - col("depreciation")) * F.lit(1 - TAX)
     return x.select("*", nopat.alias("nopat")).select(
-        "*", (F.col("nopat") + F.col("depreciation") - F.col("capex")).alias("fcf_wo_nwc"),
-        safe_div(F.col("production"), F.col("capacity")).alias("utilization"))
+        "*", (col("nopat") + col("depreciation") - col("capex")).alias("fcf_wo_nwc"),
+        safe_div(col("production"), col("capacity")).alias("utilization"))
 
 
 def location_ordinals(locations: DataFrame, sites: DataFrame) -> DataFrame:
