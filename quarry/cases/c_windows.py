@@ -281,3 +281,41 @@ def w04i(fx):
                     F.try_divide(F.aggregate(prices, F.lit(0.0), lambda a, v: a + v), F.size(prices))
                     .alias("in_mean_price"),
                     F.col("response")["litres"].alias("response_litres"))
+
+
+# ------------------------------------------------------------------ M04 / M05 with the drift step as predictor
+DW = 8
+
+
+def _drift_sql(v: str) -> str:
+    last, first = f"lag({v}, 1) OVER w", f"lag({v}, {DW}) OVER w"
+    ratio = f"({last} / NULLIF({first}, 0))"
+    return f"{last} * CASE WHEN {ratio} > 0 THEN pow({ratio}, {1.0 / (DW - 1)!r}) ELSE 1.0 END"
+
+
+M04D_VIEWS = dict(M04_VIEWS)
+M04D_VIEWS["pred"] = (f"SELECT state, mun, date, {_drift_sql('price')} AS ph, {_drift_sql('litres')} AS qh FROM panel "
+                      "WINDOW w AS (PARTITION BY state, mun ORDER BY date)")
+M04D_VIEWS = {k: M04D_VIEWS[k] for k in ("lab", "obs", "pred", "hist", "j", "per_loc", "wts", "agg")}
+
+
+def _backtest_drift(fx):
+    obs, _, hist = _backtest(fx)
+    pred = FC.one_step_drift(fx.panel, LOC, "date", ["price", "litres"], DW)
+    return obs, pred, hist
+
+
+@case("m04_revenue_mape_drift", with_views(M04_SQL, "panel", extra=M04D_VIEWS), rounding=r(6, "loss"))
+def m04d(fx):
+    obs, pred, hist = _backtest_drift(fx)
+    return FC.revenue_mape(obs, pred, hist, LOC)
+
+
+@case("m05_backtest_series_drift",
+      with_views("SELECT date, Q AS litres, P AS price, Qh AS litres_pred, Ph AS price_pred FROM agg", "panel",
+                 extra=M04D_VIEWS), rounding=r(3, "litres", "price", "litres_pred", "price_pred"))
+def m05d(fx):
+    obs, pred, _ = _backtest_drift(fx)
+    o = FC.totals_by_step(obs)
+    p = FC.totals_by_step(obs.select("state", "mun", "date").join(pred, ["state", "mun", "date"]))
+    return o.join(p.select("date", F.col("litres").alias("litres_pred"), F.col("price").alias("price_pred")), "date")

@@ -142,3 +142,18 @@ def scenario_panels(panel: DataFrame, n_scenarios: int, seed: int = 0, grain: st
     periods = periods.select("period", "days", (F.dense_rank().over(Window.orderBy("period")) - 1)
                              .cast("int").alias("T"))
     return out.join(F.broadcast(periods.select("period", "T")), "period"), periods
+
+
+def one_step_drift(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], width: int) -> DataFrame:
+    """M05 predictor: the M06 drift step applied one step ahead from the observed history.
+
+    pred_t = x_{t-1} * (x_{t-1} / x_{t-width})^(1/(width-1)), x_{t-1} when the ratio is not positive;
+    window functions only (partitioned by entity, bounded by ``width`` rows).
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    cols = []
+    for v in values:
+        last, first = F.lag(v, 1).over(w), F.lag(v, width).over(w)
+        ratio = F.try_divide(last, first)
+        cols.append((last * F.when(ratio > 0, F.pow(ratio, F.lit(1.0 / (width - 1)))).otherwise(F.lit(1.0))).alias(v))
+    return df.select(*keys, order, *cols)
