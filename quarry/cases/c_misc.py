@@ -236,3 +236,42 @@ def u07(fx):
       rounding=r(9, "r2"))
 def m03(fx):
     return consumption(fx)[1].select("state", "r2", "n")
+
+
+# ------------------------------------------------------------------ U03 (pivot API with explicit values)
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")  # the segment dimension
+
+
+@case("u03_pivot_segments",
+      with_views("SELECT state, " + ", ".join(f"coalesce(max(CASE WHEN mun = '{s}' THEN pop END), 0.0) AS {s}"
+                                              for s in SEGMENTS) + " FROM population GROUP BY state", "population"))
+def u03p(fx):
+    # explicit values: the segment list comes from a small distinct query on the customer dimension
+    segs = sorted(r[0] for r in fx.table("customer").select("c_mktsegment").distinct().collect())
+    return RS.long_to_wide(fx.population, ["state"], "mun", "pop", segs, fill=0.0)
+
+
+# ------------------------------------------------------------------ A16 (objective histogram)
+@case("a16_objective_bins",
+      with_views("""
+SELECT bin, lo + (hi - lo) * bin / 4 AS bin_lo, count(*) AS n FROM (
+  SELECT CAST(least(floor(coalesce((objective - lo) / NULLIF(hi - lo, 0), 0.0) * 4), 3) AS INTEGER) AS bin, lo, hi
+  FROM (SELECT file, sum(fcf_wo_nwc / pow(1.1, T)) AS objective FROM plan GROUP BY file) o,
+       (SELECT min(objective) AS lo, max(objective) AS hi FROM
+          (SELECT file, sum(fcf_wo_nwc / pow(1.1, T)) AS objective FROM plan GROUP BY file) x) g) b
+GROUP BY bin, lo, hi""", "plan"), rounding=r(0, "bin_lo"))
+def a16o(fx):
+    from quarry.operators.aggs import histogram
+    return histogram(V.plan_objective(fx.plan, 0.10), "objective", 4)
+
+
+# ------------------------------------------------------------------ M01 without regression
+@case("m01_per_head_fuel_no_fill",
+      with_views("SELECT p.state, p.mun, p.pop, s.BBL / NULLIF(s.pop, 0) * p.pop AS MUN_FUEL FROM population p "
+                 "LEFT JOIN (SELECT d.state, d.volume * 1000.0 AS BBL, q.pop FROM demand d JOIN (SELECT state, "
+                 "sum(pop) AS pop FROM population WHERE state IS NOT NULL GROUP BY state) q USING (state) "
+                 "WHERE d.year = 1998) s USING (state)", "population", "demand"), rounding=r(0, "MUN_FUEL"))
+def m01n(fx):
+    from quarry.plans import panel as PN
+    sd = PN.state_rollup(fx.population, fx.demand, 1998)
+    return PN.per_head_fuel(fx.population, sd).select("state", "mun", "pop", "MUN_FUEL")
