@@ -126,3 +126,19 @@ def test_no_python_udf_and_no_cartesian(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["v17_monte_carlo", "w01_location_rank", "m08_scenario_panels", "r01_reconcile"])
+def test_same_result_for_any_partitioning(spark, name):
+    import __spark_entry__ as entry
+    from tests.conftest import SF_SMALL
+    q = entry.queries()[name]
+    out = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 4, 32):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            out.append(sorted(tuple(r) for r in q(spark, SF_SMALL).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert out[0] == out[1] == out[2]
