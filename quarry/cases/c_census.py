@@ -158,3 +158,36 @@ def u03(fx):
     v = CE.economic_normaliser(fx.economic_census, fx.activity_catalogue, ECO_MEASURES)
     roll = CE.activity_rollup(v, ECO_MEASURES)
     return CE.activity_wide(roll, WIDE_MEASURES, LABELS)
+
+
+@case("v05_with_economy",
+      csql("SELECT v.*, " + ", ".join(f'coalesce(w."{c}", 0.0) AS "{c}"' for c in
+                                      [f"{m} - {lab}" for m in WIDE_MEASURES for lab in LABELS] + list(WIDE_MEASURES))
+           + " FROM v05 v LEFT JOIN (" + _wide_sql(WIDE_MEASURES) + ") w USING (state_key, mun_key)", "a04"),
+      rounding=r(9, *RATIOS) | r(4, *[f"{m} - {lab}" for m in WIDE_MEASURES for lab in LABELS], *WIDE_MEASURES))
+def v05e(fx):
+    v = CE.economic_normaliser(fx.economic_census, fx.activity_catalogue, ECO_MEASURES)
+    wide = CE.activity_wide(CE.activity_rollup(v, ECO_MEASURES), WIDE_MEASURES, LABELS)
+    return CE.municipal_indicators(blocks(fx), fx.census_coords, economy=wide)
+
+
+LOC_SQL = ("SELECT CASE WHEN c_custkey % 31 = 0 THEN 'N/D' ELSE CAST(c_nationkey + 1 AS VARCHAR) END AS ENTIDAD, "
+           "CASE WHEN c_custkey % 37 = 0 THEN ' *' ELSE lpad(CAST(c_custkey % 4 + 1 AS VARCHAR), 3, '0') END AS MUN, "
+           "CAST(c_custkey % 5 + 1 AS VARCHAR) AS LOC, c_name AS NOM_LOC, 'Activa' AS ESTATUS FROM customer")
+
+
+@case("p06_parse_locality_keys",
+      with_views("SELECT TRY_CAST(trim(ENTIDAD) AS INTEGER) AS state_key, TRY_CAST(trim(MUN) AS INTEGER) AS mun_key, "
+                 "TRY_CAST(trim(LOC) AS INTEGER) AS loc_key, NOM_LOC AS loc FROM loc WHERE "
+                 "TRY_CAST(trim(ENTIDAD) AS INTEGER) IS NOT NULL AND TRY_CAST(trim(MUN) AS INTEGER) IS NOT NULL AND "
+                 "TRY_CAST(trim(LOC) AS INTEGER) IS NOT NULL", extra=dict(loc=LOC_SQL)))
+def p06l(fx):
+    """Localities table with non-numeric keys on purpose: parse three keys, drop failures, rename, drop status."""
+    c = fx.table("customer")
+    k = F.col("c_custkey")
+    loc = c.select(
+        F.when(k % 31 == 0, F.lit("N/D")).otherwise((F.col("c_nationkey") + 1).cast("string")).alias("ENTIDAD"),
+        F.when(k % 37 == 0, F.lit(" *")).otherwise(F.lpad((k % 4 + 1).cast("string"), 3, "0")).alias("MUN"),
+        (k % 5 + 1).cast("string").alias("LOC"), F.col("c_name").alias("NOM_LOC"), F.lit("Activa").alias("ESTATUS"))
+    parsed = C.parse_int_keys(loc, ["ENTIDAD", "MUN", "LOC"]).drop("ESTATUS")
+    return C.rename(parsed, {"ENTIDAD": "state_key", "MUN": "mun_key", "LOC": "loc_key", "NOM_LOC": "loc"})

@@ -38,14 +38,22 @@ def municipal_rollup(blocks: DataFrame) -> DataFrame:
     return d.groupBy(*MUN_KEYS).agg(*[F.sum(m).alias(m) for m in ROLLUP_SUMS], F.count("MZA").alias("MZA"))
 
 
-def municipal_indicators(blocks: DataFrame, coords: DataFrame) -> DataFrame:
-    """Municipal roll-up + mean coordinates (J03 left join, missing -> 0) + P10 + P09."""
+def municipal_indicators(blocks: DataFrame, coords: DataFrame, economy: DataFrame | None = None) -> DataFrame:
+    """Municipal roll-up + mean coordinates (J03 left join, missing -> 0) + P10 + P09.
+
+    With ``economy`` (the wide activity table of ``activity_wide``, keyed by
+    state_key / mun_key) its columns are joined on and missing cells become 0.
+    """
     m = municipal_rollup(blocks)
     cc = mean_coords(C.normalise_keys(coords, ["state_key", "mun_key"]), ["state_key", "mun_key"])
     j = m.join(broadcast_if_small(cc), ["state_key", "mun_key"], "left").na.fill(0.0, subset=["lat", "lon"])
     j = j.select(*j.columns, guarded_ratio("GRAPROESxPOBESC", "POBESC").alias("GRAPROES"),
                  guarded_ratio("PROM_OCUPxVIVPARH_CV", "VIVPARH_CV").alias("PROM_OCUP"))
-    return C.socio_indicators(j)
+    out = C.socio_indicators(j)
+    if economy is not None:
+        eco_cols = [c for c in economy.columns if c not in ("state_key", "mun_key")]
+        out = out.join(broadcast_if_small(economy), ["state_key", "mun_key"], "left").na.fill(0.0, subset=eco_cols)
+    return out
 
 
 def economic_normaliser(eco: DataFrame, catalogue: DataFrame, measures: Sequence[str]) -> DataFrame:
