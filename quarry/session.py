@@ -14,13 +14,34 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def scale_settings(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Shuffle sizing for a cluster run over ``input_bytes`` of input.
+
+    The initial shuffle partition count gives ~``partition_bytes`` per task
+    for a shuffle as large as the input (AQE then coalesces small ones and
+    splits skewed ones), so no task has to hold more than it can spill.
+    """
+    n = max(200, int(input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(min(partition_bytes, 512 * 1024 * 1024)),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "quarry") -> SparkSession:
+              app_name: str = "quarry", input_bytes: int | None = None) -> SparkSession:
     """Session with the settings every operator assumes.
 
     * UTC session zone (calendar features and date casts are zone-free).
     * AQE with partition coalescing and skew-join splitting, so a hot key
       (one plant or state holding a third of the rows) is split at runtime.
+    * ``input_bytes`` (cluster runs): shuffle partitions sized from the input
+      (``scale_settings``), e.g. 100 TB -> ~400k initial partitions of 256 MB.
     * ANSI mode stays on: operators use ``try_divide`` / ``try_cast`` where the
       reference relied on inf / NaN.
     """
@@ -34,6 +55,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.constraintPropagation.enabled", "false"))
+    if input_bytes:
+        for k, v in scale_settings(input_bytes).items():
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master and master.startswith("local"):
