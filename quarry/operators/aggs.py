@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import c, safe_div
+from quarry.session import broadcast_if_small
 
 
 def group_sum(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
@@ -134,18 +135,20 @@ def lane_summary(lanes: DataFrame, keys: Sequence[str], cost: str = "cost") -> D
 
 def histogram(df: DataFrame, value: str, bins: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins between the (per group) min and max, with counts."""
-    keys = list(by) or ["_all"]
-    src = df if by else df.withColumn("_all", F.lit(0))
-    # range per group: a partial/final aggregate (one row per group), broadcast back
-    rng = src.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    j = src.join(F.broadcast(rng) if not by else rng, keys)
+    if by:
+        # range per group: a partial/final aggregate (one row per group), joined back
+        rng = df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        j = df.join(broadcast_if_small(rng), list(by))
+    else:
+        # one global range: a scalar subquery (no single-partition window, no constant-key join)
+        r = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
+        j = df.select("*", r["lo"].alias("lo"), r["hi"].alias("hi"))
     pos = F.floor(F.coalesce(F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")),
                              F.lit(0.0)) * bins)
     b = F.least(pos, F.lit(bins - 1)).cast("int")
-    out = (j.groupBy(*keys, b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-           .select(*by, "bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("bin_lo"),
-                   "n"))
-    return out
+    return (j.groupBy(*by, b.alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+            .select(*by, "bin", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / bins).alias("bin_lo"),
+                    "n"))
 
 
 def attach_group_stat(df: DataFrame, keys: Sequence[str], stats: Sequence, names: Sequence[str]) -> DataFrame:
@@ -155,7 +158,6 @@ def attach_group_stat(df: DataFrame, keys: Sequence[str], stats: Sequence, names
     partial row per task), and the grouped table is joined back by broadcast
     when its estimate is small, so no window drags a skewed group into one task.
     """
-    from quarry.session import broadcast_if_small
     g = df.groupBy(*keys).agg(*[s.alias(n) for s, n in zip(stats, names)])
     return df.join(broadcast_if_small(g), list(keys), "left")
 
