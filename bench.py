@@ -50,7 +50,11 @@ def main() -> None:
         t0 = time.perf_counter()
         c.run(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.perf_counter() - t0, 3)
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    sf_txt = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf = float(sf_txt)
+    except ValueError:
+        sf = sf_txt
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": int(cpus),
                       "shuffle_partitions": int(spark.conf.get("spark.sql.shuffle.partitions")),

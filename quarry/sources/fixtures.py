@@ -241,7 +241,7 @@ class Fixtures:
     # ------------------------------------------------------------ census-like blocks
     @cached_property
     def census_blocks(self) -> DataFrame:
-        """Census block table shaped like the INEGI files, one block per customer.
+        """Census block table shaped like national census block files, one block per customer.
 
         Codes: ENTIDAD = nation + 1, MUN / LOC / AGEB / MZA from the customer key
         (MZA 0 and AGEB '0000' mark total rows); measures are text derived from
