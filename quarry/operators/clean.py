@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import c, guarded_ratio, safe_div
+from quarry.session import broadcast_if_small
 
 # Sentinel texts used for suppressed / unavailable census cells.
 SENTINELS = ("*", "N/D", "N/A")
@@ -173,7 +174,7 @@ def class_levels(df: DataFrame, code: str, catalogue: DataFrame, levels=CLASS_LE
     out = df
     for name, n in levels:
         cat = catalogue.select(F.col("code").alias(f"_k{n}"), F.col("title").alias(name))
-        out = out.withColumn(f"_k{n}", F.substring(code, 1, n)).join(F.broadcast(cat), f"_k{n}", "left") \
+        out = out.withColumn(f"_k{n}", F.substring(code, 1, n)).join(broadcast_if_small(cat), f"_k{n}", "left") \
             .drop(f"_k{n}")
     return out
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import safe_div, sigmoid
+from quarry.session import broadcast_if_small
 
 
 # ------------------------------------------------------------------ W02
@@ -22,11 +23,12 @@ def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     """Dense index of the distinct values of ``col`` from 0, joined back.
 
     The ordering window runs on the distinct values only (one row per date or
-    period), which is then broadcast to the fact rows.
+    period), which is then broadcast to the fact rows when its estimate is small
+    (a calendar is; a column of raw timestamps may not be).
     """
     d = df.select(col).distinct()
     d = d.select(col, (F.dense_rank().over(Window.orderBy(col)) - 1).cast("int").alias(out))
-    return df.join(F.broadcast(d), col)
+    return df.join(broadcast_if_small(d), col)
 
 
 # ------------------------------------------------------------------ W04 / W06 / W13
@@ -99,7 +101,7 @@ def chronological_split(df: DataFrame, order: str, test_size: float = 0.2, mode:
         lab = F.when(F.col("_i") < F.col("_n") - 2 * t, F.lit("train")) \
             .when(F.col("_i") < F.col("_n") - t, F.lit("validation")).otherwise(F.lit("test"))
         d = d.select(order, lab.alias(out))
-    return df.join(F.broadcast(d), order)
+    return df.join(broadcast_if_small(d), order)
 
 
 def target_pairs(df: DataFrame, keys: Sequence[str], order: str, value: str, horizon: int) -> DataFrame:
