@@ -157,3 +157,56 @@ def one_step_drift(df: DataFrame, keys: Sequence[str], order: str, values: Seque
         ratio = F.try_divide(last, first)
         cols.append((last * F.when(ratio > 0, F.pow(ratio, F.lit(1.0 / (width - 1)))).otherwise(F.lit(1.0))).alias(v))
     return df.select(*keys, order, *cols)
+
+
+def forecast_calendar(panel: DataFrame, keys: Sequence[str], width: int, horizon: int,
+                      target=None, saturate: bool = False, annual_cap: float = 0.09,
+                      date: str = "date", price: str = "price",
+                      litres: str = "litres") -> DataFrame:
+    """M06 with the national normalisation inside the recursion (M07) and calendar windows.
+
+    Day d is predicted for every location from its rows in [d - width, d - 1]
+    (drift between the first and last observed day of that window), then -
+    when ``target`` is given - the day's volumes are rescaled so their total
+    over locations equals ``target(d)`` *before* day d enters the next
+    windows, as in the original loop.  ``saturate`` clips the price change
+    against the value ``width`` days earlier.
+
+    The recursion is sequential in time, so this is a loop over days; each
+    step reads only the forecast state (locations x (width + steps so far)
+    rows, never the history) and the state is cut with a reliable
+    ``checkpoint()`` after every step (one small job per day).
+    """
+    from quarry.session import cut_lineage
+    keys = list(keys)
+    last = panel.agg(F.max(date)).first()[0]  # one value: where the calendar continues
+    state = panel.filter(F.col(date) > F.date_sub(F.lit(last), width)).select(*keys, date, price, litres)
+    state = cut_lineage(state)
+    ub = growth_bound(annual_cap, width)
+    for i in range(1, horizon + 1):
+        d = F.date_add(F.lit(last), i)
+        win = state.filter(F.col(date) >= F.date_sub(d, width))
+        row = F.struct(F.col(date).alias("t"), F.col(price).alias("p"), F.col(litres).alias("q"))
+        g = win.groupBy(*keys).agg(F.min_by(row, F.col(date)).alias("f"), F.max_by(row, F.col(date)).alias("l"),
+                                   F.max(F.when(F.col(date) == F.date_sub(d, width), F.col(price))).alias("base"))
+        gap = F.datediff(F.col("l.t"), F.col("f.t"))
+        ahead = F.datediff(d, F.col("l.t"))
+
+        def step(v):
+            ratio = F.try_divide(F.col(f"l.{v}"), F.col(f"f.{v}"))
+            grow = F.when((gap > 0) & (ratio > 0), F.pow(ratio, ahead / gap)).otherwise(F.lit(1.0))
+            return F.col(f"l.{v}") * grow
+
+        p_new, q_new = step("p"), step("q")
+        if saturate:
+            chg = F.greatest(F.lit(-ub), F.least(F.lit(ub), F.try_divide(p_new, F.col("base")) - 1))
+            p_new = F.coalesce(F.col("base") * (F.lit(1.0) + chg), p_new)
+        new = g.select(*keys, d.alias(date), p_new.alias(price), q_new.alias(litres))
+        if target is not None:
+            # one row per location for the day: the national total is a bounded window
+            tot = F.sum(litres).over(Window.partitionBy())
+            new = new.withColumn(litres, F.col(litres) * safe_div(target(d), tot))
+        # day d joins the state; the state is checkpointed every step because each step reads
+        # it twice (its window and the union), which would double the plan per day otherwise
+        state = cut_lineage(state.unionByName(new))
+    return state.filter(F.col(date) > F.lit(last))

@@ -142,3 +142,34 @@ def test_same_result_for_any_partitioning(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert out[0] == out[1] == out[2]
+
+
+def test_calendar_forecast_with_normalisation_matches_loop(spark):
+    import datetime as dt
+    rows = []
+    base = dt.date(2024, 1, 1)
+    for loc, scale in (("a", 1.0), ("b", 2.0)):
+        for i in range(10):
+            if loc == "b" and i == 4:
+                continue  # a gap
+            rows.append(("s", loc, base + dt.timedelta(days=i), 10.0 * scale + i, 100.0 * scale + 3 * i))
+    df = spark.createDataFrame(rows, "state string, mun string, date date, price double, litres double")
+    width, horizon = 5, 4
+    got = FC.forecast_calendar(df, ["state", "mun"], width, horizon, target=lambda d: F.lit(500.0)).collect()
+    got = {(r.mun, r.date): (r.price, r.litres) for r in got}
+    # brute force: the same recursion in plain Python
+    series = {loc: {d: (p, q) for _, m, d, p, q in rows if m == loc} for loc in ("a", "b")}
+    last = max(d for _, _, d, _, _ in rows)
+    for i in range(1, horizon + 1):
+        day = last + dt.timedelta(days=i)
+        new = {}
+        for loc, s in series.items():
+            win = sorted((d, v) for d, v in s.items() if day - dt.timedelta(days=width) <= d < day)
+            (tf, (pf, qf)), (tl, (pl, ql)) = win[0], win[-1]
+            gap, ahead = (tl - tf).days, (day - tl).days
+            new[loc] = (pl * (pl / pf) ** (ahead / gap), ql * (ql / qf) ** (ahead / gap))
+        tot = sum(q for _, q in new.values())
+        for loc, (p, q) in new.items():
+            series[loc][day] = (p, q * 500.0 / tot)
+            assert abs(got[(loc, day)][0] - p) < 1e-9
+            assert abs(got[(loc, day)][1] - q * 500.0 / tot) < 1e-9
