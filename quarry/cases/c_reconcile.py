@@ -129,3 +129,30 @@ def r02(fx):
 def r04(fx):
     names = fx.table("nation").filter(F.col("n_regionkey") != 4).select(F.col("n_nationkey").alias("nation"), "n_name")
     return RC.attach_names(reconciled(fx).select("region", "nation", "supplier", "part"), names, ["nation"], "n_name")
+
+
+R02_L2 = ("SELECT region, nation, qty, amount, false AS is_total FROM (SELECT region, nation, sum(qty) AS qty, "
+          "sum(amount) AS amount FROM l1 GROUP BY 1, 2) a UNION ALL SELECT region, NULL, qty, amount, true FROM tot2")
+L1_SQL = ("SELECT x.region, x.nation, x.supplier, x.qty * R_qty AS qty, x.amount * R_amount AS amount "
+          "FROM rows x LEFT JOIN (SELECT region, nation, sum(CASE WHEN is_total THEN qty END) / "
+          "NULLIF(sum(CASE WHEN NOT is_total THEN qty END), 0) AS R_qty, sum(CASE WHEN is_total THEN amount END)"
+          " / NULLIF(sum(CASE WHEN NOT is_total THEN amount END), 0) AS R_amount FROM rows GROUP BY 1, 2) g "
+          "USING (region, nation) WHERE NOT x.is_total")
+
+
+@case("r02_ratio_normalise_two_levels",
+      with_views("SELECT x.region, x.nation, x.qty * R_qty AS qty, x.amount * R_amount AS amount "
+                 "FROM rows2 x LEFT JOIN (SELECT region, sum(CASE WHEN is_total THEN qty END) / "
+                 "NULLIF(sum(CASE WHEN NOT is_total THEN qty END), 0) AS R_qty, sum(CASE WHEN is_total THEN amount END)"
+                 " / NULLIF(sum(CASE WHEN NOT is_total THEN amount END), 0) AS R_amount FROM rows2 GROUP BY 1) g "
+                 "USING (region) WHERE NOT x.is_total", "hierarchy_detail",
+                 extra={**_views("reference"), "rows": R02_ROWS, "l1": L1_SQL, "rows2": R02_L2}),
+      rounding={"qty": 4, "amount": 2})
+def r02b(fx):
+    """Suppliers normalised to nation totals, then nations (their sums) to region totals."""
+    l1 = r02(fx)
+    agg = l1.groupBy("region", "nation").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"))
+    rows = agg.withColumn("is_total", F.lit(False)).unionByName(
+        totals(fx, 2).select("region", F.lit(None).cast("int").alias("nation"), "qty", "amount",
+                             F.lit(True).alias("is_total")))
+    return RC.ratio_normalise(rows, ["region"], ["qty", "amount"])
