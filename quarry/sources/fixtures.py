@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import safe_div
-from quarry.session import broadcast_if_small, table_path, tune_optimizer
+from quarry.session import broadcast_if_small, cut_lineage, table_path, tune_optimizer
 
 BASE_YEAR = 1995  # plan period 0 (FIXTURES §4 `plan`)
 
@@ -23,11 +23,19 @@ BASE_YEAR = 1995  # plan period 0 (FIXTURES §4 `plan`)
 class Fixtures:
     """Lazily built views over one scale-factor directory."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, materialize: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.materialize = materialize
         tune_optimizer(spark)
 
+    def _shared(self, df: DataFrame) -> DataFrame:
+        """Views derived from the big scans and joins are read by several branches of
+        one plan, and Catalyst pushes each branch's filters into its own copy (so the
+        copies stop being identical and are not reused).  They are written once to the
+        shared checkpoint folder (reliable ``checkpoint()``) and read back by every branch."""
+        return cut_lineage(df) if self.materialize else df
+
     def memo(self, key: str, build):
         """One DataFrame object per derived view and fixture set, so a plan that
         uses a view twice holds one subtree (exchange reuse, less planning)."""
@@ -61,9 +69,9 @@ class Fixtures:
         daily = li.groupBy("l_suppkey", "date").agg(
             F.sum("l_quantity").alias("litres"), F.sum("l_extendedprice").alias("revenue"))
         dim = broadcast_if_small(self.supplier_dim.select("s_suppkey", "s_name", "n_name"))
-        return daily.join(dim, daily.l_suppkey == dim.s_suppkey).select(
+        return self._shared(daily.join(dim, daily.l_suppkey == dim.s_suppkey).select(
             F.col("n_name").alias("state"), F.col("s_name").alias("mun"), "date",
-            safe_div("revenue", "litres").alias("price"), "litres")
+            safe_div("revenue", "litres").alias("price"), "litres"))
 
     # ------------------------------------------------------------ population
     @cached_property
@@ -91,8 +99,8 @@ class Fixtures:
         g = li.groupBy("flag", "l_suppkey", "date").agg(
             F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("e"))
         dim = broadcast_if_small(self.supplier_dim.select("s_suppkey", "n_name"))
-        return g.join(dim, g.l_suppkey == dim.s_suppkey).select(
-            "flag", F.col("n_name").alias("state"), "date", "q", "e")
+        return self._shared(g.join(dim, g.l_suppkey == dim.s_suppkey).select(
+            "flag", F.col("n_name").alias("state"), "date", "q", "e"))
 
     def product_prices(self, flag: str | None = None):
         """Price sheets (state_month, national_month, national_daily) of one product, or of all
@@ -168,14 +176,14 @@ class Fixtures:
         capex = F.col("qty") * 100
         ebitda = F.col("revenues") - costs
         nopat = (ebitda - dep) * 0.65
-        return j.select(
+        return self._shared(j.select(
             "file", "T", F.col("s_name").alias("plant"),
             F.lit(1.0).alias("state"),
             F.col("qty").alias("production"),
             (F.col("lines") * 30).cast("double").alias("capacity"),
             capex.alias("capex"), costs.alias("costs"), F.col("revenues"),
             ebitda.alias("ebitda"), dep.alias("depreciation"), nopat.alias("nopat"),
-            (nopat + dep - capex).alias("fcf_wo_nwc"))
+            (nopat + dep - capex).alias("fcf_wo_nwc")))
 
     # ------------------------------------------------------------ hierarchy
     @cached_property
@@ -185,9 +193,9 @@ class Fixtures:
         g = li.groupBy("l_suppkey", "l_partkey").agg(
             F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("amount"))
         dim = broadcast_if_small(self.supplier_dim.select("s_suppkey", "s_nationkey", "n_regionkey"))
-        return g.join(dim, g.l_suppkey == dim.s_suppkey).select(
+        return self._shared(g.join(dim, g.l_suppkey == dim.s_suppkey).select(
             F.col("n_regionkey").alias("region"), F.col("s_nationkey").alias("nation"),
-            F.col("s_suppkey").alias("supplier"), F.col("l_partkey").alias("part"), "qty", "amount")
+            F.col("s_suppkey").alias("supplier"), F.col("l_partkey").alias("part"), "qty", "amount"))
 
     def hierarchy_totals(self, keys: list[str], factor_key: str) -> DataFrame:
         """Published totals at one level: real totals x (1 + key % 7 / 100)."""
@@ -286,7 +294,7 @@ class Fixtures:
             ((F.col("l_suppkey") % 25) + 1).cast("string").alias("ENTIDAD"),
             (F.col("l_suppkey") % 4 + 1).cast("string").alias("MUNICIPIO"),
             F.col("code").alias("CODIGO"), strat.alias("ID_ESTRATO")).agg(*_eco_aggs())
-        return g
+        return self._shared(g)
 
     @cached_property
     def activity_catalogue(self) -> DataFrame:

@@ -22,7 +22,12 @@ def test_no_nested_loop_cartesian_or_python(spark, name):
 
 def test_scan_prunes_columns(spark):
     """The flagship reads only the line-item columns it uses."""
-    df = entry.entry(spark)
+    from quarry.cases.c_panel import prices
+    from quarry.plans import panel as PN
+    from quarry.sources.fixtures import Fixtures
+    fx = Fixtures(spark, SF_SMALL, materialize=False)
+    loc, model, _ = PN.consumption_table(fx.population, fx.demand, prices(fx), 1998)
+    df = PN.fuel_panel(loc, model, prices(fx))
     plan = df._jdf.queryExecution().executedPlan().toString()
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     li = [s for s in schemas if "l_shipdate" in s]
