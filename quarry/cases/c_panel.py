@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.cases import case, r
-from quarry.operators.aggs import collapse_small, quartile_cutoff
+from quarry.operators.aggs import collapse_small
 from quarry.plans import panel as PN
 from quarry.sources.fixtures import with_views
 

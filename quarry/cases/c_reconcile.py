@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.cases import case, r
+from quarry.cases import case
 from quarry.operators import reconcile as RC
 from quarry.sources.fixtures import with_views
 
