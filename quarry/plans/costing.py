@@ -149,13 +149,18 @@ def market_sourcing(demand: DataFrame, lanes: DataFrame, inflation: float = 0.06
     (one row per plant, bounded), a plant without any lane to the market ->
     2 x max lane cost.
     """
-    mx = lanes.agg(F.max("freight")).scalar()  # one value, computed once
-    ln = lanes.select("source", F.col("destination").alias("market"), "freight", F.lit(True).alias("_lane"))
+    # the lane table holds plants x markets rows (two dimensions): the largest lane cost is a
+    # window over all of it, evaluated in the same pass as the lanes themselves
+    mx = F.col("_max")
+    ln = lanes.select("source", F.col("destination").alias("market"), "freight", F.lit(True).alias("_lane"),
+                      F.max("freight").over(Window.partitionBy()).alias("_max"))
     if sources is None:
         j = demand.join(ln, "market")
     else:
+        # plants without a lane keep the table-wide maximum through a bounded scalar
         cand = attach_bounded(demand, sources.select(F.col("name").alias("source")), "_src")
-        j = cand.join(ln, ["market", "source"], "left")
+        j = cand.join(ln, ["market", "source"], "left").withColumn(
+            "_max", F.coalesce(F.col("_max"), lanes.agg(F.max("freight")).scalar()))
     cost = F.when(F.col("_lane").isNull(), F.lit(2.0) * mx).otherwise(
         F.coalesce(F.col("freight"), F.lit(30.0) + F.lit(10.0) * mx)) * F.pow(F.lit(1.0 + inflation), F.col("T"))
     plants = j.select("T", "market", "source", "demand", "price", cost.alias("cost"))

@@ -30,10 +30,12 @@ class Fixtures:
         tune_optimizer(spark)
 
     def _shared(self, df: DataFrame) -> DataFrame:
-        """Views derived from the big scans and joins are read by several branches of
-        one plan, and Catalyst pushes each branch's filters into its own copy (so the
-        copies stop being identical and are not reused).  They are written once to the
-        shared checkpoint folder (reliable ``checkpoint()``) and read back by every branch."""
+        """A view built on the big line-item x order join is read by several branches of
+        one plan with different filters (run, period, plant name); Catalyst pushes each
+        branch's filters into its own copy, so the copies are not reused and the join
+        would run once per branch.  It is written once to the shared checkpoint folder
+        (reliable ``checkpoint()``) and read back by every branch.  Views read by a
+        single branch, or by identical ones (exchange reuse), are left lazy."""
         return cut_lineage(df) if self.materialize else df
 
     def memo(self, key: str, build):
@@ -69,9 +71,9 @@ class Fixtures:
         daily = li.groupBy("l_suppkey", "date").agg(
             F.sum("l_quantity").alias("litres"), F.sum("l_extendedprice").alias("revenue"))
         dim = broadcast_if_small(self.supplier_dim.select("s_suppkey", "s_name", "n_name"))
-        return self._shared(daily.join(dim, daily.l_suppkey == dim.s_suppkey).select(
+        return daily.join(dim, daily.l_suppkey == dim.s_suppkey).select(
             F.col("n_name").alias("state"), F.col("s_name").alias("mun"), "date",
-            safe_div("revenue", "litres").alias("price"), "litres"))
+            safe_div("revenue", "litres").alias("price"), "litres")
 
     # ------------------------------------------------------------ population
     @cached_property
@@ -99,8 +101,8 @@ class Fixtures:
         g = li.groupBy("flag", "l_suppkey", "date").agg(
             F.sum("l_quantity").alias("q"), F.sum("l_extendedprice").alias("e"))
         dim = broadcast_if_small(self.supplier_dim.select("s_suppkey", "n_name"))
-        return self._shared(g.join(dim, g.l_suppkey == dim.s_suppkey).select(
-            "flag", F.col("n_name").alias("state"), "date", "q", "e"))
+        return g.join(dim, g.l_suppkey == dim.s_suppkey).select(
+            "flag", F.col("n_name").alias("state"), "date", "q", "e")
 
     def product_prices(self, flag: str | None = None):
         """Price sheets (state_month, national_month, national_daily) of one product, or of all
@@ -193,9 +195,9 @@ class Fixtures:
         g = li.groupBy("l_suppkey", "l_partkey").agg(
             F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("amount"))
         dim = broadcast_if_small(self.supplier_dim.select("s_suppkey", "s_nationkey", "n_regionkey"))
-        return self._shared(g.join(dim, g.l_suppkey == dim.s_suppkey).select(
+        return g.join(dim, g.l_suppkey == dim.s_suppkey).select(
             F.col("n_regionkey").alias("region"), F.col("s_nationkey").alias("nation"),
-            F.col("s_suppkey").alias("supplier"), F.col("l_partkey").alias("part"), "qty", "amount"))
+            F.col("s_suppkey").alias("supplier"), F.col("l_partkey").alias("part"), "qty", "amount")
 
     def hierarchy_totals(self, keys: list[str], factor_key: str) -> DataFrame:
         """Published totals at one level: real totals x (1 + key % 7 / 100)."""
@@ -294,7 +296,7 @@ class Fixtures:
             ((F.col("l_suppkey") % 25) + 1).cast("string").alias("ENTIDAD"),
             (F.col("l_suppkey") % 4 + 1).cast("string").alias("MUNICIPIO"),
             F.col("code").alias("CODIGO"), strat.alias("ID_ESTRATO")).agg(*_eco_aggs())
-        return self._shared(g)
+        return g
 
     @cached_property
     def activity_catalogue(self) -> DataFrame:
