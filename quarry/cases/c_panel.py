@@ -215,3 +215,11 @@ def j08(fx):
     p = PN.fuel_panel(loc, model, prices(fx))
     return p.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.concat("state", "mun")).alias("locations"),
                  F.countDistinct("date").alias("dates"))
+
+
+@case("v01_daily_state_prices_proportional",
+      chain_sql("SELECT nd.date, sm.state, sm.price * (nd.price / NULLIF(nm.price, 0)) AS price "
+                "FROM nd_A nd JOIN nm_A nm ON year(nd.date) = nm.year AND month(nd.date) = nm.month "
+                "JOIN sm_A sm ON sm.year = nm.year AND sm.month = nm.month", "v01_A"), rounding=r(4, "price"))
+def v01p(fx):
+    return PN.daily_state_prices(*fx.product_prices("A"), mode="proportional")
