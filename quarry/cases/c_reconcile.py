@@ -53,7 +53,10 @@ def _level_sql(i: int, src: str, ratio: str) -> str:
         S = f"(c_{m} / NULLIF(k_{m}, 0))" if m in MEANS else f"coalesce(c_{m}, 0.0)"
         rr = f"coalesce(D_{m} / NULLIF({S}, 0), 1.0)" if ratio == "direct" else f"coalesce({S} / NULLIF(D_{m}, 0), 1.0)"
         ax = f"(sx_{m} / NULLIF(n, 0))" if m in MEANS else f"sx_{m}"
-        d = f"(({rr}) * {ax} - D_{m}) / NULLIF(n, 0)"
+        if m in MEANS and ratio == "direct":
+            d = f"(({rr}) * {ax} - D_{m})"
+        else:
+            d = f"(({rr}) * {ax} - D_{m}) / NULLIF(n, 0)"
         outs.append(f"sx_{m}, ({rr}) * sx_{m} - n * ({d}) AS c_{m}, CASE WHEN ({d}) IS NOT NULL THEN n END AS k_{m}, "
                     f"{rr} AS r_{m}, {d} AS d_{m}")
     dcols = ", ".join(f"t.{m} AS D_{m}" for m in ms)

@@ -5,7 +5,9 @@ coarsest).  Per level L with keys K_L, S = aggregate of the previous level's
 result, D = published total, n = detail count, x = RAW detail value:
 
     r_L = coalesce(S / D, 1)            (``ratio='direct'``: D / S)
-    d_L = (r_L * A_L(x) - D) / n        (A = sum, or mean for mean-type columns)
+    d_L = (r_L * A_L(x) - D) / n        (A = sum, or mean for mean-type columns; with
+                                         ``ratio='direct'`` mean columns shift by the full
+                                         gap, so their mean reaches D)
     y_L = x * r_L - d_L                 (NULL when the level has no total)
 
 Because x restarts from the raw rows at every level and r, d are constant
@@ -62,7 +64,10 @@ def reconcile(detail: DataFrame, levels: Sequence[tuple[Sequence[str], DataFrame
             else:
                 r = F.coalesce(F.try_divide(S, D), F.lit(1.0))
             ax = F.try_divide(sx, F.col("n")) if is_mean else sx
-            d = F.try_divide(r * ax - D, F.col("n"))
+            if is_mean and ratio == "direct":
+                d = r * ax - D  # the mean itself reaches the published value
+            else:
+                d = F.try_divide(r * ax - D, F.col("n"))
             # contribution of the group to the next level's S: sum of y over its rows
             contrib = r * sx - F.col("n") * d
             cols += [sx.alias(f"sx_{m}"), contrib.alias(f"c_{m}"),

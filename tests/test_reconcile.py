@@ -58,3 +58,13 @@ def test_reconcile_matches_loop(spark):
     # sum-type measures reach the coarsest published total exactly
     total = tots[-1].set_index("s")["pop"]
     assert np.allclose(got.groupby("s")["pop"].sum(), total)
+
+
+def test_direct_mode_reaches_totals(spark):
+    det, tots = _fixture()
+    sdet = spark.createDataFrame(det)
+    levels = [(k, spark.createDataFrame(t)) for k, t in zip(LEVELS, tots)]
+    got = RC.reconcile(sdet, levels, ["pop"], ["rate"], ratio="direct").toPandas()
+    top = tots[-1].set_index("s")
+    assert np.allclose(got.groupby("s")["pop"].sum(), top["pop"])
+    assert np.allclose(got.groupby("s")["rate"].mean(), top["rate"])
