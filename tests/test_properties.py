@@ -173,3 +173,18 @@ def test_calendar_forecast_with_normalisation_matches_loop(spark):
             series[loc][day] = (p, q * 500.0 / tot)
             assert abs(got[(loc, day)][0] - p) < 1e-9
             assert abs(got[(loc, day)][1] - q * 500.0 / tot) < 1e-9
+
+
+def test_attach_bounded_guard(spark):
+    big = spark.range(5)
+    small = spark.range(3).withColumnRenamed("id", "k")
+    assert CO.attach_bounded(big, small, "_b").count() == 15
+    with pytest.raises(Exception):
+        CO.attach_bounded(big, small, "_b", max_rows=2).count()
+
+
+def test_scale_settings():
+    from quarry.session import scale_settings
+    s = scale_settings(100 * 1024 ** 4)
+    assert int(s["spark.sql.shuffle.partitions"]) == 50_000
+    assert int(scale_settings(1024 ** 3)["spark.sql.shuffle.partitions"]) == 200
