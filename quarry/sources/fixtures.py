@@ -110,8 +110,11 @@ class Fixtures:
         b = self.price_base if flag is None else self.price_base.filter(F.col("flag") == flag)
         k = ["flag"] if flag is None else []
         px = safe_div(F.sum("e"), F.sum("q")).alias("price")
-        nd = b.groupBy(*k, "date").agg(px)
-        nm = b.groupBy(*k, F.year("date").alias("year"), F.month("date").alias("month")).agg(px)
+        # national daily sums first; the national monthly sheet is rolled up from them
+        # (flags x days rows) instead of from the state-level base again
+        day = b.groupBy(*k, "date").agg(F.sum("e").alias("e"), F.sum("q").alias("q"))
+        nd = day.select(*k, "date", safe_div(F.col("e"), F.col("q")).alias("price"))
+        nm = day.groupBy(*k, F.year("date").alias("year"), F.month("date").alias("month")).agg(px)
         sm = b.groupBy(*k, "state", F.year("date").alias("year"), F.month("date").alias("month")).agg(px)
         return sm, nm, nd
 
