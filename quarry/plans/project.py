@@ -70,9 +70,8 @@ class Project:
 
     # ------------------------------------------------------------ demand and prices
     def get_demand(self, years) -> DataFrame:
-        schema = "Estado string, " + ", ".join(f"`{y}` double" for y in years)
-        from pyspark.sql.types import _parse_datatype_string
-        wide = RD.read_delimited(self.spark, self.paths.demand, _parse_datatype_string(schema), ",", "UTF-8")
+        schema = "Estado string, " + ", ".join(f"`{y}` double" for y in years)  # DDL schema string
+        wide = RD.read_delimited(self.spark, self.paths.demand, schema, ",", "UTF-8")
         long = wide_to_long(wide.withColumnRenamed("Estado", "state"), ["state"], [str(y) for y in years],
                             "year", "volume", "int")
         return long.withColumn("BBL", F.col("volume") * C.BARRELS_PER_THOUSAND)

@@ -49,7 +49,7 @@ def read_census(spark: SparkSession, path: str, measures: Sequence[str], keep: S
 STANDARD_CHARSETS = {"iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8"}
 
 
-def read_delimited(spark: SparkSession, path: str, schema: T.StructType, sep: str = "|",
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = "|",
                    encoding: str = "windows-1252", header: bool = True) -> DataFrame:
     """Delimited text with a separator, encoding and explicit schema.
 
