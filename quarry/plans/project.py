@@ -121,8 +121,12 @@ class Project:
     @staticmethod
     def forecast(panel: DataFrame, width: int, horizon: int, model: str = "drift", saturate: bool = True,
                  normalize_target=None) -> DataFrame:
-        out = FC.forecast(panel, ["state", "mun"], "date", ["price", "litres"], width, horizon, model, saturate)
-        return FC.normalise_total(out, "date", "litres", normalize_target) if normalize_target is not None else out
+        """M06.  ``normalize_target``: a function of the forecast-date column giving the national
+        total; the rescaled volumes then feed the following days (calendar recursion)."""
+        if normalize_target is not None:
+            return FC.forecast_calendar(panel, ["state", "mun"], width, horizon, target=normalize_target,
+                                        saturate=saturate)
+        return FC.forecast(panel, ["state", "mun"], "date", ["price", "litres"], width, horizon, model, saturate)
 
     @staticmethod
     def run_backtest(obs: DataFrame, pred: DataFrame, history: DataFrame) -> DataFrame:
