@@ -19,7 +19,7 @@ from quarry.session import broadcast_if_small
 
 def group_sum(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
               count_name: str | None = None, zero_empty: bool = False) -> DataFrame:
-    """Sums of measures (and an optional row count) per key."""
+    """Sums (or means, distinct keys) per key; optional row count."""
     aggs = []
     for m in measures:
         s = F.sum(m)

@@ -110,7 +110,7 @@ def freight_costs(lanes: DataFrame, rate: float, pair_rates: DataFrame | None =
 def site_costs(sites: DataFrame, periods: DataFrame, fixed_base: float, fixed_ratio: float,
                variable_base: float, variable_ratio: float, storage_base: float, storage_ratio: float,
                safety_base: float, safety_ratio: float) -> DataFrame:
-    """Site cost table by period.
+    """V08 (J13, U06, S10 rows, P11): site cost table by period.
 
     ``sites(state, mun, lat, lon, daily_capacity, profile)``; imports carry an
     infinite capacity and profile 0.  Costs are escalated for T >= 1; NULL /

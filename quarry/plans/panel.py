@@ -25,7 +25,7 @@ from quarry.session import broadcast_if_small
 # ------------------------------------------------------------------ V01 / V02
 def daily_state_prices(state_month: DataFrame, national_month: DataFrame, national_daily: DataFrame,
                        mode: str = "reference", out: str = "price", keys: Sequence[str] = ()) -> DataFrame:
-    """State daily price = state monthly price x curve(date).
+    """V01 (J02): state daily price = state monthly price x curve(date).
 
     ``state_month(state, year, month, price)``, ``national_month(year, month, price)``,
     ``national_daily(date, price)``.  Reference curve = national monthly /
@@ -139,7 +139,7 @@ def price_response(elasticity: DataFrame, y: str = "BBL", x: str = "price") -> D
 def consumption_table(pop: DataFrame, demand: DataFrame, prices: DataFrame, year: int,
                       inputs: Sequence[str] = ("pop",), min_share: float = 0.1, keep_above: float = 0.9,
                       aggregated: bool = True) -> tuple[DataFrame, DataFrame, dict]:
-    """Local consumption (fill, shares, cutoffs, clustering) + price response model.
+    """V03 (J01, M01, A05, W11, A11, J06, M02, A06, A07, P24, W01, A08): local consumption + price response.
 
     Returns (locations, model coefficients per state, intermediate frames).
     """
@@ -172,7 +172,7 @@ def consumption_table(pop: DataFrame, demand: DataFrame, prices: DataFrame, year
 
 # ------------------------------------------------------------------ V04
 def fuel_panel(consumption: DataFrame, model: DataFrame, prices: DataFrame) -> DataFrame:
-    """V04 flagship: (state, mun, lat, lon, date, price, litres).
+    """V04 flagship (W07, J08, P12): (state, mun, lat, lon, date, price, litres).
 
     predicted = intercept + slope x price per state; curve = predicted / its
     mean over (year, state) (W07); a state without a slope gets curve 1.
