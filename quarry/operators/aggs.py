@@ -42,11 +42,11 @@ def collapse_max(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
 def share_of_total(df: DataFrame, key: str, value: str, out: str = "share") -> DataFrame:
     """Per-key sum divided by the grand total.
 
-    The grand total is a scalar subquery over the grouped table (no
-    single-partition window).
+    The grouped table has one row per key (a dimension, e.g. states), so the
+    grand total is a window over all of it, computed in the same pass.
     """
     g = df.groupBy(key).agg(F.sum(value).alias(value))
-    return g.select(key, value, safe_div(F.col(value), g.agg(F.sum(value)).scalar()).alias(out))
+    return g.select(key, value, safe_div(F.col(value), F.sum(value).over(Window.partitionBy())).alias(out))
 
 
 def share_within(df: DataFrame, group: str, key: str, value: str, out: str = "state_share") -> DataFrame:

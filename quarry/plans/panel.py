@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import safe_div
-from quarry.operators.aggs import collapse_small, quartile_cutoff
+from quarry.operators.aggs import collapse_small, quartile_cutoff, share_of_total
+from quarry.operators.clean import flag_ge
 from quarry.operators.clean import BARRELS_PER_THOUSAND, LITRES_PER_BARREL
 from quarry.session import broadcast_if_small
 
@@ -146,10 +147,8 @@ def consumption_table(pop: DataFrame, demand: DataFrame, prices: DataFrame, year
     sd = state_rollup(pop, demand, year)
     filled, _ = fill_by_regression(sd, list(inputs))
     loc = per_head_fuel(pop, filled)
-    # State share of the national total
-    st = loc.groupBy("state").agg(F.sum("MUN_FUEL").alias("fuel"))
-    # one row per state: a window over the whole (dimension-sized) table
-    shares = st.select("state", safe_div(F.col("fuel"), F.sum("fuel").over(Window.partitionBy())).alias("share"))
+    # State share of the national total (one row per state)
+    shares = share_of_total(loc, "state", "MUN_FUEL").select("state", "share")
     dem = fill_demand(demand, shares)
     yearly_price = prices.groupBy(F.year("date").alias("year"), "state").agg(F.avg("price").alias("price"))  # A11
     el = (dem.select("state", "year", (F.col("volume") * BARRELS_PER_THOUSAND).alias("BBL"))
@@ -159,7 +158,7 @@ def consumption_table(pop: DataFrame, demand: DataFrame, prices: DataFrame, year
     w_state = Window.partitionBy("state")
     loc = loc.withColumn("state_share", safe_div(F.col("MUN_FUEL"), F.sum("MUN_FUEL").over(w_state)))
     loc = quartile_cutoff(loc, "state", "state_share", min_share, keep_above)
-    loc = loc.withColumn("flag", (F.col("state_share") >= F.col("cutoff")).cast("int"))
+    loc = loc.withColumn("flag", flag_ge("state_share", "cutoff"))  # P24
     rank = F.row_number().over(Window.partitionBy("state", "flag").orderBy("mun"))
     loc = loc.withColumn("aggregate", F.when(F.col("flag") == 1, rank).otherwise(F.lit(0)))
     inter = {"state_data": filled, "shares": shares, "demand_filled": dem, "elasticity": el, "locations": loc}
