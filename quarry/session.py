@@ -105,9 +105,11 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = DEFAULT_BROADCAST_BYTES)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder: the cluster's setting when present.
+    """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` when set.
 
-    Only when nothing is configured (local tests) a folder is created.
+    Only a local-mode session without one (tests) gets a fresh folder; on a
+    cluster a machine-local folder would not survive executor loss, so the
+    setting is required there.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -115,6 +117,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) on a cluster")
         conf = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
