@@ -77,3 +77,13 @@ def test_identities(runs):
         F.max(F.abs(F.col("fcf_wo_nwc") - (F.col("nopat") + F.col("depreciation") - F.col("capex")))).alias("b"),
     ).first()
     assert d.a < 1e-3 and d.b < 1e-3
+
+
+def test_objective_uplift_j11(runs):
+    d = V.scenario_difference(runs["optimal"]["objective"], runs["baseline"]["objective"], ["file", "step"],
+                              ["objective"])
+    row = d.agg(F.avg("objective").alias("m"), F.stddev_samp("objective").alias("s"),
+                F.count("objective").alias("n")).first()
+    assert row.n == 20
+    assert abs(row.m / 655151663729.553 - 1) < 1e-12
+    assert abs(row.s / 185720209609.0243 - 1) < 1e-9
