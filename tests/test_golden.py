@@ -87,3 +87,12 @@ def test_objective_uplift_j11(runs):
     assert row.n == 20
     assert abs(row.m / 655151663729.553 - 1) < 1e-12
     assert abs(row.s / 185720209609.0243 - 1) < 1e-9
+
+
+@pytest.mark.parametrize("mode,sd,lo,hi", [
+    ("baseline", 604362187272.4336, 1049231112533.411, 2574362027970.0635),
+    ("optimal", 418684859032.437, 1863521723466.1855, 2929675597075.921)])
+def test_objective_spread(runs, mode, sd, lo, hi):
+    r = runs[mode]["objective"].agg(F.stddev_samp("objective").alias("s"), F.min("objective").alias("lo"),
+                                    F.max("objective").alias("hi")).first()
+    assert abs(r.s / sd - 1) < 1e-9 and r.lo == lo and r.hi == hi
