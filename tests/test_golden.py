@@ -96,3 +96,12 @@ def test_objective_spread(runs, mode, sd, lo, hi):
     r = runs[mode]["objective"].agg(F.stddev_samp("objective").alias("s"), F.min("objective").alias("lo"),
                                     F.max("objective").alias("hi")).first()
     assert abs(r.s / sd - 1) < 1e-9 and r.lo == lo and r.hi == hi
+
+
+def test_volatility_all_plants(runs):
+    want = {"Cadereyta Refinery": 0.095437, "Cangrejera Refinery": 0.0, "Dos Bocas Refinery": 0.07037,
+            "Imports": 0.022924, "Madero Refinery": 0.079879, "Minatitlan Refinery": 0.144597,
+            "Salamanca Refinery": 0.136214, "Salina Cruz Refinery": 0.091129, "Tula Refinery": 0.123921}
+    got = {r.plant: r.vol for r in V.ebitda_volatility(runs["optimal"]["production"]).collect()}
+    for k, v in want.items():
+        assert abs(got[k] - v) < 5e-6, k
