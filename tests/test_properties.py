@@ -188,3 +188,15 @@ def test_scale_settings():
     s = scale_settings(100 * 1024 ** 4)
     assert int(s["spark.sql.shuffle.partitions"]) == 50_000
     assert int(scale_settings(1024 ** 3)["spark.sql.shuffle.partitions"]) == 200
+
+
+def test_broadcast_hint_only_below_bound(spark):
+    from quarry.session import broadcast_if_small
+    big = spark.range(1_000_000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    j_small = big.join(broadcast_if_small(small, max_bytes=10_000), "k")
+    j_big = small.join(broadcast_if_small(big, max_bytes=10_000), "k")
+    assert "BroadcastHashJoin" in j_small._jdf.queryExecution().executedPlan().toString()
+    # the large side is not hinted: the static plan keeps a shuffle join (AQE may still demote it at runtime)
+    plan = j_big._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" not in plan.lower() or "strategy=broadcast" not in plan
