@@ -16,20 +16,27 @@ spread over all buckets.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quarry.llm.common import scratch_table, text_or_empty
 
 CAPACITY = 2048
 NODE_LIMIT = 20_000  # branch-and-bound nodes beyond the first descent
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 def tokenizer_path() -> str:
@@ -37,26 +44,72 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_alphabet() -> dict[str, int]:
+    """Letters that stand for bytes in byte-level vocabularies: printable Latin-1 as itself, the rest from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+CLOSED = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]+)\Z")  # no apostrophe: contractions are pieces of their own
+
+
 class TokenBytes(dict):
     """Word (UTF-8) -> its ids as little-endian unsigned 32-bit bytes.
 
     The vocabulary's pre-tokeniser never joins text across ASCII white space,
-    so a document's ids are the ids of its white-space separated words.
+    so a document's ids are the ids of its white-space separated words.  A new
+    word is split and merged by a byte-pair encoder over the file's own
+    vocabulary, with the byte 0xFF (which no UTF-8 text holds) for the end of a
+    word; tests compare it with the tokenizers library.  The library itself is
+    used for vocabularies of another make.
     """
 
+    END = b"\xff"
+
     def __init__(self, path: str):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, self.split = spec["model"], None
+        ids = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model.get("merges", [])]
+        parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        norms = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if (model.get("end_of_word_suffix") == "</w>" and ids == sorted(set(ids)) and norms == ["NFC", "Replace", "Lowercase"]
+                and [x["type"] for x in parts] == ["Split", "ByteLevel"]):
+            self.split = regex.compile(parts[0]["pattern"]["Regex"])
+            letters, special = byte_alphabet(), {t["content"] for t in spec["added_tokens"]}
+            ranks = {}
+            for token, i in model["vocab"].items():
+                if token not in special:
+                    body = token.removesuffix("</w>") if len(token) > 4 else token
+                    ranks[bytes(letters[c] for c in body) + (self.END if body != token else b"")] = i
+            self.pieces = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
+    def ids(self, word: bytes) -> list[int]:
+        if word.isalpha() and self.split is not None:  # ASCII letters
+            return self.pieces(word.lower() + self.END)
+        text = word.decode("utf-8", "replace")
+        if self.split is None or max(text) >= "\u0250":  # beyond the Latin blocks: the library's own tables
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        if max(text) < "\u0100" and text.isalpha():  # composed letters with one-letter lower case
+            return self.pieces(text.lower().encode("utf-8") + self.END)
+        # lower-cased character by character, as the vocabulary's normaliser does
+        text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
+        return [i for piece in self.split.findall(text) for i in self.pieces(piece.encode("utf-8") + self.END)]
+
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        out = np.array(ids, dtype="<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = out
+        tail = CLOSED.match(word) if self.split is not None and not word.isalpha() else None
+        if tail:  # letters, then marks: two pieces, mostly known
+            out = self[tail[1]] + self[tail[2]]
+        else:
+            ids = self.ids(word)
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < CACHE_WORDS:
+            self[word] = out
         return out
 
 
