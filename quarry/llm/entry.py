@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, minhash, mixing, packing, quality
+from quarry.llm import exact_dedup, html_text, minhash, mixing, packing, quality, secrets, toxicity
 from quarry.llm.common import read_table
 
 
@@ -14,6 +14,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op1_packing(read_table(spark, sf_dir, "documents"))
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.op3_html(read_table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op5_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op6_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -30,7 +38,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.op9_exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op10_secrets(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op6_quality, op7_minhash, op8_mixing, op9_exact_dedup)}
+    f.__name__: f for f in (op1_packing, op3_html, op5_toxicity, op6_quality, op7_minhash, op8_mixing, op9_exact_dedup, op10_secrets)}
 
 SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.OP9_SQL}
