@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, html_text, minhash, mixing, packing, quality, secrets, toxicity
+from quarry.llm import embedding_dedup, exact_dedup, html_text, line_dedup, minhash, mixing, packing, quality, secrets, toxicity
 from quarry.llm.common import read_table
 
 
@@ -14,10 +14,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op1_packing(read_table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op2_line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.op3_html(read_table(spark, sf_dir, "pages"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.op4_embedding_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op5_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -43,6 +51,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_html, op5_toxicity, op6_quality, op7_minhash, op8_mixing, op9_exact_dedup, op10_secrets)}
+    f.__name__: f for f in (op1_packing, op2_line_dedup, op3_html, op4_embedding_dedup, op5_toxicity, op6_quality,
+                              op7_minhash, op8_mixing, op9_exact_dedup, op10_secrets)}
 
 SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.OP9_SQL}
