@@ -149,7 +149,7 @@ def _wide_sql(measures):
     return "SELECT state_key, mun_key, " + ", ".join(cols) + " FROM a04 GROUP BY state_key, mun_key"
 
 
-WIDE_MEASURES = ("A111A", "A221A", "H000A")
+WIDE_MEASURES = tuple(ECO_MEASURES)
 
 
 @case("u03_u04_activity_wide", csql(_wide_sql(WIDE_MEASURES), "a04"),

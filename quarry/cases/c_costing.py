@@ -61,8 +61,7 @@ def freight(fx):
 
 
 def _freight(fx):
-    ords = CO.location_ordinals(fx.coords.select("state", "name"), sites(fx).select("state", "name"))
-    return CO.freight_costs(lanes(fx), RATE, pair_rates(fx), state_rates(fx), ords)
+    return CO.freight_costs(lanes(fx), RATE, pair_rates(fx), state_rates(fx), fx.coords, sites(fx))
 
 
 def site_table(fx):
@@ -83,8 +82,11 @@ def sourcing(fx):
 
 
 def _sourcing(fx):
-    dem = CO.markets_by_period(fx.panel, fx.periods)
-    return CO.market_sourcing(dem, freight(fx))
+    return CO.market_sourcing(markets(fx), freight(fx))
+
+
+def markets(fx):
+    return fx.memo("markets", lambda: CO.markets_by_period(fx.panel, fx.periods))
 
 
 def sales(fx):
@@ -92,9 +94,10 @@ def sales(fx):
 
 
 def _sales(fx):
+    """The cheapest source of each market sells 90 % of its demand; suppliers' numbers ending in 7 sell nothing."""
     best = CO.cheapest_source(sourcing(fx))
-    dem = CO.markets_by_period(fx.panel, fx.periods)
-    return best.join(dem, ["T", "market"]).select("T", "market", "source", (F.col("demand") * 0.9).alias("sales"))
+    return best.join(markets(fx), CO.MARKET).filter("market not like '%7'") \
+        .select(*CO.MARKET, "source", (F.col("demand") * 0.9).alias("sales"))
 
 
 # ------------------------------------------------------------------ SQL twins
@@ -128,20 +131,22 @@ SELECT source_state, source, destination_state, destination, kms, rate1 AS freig
     USING (source_state, source)
   LEFT JOIN (SELECT o.state AS destination_state, o.name AS destination, o.ord, sr.rate FROM ords o JOIN sr USING (state)) dd
     USING (destination_state, destination)) x"""
-SQL["dem"] = ("SELECT p.T, m.market, m.demand, m.price FROM (SELECT CAST(year(date) AS INTEGER) AS date, mun AS market, "
-              "sum(litres) AS demand, sum(price * litres) / NULLIF(sum(litres), 0) AS price FROM panel GROUP BY 1, 2) m "
+SQL["dem"] = ("SELECT p.T, m.state, m.market, m.demand, m.price FROM (SELECT CAST(year(date) AS INTEGER) AS date, state, mun AS market, "
+              "sum(litres) AS demand, sum(price * litres) / NULLIF(sum(litres), 0) AS price FROM panel GROUP BY 1, 2, 3) m "
               "JOIN periods p USING (date)")
 SQL["sourcing"] = """
-SELECT d.T, d.market, l.source, d.demand, d.price,
+SELECT d.T, d.state, d.market, l.source, d.demand, d.price,
        coalesce(l.freight, 30.0 + 10.0 * mx.m) * pow(1.06, d.T) AS cost
-FROM dem d JOIN freight l ON l.destination = d.market, (SELECT max(freight) AS m FROM freight) mx
+FROM dem d JOIN freight l ON l.destination = d.market AND l.destination_state = d.state, (SELECT max(freight) AS m FROM freight) mx
 UNION ALL
-SELECT T, market, 'Imports' AS source, demand, price, price * 0.9 AS cost FROM dem"""
-SQL["best"] = ("SELECT T, market, arg_min(source, (cost, source)) AS source, min(cost) AS cost FROM sourcing "
-               "GROUP BY T, market")
-SQL["sales"] = ("SELECT b.T, b.market, b.source, d.demand * 0.9 AS sales FROM best b JOIN dem d USING (T, market)")
-SQL["margin"] = ("SELECT s.T, s.market, s.source, s.sales, s.sales * c.cost AS freight, s.sales * c.price AS revenue, "
-                 "s.sales * c.price - s.sales * c.cost AS margin FROM sales s JOIN sourcing c USING (T, market, source)")
+SELECT T, state, market, 'Imports' AS source, demand, price, price * 0.9 AS cost FROM dem"""
+SQL["best"] = ("SELECT T, state, market, arg_min(source, (cost, source)) AS source, min(cost) AS cost FROM sourcing "
+               "GROUP BY T, state, market")
+SQL["sales"] = ("SELECT b.T, b.state, b.market, b.source, d.demand * 0.9 AS sales FROM best b JOIN dem d "
+                "USING (T, state, market) WHERE b.market NOT LIKE '%7'")
+SQL["margin"] = ("SELECT s.T, s.state, s.market, s.source, s.sales, s.sales * c.cost AS freight, s.sales * d.price AS revenue, "
+                 "s.sales * d.price - s.sales * c.cost AS margin FROM sales s LEFT JOIN dem d USING (T, state, market) "
+                 "LEFT JOIN sourcing c USING (T, state, market, source)")
 _site_rows = ("SELECT state, name AS mun, lat, lon, daily_capacity, profile FROM sites UNION ALL "
               f"SELECT '{IMPORTS[0]}', '{IMPORTS[1]}', {IMPORTS[2]!r}, {IMPORTS[3]!r}, 'inf'::DOUBLE, 0.0")
 P = SITE_PARAMS
@@ -255,8 +260,8 @@ def o02(fx):
 
 
 @case("a14_lane_cost_summary",
-      csql("SELECT T, market, min(cost) AS freight_min, avg(cost) AS freight_mean, median(cost) AS freight_median, "
-           "max(cost) AS freight_max FROM sourcing GROUP BY T, market", "sourcing"),
+      csql("SELECT T, state, market, min(cost) AS freight_min, avg(cost) AS freight_mean, median(cost) AS freight_median, "
+           "max(cost) AS freight_max FROM sourcing GROUP BY T, state, market", "sourcing"),
       rounding=r(6, "freight_min", "freight_mean", "freight_median", "freight_max"))
 def a14(fx):
     return CO.lane_summary(sourcing(fx))
@@ -266,14 +271,14 @@ def a14(fx):
 @case("v10_market_margin", csql("SELECT * FROM margin", "margin"),
       rounding=r(2, "sales", "freight", "revenue", "margin"))
 def v10(fx):
-    return CO.market_margin(sales(fx), sourcing(fx))[0]
+    return CO.market_margin(sales(fx), sourcing(fx), markets(fx))[0]
 
 
 @case("v10_unmet_demand",
-      csql("SELECT s.T, s.market, d.demand - sum(s.sales) AS unmet FROM sales s JOIN sourcing c USING (T, market, source) "
-           "JOIN dem d USING (T, market) GROUP BY s.T, s.market, d.demand", "margin"), rounding=r(3, "unmet"))
+      csql("SELECT d.T, d.state, d.market, d.demand - coalesce((SELECT sum(s.sales) FROM sales s WHERE s.T = d.T AND "
+           "s.state = d.state AND s.market = d.market), 0) AS unmet FROM dem d", "margin"), rounding=r(3, "unmet"))
 def v10u(fx):
-    return CO.market_margin(sales(fx), sourcing(fx))[1]
+    return CO.market_margin(sales(fx), sourcing(fx), markets(fx))[1]
 
 
 def projects(fx):
@@ -292,27 +297,27 @@ def projects(fx):
                 "utilization": 9})
 def v11(fx):
     site = CO.site_costs(site_table(fx), fx.periods, **SITE_PARAMS)
-    m, _ = CO.market_margin(sales(fx), sourcing(fx))
+    m, _ = CO.market_margin(sales(fx), sourcing(fx), markets(fx))
     return CO.plant_waterfall(site, m, projects=projects(fx))
 
 
 SQL_SPARSE = """
-SELECT d.T, d.market, s.name AS source, d.demand, d.price,
+SELECT d.T, d.state, d.market, s.name AS source, d.demand, d.price,
        CASE WHEN l.source IS NULL THEN 2.0 * mx.m ELSE coalesce(l.freight, 30.0 + 10.0 * mx.m) END
          * pow(1.06, d.T) AS cost
 FROM dem d CROSS JOIN sites s
-LEFT JOIN (SELECT * FROM freight WHERE kms <= 10000) l ON l.destination = d.market AND l.source = s.name,
+LEFT JOIN (SELECT * FROM freight WHERE kms <= 10000) l ON l.destination = d.market
+  AND l.destination_state = d.state AND l.source = s.name,
      (SELECT max(freight) AS m FROM freight WHERE kms <= 10000) mx
 UNION ALL
-SELECT T, market, 'Imports' AS source, demand, price, price * 0.9 AS cost FROM dem"""
+SELECT T, state, market, 'Imports' AS source, demand, price, price * 0.9 AS cost FROM dem"""
 
 
 @case("v09_market_sourcing_sparse_lanes", csql(SQL_SPARSE, "dem"), rounding={"demand": 4, "price": 4, "cost": 6})
 def v09s(fx):
     """Plants reach markets within 10,000 km only; markets without a lane price the plant at 2 x max."""
-    dem = CO.markets_by_period(fx.panel, fx.periods)
     ln = freight(fx).filter(F.col("kms") <= 10000)
-    return CO.market_sourcing(dem, ln, sources=sites(fx))
+    return CO.market_sourcing(markets(fx), ln, sources=sites(fx))
 
 
 def decisions(fx):
@@ -363,5 +368,5 @@ FROM (
                 "utilization": 9})
 def v11d(fx):
     site = CO.site_costs(site_table(fx), fx.periods, **SITE_PARAMS)
-    m, _ = CO.market_margin(sales(fx), sourcing(fx))
+    m, _ = CO.market_margin(sales(fx), sourcing(fx), markets(fx))
     return CO.plant_waterfall(site, m, decisions=decisions(fx), projects=projects(fx))

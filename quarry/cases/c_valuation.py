@@ -121,7 +121,7 @@ def v15(fx):
 
 
 # ---------------------------------------------------------------- V17 / M09
-N_SAMPLES = 200
+N_SAMPLES = 500
 
 
 def _draw_sql(metric: str, rel_only: bool) -> str:

@@ -6,13 +6,13 @@ c0, c1, SWITCH, LAYOFF, INITIAL_CAPEX, STRATEGIC_CAPEX, production, capacity,
 expansion_capacity, opening, closing, shipped, storage, safety)``.  Output:
 one row per breach ``(file, T, plant, rule, amount)``.
 
-All rules are row expressions or windows partitioned by (run, plant); the
-allowed-transition table has 13 rows and is broadcast for an anti join.
+All rules are row expressions or windows partitioned by (run, plant), evaluated
+in one pass over the plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Allowed (a0, a1, s0, s1, c0, c1) transitions of a plant in one period
@@ -36,13 +36,9 @@ STATE_COLS = ("a0", "a1", "s0", "s1", "c0", "c1")
 KEYS = ("file", "T", "plant")
 
 
-def transitions_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(int(v) for v in t) for t in ALLOWED_TRANSITIONS],
-                                 "a0 int, a1 int, s0 int, s1 int, c0 int, c1 int")
-
-
-def _breach(df: DataFrame, rule: str, cond, amount) -> DataFrame:
-    return df.filter(cond).select(*KEYS, F.lit(rule).alias("rule"), amount.cast("double").alias("amount"))
+def _rule(name: str, cond, amount):
+    """The breach of one rule as a struct, NULL where the rule holds."""
+    return F.when(cond, F.struct(F.lit(name).alias("rule"), amount.cast("double").alias("amount")))
 
 
 def audit_plan(plan: DataFrame, tol: float = 1e-3, mode: str = "optimal") -> DataFrame:
@@ -58,46 +54,48 @@ def audit_plan(plan: DataFrame, tol: float = 1e-3, mode: str = "optimal") -> Dat
     balance = col("opening") + col("production") - col("shipped")
     prev_closing = F.coalesce(col("_prev_closing"), F.lit(0.0))  # W10: first period opens at 0
     parts = [
-        _breach(p, "capacity", col("production") > bound + tol, col("production") - bound),
-        _breach(p, "stock_balance", F.abs(col("closing") - balance) > tol, col("closing") - balance),
-        _breach(p, "stock_negative", col("closing") < -tol, col("closing")),
-        _breach(p, "safety_stock", col("closing") < col("safety") * col("s1") - tol,
+        _rule("capacity", col("production") > bound + tol, col("production") - bound),
+        _rule("stock_balance", F.abs(col("closing") - balance) > tol, col("closing") - balance),
+        _rule("stock_negative", col("closing") < -tol, col("closing")),
+        _rule("safety_stock", col("closing") < col("safety") * col("s1") - tol,
                 col("closing") - col("safety") * col("s1")),
-        _breach(p, "storage", col("opening") > col("storage") + tol, col("opening") - col("storage")),
-        _breach(p, "stock_continuity", F.abs(col("opening") - prev_closing) > tol, col("opening") - prev_closing),
-        _breach(p, "state_continuity", col("_prev_s").isNotNull() & (col("s0") != col("_prev_s")),
+        _rule("storage", col("opening") > col("storage") + tol, col("opening") - col("storage")),
+        _rule("stock_continuity", F.abs(col("opening") - prev_closing) > tol, col("opening") - prev_closing),
+        _rule("state_continuity", col("_prev_s").isNotNull() & (col("s0") != col("_prev_s")),
                 col("s0") - col("_prev_s")),
-        _breach(p, "available_continuity", col("_prev_a").isNotNull() & (col("a0") != col("_prev_a")),
+        _rule("available_continuity", col("_prev_a").isNotNull() & (col("a0") != col("_prev_a")),
                 col("a0") - col("_prev_a")),
-        _breach(p, "expansion_continuity", col("_prev_c").isNotNull() & (col("c0") != col("_prev_c")),
+        _rule("expansion_continuity", col("_prev_c").isNotNull() & (col("c0") != col("_prev_c")),
                 col("c0") - col("_prev_c")),
-        _breach(p, "strategic_capex_flag",
+        _rule("strategic_capex_flag",
                 col("STRATEGIC_CAPEX") != ((col("c0") == 0) & (col("c1") == 1)).cast("int"),
                 col("STRATEGIC_CAPEX")),
-        _breach(p, "initial_capex_flag",
+        _rule("initial_capex_flag",
                 col("INITIAL_CAPEX") != ((col("a0") == 0) & (col("a1") == 1)).cast("int"), col("INITIAL_CAPEX")),
-        _breach(p, "switch_flag", col("SWITCH") != ((col("s0") == 0) & (col("s1") == 1)).cast("int"), col("SWITCH")),
-        _breach(p, "layoff_flag", col("LAYOFF") != ((col("s0") == 1) & (col("s1") == 0)).cast("int"), col("LAYOFF")),
-        _breach(p, "last_state", col("_last") & (col("s1") != col("s0")), col("s1") - col("s0")),
+        _rule("switch_flag", col("SWITCH") != ((col("s0") == 0) & (col("s1") == 1)).cast("int"), col("SWITCH")),
+        _rule("layoff_flag", col("LAYOFF") != ((col("s0") == 1) & (col("s1") == 0)).cast("int"), col("LAYOFF")),
+        _rule("last_state", col("_last") & (col("s1") != col("s0")), col("s1") - col("s0")),
     ]
-    allowed = F.broadcast(transitions_table(plan.sparkSession))
-    bad = p.join(allowed, list(STATE_COLS), "left_anti")
-    parts.append(bad.select(*KEYS, F.lit("transition").alias("rule"), F.lit(1.0).alias("amount")))
+    # the 13 allowed transitions are literals: a row is tested in place
+    now = F.struct(*[col(c).cast("int").alias(c) for c in STATE_COLS])
+    allowed = [F.struct(*[F.lit(v).alias(c) for c, v in zip(STATE_COLS, t, strict=True)]) for t in ALLOWED_TRANSITIONS]
+    known = F.coalesce(F.array_contains(F.array(*allowed), now), F.lit(False))
+    parts.append(_rule("transition", ~known, F.lit(1.0)))
     if mode == "baseline":  # V23: do-nothing case
-        parts.append(_breach(p, "baseline_expansion", col("c1") != 0, col("c1")))
-        parts.append(_breach(p, "baseline_unavailable", (col("needs_initial") == 1) & (col("a1") != 0), col("a1")))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+        parts.append(_rule("baseline_expansion", col("c1") != 0, col("c1")))
+        parts.append(_rule("baseline_unavailable", (col("needs_initial") == 1) & (col("a1") != 0), col("a1")))
+    # one pass: every row carries its breaches, which are then unnested
+    found = p.select(*KEYS, F.explode(F.array_compact(F.array(*parts))).alias("b"))
+    return found.select(*KEYS, "b.rule", "b.amount")
 
 
 def audit_markets(sales: DataFrame, demand: DataFrame, tol: float = 1e-3) -> DataFrame:
     """V07 market rules: sales per market within demand; each sale within 0..demand.
 
     ``sales(file, T, market, plant, sales)``, ``demand(file, T, market, demand)``.
+    A sale in a market without a demand row counts against a demand of 0.
     """
-    j = sales.join(demand, ["file", "T", "market"])
+    j = sales.join(demand, ["file", "T", "market"], "left").withColumn("demand", F.coalesce("demand", F.lit(0.0)))
     tot = j.groupBy("file", "T", "market").agg(F.sum("sales").alias("_s"), F.first("demand").alias("_d"))
     over = tot.filter(F.col("_s") > F.col("_d") + tol).select(
         "file", "T", "market", F.lit(None).cast("string").alias("plant"), F.lit("market_demand").alias("rule"),

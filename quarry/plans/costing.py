@@ -2,16 +2,15 @@
 
 Sizes: ``sites`` (plants, one row each) and ``periods`` are small dimension
 tables; markets / locations grow with the data.  Every product in this
-module pairs a growing table with one of those two bounded tables only, and
-the bounded side is attached by broadcast; no pair of growing tables is ever
-multiplied.
+module pairs a growing table with one of those two, whose rows are counted
+first and travel in blocks (``attach_bounded``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import capacity_policy, haversine, safe_div
@@ -34,20 +33,32 @@ def base_rate(mxn_per_ton_km: float) -> float:
     return mxn_per_ton_km * tons_per_trip / PIPE_LITRES
 
 
-def attach_bounded(df: DataFrame, small: DataFrame, name: str = "_b", max_rows: int = 100_000) -> DataFrame:
-    """Expand each row of ``df`` by every row of a bounded table (periods, sites, cases).
+BLOCK_ROWS = 1000  # rows of the small side that travel as one array
+SALTS = 32
 
-    The small table is folded into one array by a scalar subquery (computed
-    once, shipped to the tasks as a value) and exploded next to each row: no
-    join at all, and the expansion factor is the small table's row count.  The
-    bound is checked in the plan: a larger "small" table fails the query
-    instead of silently multiplying the data.
+
+def attach_bounded(df: DataFrame, small: DataFrame, name: str = "_b", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Expand each row of ``df`` by every row of a small table (periods, sites, cases).
+
+    The small table's rows are counted first.  Up to ``block_rows`` they are
+    folded into one array by a scalar subquery and exploded next to each row.
+    A larger table is cut into blocks of about that size; each row of ``df``
+    meets every block by an equi-join on (block, salt), so no task holds the
+    whole table and no size is refused.
     """
     cols = small.columns
-    arr = small.agg(F.collect_list(F.struct(*cols)).alias(name)).scalar()
-    guarded = F.when(F.size(arr) <= max_rows, arr).otherwise(
-        F.raise_error(F.lit(f"attach_bounded: more than {max_rows} rows on the bounded side")))
-    ex = df.select(*df.columns, F.explode(guarded).alias(name))
+    n = small.count()
+    as_struct = F.struct(*cols)
+    if n <= block_rows:
+        arr = small.agg(F.collect_list(as_struct)).scalar()
+        ex = df.select(*df.columns, F.explode(arr).alias(name))
+    else:
+        blocks = -(-n // block_rows)
+        packed = small.groupBy(F.pmod(F.xxhash64(*cols), F.lit(blocks)).alias("_block")).agg(F.collect_list(as_struct).alias("_rows")) \
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")) \
+            .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        ex = left.join(packed, ["_block", "_salt"]).select(*df.columns, F.explode("_rows").alias(name))
     return ex.select(*df.columns, *[F.col(f"{name}.{c}").alias(c) for c in cols])
 
 
@@ -74,13 +85,16 @@ def in_states(locations: DataFrame, overrides: DataFrame, state: str = "state")
 
 
 def freight_costs(lanes: DataFrame, rate: float, pair_rates: DataFrame | None = None,
-                  state_rates: DataFrame | None = None, ordinals: DataFrame | None = None) -> DataFrame:
+                  state_rates: DataFrame | None = None, locations: DataFrame | None = None,
+                  sites: DataFrame | None = None) -> DataFrame:
     """Rate per lane with overrides, freight = kms x rate.
 
     ``pair_rates(source_state, destination_state, rate)`` apply to directed state pairs.
     ``state_rates(state, rate)`` apply where an end lies in the state and the
     rate is still the base; when both ends qualify, the end that comes first
-    in the location order (``ordinals(state, name, ord)``) wins.
+    wins: locations before sites that are no location, then by name and state.
+    The order is a comparison of (group, name, state) inside the row, so no
+    location is numbered or broadcast; the rates have one row per state.
     """
     x = lanes.withColumn("freightxkms", F.lit(rate))
     if pair_rates is not None:
@@ -88,20 +102,22 @@ def freight_costs(lanes: DataFrame, rate: float, pair_rates: DataFrame | None =
         x = x.join(F.broadcast(pr), ["source_state", "destination_state"], "left") \
             .withColumn("freightxkms", F.coalesce(F.col("_pr"), F.col("freightxkms"))).drop("_pr")
     if state_rates is not None:
-        sr = F.broadcast(state_rates.select("state", "rate"))
-        o = ordinals.select("state", "name", "ord")
-        src = o.join(sr, "state").select(F.col("state").alias("source_state"), F.col("name").alias("source"),
-                                         F.col("ord").alias("_so"), F.col("rate").alias("_sr"))
-        dst = o.join(sr, "state").select(F.col("state").alias("destination_state"),
-                                         F.col("name").alias("destination"),
-                                         F.col("ord").alias("_do"), F.col("rate").alias("_dr"))
-        x = x.join(F.broadcast(src), ["source_state", "source"], "left") \
-             .join(F.broadcast(dst), ["destination_state", "destination"], "left")
-        pick = F.when(F.col("_so").isNull(), F.col("_dr")).when(F.col("_do").isNull(), F.col("_sr")) \
-            .when(F.col("_so") <= F.col("_do"), F.col("_sr")).otherwise(F.col("_dr"))
+        src = state_rates.select(F.col("state").alias("source_state"), F.col("rate").alias("_sr"))
+        dst = state_rates.select(F.col("state").alias("destination_state"), F.col("rate").alias("_dr"))
+        x = x.join(F.broadcast(src), "source_state", "left").join(F.broadcast(dst), "destination_state", "left")
+        if locations is not None and sites is not None:
+            only = sites.select("state", "name").distinct().join(locations.select("state", "name"), ["state", "name"], "left_anti") \
+                .select(F.col("state").alias("source_state"), F.col("name").alias("source"), F.lit(1).alias("_sg"))
+            x = x.join(broadcast_if_small(only), ["source_state", "source"], "left")
+        else:
+            x = x.withColumn("_sg", F.lit(0))
+        first = F.struct(F.coalesce("_sg", F.lit(0)), F.col("source"), F.col("source_state")) \
+            <= F.struct(F.lit(0), F.col("destination"), F.col("destination_state"))
+        pick = F.when(F.col("_sr").isNull(), F.col("_dr")).when(F.col("_dr").isNull(), F.col("_sr")) \
+            .when(first, F.col("_sr")).otherwise(F.col("_dr"))
         untouched = F.col("freightxkms") == F.lit(rate)
         x = x.withColumn("freightxkms", F.when(untouched & pick.isNotNull(), pick).otherwise(F.col("freightxkms"))) \
-            .drop("_so", "_sr", "_do", "_dr")
+            .drop("_sr", "_dr", "_sg")
     return x.select("source_state", "source", "destination_state", "destination", "kms", "freightxkms",
                     (F.col("kms") * F.col("freightxkms")).alias("freight"))
 
@@ -140,61 +156,67 @@ def site_costs(sites: DataFrame, periods: DataFrame, fixed_base: float, fixed_ra
 
 
 # ------------------------------------------------------------------ V09 / O02 / A14
+MARKET = ["T", "state", "market"]
+
+
 def market_sourcing(demand: DataFrame, lanes: DataFrame, inflation: float = 0.06,
                     imports_discount: float = 0.1, sources: DataFrame | None = None) -> DataFrame:
-    """Per (T, market, source) demand, price and inflated lane cost, imports priced from the market.
+    """Per (T, state, market, source) demand, price and inflated lane cost, imports priced from the market.
 
-    ``demand(T, market, demand, price)``; lanes keyed by (source, destination).
-    A lane with a missing cost -> 30 + 10 x max lane cost; with ``sources``
-    (one row per plant, bounded), a plant without any lane to the market ->
-    2 x max lane cost.
+    ``demand(T, state, market, demand, price)``; lanes are matched on the
+    destination's state and name, so markets of one name in two states stay
+    apart.  A lane with a missing cost -> 30 + 10 x max lane cost; with
+    ``sources`` (one row per plant), a plant without any lane to the market ->
+    2 x max lane cost.  The largest lane cost is one aggregate.
     """
-    # the lane table holds plants x markets rows (two dimensions): the largest lane cost is a
-    # window over all of it, evaluated in the same pass as the lanes themselves
-    mx = F.col("_max")
-    ln = lanes.select("source", F.col("destination").alias("market"), "freight", F.lit(True).alias("_lane"),
-                      F.max("freight").over(Window.partitionBy()).alias("_max"))
+    mx = lanes.agg(F.max("freight")).scalar()
+    ln = lanes.select("source", F.col("destination_state").alias("state"), F.col("destination").alias("market"), "freight",
+                      F.lit(True).alias("_lane"))
     if sources is None:
-        j = demand.join(ln, "market")
+        j = demand.join(ln, ["state", "market"])
     else:
-        # plants without a lane keep the table-wide maximum through a bounded scalar
         cand = attach_bounded(demand, sources.select(F.col("name").alias("source")), "_src")
-        j = cand.join(ln, ["market", "source"], "left").withColumn(
-            "_max", F.coalesce(F.col("_max"), lanes.agg(F.max("freight")).scalar()))
+        j = cand.join(ln, ["state", "market", "source"], "left")
     cost = F.when(F.col("_lane").isNull(), F.lit(2.0) * mx).otherwise(
         F.coalesce(F.col("freight"), F.lit(30.0) + F.lit(10.0) * mx)) * F.pow(F.lit(1.0 + inflation), F.col("T"))
-    plants = j.select("T", "market", "source", "demand", "price", cost.alias("cost"))
-    imports = demand.select("T", "market", F.lit("Imports").alias("source"), "demand", "price",
+    plants = j.select(*MARKET, "source", "demand", "price", cost.alias("cost"))
+    imports = demand.select(*MARKET, F.lit("Imports").alias("source"), "demand", "price",
                             (F.col("price") * F.lit(1.0 - imports_discount)).alias("cost"))
     return plants.unionByName(imports)
 
 
 def cheapest_source(sourcing: DataFrame) -> DataFrame:
-    """Cheapest source per (T, market); ties broken by source name."""
-    return sourcing.groupBy("T", "market").agg(
+    """Cheapest source per (T, state, market); ties broken by source name."""
+    return sourcing.groupBy(*MARKET).agg(
         F.min_by(F.struct("cost", "source"), F.struct("cost", "source")).alias("_b")).select(
-        "T", "market", F.col("_b.source").alias("source"), F.col("_b.cost").alias("cost"))
+        *MARKET, F.col("_b.source").alias("source"), F.col("_b.cost").alias("cost"))
 
 
 def lane_summary(sourcing: DataFrame) -> DataFrame:
-    """Min, mean, median, max sourcing cost over sources per (T, market)."""
-    return sourcing.groupBy("T", "market").agg(
+    """Min, mean, median, max sourcing cost over sources per (T, state, market)."""
+    return sourcing.groupBy(*MARKET).agg(
         F.min("cost").alias("freight_min"), F.avg("cost").alias("freight_mean"),
         F.median("cost").alias("freight_median"), F.max("cost").alias("freight_max"))
 
 
 # ------------------------------------------------------------------ V10
-def market_margin(sales: DataFrame, sourcing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per (T, market, source) freight cost, revenue and margin; unmet demand per market.
+def market_margin(sales: DataFrame, sourcing: DataFrame, demand: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per (T, state, market, source) freight cost, revenue and margin; unmet demand per market.
 
-    ``sales(T, market, source, sales)``.
+    ``sales(T, state, market, source, sales)``, ``demand(T, state, market,
+    demand, price)``.  Every sale and every market has its row: revenue takes
+    the market's price; a sale without a lane has NULL freight and margin; a
+    market without sales leaves its whole demand unmet.
     """
-    j = sales.join(sourcing, ["T", "market", "source"])
-    m = j.select("T", "market", "source", "sales", (F.col("sales") * F.col("cost")).alias("freight"),
-                 (F.col("sales") * F.col("price")).alias("revenue"))
+    lane = sourcing.select(*MARKET, "source", "cost")
+    price = demand.select(*MARKET, "price")
+    m = sales.join(lane, [*MARKET, "source"], "left").join(price, MARKET, "left").select(
+        *MARKET, "source", "sales", (F.col("sales") * F.col("cost")).alias("freight"),
+        (F.col("sales") * F.col("price")).alias("revenue"))
     m = m.withColumn("margin", F.col("revenue") - F.col("freight"))
-    unmet = j.groupBy("T", "market").agg(F.first("demand").alias("demand"), F.sum("sales").alias("sold")) \
-        .select("T", "market", (F.col("demand") - F.col("sold")).alias("unmet"))
+    sold = sales.groupBy(*MARKET).agg(F.sum("sales").alias("sold"))
+    unmet = demand.select(*MARKET, "demand").join(sold, MARKET, "left") \
+        .select(*MARKET, (F.col("demand") - F.coalesce("sold", F.lit(0.0))).alias("unmet"))
     return m, unmet
 
 
@@ -259,19 +281,9 @@ def plant_waterfall(site_cost: DataFrame, margins: DataFrame, decisions: DataFra
         safe_div(col("production"), col("capacity")).alias("utilization"))
 
 
-def location_ordinals(locations: DataFrame, sites: DataFrame) -> DataFrame:
-    """Explicit union order for J15: locations first (by name), then sites (by name)."""
-    u = locations.select("state", "name", F.lit(0).alias("_g")).unionByName(
-        sites.select("state", "name", F.lit(1).alias("_g")))
-    # one row per location: a dimension-sized window; a site that is also a
-    # location keeps its first (location) position
-    o = u.select("state", "name", F.row_number().over(Window.orderBy("_g", "name", "state")).alias("ord"))
-    return o.groupBy("state", "name").agg(F.min("ord").alias("ord"))
-
-
-def markets_by_period(panel: DataFrame, periods: DataFrame, keys: Sequence[str] = ("mun",)) -> DataFrame:
-    """DEMAND / PRICE per (T, market): annual litres and volume-weighted price (A09 + J12)."""
+def markets_by_period(panel: DataFrame, periods: DataFrame, keys: Sequence[str] = ("state", "mun")) -> DataFrame:
+    """DEMAND / PRICE per (T, state, market): annual litres and volume-weighted price (A09 + J12)."""
     g = panel.groupBy(F.year("date").cast("int").alias("date"), *keys).agg(
         F.sum("litres").alias("demand"), safe_div(F.sum(F.col("price") * F.col("litres")), F.sum("litres")).alias("price"))
     g = g.join(F.broadcast(periods.select("T", "date")), "date")
-    return g.select("T", F.col(keys[0]).alias("market"), "demand", "price")
+    return g.select("T", F.col(keys[0]).alias("state"), F.col(keys[1]).alias("market"), "demand", "price")

@@ -151,8 +151,7 @@ class Project:
     @staticmethod
     def build_freight_costs(sites, markets, mxn_per_ton_km, pair_rates=None, state_rates=None) -> DataFrame:
         lanes = CO.lane_distances(sites, markets)
-        ords = CO.location_ordinals(markets.select("state", "name"), sites.select("state", "name"))
-        return CO.freight_costs(lanes, CO.base_rate(mxn_per_ton_km), pair_rates, state_rates, ords)
+        return CO.freight_costs(lanes, CO.base_rate(mxn_per_ton_km), pair_rates, state_rates, markets, sites)
 
     fix_freight = staticmethod(CO.freight_costs)
     production_timeseries = staticmethod(CO.site_costs)
@@ -162,9 +161,9 @@ class Project:
     audit_markets = staticmethod(AU.audit_markets)
 
     @staticmethod
-    def retrieve_opt_info(sales, sourcing, site_cost):
-        margins, unmet = CO.market_margin(sales, sourcing)
-        return margins, unmet, CO.plant_waterfall(site_cost, margins), CO.lane_summary(sourcing)
+    def retrieve_opt_info(sales, sourcing, site_cost, demand, decisions=None, projects=None):
+        margins, unmet = CO.market_margin(sales, sourcing, demand)
+        return margins, unmet, CO.plant_waterfall(site_cost, margins, decisions, projects), CO.lane_summary(sourcing)
 
     def load_opt_info(self, base: str | None = None) -> dict:
         return RD.read_scenarios(self.spark, base or self.paths.results)

@@ -111,23 +111,26 @@ def npv_sensitivity(production: DataFrame, periods: DataFrame, wacc: float = 0.1
     """V14 (long form): one row per (plant, case) with mean, std, count over runs.
 
     Every case is linear in a few discounted sums, so the fact rows are
-    reduced once per (run, plant) to those sums (under both discount rates)
-    and the six cases are expanded on that small table with ``explode`` of a
-    literal array: the fact rows are never multiplied by the case count.
+    reduced once per (run, plant) to those sums, one set for each distinct rate
+    multiplier, and the cases are expanded on that small table with ``explode``
+    of a literal array: the fact rows are never multiplied by the case count.
     """
-    d1 = discount_table(periods, wacc).select("T", F.col("DF").alias("DF1"))
-    d2 = discount_table(periods, wacc * max(c[3] for c in cases)).select("T", F.col("DF").alias("DF2"))
-    p = production.join(F.broadcast(d1.join(d2, "T")), "T")
+    rates = sorted({float(c[3]) for c in cases})
+    disc = None
+    for i, m in enumerate(rates):
+        d = discount_table(periods, wacc * m).select("T", F.col("DF").alias(f"DF{i}"))
+        disc = d if disc is None else disc.join(d, "T")
+    p = production.join(F.broadcast(disc), "T")
     parts = {"rev": F.col("revenues"), "arev": F.abs(F.col("revenues")), "cost": F.col("costs"),
              "dep": F.col("depreciation"), "capex": F.col("capex")}
-    sums = [F.sum(F.col(dfc) * e).alias(f"{k}_{dfc}") for dfc in ("DF1", "DF2") for k, e in parts.items()]
+    sums = [F.sum(F.col(f"DF{i}") * e).alias(f"{k}_{i}") for i in range(len(rates)) for k, e in parts.items()]
     per_run = p.groupBy("file", "plant").agg(*sums)
-    case_arr = F.array(*[F.struct(F.lit(n).alias("case"), F.lit(k).alias("k"), F.lit(cm).alias("cm"),
-                                  F.lit("DF2" if wm != 1.0 else "DF1").alias("df")) for n, k, cm, wm in cases])
+    case_arr = F.array(*[F.struct(F.lit(n).alias("case"), F.lit(float(k)).alias("k"), F.lit(float(cm)).alias("cm"),
+                                  F.lit(rates.index(float(wm))).alias("rate")) for n, k, cm, wm in cases])
     x = per_run.select("*", F.explode(case_arr).alias("cs"))
 
     def pick(k):
-        return F.when(F.col("cs.df") == "DF2", F.col(f"{k}_DF2")).otherwise(F.col(f"{k}_DF1"))
+        return F.coalesce(*[F.when(F.col("cs.rate") == i, F.col(f"{k}_{i}")) for i in range(len(rates))])
 
     npv = ((pick("rev") + F.col("cs.k") * pick("arev") - pick("cost") - pick("dep")) * (1 - TAX)
            + pick("dep") - F.col("cs.cm") * pick("capex"))
@@ -156,12 +159,11 @@ def mc_simulation(production: DataFrame, periods: DataFrame, wacc: float = 0.10,
     """
     s = npv_stats(production, periods, wacc, plant_pattern)
     ratio = safe_div("depreciation_mean", "capex_mean")
-    # f = mean over plants of mean(dep) / mean(capex), undefined skipped.  The statistics
-    # table has one row per plant, so a window over all of it is bounded and shares the
-    # upstream work (a scalar subquery would recompute the whole NPV plan in its own job).
-    factor = F.avg(ratio).over(Window.partitionBy())
-    base = s.select("plant", "NPV_revenues_mean", "NPV_revenues_std", "NPV_costs_mean", "NPV_costs_std",
-                    "capex_mean", factor.alias("dep_factor"))
+    # f = mean over plants of mean(dep) / mean(capex), undefined skipped: one aggregate row,
+    # broadcast back on a constant key; both branches share the exchange of the statistics
+    factor = s.agg(F.avg(ratio).alias("dep_factor")).withColumn("_one", F.lit(1))
+    base = s.withColumn("_one", F.lit(1)).join(F.broadcast(factor), "_one").select(
+        "plant", "NPV_revenues_mean", "NPV_revenues_std", "NPV_costs_mean", "NPV_costs_std", "capex_mean", "dep_factor")
     x = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
 
     def draw(metric: str, force_rel: bool = False) -> Column:

@@ -21,8 +21,7 @@ def scale_settings(input_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -
     for a shuffle as large as the input (AQE then coalesces small ones and
     splits skewed ones), so no task has to hold more than it can spill.
     """
-    # capped: map x reduce shuffle metadata grows with the product; AQE coalesces the rest
-    n = min(50_000, max(200, int(input_bytes // partition_bytes)))
+    n = max(200, int(input_bytes // partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(n),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
@@ -42,7 +41,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     * AQE with partition coalescing and skew-join splitting, so a hot key
       (one plant or state holding a third of the rows) is split at runtime.
     * ``input_bytes`` (cluster runs): shuffle partitions sized from the input
-      (``scale_settings``), e.g. 100 TB -> 50k initial partitions (cap), coalesced by AQE.
+      (``scale_settings``), e.g. 100 TB -> 400k initial partitions, coalesced by AQE.
     * ANSI mode stays on: operators use ``try_divide`` / ``try_cast`` where the
       reference relied on inf / NaN.
     """
@@ -63,7 +62,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if master and master.startswith("local"):
         # local mode: the driver JVM is the executor; the 1g default heap is too small
-        b = b.config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "16g"))
+        b = b.config("spark.driver.memory", os.environ.get("QUARRY_DRIVER_MEMORY", "8g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -154,14 +154,18 @@ def drop_unnamed(df: DataFrame, marker: str = "Unnamed") -> DataFrame:
 
 
 # ------------------------------------------------------------------ S11 / S12
-def write_partitioned(df: DataFrame, path: str, key: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+def write_partitioned(df: DataFrame, path: str, key: str, fmt: str = "parquet", mode: str = "overwrite", **opts) -> None:
     """One output folder per key value in a single job (no driver loop)."""
-    df.write.mode(mode).partitionBy(key).format(fmt).save(path)
+    df.write.mode(mode).partitionBy(key).options(**opts).format(fmt).save(path)
 
 
 def cached_table(spark: SparkSession, path: str, build, fmt: str = "parquet", **opts) -> DataFrame:
-    """Reuse a derived table when it already exists at ``path``, else build, write and read it back."""
-    if not _exists(spark, path):
+    """Reuse a derived table when it is complete at ``path``, else build, write and read it back.
+
+    Complete means that its write left the commit marker; a folder of a running
+    or failed write is built again.
+    """
+    if not _exists(spark, path.rstrip("/") + "/_SUCCESS"):
         w = build().write.mode("overwrite").format(fmt)
         for k, v in opts.items():
             w = w.option(k, v)

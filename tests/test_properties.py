@@ -112,9 +112,9 @@ def test_freight_precedence(spark):
         "source_state string, source string, destination_state string, destination string, kms double")
     pair = spark.createDataFrame([("P", "Q", 0.5)], "source_state string, destination_state string, rate double")
     st = spark.createDataFrame([("R", 2.0), ("Z", 3.0), ("Q", 4.0)], "state string, rate double")
-    ords = spark.createDataFrame([("Q", "q1", 1), ("R", "r1", 2), ("Z", "z1", 3), ("P", "p1", 4)],
-                                 "state string, name string, ord int")
-    got = {(r.source, r.destination): r.freightxkms for r in CO.freight_costs(lanes, 1.0, pair, st, ords).collect()}
+    places = spark.createDataFrame([("Q", "q1"), ("R", "r1")], "state string, name string")
+    plants = spark.createDataFrame([("P", "p1"), ("Z", "z1")], "state string, name string")
+    got = {(r.source, r.destination): r.freightxkms for r in CO.freight_costs(lanes, 1.0, pair, st, places, plants).collect()}
     assert got[("p1", "q1")] == 0.5      # pair rate wins
     assert got[("p1", "r1")] == 2.0      # destination state rate
     assert got[("z1", "q1")] == 4.0      # both ends qualify: q1 comes first
@@ -175,18 +175,49 @@ def test_calendar_forecast_with_normalisation_matches_loop(spark):
             assert abs(got[(loc, day)][1] - q * 500.0 / tot) < 1e-9
 
 
-def test_attach_bounded_guard(spark):
+def test_attach_bounded_has_no_cap(spark):
     big = spark.range(5)
-    small = spark.range(3).withColumnRenamed("id", "k")
-    assert CO.attach_bounded(big, small, "_b").count() == 15
-    with pytest.raises(Exception):
-        CO.attach_bounded(big, small, "_b", max_rows=2).count()
+    small = spark.range(37).withColumnRenamed("id", "k")
+    want = sorted((i, k) for i in range(5) for k in range(37))
+    for rows in (1000, 4):  # one array, and ten blocks
+        assert sorted(map(tuple, CO.attach_bounded(big, small, "_b", block_rows=rows).collect())) == want
+
+
+def test_margin_keeps_every_market_and_sale(spark):
+    dem = spark.createDataFrame([(0, "A", "m", 20.0, 2.0), (0, "B", "m", 10.0, 3.0)], "T int, state string, market string, demand double, price double")
+    lanes = spark.createDataFrame([("P", "p", "A", "m", 1.0, 1.0, 0.5)], "source_state string, source string, destination_state string, "
+                                  "destination string, kms double, freightxkms double, freight double")
+    src = CO.market_sourcing(dem, lanes, inflation=0.0)
+    assert {(r.state, r.source): r.cost for r in src.collect()} == {("A", "p"): 0.5, ("A", "Imports"): 1.8, ("B", "Imports"): 2.7}
+    sales = spark.createDataFrame([(0, "B", "m", "p", 4.0)], "T int, state string, market string, source string, sales double")
+    margin, unmet = CO.market_margin(sales, src, dem)
+    assert {(r.state, r.unmet) for r in unmet.collect()} == {("A", 20.0), ("B", 6.0)}
+    assert [(r.state, r.revenue, r.freight) for r in margin.collect()] == [("B", 12.0, None)]
+
+
+def test_sensitivity_uses_every_rate(spark):
+    prod = spark.createDataFrame([("r", t, "p", 100.0, 40.0, 5.0, 10.0) for t in range(4)],
+                                 "file string, T int, plant string, revenues double, costs double, depreciation double, capex double")
+    per = spark.createDataFrame([(2022 + t, 365, t) for t in range(4)], "date int, days int, T int")
+    cases = [(f"x{m}", 0.0, 1.0, m) for m in (0.8, 1.0, 1.2, 1.5)]
+    got = {r.case: r.mean for r in V.npv_sensitivity(prod, per, 0.1, cases).collect()}
+    for _, _, _, m in cases:
+        one = V.npv_sensitivity(prod, per, 0.1 * m, [("only", 0.0, 1.0, 1.0)]).first()["mean"]
+        assert abs(got[f"x{m}"] - one) < 1e-9
+    assert len(set(got.values())) == 4
+
+
+def test_sale_without_demand_is_a_breach(spark):
+    from quarry.plans.audit import audit_markets
+    sales = spark.createDataFrame([("r", 0, "m", "p", 5.0)], "file string, T int, market string, plant string, sales double")
+    none = spark.createDataFrame([], "file string, T int, market string, demand double")
+    assert {(r.rule, r.amount) for r in audit_markets(sales, none).collect()} == {("market_demand", 5.0), ("sale_bound", 5.0)}
 
 
 def test_scale_settings():
     from quarry.session import scale_settings
     s = scale_settings(100 * 1024 ** 4)
-    assert int(s["spark.sql.shuffle.partitions"]) == 50_000
+    assert int(s["spark.sql.shuffle.partitions"]) == 409_600
     assert int(scale_settings(1024 ** 3)["spark.sql.shuffle.partitions"]) == 200
 
 
