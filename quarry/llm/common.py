@@ -120,45 +120,56 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def bucket_edges(members: DataFrame, payload: list[str], prefilter: Callable[[str, str], Column],
-                 verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+                 verify: Callable[[DataFrame], DataFrame],
+                 refine: Callable[[DataFrame], tuple[DataFrame, DataFrame, list[str], Callable[[str, str], Column]]] | None = None) -> DataFrame:
     """Verified links that connect the members of every bucket as all pairs of it would.
 
     ``members(key, id, *payload)``: bucket memberships.  ``prefilter(a, b)`` is a
     condition on the payload columns ``a_*`` / ``b_*`` that every true pair
     meets; ``verify(pairs(a, b))`` returns the true pairs.
 
-    1. Star: each member is paired with its bucket's centre (one of four
-       orderings by the bucket's key, so that large groups meet several
-       centres), and the verified pairs give components.
+    1. Star: each member is paired with its bucket's centre, and the verified
+       pairs give components.  The centre is the member that shares most
+       buckets with most others: in a family of copies that is its source.
     2. Rest: where a bucket of three or more still holds several components,
        each member outside the bucket's most common component is paired with
        the members of other components.  Members that are already connected
        need no further pair, so a group of copies is never expanded.
+       ``refine(rest(id, comp, *payload))`` may give a sharper condition: it
+       returns the members with more payload columns, further pairs (a, b) to
+       test, those columns' names and the condition for all other pairs.
     Together these test every pair that could join two components; the
     result's components equal those of all pairs.
     """
     cols = ["id", *payload]
-    order = F.xxhash64(F.col("id"), F.pmod(F.col("key"), F.lit(4)))
-    heads = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), *cols)).alias("c"), F.count(F.lit(1)).alias("size")) \
-        .filter("size > 1").select("key", "size", *[F.col(f"c.{c}").alias(f"b_{c}") for c in cols])
-    mine = members.select("key", *[F.col(c).alias(f"a_{c}") for c in cols])
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    score = members.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("score"))
+    ranked = scratch_table(members.join(score, "id").select("key", "score", *cols), "ranked")
+    heads = ranked.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("o"), *cols)).alias("c"), F.count(F.lit(1)).alias("size")) \
+        .filter("size > 1").select("key", *[F.col(f"c.{c}").alias(f"b_{c}") for c in cols])
+    mine = ranked.select("key", *[F.col(c).alias(f"a_{c}") for c in cols])
     star = mine.join(heads, "key").filter((F.col("a_id") != F.col("b_id")) & prefilter("a", "b")) \
         .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
     first = scratch_table(verify(star), "edges")
     comp = components(first)
-    crowd = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 2").select("key"), "key") \
+    crowd = ranked.select("key", *cols).join(sizes.filter("size > 2").select("key"), "key") \
         .join(comp, "id", "left").select("key", F.coalesce("comp", "id").alias("comp"), *cols)
     crowd = scratch_table(crowd, "crowd")
-    split = crowd.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")) \
-        .groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")) \
+    split = crowd.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_comp")) \
+        .groupBy("key").agg(F.max(F.struct("n_comp", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")) \
         .filter("comps > 1").select("key", F.col("top.comp").alias("major"))
     rest = scratch_table(crowd.join(split, "key"), "rest")
-    a = rest.filter("comp <> major").select("key", *[F.col(c).alias(f"a_{c}") for c in ["comp", *cols]])
-    b = rest.select("key", "major", *[F.col(c).alias(f"b_{c}") for c in ["comp", *cols]])
-    more = a.join(b, "key").filter((F.col("a_comp") != F.col("b_comp")) & prefilter("a", "b")
-                                   & ((F.col("b_comp") == F.col("major")) | (F.col("a_id") < F.col("b_id")))) \
-        .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
-    more = scratch_table(more, "more")
-    if more.isEmpty():
+    more, late, condition = None, [], prefilter
+    if refine is not None:
+        known, more, late, condition = refine(rest.select("comp", *cols).distinct())
+        rest = rest.join(known.select("id", *late), "id")
+    both = ["comp", *cols, *late]
+    a = rest.filter("comp <> major").select("key", *[F.col(c).alias(f"a_{c}") for c in both])
+    b = rest.select("key", "major", *[F.col(c).alias(f"b_{c}") for c in both])
+    pairs = a.join(b, "key").filter((F.col("a_comp") != F.col("b_comp")) & condition("a", "b")
+                                    & ((F.col("b_comp") == F.col("major")) | (F.col("a_id") < F.col("b_id")))) \
+        .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    pairs = scratch_table((pairs if more is None else pairs.unionByName(more)).distinct(), "pairs")
+    if pairs.isEmpty():
         return first
-    return first.unionByName(scratch_table(verify(more), "edges"))
+    return first.unionByName(scratch_table(verify(pairs), "edges"))

@@ -10,7 +10,8 @@
    pair with a probability of 5e-8.
 4. Candidates are verified on the full sets (:func:`verified_pairs`), and
    :func:`~quarry.llm.common.bucket_edges` picks the candidates that can
-   still join two groups, so large groups of copies are not expanded.
+   still join two groups, so large groups of copies are not expanded;
+   :func:`split_by_rarity` leaves those out that cannot reach the threshold.
 5. Groups: connected components of the verified links, by rounds of joins.
 """
 
@@ -32,6 +33,7 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 CHUNK_WORDS = 100_000  # words worked on at once: bounds the memory of a task
 CACHE_WORDS = 300_000
+RARE_DF = 32  # a shingle that so many of the documents in question hold is rare
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -167,6 +169,38 @@ def verified_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return both.filter(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
+def split_by_rarity(rest: DataFrame, sets: DataFrame, percent: int, rare_df: int = RARE_DF):
+    """Exact split of the pairs still to test among ``rest(id, comp, n)`` by the shingles that few of them hold.
+
+    Ordered by frequency, two linked documents share one of their first
+    n - ceil(percent * n / 100) + 1 shingles.  (i) If a rare one is shared there,
+    the pair is found by a join on it, at most ``rare_df`` documents a shingle.
+    (ii) Otherwise the pair shares no rare shingle at all: only a document whose
+    rare ones all stand in that prefix can have such a partner, and the
+    shingles that are not rare bound the intersection.
+    """
+    held = rest.join(sets.select(F.col("cid").alias("id"), "shingles"), "id").select("id", "comp", "n", F.explode("shingles").alias("shingle"))
+    df = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= rare_df)
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rare = held.join(df, "shingle").groupBy("id", "comp", "n").agg(
+        F.count(F.lit(1)).alias("rare"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("list")) \
+        .select("id", "comp", "n", "rare", F.slice("list", F.lit(1), first.cast("int")).alias("list"), (F.col("rare") < first).alias("open"))
+    rare = scratch_table(rare, "rare")
+    near = rare.select("id", "comp", "n", F.explode("list").alias("x")).filter("x.df > 1").select("id", "comp", "n", "x.shingle")
+    a, b = (near.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "comp", "n")]) for side in "ab")
+    pairs = a.join(b, "shingle").filter((F.col("a_comp") != F.col("b_comp")) & (F.col("a_id") < F.col("b_id"))
+                                        & (100 * F.col("b_n") >= percent * F.col("a_n")) & (100 * F.col("a_n") >= percent * F.col("b_n"))) \
+        .select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    known = rest.select("id").distinct().join(rare.select("id", "rare", "open"), "id", "left") \
+        .select("id", F.coalesce("rare", F.lit(0)).alias("rare"), F.coalesce("open", F.lit(True)).alias("open")).filter("open")
+
+    def condition(x: str, y: str):
+        most = F.least(F.col(f"{x}_n") - F.col(f"{x}_rare"), F.col(f"{y}_n") - F.col(f"{y}_rare"))
+        return 100 * most >= percent * (F.col(f"{x}_n") + F.col(f"{y}_n") - most)
+
+    return known, pairs, ["rare"], condition
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
                     bands: int = 32, rows: int = 4) -> DataFrame:
     """One row per input row: id, row_no, thash, n_shingles, component_id, kept.
@@ -198,7 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sizes_allow(a: str, b: str):
         return 100 * F.least(f"{a}_n", f"{b}_n") >= percent * F.greatest(f"{a}_n", f"{b}_n")
 
-    edges = bucket_edges(members, ["n"], sizes_allow, lambda pairs: verified_pairs(pairs, sets, percent))
+    edges = bucket_edges(members, ["n"], sizes_allow, lambda pairs: verified_pairs(pairs, sets, percent),
+                         lambda rest: split_by_rarity(rest, sets, percent))
     comp = components(edges).withColumnRenamed("id", "cid")
     group = classes.join(comp, "cid", "left").select("set_key", F.coalesce("comp", "cid").alias("comp"))
     # the row of each group that stays: spread over the classes first, then over the groups
