@@ -61,20 +61,19 @@ def quartile_cutoff(df: DataFrame, group: str, share: str = "state_share",
                     out: str = "cutoff") -> DataFrame:
     """max(min(p50 + 1.5 (p75 - p25), keep_above), min_share) per group, joined back.
 
-    ``percentile`` keeps the group's values in its buffer; groups here are the
-    locations of one state (a dimension), so the buffer is bounded.  Use
-    ``approx=True`` for unbounded groups.
+    The statistics are one grouped aggregate (partial maps of distinct values
+    per task), one row per group, joined back; no window gathers a group's rows.
+    Exact percentiles hold a group's distinct values in one buffer; use
+    ``approx=True`` where a group has too many of them.
     """
-    w = Window.partitionBy(group)
     if approx:
-        q = F.percentile_approx(share, [0.25, 0.5, 0.75], 100000).over(w)
+        q = F.percentile_approx(share, [0.25, 0.5, 0.75], 100000)
         p25, p50, p75 = q[0], q[1], q[2]
     else:
-        p25 = F.percentile(share, 0.25).over(w)
-        p50 = F.percentile(share, 0.5).over(w)
-        p75 = F.percentile(share, 0.75).over(w)
+        p25, p50, p75 = F.percentile(share, 0.25), F.percentile(share, 0.5), F.percentile(share, 0.75)
     cut = F.greatest(F.least(p50 + F.lit(1.5) * (p75 - p25), F.lit(keep_above)), F.lit(min_share))
-    return df.withColumn(out, cut)
+    stats = df.groupBy(F.col(group).alias("_g")).agg(cut.alias(out))
+    return df.join(broadcast_if_small(stats), df[group].eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 def weighted_mean(x: str, w: str):

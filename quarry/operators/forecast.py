@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 
 from quarry.functions.exprs import safe_div, seeded_normal
 from quarry.operators.windows import growth_bound
+from quarry.session import broadcast_if_small
 
 
 # ------------------------------------------------------------------ M06
 def _step(model: str, win: Column, width: int) -> Column:
     last = F.element_at(win, -1)
+    n = F.size(win)  # less than ``width`` for a short history
     if model == "seasonal" and width >= 7:
-        return F.element_at(win, width - 6)  # same weekday one week earlier
+        return F.when(n >= 7, F.try_element_at(win, n - 6)).otherwise(last)  # same weekday one week earlier
     first = F.element_at(win, 1)
     ratio = F.try_divide(last, first)
-    drift = F.when(ratio > 0, F.pow(ratio, F.lit(1.0 / max(width - 1, 1)))).otherwise(F.lit(1.0))
+    drift = F.when(ratio > 0, F.pow(ratio, F.lit(1.0) / F.greatest(n - 1, F.lit(1)))).otherwise(F.lit(1.0))
     return last * drift
 
 
@@ -34,8 +36,9 @@ def forecast(panel: DataFrame, keys: Sequence[str], order: str, values: Sequence
 
     The last ``width`` rows per entity seed the state (rank filter, so the
     collected array never exceeds ``width``); each step appends its value and
-    drops the oldest.  ``saturate`` clips every step against the value
-    ``width`` steps earlier (W12).
+    drops the oldest.  A shorter history is used as it is: its own length takes
+    the place of ``width`` (no location is left out).  ``saturate`` clips every
+    step against the oldest value of the window (W12).
     """
     w_desc = Window.partitionBy(*keys).orderBy(F.col(order).desc())
     recent = panel.select(*keys, order, *values, F.row_number().over(w_desc).alias("_rk")) \
@@ -43,7 +46,6 @@ def forecast(panel: DataFrame, keys: Sequence[str], order: str, values: Sequence
     hist = recent.groupBy(*keys).agg(
         F.max(order).alias("_last"),
         F.sort_array(F.collect_list(F.struct(F.col(order).alias("t"), *[F.col(v) for v in values]))).alias("_h"))
-    hist = hist.filter(F.size("_h") == width)
     ub = growth_bound(annual_cap, width)
     def field(name):
         return lambda s: s[name].cast("double")
@@ -74,8 +76,9 @@ def forecast(panel: DataFrame, keys: Sequence[str], order: str, values: Sequence
 # ------------------------------------------------------------------ M07
 def normalise_total(df: DataFrame, date: str, value: str, target: Column) -> DataFrame:
     """Rescale each day so the total over locations equals ``target``."""
-    tot = F.sum(value).over(Window.partitionBy(date))
-    return df.withColumn(value, F.col(value) * safe_div(target, tot))
+    tot = df.groupBy(F.col(date).alias("_day")).agg(F.sum(value).alias("_tot"))  # one row per day
+    j = df.join(broadcast_if_small(tot), df[date].eqNullSafe(F.col("_day")))
+    return j.withColumn(value, F.col(value) * safe_div(target, F.col("_tot"))).select(*df.columns)
 
 
 # ------------------------------------------------------------------ M04
@@ -87,8 +90,10 @@ def revenue_mape(obs: DataFrame, pred: DataFrame, history: DataFrame, keys: Sequ
     Returns rows (metric, loss).
     """
     wts = history.groupBy(*keys).agg(F.sum(F.col(p) * F.col(q)).alias("_rev"))
-    # one row per location (a dimension): the total shares the upstream pass
-    wts = wts.select(*keys, safe_div(F.col("_rev"), F.sum("_rev").over(Window.partitionBy())).alias("w"))
+    # the total is one aggregate row, broadcast back on a constant key
+    total = wts.agg(F.sum("_rev").alias("_all")).withColumn("_one", F.lit(1))
+    wts = wts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one") \
+        .select(*keys, safe_div(F.col("_rev"), F.col("_all")).alias("w"))
     j = obs.select(*keys, date, F.col(p).alias("p"), F.col(q).alias("q")).join(
         pred.select(*keys, date, F.col(p).alias("ph"), F.col(q).alias("qh")), [*keys, date])
 

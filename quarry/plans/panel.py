@@ -155,11 +155,15 @@ def consumption_table(pop: DataFrame, demand: DataFrame, prices: DataFrame, year
           .join(yearly_price, ["year", "state"]).na.drop())  # J06
     model = price_response(el)
     # A06 + A07 + P24 + W01 + A08
-    w_state = Window.partitionBy("state")
-    loc = loc.withColumn("state_share", safe_div(F.col("MUN_FUEL"), F.sum("MUN_FUEL").over(w_state)))
+    total = loc.groupBy(F.col("state").alias("_s")).agg(F.sum("MUN_FUEL").alias("_state_fuel"))
+    loc = loc.join(broadcast_if_small(total), F.col("state").eqNullSafe(F.col("_s")), "left") \
+        .withColumn("state_share", safe_div(F.col("MUN_FUEL"), F.col("_state_fuel"))).drop("_s", "_state_fuel")
     loc = quartile_cutoff(loc, "state", "state_share", min_share, keep_above)
     loc = loc.withColumn("flag", flag_ge("state_share", "cutoff"))  # P24
-    rank = F.row_number().over(Window.partitionBy("state", "flag").orderBy("mun"))
+    # flagged rows are few in a state (each holds at least ``min_share`` of it); the others, which
+    # need no rank, are spread by their name instead of meeting in their state's window
+    spread = F.when(F.col("flag") == 1, F.lit(None).cast("string")).otherwise(F.col("mun").cast("string"))
+    rank = F.row_number().over(Window.partitionBy("state", "flag", spread).orderBy("mun"))
     loc = loc.withColumn("aggregate", F.when(F.col("flag") == 1, rank).otherwise(F.lit(0)))
     inter = {"state_data": filled, "shares": shares, "demand_filled": dem, "elasticity": el, "locations": loc}
     if not aggregated:
@@ -184,6 +188,7 @@ def fuel_panel(consumption: DataFrame, model: DataFrame, prices: DataFrame) -> D
     curve = F.coalesce(safe_div(F.col("pred"), F.avg("pred").over(wy)), F.lit(1.0))
     p = p.select("date", "state", "price", curve.alias("curve"))
     loc = consumption.select("state", "mun", "lat", "lon", "MUN_FUEL").dropDuplicates()
-    j = loc.join(p, "state")
+    # the curve has one row per state and day: broadcast while that is small
+    j = loc.join(broadcast_if_small(p), "state")
     return j.select("state", "mun", "lat", "lon", "date", "price",
                     (F.col("MUN_FUEL") * F.col("curve") * F.lit(LITRES_PER_BARREL)).alias("litres"))
