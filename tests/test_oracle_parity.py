@@ -7,12 +7,13 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from quarry.cases import load_all
 from tests.conftest import SF_SMALL
 
 TYPE_MAP = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
             "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = {n: q for n, q in entry.queries().items() if n in load_all()}
+SQL = {n: q for n, q in entry.oracle_sql().items() if n in QUERIES}
 
 
 def _norm(v):
