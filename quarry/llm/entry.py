@@ -54,4 +54,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_line_dedup, op3_html, op4_embedding_dedup, op5_toxicity, op6_quality,
                               op7_minhash, op8_mixing, op9_exact_dedup, op10_secrets)}
 
-SQL: dict[str, str] = {"op9_exact_dedup": exact_dedup.OP9_SQL}
+SQL: dict[str, str] = {"op4_embedding_dedup": embedding_dedup.OP4_SQL, "op7_minhash": minhash.OP7_SQL,
+                       "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_secrets": secrets.op10_sql()}

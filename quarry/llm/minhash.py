@@ -263,3 +263,22 @@ def op7_minhash(docs: DataFrame) -> DataFrame:
     d = near_duplicates(docs, k=4, percent=80)
     return d.select(F.col("id").alias("doc_id"), "n_shingles", "component_id",
                     F.coalesce(F.col("id") == F.col("component_id"), F.col("kept")).alias("kept"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, len(w) AS n_words, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+grams AS (SELECT doc_id, n_words, i, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS x FROM words),
+distinct_grams AS (SELECT DISTINCT doc_id, x FROM grams WHERE i <= greatest(n_words - 3, 1)),
+one AS (SELECT doc_id, x, count(*) OVER (PARTITION BY doc_id) AS n FROM distinct_grams),
+links AS (
+  SELECT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS i
+                    FROM one a JOIN one b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL) p
+  WHERE 100 * i >= 80 * (na + nb - i)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT r.doc_id, coalesce(any_value(o.n), 0)::BIGINT AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
+FROM reach r LEFT JOIN (SELECT doc_id, any_value(n) AS n FROM one GROUP BY doc_id) o USING (doc_id) GROUP BY r.doc_id
+"""

@@ -127,3 +127,25 @@ def op10_secrets(docs: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return rows.select(F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
                        F.sha2(span_text(base, RULES), 256).alias("base_sha256"), span_text(F.col("spans"), RULES).alias("spans"))
+
+
+def _kind_sql(kind: int, rule: Rule) -> str:
+    """Spans of one rule in DuckDB: (start, kind, stop) from the lengths between the matches."""
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    return f"""list_transform(list_filter(list_transform(range(1, len(regexp_extract_all(t, {pattern})) + 1), lambda i: struct_pack(
+        s := coalesce(list_sum(list_transform(string_split_regex(t, {pattern})[1:i], lambda x: length(x))), 0)
+             + coalesce(list_sum(list_transform(regexp_extract_all(t, {pattern})[1:i - 1], lambda x: length(x))), 0),
+        n := length(regexp_extract_all(t, {pattern})[i]), v := length(regexp_extract_all(t, {pattern}, {rule.value})[i]))),
+      lambda x: x.v >= {rule.least}), lambda x: struct_pack(s := x.s::BIGINT, k := {kind}, e := (x.s + x.n)::BIGINT))"""
+
+
+def op10_sql() -> str:
+    names = "[" + ", ".join(f"'{r.kind}'" for r in RULES) + "]"
+    text = lambda x: f"coalesce(array_to_string(list_transform({x}, lambda y: {names}[y.k + 1] || ':' || y.s || ':' || y.e), ','), '')"
+    kinds = ", ".join(f"{_kind_sql(k, r)} AS k{k}" for k, r in enumerate(RULES))
+    base, every = ("list_sort(list_concat(" + ", ".join(f"k{k}" for k in range(n)) + "))" for n in (3, len(RULES)))
+    return f"""
+SELECT doc_id, len(k0)::BIGINT AS n_assign, len(k1)::BIGINT AS n_access, len(k2)::BIGINT AS n_hex,
+       sha256({text('base')}) AS base_sha256, {text('every')} AS spans
+FROM (SELECT *, {base} AS base, {every} AS every FROM (
+  SELECT doc_id, {kinds} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) d) a) b"""

@@ -46,7 +46,8 @@ TRIPLE = re.compile(r"(.)\1\1")
 DECORATION = re.compile(r"\A(?:([^\w\s])\1+|[\"'(\[.,;:?¿¡])+|(?:([^\w\s])\2+|[\"')\].,;:?!])+\Z")
 SPACED = re.compile(r"(?<!\S)(?:\S[ ]){3,}\S(?!\S)")
 PREFIXES = (4, 5, 6)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+COUNTED = 100_000  # features that a task holds before it hands their counts on
 
 _TABLE = np.zeros(0x250, dtype=np.int64)
 for _c, _i in CODE.items():
@@ -56,12 +57,15 @@ for _o in range(0x250):
         _TABLE[_o] = L - 1
 
 
-def trigram_counts(text: str) -> np.ndarray:
-    """Counts of code triples of a text, flattened; everything but letters is an edge."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    code = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], L - 1)
-    code = np.concatenate(([0, 0], code, [0]))
-    return np.bincount((code[:-2] * L + code[1:-1]) * L + code[2:], minlength=L ** 3)
+def trigram_counts(text: str, step: int = 200_000) -> np.ndarray:
+    """Counts of code triples of a text, flattened; everything but letters is an edge.  Works in slices of ``step``."""
+    total = np.zeros(L ** 3, dtype=np.int64)
+    text = f"\n\n{text.lower()}\n"
+    for at in range(0, max(len(text) - 2, 1), step):
+        points = np.frombuffer(text[at:at + step + 2].encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        code = np.where(points < len(_TABLE), _TABLE[np.minimum(points, len(_TABLE) - 1)], L - 1)
+        total += np.bincount((code[:-2] * L + code[1:-1]) * L + code[2:], minlength=L ** 3)
+    return total
 
 
 class CharModel:
@@ -167,7 +171,7 @@ _CACHES: dict[str, _Weights] = {}
 
 def _cache(lexicon: Lexicon) -> _Weights:
     if lexicon.key not in _CACHES:
-        if len(_CACHES) > 3:
+        if sum(map(len, _CACHES.values())) >= CACHE_WORDS // 2:  # of lexicons that are done with
             _CACHES.clear()
         _CACHES[lexicon.key] = _Weights(lexicon)
     return _CACHES[lexicon.key]
@@ -178,10 +182,14 @@ def char_model(texts: DataFrame) -> CharModel:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(L ** 3, dtype=np.int64)
         for b in batches:
+            part, size = [], 0
             for t in b["text"]:
-                total += trigram_counts(t) if len(t) > 20_000 else 0
-            short = "\n".join(t for t in b["text"] if len(t) <= 20_000)
-            total += trigram_counts(short)
+                part.append(t)
+                size += len(t)
+                if size >= 200_000:
+                    total += trigram_counts("\n".join(part))
+                    part, size = [], 0
+            total += trigram_counts("\n".join(part))
         at = np.nonzero(total)[0]
         yield pd.DataFrame({"gram": at, "n": total[at]})
     rows = texts.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
@@ -211,18 +219,25 @@ def weigh_features(sample: DataFrame, model: CharModel, max_features: int, floor
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[tuple[int, int], Counter] = {}
         spelled: dict[str, list[str]] = {}
+
+        def counted() -> Iterator[pd.DataFrame]:
+            for (half, label), counter in seen.items():
+                yield pd.DataFrame({"half": half, "label": label, "feature": list(counter), "n": list(counter.values())})
+            seen.clear()
+
         for b in batches:
             for half, label, text in zip(b["half"], b["label"], b["text"], strict=True):
                 found: set[str] = {""}  # counts the documents
                 for w in spellings(text):
                     if w not in spelled:
-                        if len(spelled) >= CACHE_WORDS:
+                        if len(spelled) >= COUNTED:
                             spelled.clear()
                         spelled[w] = features(restore(w, bc.value))
                     found.update(spelled[w])
                 seen.setdefault((half, label), Counter()).update(found)
-        for (half, label), counter in seen.items():
-            yield pd.DataFrame({"half": half, "label": label, "feature": list(counter), "n": list(counter.values())})
+                if sum(map(len, seen.values())) >= COUNTED:
+                    yield from counted()
+        yield from counted()
 
     counts = sample.mapInPandas(run, "half int, label int, feature string, n long")
     side = lambda h, y: F.coalesce(F.sum(F.when((F.col("half") == h) & (F.col("label") == y), F.col("n"))), F.lit(0)).alias(f"n{h}{y}")
