@@ -48,8 +48,27 @@ CHAIN["prices"] = ("SELECT date, state, avg(price) AS price FROM (" +
 CHAIN["sd"] = (f"SELECT d.state, d.volume * 1000.0 AS BBL, p.pop, p.hab_houses, p.cars FROM demand d JOIN "
                "(SELECT state, sum(pop) AS pop, sum(hab_houses) AS hab_houses, sum(cars) AS cars FROM population "
                f"WHERE state IS NOT NULL GROUP BY state) p USING (state) WHERE d.year = {YEAR}")
-CHAIN["filled"] = ("SELECT state, coalesce(BBL, regr_intercept(BBL, pop) OVER () + regr_slope(BBL, pop) OVER () "
-                   "* pop) AS BBL, pop, hab_houses, cars, regr_r2(BBL, pop) OVER () AS r2 FROM sd")
+CHAIN["filled1"] = ("SELECT state, coalesce(BBL, regr_intercept(BBL, pop) OVER () + regr_slope(BBL, pop) OVER () "
+                    "* pop) AS BBL, pop, hab_houses, cars, regr_r2(BBL, pop) OVER () AS r2 FROM sd")
+# three inputs: Cramer's rule on the centred normal equations of the complete states
+_X = PN.FUEL_INPUTS
+CHAIN["nrm"] = ("SELECT avg(BBL) AS ym, var_pop(BBL) AS yv, " + ", ".join(f"avg({x}) AS m{i}" for i, x in enumerate(_X)) + ", "
+                + ", ".join(f"covar_pop({x}, {y}) AS a{i}{j}" for i, x in enumerate(_X) for j, y in enumerate(_X)) + ", "
+                + ", ".join(f"covar_pop({x}, BBL) AS c{i}" for i, x in enumerate(_X))
+                + " FROM sd WHERE BBL IS NOT NULL AND " + " AND ".join(f"{x} IS NOT NULL" for x in _X))
+
+
+def _det(m):
+    return (f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]})"
+            f" + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))")
+
+
+_A = [[f"a{i}{j}" for j in range(3)] for i in range(3)]
+CHAIN["fit"] = ("SELECT *, ym - b0 * m0 - b1 * m1 - b2 * m2 AS b, (b0 * c0 + b1 * c1 + b2 * c2) / NULLIF(yv, 0) AS r2 FROM (SELECT *, "
+                + ", ".join(f"{_det([[f'c{i}' if j == k else _A[i][j] for j in range(3)] for i in range(3)])} / NULLIF({_det(_A)}, 0) AS b{k}"
+                            for k in range(3)) + " FROM nrm) n")
+CHAIN["filled"] = ("SELECT s.state, coalesce(s.BBL, f.b + " + " + ".join(f"f.b{i} * s.{x}" for i, x in enumerate(_X))
+                   + ") AS BBL, s.pop, s.hab_houses, s.cars, f.r2 FROM sd s, fit f")
 CHAIN["loc"] = ("SELECT p.*, f.BBL / NULLIF(f.pop, 0) * p.pop AS MUN_FUEL FROM population p "
                 "LEFT JOIN filled f USING (state)")
 CHAIN["shares"] = ("SELECT state, fuel / NULLIF(sum(fuel) OVER (), 0) AS share FROM "
@@ -113,22 +132,22 @@ def j01(fx):
     return PN.state_rollup(fx.population, fx.demand, YEAR)
 
 
-@case("m01_fill_regression", chain_sql("SELECT state, BBL, pop, r2 FROM filled", "filled"),
+@case("m01_fill_regression", chain_sql("SELECT state, BBL, pop, r2 FROM filled1", "filled1"),
       rounding={"BBL": 0, "r2": 9})
 def m01(fx):
     f, _ = PN.fill_by_regression(PN.state_rollup(fx.population, fx.demand, YEAR), ["pop"])
     return f.select("state", "BBL", "pop", "r2")
 
 
-@case("m01_fill_regression_multi", None)
+@case("m01_fill_regression_multi", chain_sql("SELECT state, BBL, pop, r2 FROM filled", "filled"), rounding={"BBL": 0, "r2": 9})
 def m01m(fx):
-    f, _ = PN.fill_by_regression(PN.state_rollup(fx.population, fx.demand, YEAR), ["pop", "cars", "hab_houses"])
+    f, _ = PN.fill_by_regression(PN.state_rollup(fx.population, fx.demand, YEAR), PN.FUEL_INPUTS)
     return f.select("state", "BBL", "pop", "r2")
 
 
 @case("m01_per_head_fuel", chain_sql("SELECT state, mun, pop, MUN_FUEL FROM loc", "loc"), rounding=r(0, "MUN_FUEL"))
 def m01t(fx):
-    f, _ = PN.fill_by_regression(PN.state_rollup(fx.population, fx.demand, YEAR), ["pop"])
+    f, _ = PN.fill_by_regression(PN.state_rollup(fx.population, fx.demand, YEAR), PN.FUEL_INPUTS)
     return PN.per_head_fuel(fx.population, f).select("state", "mun", "pop", "MUN_FUEL")
 
 

@@ -71,35 +71,55 @@ def state_rollup(pop: DataFrame, demand: DataFrame, year: int) -> DataFrame:
     return d.join(p, "state", "inner")
 
 
+FUEL_INPUTS = ("pop", "cars", "hab_houses")
+
+
+def normal_equations(complete: DataFrame, inputs: Sequence[str], response: str) -> DataFrame:
+    """One row: intercept ``b``, slopes ``b0..``, and ``r2`` of ``response ~ inputs``.
+
+    Centred sums come from one aggregate; the k x k system is eliminated in
+    column expressions, one select per pivot, so nothing leaves the plan.  An
+    input without variance of its own leaves the coefficients NULL.
+    """
+    k = range(len(inputs))
+    x = list(inputs)
+    m = complete.agg(
+        F.avg(response).alias("ym"), F.var_pop(response).alias("yv"), *[F.avg(x[i]).alias(f"m{i}") for i in k],
+        *[F.covar_pop(x[i], x[j]).alias(f"a{i}_{j}") for i in k for j in k],
+        *[F.covar_pop(x[i], response).alias(f"c{i}") for i in k])
+    m = m.select("*", *[F.col(f"c{i}").alias(f"y{i}") for i in k])
+    for p in k:
+        for i in range(p + 1, len(x)):
+            f = F.try_divide(F.col(f"a{i}_{p}"), F.col(f"a{p}_{p}"))
+            m = m.withColumn("_f", f)
+            m = m.withColumns({f"y{i}": F.col(f"y{i}") - F.col("_f") * F.col(f"y{p}")}
+                              | {f"a{i}_{j}": F.col(f"a{i}_{j}") - F.col("_f") * F.col(f"a{p}_{j}") for j in range(p, len(x))})
+    for i in reversed(k):
+        rest = F.col(f"y{i}")
+        for j in range(i + 1, len(x)):
+            rest = rest - F.col(f"a{i}_{j}") * F.col(f"b{j}")
+        m = m.withColumn(f"b{i}", F.try_divide(rest, F.col(f"a{i}_{i}")))
+    b = F.col("ym")
+    explained = F.lit(0.0)
+    for i in k:
+        b = b - F.col(f"b{i}") * F.col(f"m{i}")
+        explained = explained + F.col(f"b{i}") * F.col(f"c{i}")
+    return m.select(b.alias("b"), *[f"b{i}" for i in k], F.try_divide(explained, F.col("yv")).alias("r2"))
+
+
 def fill_by_regression(state_data: DataFrame, inputs: Sequence[str], response: str = "BBL") -> tuple[DataFrame, dict]:
     """M01 (fill part) + M03: fit ``response ~ inputs`` on complete rows, predict the others.
 
-    One input: ``regr_slope`` / ``regr_intercept`` / ``regr_r2`` aggregates,
-    fully lazy.  Several inputs: ``LinearRegression(solver='normal')``, which
-    aggregates X'X on the executors (one row per state here).
+    A row to predict that lacks an input stays NULL.  The fit is one row,
+    broadcast back on a constant key.
     """
-    complete = state_data.na.drop(subset=[response, *inputs])
-    if len(inputs) == 1:
-        x = inputs[0]
-        # the state table holds one row per state (a dimension): one window over all of it
-        # evaluates the fit in the same pass (cheaper than a separate scalar-subquery job)
-        w = Window.partitionBy()
-        b1, b0 = F.regr_slope(response, x).over(w), F.regr_intercept(response, x).over(w)
-        out = state_data.select(*state_data.columns, (b0 + b1 * F.col(x)).alias("_pred"),
-                                F.regr_r2(response, x).over(w).alias("r2"))
-        filled = out.withColumn(response, F.coalesce(F.col(response), F.col("_pred"))).drop("_pred")
-        return filled, {"model": "regr"}
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    va = VectorAssembler(inputCols=list(inputs), outputCol="_features", handleInvalid="skip")
-    train = va.transform(complete)
-    model = LinearRegression(featuresCol="_features", labelCol=response, solver="normal", regParam=0.0,
-                             predictionCol="_pred").fit(train)
-    allx = va.transform(state_data.na.fill(0.0, subset=list(inputs)))
-    pred = model.transform(allx)
-    filled = pred.withColumn(response, F.coalesce(F.col(response), F.col("_pred"))) \
-        .drop("_pred", "_features").withColumn("r2", F.lit(float(model.summary.r2)))
-    return filled, {"model": model}
+    fit = normal_equations(state_data.na.drop(subset=[response, *inputs]), inputs, response)
+    j = state_data.withColumn("_one", F.lit(1)).join(F.broadcast(fit.withColumn("_one", F.lit(1))), "_one")
+    pred = F.col("b")
+    for i, x in enumerate(inputs):
+        pred = pred + F.col(f"b{i}") * F.col(x)
+    cols = [F.coalesce(F.col(c), pred).alias(c) if c == response else F.col(c) for c in state_data.columns]
+    return j.select(*cols, "r2"), {"model": fit}
 
 
 def per_head_fuel(pop: DataFrame, state_filled: DataFrame, response: str = "BBL") -> DataFrame:
@@ -138,7 +158,7 @@ def price_response(elasticity: DataFrame, y: str = "BBL", x: str = "price") -> D
 
 # ------------------------------------------------------------------ V03
 def consumption_table(pop: DataFrame, demand: DataFrame, prices: DataFrame, year: int,
-                      inputs: Sequence[str] = ("pop",), min_share: float = 0.1, keep_above: float = 0.9,
+                      inputs: Sequence[str] = FUEL_INPUTS, min_share: float = 0.1, keep_above: float = 0.9,
                       aggregated: bool = True) -> tuple[DataFrame, DataFrame, dict]:
     """V03 (J01, M01, A05, W11, A11, J06, M02, A06, A07, P24, W01, A08): local consumption + price response.
 
