@@ -217,14 +217,37 @@ def m05(fx):
     return o.join(p.select("date", F.col("litres").alias("litres_pred"), F.col("price").alias("price_pred")), "date")
 
 
-# ------------------------------------------------------------------ M06 (recursive: rows-only in the driver)
-@case("m06_forecast_drift", None)
+# ------------------------------------------------------------------ M06
+def _m06_sql(model: str, width: int, horizon: int, saturate: bool) -> str:
+    """The step-ahead recursion as a recursive CTE over the list of the last ``width`` values."""
+    ub = W.growth_bound(0.09, width)
+
+    def step(w):
+        if model == "seasonal":
+            return f"(CASE WHEN len({w}) >= 7 THEN {w}[len({w}) - 6] ELSE {w}[-1] END)"
+        ratio = f"({w}[-1] / NULLIF({w}[1], 0))"
+        nxt = f"({w}[-1] * CASE WHEN {ratio} > 0 THEN pow({ratio}, 1.0 / greatest(len({w}) - 1, 1)) ELSE 1.0 END)"
+        if not saturate:
+            return nxt
+        return f"coalesce({w}[1] * (1.0 + greatest(-{ub!r}, least({ub!r}, {nxt} / NULLIF({w}[1], 0) - 1))), {nxt})"
+
+    return f"""SELECT * FROM (WITH RECURSIVE seed AS (
+  SELECT state, mun, max(date) AS last, list(price ORDER BY date) AS p, list(litres ORDER BY date) AS q FROM (
+    SELECT *, row_number() OVER (PARTITION BY state, mun ORDER BY date DESC) AS rk FROM panel) x WHERE rk <= {width} GROUP BY state, mun),
+f AS (SELECT state, mun, last, 0 AS i, p, q, NULL::DOUBLE AS price, NULL::DOUBLE AS litres FROM seed
+  UNION ALL
+  SELECT state, mun, last, i + 1, list_append(p[2:], np), list_append(q[2:], nq), np, nq FROM (
+    SELECT *, {step('p')} AS np, {step('q')} AS nq FROM f WHERE i < {horizon}) s)
+SELECT state, mun, CAST(last AS DATE) + i AS date, price, litres FROM f WHERE i > 0) z"""
+
+
+@case("m06_forecast_drift", with_views(_m06_sql("drift", 28, 30, True), "panel"), rounding=r(3, "price", "litres"))
 def m06(fx):
     return FC.forecast(fx.panel, LOC, "date", ["price", "litres"], width=28, horizon=30, model="drift",
                        saturate=True)
 
 
-@case("m06_forecast_seasonal", None)
+@case("m06_forecast_seasonal", with_views(_m06_sql("seasonal", 28, 30, False), "panel"), rounding=r(3, "price", "litres"))
 def m06s(fx):
     return FC.forecast(fx.panel, LOC, "date", ["price", "litres"], width=28, horizon=30, model="seasonal")
 
