@@ -90,10 +90,7 @@ def revenue_mape(obs: DataFrame, pred: DataFrame, history: DataFrame, keys: Sequ
     Returns rows (metric, loss).
     """
     wts = history.groupBy(*keys).agg(F.sum(F.col(p) * F.col(q)).alias("_rev"))
-    # the total is one aggregate row, broadcast back on a constant key
-    total = wts.agg(F.sum("_rev").alias("_all")).withColumn("_one", F.lit(1))
-    wts = wts.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one") \
-        .select(*keys, safe_div(F.col("_rev"), F.col("_all")).alias("w"))
+    wts = wts.select(*keys, safe_div(F.col("_rev"), wts.agg(F.sum("_rev")).scalar()).alias("w"))  # one scalar total
     j = obs.select(*keys, date, F.col(p).alias("p"), F.col(q).alias("q")).join(
         pred.select(*keys, date, F.col(p).alias("ph"), F.col(q).alias("qh")), [*keys, date])
 

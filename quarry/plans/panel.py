@@ -110,16 +110,16 @@ def normal_equations(complete: DataFrame, inputs: Sequence[str], response: str)
 def fill_by_regression(state_data: DataFrame, inputs: Sequence[str], response: str = "BBL") -> tuple[DataFrame, dict]:
     """M01 (fill part) + M03: fit ``response ~ inputs`` on complete rows, predict the others.
 
-    A row to predict that lacks an input stays NULL.  The fit is one row,
-    broadcast back on a constant key.
+    A row to predict that lacks an input stays NULL.  The fit is one row, read
+    as a scalar.
     """
     fit = normal_equations(state_data.na.drop(subset=[response, *inputs]), inputs, response)
-    j = state_data.withColumn("_one", F.lit(1)).join(F.broadcast(fit.withColumn("_one", F.lit(1))), "_one")
-    pred = F.col("b")
+    j = state_data.withColumn("_fit", fit.select(F.struct(*fit.columns)).scalar())
+    pred = F.col("_fit.b")
     for i, x in enumerate(inputs):
-        pred = pred + F.col(f"b{i}") * F.col(x)
+        pred = pred + F.col(f"_fit.b{i}") * F.col(x)
     cols = [F.coalesce(F.col(c), pred).alias(c) if c == response else F.col(c) for c in state_data.columns]
-    return j.select(*cols, "r2"), {"model": fit}
+    return j.select(*cols, F.col("_fit.r2").alias("r2")), {"model": fit}
 
 
 def per_head_fuel(pop: DataFrame, state_filled: DataFrame, response: str = "BBL") -> DataFrame:

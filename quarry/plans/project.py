@@ -60,8 +60,15 @@ class Project:
     def economics(self) -> DataFrame:
         return RD.read_delimited(self.spark, self.paths.economy, self.economy_schema, ",", "UTF-8")
 
-    def get_inegi(self) -> DataFrame:
-        return CE.municipal_indicators(self.deomgraphics(), self.coords())
+    def get_inegi(self, catalogue: DataFrame | None = None, economy_measures=()) -> DataFrame:
+        """V05; with the activity catalogue and the measures' names, the economy side is joined on.  The
+        activity labels become columns and are listed by a distinct query over the rolled-up table."""
+        economy = None
+        if catalogue is not None:
+            roll = CE.activity_rollup(CE.economic_normaliser(self.economics(), catalogue, economy_measures), economy_measures)
+            labels = [r[0] for r in roll.select("ACTIVIDAD").distinct().orderBy("ACTIVIDAD").collect()]
+            economy = CE.activity_wide(roll, economy_measures, labels)
+        return CE.municipal_indicators(self.deomgraphics(), self.coords(), economy=economy)
 
     def get_pop(self) -> DataFrame:
         return self.get_inegi().select(*CE.MUN_KEYS, F.col("POBTOT").alias("pop"),
@@ -128,6 +135,12 @@ class Project:
                                         saturate=saturate)
         return FC.forecast(panel, ["state", "mun"], "date", ["price", "litres"], width, horizon, model, saturate)
 
+    @staticmethod
+    def test_df(panel: DataFrame, width: int = 28, test_size: float = 0.2) -> DataFrame:
+        """M06 one step ahead over the held-out tail of the panel: predicted price and volume per location and day."""
+        tail = W.chronological_split(panel, "date", test_size).filter(F.col("split") == "test").select("state", "mun", "date")
+        return tail.join(FC.one_step_drift(panel, ["state", "mun"], "date", ["price", "litres"], width), ["state", "mun", "date"])
+
     @staticmethod
     def run_backtest(obs: DataFrame, pred: DataFrame, history: DataFrame) -> DataFrame:
         return FC.revenue_mape(obs, pred, history, ["state", "mun"])
@@ -168,11 +181,16 @@ class Project:
     def load_opt_info(self, base: str | None = None) -> dict:
         return RD.read_scenarios(self.spark, base or self.paths.results)
 
-    def load_opt_valuation(self, optimal: str, baseline: str) -> DataFrame:
-        a = RD.read_scenarios(self.spark, optimal)["production"]
-        b = RD.read_scenarios(self.spark, baseline)["production"]
-        meas = [c for c in a.columns if c not in ("file", "T", "plant")]
-        return V.scenario_difference(a, b, ["file", "T", "plant"], meas)
+    def load_opt_valuation(self, optimal: str, baseline: str) -> dict:
+        """J11 for every result kind that both sets have: ``market``, ``production`` and ``objective`` as
+        optimal minus baseline; ``demand`` and ``periods`` are the optimal set's own."""
+        a, b = RD.read_scenarios(self.spark, optimal), RD.read_scenarios(self.spark, baseline)
+        keys = {"market": ["file", "T", "mun", "plant"], "production": ["file", "T", "plant"], "objective": ["file", "step"]}
+        out = {"demand": a["demand"], "periods": a["periods"]}
+        for kind, key in keys.items():
+            both = a[kind] is not None and b[kind] is not None
+            out[kind] = V.scenario_difference(a[kind], b[kind], key, [c for c in a[kind].columns if c not in key]) if both else None
+        return out
 
     # ------------------------------------------------------------ valuation (chart tables included)
     plot_objective_hist = staticmethod(lambda objective, bins=20: histogram(objective, "objective", bins))

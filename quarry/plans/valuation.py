@@ -159,11 +159,10 @@ def mc_simulation(production: DataFrame, periods: DataFrame, wacc: float = 0.10,
     """
     s = npv_stats(production, periods, wacc, plant_pattern)
     ratio = safe_div("depreciation_mean", "capex_mean")
-    # f = mean over plants of mean(dep) / mean(capex), undefined skipped: one aggregate row,
-    # broadcast back on a constant key; both branches share the exchange of the statistics
-    factor = s.agg(F.avg(ratio).alias("dep_factor")).withColumn("_one", F.lit(1))
-    base = s.withColumn("_one", F.lit(1)).join(F.broadcast(factor), "_one").select(
-        "plant", "NPV_revenues_mean", "NPV_revenues_std", "NPV_costs_mean", "NPV_costs_std", "capex_mean", "dep_factor")
+    # f = mean over plants of mean(dep) / mean(capex), undefined skipped: one scalar aggregate
+    factor = s.agg(F.avg(ratio)).scalar()
+    base = s.select("plant", "NPV_revenues_mean", "NPV_revenues_std", "NPV_costs_mean", "NPV_costs_std",
+                    "capex_mean", factor.alias("dep_factor"))
     x = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("sample"))
 
     def draw(metric: str, force_rel: bool = False) -> Column:

@@ -53,6 +53,7 @@ def test_panel_methods(spark):
     assert Project.plot_monthly_data(panel).count() > 0
     assert Project.get_timeseries(fx.panel).count() == fx.panel.count()
     assert Project.window_generator(fx.panel, 5).count() > 0
+    assert Project.test_df(fx.panel, 10).filter("price is not null").count() > 0
     fc = Project.forecast(fx.panel, 10, 5)
     assert fc.count() > 0
     out, periods = Project.annual_data(fx.panel, 3)
@@ -70,6 +71,6 @@ def test_valuation_methods(spark):
     capex = prod.filter(F.col("T") == 0).select("plant", "capex")
     assert Project.real_opt_valuation(prod, sims, capex).count() == 8
     up = p.load_opt_valuation(os.path.join(SCENARIOS, "optimal"), os.path.join(SCENARIOS, "baseline"))
-    assert up.count() == 20 * 99
+    assert up["production"].count() == 20 * 99 and up["objective"].count() == 20 and up["market"] is None
     obj = runs["objective"]
     assert Project.plot_objective_hist(obj, 5).agg(F.sum("n")).first()[0] == 20
