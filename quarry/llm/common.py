@@ -163,11 +163,14 @@ def bucket_edges(members: DataFrame, payload: list[str], prefilter: Callable[[st
     if refine is not None:
         known, more, late, condition = refine(rest.select("comp", *cols).distinct())
         rest = rest.join(known.select("id", *late), "id")
-    both = ["comp", *cols, *late]
+    # a pair that shares several buckets is tested in the first of them
+    rest = rest.join(rest.groupBy("id").agg(F.collect_set("key").alias("keys")), "id")
+    both = ["comp", *cols, *late, "keys"]
     a = rest.filter("comp <> major").select("key", *[F.col(c).alias(f"a_{c}") for c in both])
     b = rest.select("key", "major", *[F.col(c).alias(f"b_{c}") for c in both])
     pairs = a.join(b, "key").filter((F.col("a_comp") != F.col("b_comp")) & condition("a", "b")
-                                    & ((F.col("b_comp") == F.col("major")) | (F.col("a_id") < F.col("b_id")))) \
+                                    & ((F.col("b_comp") == F.col("major")) | (F.col("a_id") < F.col("b_id")))
+                                    & (F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key"))) \
         .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
     pairs = scratch_table((pairs if more is None else pairs.unionByName(more)).distinct(), "pairs")
     if pairs.isEmpty():
