@@ -231,6 +231,28 @@ def test_fuzzy_lines_and_rebuilt_texts(spark, messy):
     assert texts == ["b"]  # "a" stays in 10, the long line in the first row
 
 
+@pytest.mark.parametrize("n_words,edit,least", [(10, "typo", 0.98), (6, "typo", 0.98), (3, "typo", 0.9), (20, "word", 0.98), (10, "word", 0.97), (6, "word", 0.9)])
+def test_edited_lines_are_found(spark, n_words, edit, least):
+    """Lines with one edited word against their sources, among unrelated lines; every such pair above 0.8 counts."""
+    from quarry.llm.line_dedup import op2_line_dedup
+    rng = np.random.default_rng(n_words)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    lexicon = ["".join(rng.choice(letters, size=rng.integers(3, 10))) for _ in range(4000)]
+    pairs = []
+    for _ in range(1500):
+        w = [lexicon[i] for i in rng.integers(0, len(lexicon), size=n_words)]
+        at = int(rng.integers(n_words))
+        k = int(rng.integers(len(w[at])))
+        new = w[at][:k] + "#" + w[at][k + 1:] if edit == "typo" else lexicon[rng.integers(len(lexicon))]
+        pairs.append((" ".join(w), " ".join([*w[:at], new, *w[at + 1:]])))
+    df = spark.createDataFrame([(i, "\n".join(p[i] for p in pairs)) for i in (0, 1)], "doc_id long, text string")
+    rows = {(r.doc_id, r.line_no): (r.keep_id, r.keep_line) for r in op2_line_dedup(df).collect()}
+    true = [i for i, (a, b) in enumerate(pairs) if 5 * levenshtein(a, b) <= max(len(a), len(b))]
+    found = np.mean([rows[0, i] == rows[1, i] for i in true])
+    print(f"{n_words} words, one {edit}: {found:.4f} of {len(true)}")
+    assert found >= least
+
+
 # ------------------------------------------------------------------ 3 html
 def test_html_articles(spark):
     from quarry.llm.html_text import op3_html
