@@ -6,9 +6,10 @@ tags met in it and the chain of open containers.  Lines inside boilerplate
 containers (navigation, header, footer, aside, form, script, style, adverts,
 notices, comments) never count.  The text-to-tag ratio of the others is
 smoothed over the page with a Gaussian; lines above the threshold form the
-content clusters.  A page's content is the container that holds most of the
-clustered text (``article`` and ``main`` first): all its lines, short ones
-included, so that nothing inside the article is dropped.
+content clusters.  A page's content is the smallest container that holds all of
+the clustered text, or its articles (else ``main``) if one of them holds more
+than half of it: all lines, short ones included, so that nothing inside the
+article is dropped.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ NOISE = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)|spon
     notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|sidebar|side-?bar|widget|
     nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|header|masthead|comments?|commentlist|disqus|replies|reply|
     related|recommend(?:ed|ations)?|share|sharing|social|toolbar|skip-?link|hidden)(?:$|[\s_-])""", re.I | re.X)
+# an article element of these classes is a comment or a teaser
+ASIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)|sponsor(?:ed)?|promo(?:tion)?s?|comments?|replies|reply|related|"
+                           r"recommend(?:ed|ations)?|teasers?)(?:$|[\s_-])", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SIGMA = 1.0  # of the smoothing, in lines
 
@@ -115,7 +119,8 @@ class LineParser(HTMLParser):
             return True
         if HIDDEN.search(a.get("style") or ""):
             return True
-        return tag not in ("html", "body", "article", "main") and any(NOISE.search(a.get(k) or "") for k in ("class", "id"))
+        marks = ASIDE_ARTICLE if tag == "article" else NOISE
+        return tag not in ("html", "body", "main") and any(marks.search(a.get(k) or "") for k in ("class", "id"))
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers are not needed
@@ -172,17 +177,15 @@ def extract_text(html: str | None) -> str:
             total += len(text)
             for n in set(line.holders):
                 held[n] = held.get(n, 0) + len(text)
-    named = [n for n in held if parser.kinds[n] in ("article", "main")]
-    if named:
-        # all articles of the innermost kind that hold clustered text; main only where there is no article
-        articles = [n for n in named if parser.kinds[n] == "article"] or named
-        chosen = set(articles)
-        keep = [any(n in chosen for n in line.holders) for line in lines]
-    else:
-        # the smallest container with nearly all of the clustered text, whole
-        fits = [n for n, size in held.items() if 10 * size >= 9 * total]
-        best = max(fits) if fits else None
-        keep = [hit if best is None else best in line.holders for line, hit in zip(lines, clustered, strict=True)]
+    chosen: set[int] = set()
+    for kind in ("article", "main"):
+        named = [n for n in held if parser.kinds[n] == kind]
+        if not chosen and any(2 * held[n] > total for n in named):
+            chosen = set(named)  # with the other articles that hold clustered text
+    if not chosen:
+        # the smallest container with all of the clustered text, whole; the page itself if no container has it
+        chosen = {max((n for n, size in held.items() if size == total), default=-1)}
+    keep = [-1 in chosen or any(n in chosen for n in line.holders) for line in lines]
     return "\n\n".join(t for t, k in zip(texts, keep, strict=True) if k)
 
 

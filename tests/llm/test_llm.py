@@ -280,6 +280,22 @@ def test_html_cases(html, text):
     assert extract_text(html) == text
 
 
+LONG = ("long text here " * 20).strip()
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<body><h1>Title</h1><div><p>{LONG} {LONG}</p></div></body>", f"Title\n\n{LONG} {LONG}"),
+    (f"<body><section><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section><section><p>{LONG[:74]}</p></section></body>", "\n\n".join([LONG] * 3 + [LONG[:74]])),
+    (f"<body><div class=post><p>{LONG}</p><p>{LONG}</p></div><div><article>{LONG[:44]}</article><article>{LONG[:59]}</article></div></body>",
+     "\n\n".join([LONG] * 2 + [LONG[:44], LONG[:59]])),
+    (f"<body><div class=post><p>{LONG}</p><p>{LONG}</p></div><article class=comment>{LONG} {LONG} {LONG}</article></body>", f"{LONG}\n\n{LONG}"),
+    (f"<body><p>Top of the page</p><article><p>{LONG}</p><p>{LONG}</p></article></body>", f"{LONG}\n\n{LONG}"),
+])
+def test_html_keeps_all_clustered_text(html, text):
+    from quarry.llm.html_text import extract_text
+    assert extract_text(html) == text
+
+
 def test_html_messy(spark):
     from quarry.llm.html_text import op3_html
     df = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>x</p>"), (2, "u", "<p>" + "y " * 200_000)], "page_id long, url string, html string") \
