@@ -3,8 +3,10 @@
 A page is streamed through the standard library's event parser.  Events fill
 lines: a line is the text between two block boundaries, with the number of
 tags met in it and the chain of open containers.  Lines inside boilerplate
-containers (navigation, header, footer, aside, form, script, style, adverts,
-notices, comments) never count.  The text-to-tag ratio of the others is
+elements (navigation, header, footer, aside, form, script, style) never count.
+Class and id words (adverts, notices, comments) are evidence: such an element
+does not count either, unless it holds the article or most of the page's
+clustered text (``released``).  The text-to-tag ratio of the other lines is
 smoothed over the page with a Gaussian; lines above the threshold form the
 content clusters.  A page's content is the smallest container that holds all of
 the clustered text, or its articles (else ``main``) if one of them holds more
@@ -45,6 +47,7 @@ NOISE = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)|spon
 # an article element of these classes is a comment or a teaser
 ASIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)|sponsor(?:ed)?|promo(?:tion)?s?|comments?|replies|reply|related|"
                            r"recommend(?:ed|ations)?|teasers?)(?:$|[\s_-])", re.I)
+MODIFIED = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-].*", re.I | re.S)  # has-sidebar, no-comments: what the element is not
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SIGMA = 1.0  # of the smoothing, in lines
 
@@ -54,6 +57,16 @@ class Line:
     text: list[str] = field(default_factory=list)
     tags: int = 0
     holders: tuple[int, ...] = ()  # numbers of the open section containers, outermost first
+    marks: tuple[int, ...] = ()  # numbers of the open elements with boilerplate classes
+
+
+@dataclass(slots=True)
+class Mark:
+    """An element with a boilerplate word in its class or id, and what it holds."""
+    listing: bool  # the word is one of comments, teasers or adverts
+    main: bool = False
+    article: bool = False
+    h1: bool = False
 
 
 class LineParser(HTMLParser):
@@ -61,20 +74,23 @@ class LineParser(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # name, boilerplate, container number or -1
+        self.open: list[tuple[str, bool, int, int]] = []  # name, boilerplate, container number or -1, mark number or -1
         self.noise = 0  # open boilerplate elements
         self.lines: list[Line] = []
         self.line = Line()
         self.kinds: list[str] = []  # name of each container
+        self.marks: list[Mark] = []
 
     def end_line(self) -> None:
         if self.line.text:
-            self.line.holders = tuple(n for _, _, n in self.open if n >= 0)
+            self.line.holders = tuple(n for _, _, n, _ in self.open if n >= 0)
+            if self.marks:
+                self.line.marks = tuple(m for _, _, _, m in self.open if m >= 0)
             self.lines.append(self.line)
             self.line = Line()
 
     def pop(self) -> None:
-        name, noise, _ = self.open[-1]
+        name, noise, _, _ = self.open[-1]
         if name in BLOCK:
             self.end_line()
         self.open.pop()
@@ -102,25 +118,45 @@ class LineParser(HTMLParser):
             self.line.text.append(" ")
         if tag in VOID:
             return
-        noise = tag in SKIPPED or (bool(attrs) and tag != "a" and self.marked_noise(tag, dict(attrs)))
+        noise, mark = tag in SKIPPED, None
+        if attrs and tag != "a" and not noise:
+            a = dict(attrs)
+            noise, mark = self.invisible(a), self.marked(tag, a)
         if tag == "header" and not noise:  # an article's own header holds its title
-            noise = not any(n >= 0 and self.kinds[n] in ("article", "main") for _, _, n in self.open)
+            noise = not self.in_article()
+        if self.marks and mark is None and not noise and tag in ("article", "main", "h1"):
+            for _, _, _, m in self.open:
+                if m >= 0:
+                    setattr(self.marks[m], tag, True)
         number = -1
         if tag in SECTION:
             number = len(self.kinds)
             self.kinds.append(tag)
-        self.open.append((tag, noise, number))
+        if mark is not None:
+            self.marks.append(mark)
+        self.open.append((tag, noise, number, -1 if mark is None else len(self.marks) - 1))
         self.noise += noise
 
+    def in_article(self) -> bool:
+        return any(n >= 0 and self.kinds[n] in ("article", "main") for _, _, n, _ in self.open)
+
     @staticmethod
-    def marked_noise(tag: str, a: dict[str, str | None]) -> bool:
-        """Whether an element's attributes mark it as boilerplate or invisible."""
-        if (a.get("role") or "").lower() in ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true":
-            return True
-        if HIDDEN.search(a.get("style") or ""):
-            return True
-        marks = ASIDE_ARTICLE if tag == "article" else NOISE
-        return tag not in ("html", "body", "main") and any(marks.search(a.get(k) or "") for k in ("class", "id"))
+    def invisible(a: dict[str, str | None]) -> bool:
+        """Whether an element's attributes give it a boilerplate role or hide it."""
+        return ((a.get("role") or "").lower() in ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true"
+                or bool(HIDDEN.search(a.get("style") or "")))
+
+    def marked(self, tag: str, a: dict[str, str | None]) -> Mark | None:
+        """The mark of an element whose class or id holds a boilerplate word, modifiers left out."""
+        names = f"{a.get('class') or ''} {a.get('id') or ''}"
+        if tag in ("html", "body", "main") or not (ASIDE_ARTICLE if tag == "article" else NOISE).search(names):
+            return None
+        names = " ".join(MODIFIED.sub("", name) for name in names.split())
+        listing = bool(ASIDE_ARTICLE.search(names))
+        found = {w.strip(" _-").lower() for w in NOISE.findall(names)}
+        if (tag == "article" or not found) and not listing or found == {"header"} and self.in_article():
+            return None
+        return Mark(listing)
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers are not needed
@@ -152,6 +188,39 @@ def smooth(ratio: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
+def clusters(texts: list[str], lines: list[Line]) -> list[bool]:
+    """Whether each line's smoothed text-to-tag ratio is above the threshold."""
+    ratio = smooth([len(t) / max(1, n.tags) for t, n in zip(texts, lines, strict=True)])
+    mean = sum(ratio) / len(ratio)
+    threshold = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)) or mean)
+    return [r >= threshold for r in ratio]
+
+
+def released(parser: LineParser, texts: list[str], lines: list[Line]) -> set[int]:
+    """Marked elements that count nevertheless.
+
+    Those that hold ``main``, or an unmarked ``article`` (if their word is one of
+    comments, teasers or adverts, only with most of the clustered text), or
+    most of the clustered text and the page's title or all of that text; with
+    most of it alone, if no word of comments and no article or ``main`` is
+    elsewhere: a long discussion beside the article stays out.
+    """
+    held = [0] * len(parser.marks)
+    total, elsewhere = 0, False
+    for text, line, hit in zip(texts, lines, clusters(texts, lines), strict=True):
+        if hit:
+            total += len(text)
+            for m in line.marks:
+                held[m] += len(text)
+            elsewhere |= not line.marks and any(parser.kinds[n] in ("article", "main") for n in line.holders)
+    out = set()
+    for m, mark in enumerate(parser.marks):
+        most = 2 * held[m] > total
+        if mark.main or mark.article and (most or not mark.listing) or most and (mark.h1 or held[m] == total or not (mark.listing or elsewhere)):
+            out.add(m)
+    return out
+
+
 def extract_text(html: str | None) -> str:
     """Main text of a page: its blocks in page order, joined by two newlines; empty if there is none."""
     parser = LineParser()
@@ -164,12 +233,13 @@ def extract_text(html: str | None) -> str:
         if text:
             texts.append(text)
             lines.append(line)
+    if lines and parser.marks:
+        counted = released(parser, texts, lines)
+        keep = [counted.issuperset(line.marks) for line in lines]
+        texts, lines = [t for t, k in zip(texts, keep, strict=True) if k], [n for n, k in zip(lines, keep, strict=True) if k]
     if not lines:
         return ""
-    ratio = smooth([len(t) / max(1, n.tags) for t, n in zip(texts, lines, strict=True)])
-    mean = sum(ratio) / len(ratio)
-    threshold = min(mean, math.sqrt(sum((r - mean) ** 2 for r in ratio) / len(ratio)) or mean)
-    clustered = [r >= threshold for r in ratio]
+    clustered = clusters(texts, lines)
     held: dict[int, int] = {}
     total = 0
     for text, line, hit in zip(texts, lines, clustered, strict=True):

@@ -296,6 +296,22 @@ def test_html_keeps_all_clustered_text(html, text):
     assert extract_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    (f"<body><div class='content has-sidebar'><p>{LONG}</p></div><div class=sidebar>x y z</div></body>", LONG),
+    (f"<body><div id=page class=no-comments><p>{LONG}</p></div></body>", LONG),
+    (f"<body><div class='post with-banner'><p>{LONG}</p></div><div class=comments><p>nice</p></div></body>", LONG),
+    (f"<article><header class=entry-header><h1>Title</h1></header><p>{LONG}</p></article>", f"Title\n\n{LONG}"),
+    (f"<article><div class=article-header><h1>Title</h1></div><p>{LONG}</p><div class=share>Share this</div></article>", f"Title\n\n{LONG}"),
+    (f"<body><div class=sidebar-left><article><p>{LONG}</p></article></div><div class=widget>{LONG}</div></body>", LONG),
+    (f"<body><div class=widget-page><h2>Title</h2><p>{LONG}</p></div><div class=popup>Sign in</div></body>", f"Title\n\n{LONG}"),
+    (f"<body><div class=post><p>{LONG}</p></div><div class=comments><p>{LONG} {LONG}</p><p>{LONG}</p></div></body>", LONG),
+    (f"<body><article><p>{LONG}</p></article><div class=related><article>{LONG[:59]}</article></div><div class=cookies><p>{LONG} {LONG}</p></div></body>", LONG),
+])
+def test_html_class_words_are_evidence_only(html, text):
+    from quarry.llm.html_text import extract_text
+    assert extract_text(html) == text
+
+
 def test_html_messy(spark):
     from quarry.llm.html_text import op3_html
     df = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>x</p>"), (2, "u", "<p>" + "y " * 200_000)], "page_id long, url string, html string") \
