@@ -3,9 +3,10 @@
 1. A character trigram model is counted over all texts (a bounded table).
 2. Every word becomes a lattice: look-alike characters stand for letters,
    repeated letters for one or two, separators for nothing.  Viterbi decoding
-   under the trigram model picks the most likely spelling.  Words of plain
-   letters have a single path; each distinct spelling is decoded once per
-   worker.  Letters spaced out one by one are joined first.
+   under the trigram model picks the most likely spelling; all its states are
+   kept.  Words of plain letters without a doubled one have a single path; each
+   distinct spelling is decoded once per worker.  A run of letters spaced out
+   one by one is a lattice in which every gap may be a word's end or nothing.
 3. Restored words and their beginnings are weighed by how much more often they
    occur in toxic than in clean labelled documents (lower confidence bound of
    the log ratio).
@@ -37,14 +38,16 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg",
 SEPARATORS = set("-._~'’*+|!/\\,:;")
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûüœ"
 L = len(LETTERS) + 2  # 0: edge of a word, last: any other letter
-CODE = {c: i + 1 for i, c in enumerate(LETTERS)}
+CODE = {c: i + 1 for i, c in enumerate(LETTERS)} | {" ": 0}
 LOOKALIKE_COST, DELETE_COST, DOUBLE_COST = 1.0, 0.7, 0.7  # channel costs in nats
-MAX_DECODED = 40  # longer words are identifiers or addresses; they are taken as they are
-BEAM = 8
+MAX_DECODED = 40  # letters or runs of them; longer words are identifiers or addresses and taken as they are
 PLAIN = re.compile(r"[^\W\d_]+\Z")
-TRIPLE = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1")
+NUMBER = re.compile(r"[-+€£$(]*\d[\d.,:/+-]*[%€£$)]?\Z")
 DECORATION = re.compile(r"\A(?:([^\w\s])\1+|[\"'(\[.,;:?¿¡])+|(?:([^\w\s])\2+|[\"')\].,;:?!])+\Z")
 SPACED = re.compile(r"(?<!\S)(?:\S[ ]){3,}\S(?!\S)")
+RUN = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
+GAPPED = re.compile(r"(\S)(\s*)")
 PREFIXES = (4, 5, 6)
 CACHE_WORDS = 200_000
 COUNTED = 100_000  # features that a task holds before it hands their counts on
@@ -82,10 +85,10 @@ class CharModel:
     def decode(self, units: list[list[tuple[str, float]]]) -> str:
         """Most likely spelling of a lattice; a unit lists (letters, cost)."""
         logp = self.logp
-        beam = {(0, 0): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # score, (before, letters)
         for options in units:
-            nxt: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in beam.items():
+            nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in states.items():
                 for letters, cost in options:
                     x, y, s = a, b, score - cost
                     for ch in letters:
@@ -93,10 +96,15 @@ class CharModel:
                         s += logp[x][y][z]
                         x, y = y, z
                     old = nxt.get((x, y))
-                    if old is None or (s, text) > old:
-                        nxt[x, y] = (s, text + letters)
-            beam = dict(sorted(nxt.items(), key=lambda kv: -kv[1][0])[:BEAM])
-        return max((s + logp[a][b][0], text) for (a, b), (s, text) in beam.items())[1]
+                    if old is None or s > old[0]:
+                        nxt[x, y] = (s, (path, letters))
+            states = nxt
+        path = max(((s + logp[a][b][0], path) for (a, b), (s, path) in states.items()), key=lambda end: end[0])[1]
+        out = []
+        while path is not None:
+            path, letters = path
+            out.append(letters)
+        return "".join(reversed(out))
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -118,12 +126,41 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 def restore(word: str, model: CharModel) -> str:
     """Lower-case spelling without obfuscation; words of plain letters only lose decoration around them."""
     word = DECORATION.sub("", word.lower()) or word.lower()
-    if PLAIN.match(word) and not TRIPLE.search(word):
+    if PLAIN.match(word) and not DOUBLE.search(word) or NUMBER.match(word):
         return word
-    letters = sum(c.isalpha() for c in word)
-    if len(word) > MAX_DECODED or letters < 2 or 3 * letters < len(word):
+    units = lattice(word)
+    if not 2 <= sum(any(letters for letters, _ in options) for options in units) <= MAX_DECODED:
         return word
-    return model.decode(lattice(word))
+    return model.decode(units)
+
+
+def run_lattice(run: str) -> list[list[tuple[str, float]]]:
+    """Units of characters spaced out one by one, and of the gaps between them; a gap is a word's end or nothing."""
+    units: list[list[tuple[str, float]]] = []
+    gapped = GAPPED.findall(run.lower())
+    narrow = min(len(gap) for _, gap in gapped[:-1])
+    at = 0
+    while at < len(gapped):
+        end = at + 1
+        while end < len(gapped) and gapped[end][0] == gapped[at][0] and len(gapped[end - 1][1]) == narrow:
+            end += 1
+        (options,) = lattice(gapped[at][0] * (end - at))
+        # equal characters are one unit; a word may end between them
+        letters = {o for o, _ in options if len(o) == 1}
+        units.append(options + [(f"{o} {o}", cost) for o, cost in options if o in letters and end - at > 1])
+        gap = gapped[end - 1][1]
+        if end < len(gapped):
+            units.append([("", 0.0 if len(gap) == narrow else DELETE_COST), (" ", 0.0)])
+        at = end
+    return units
+
+
+def spaced_words(text: str | None, model: CharModel) -> set[str]:
+    """Words in the runs of spaced out characters, without those that ``spellings`` has joined already."""
+    text = text or ""
+    runs = [run for run in RUN.findall(text) if any(map(str.isalpha, run))]
+    found = {word for run in runs for word in model.decode(run_lattice(run)).split()}
+    return found.difference(restore(m.replace(" ", ""), model) for m in SPACED.findall(text)) if found else found
 
 
 def features(word: str) -> list[str]:
@@ -144,12 +181,16 @@ class Lexicon:
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def weigh(self, word: str) -> float:
-        return max((self.weights.get(f, 0.0) for f in features(restore(word, self.model))), default=0.0)
+        return self.weigh_restored(restore(word, self.model))
+
+    def weigh_restored(self, word: str) -> float:
+        return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
     def evidence(self, text: str | None) -> tuple[float, float, float]:
         """Strongest weight, sum of the three strongest, log of the number of toxic words."""
         cache = _cache(self)
-        hits = sorted(filter(None, map(cache.__getitem__, spellings(text))), reverse=True)
+        hits = [*map(cache.__getitem__, spellings(text)), *map(self.weigh_restored, spaced_words(text, self.model))]
+        hits = sorted(filter(None, hits), reverse=True)
         return (hits[0] if hits else 0.0, sum(hits[:3]), float(np.log1p(len(hits))))
 
 
@@ -234,6 +275,8 @@ def weigh_features(sample: DataFrame, model: CharModel, max_features: int, floor
                             spelled.clear()
                         spelled[w] = features(restore(w, bc.value))
                     found.update(spelled[w])
+                for w in spaced_words(text, bc.value):
+                    found.update(features(w))
                 seen.setdefault((half, label), Counter()).update(found)
                 if sum(map(len, seen.values())) >= COUNTED:
                     yield from counted()

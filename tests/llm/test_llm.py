@@ -388,6 +388,37 @@ def test_toxicity_restores_spellings(docs):
     assert "stupid" in spellings("a s t u p i d b".replace(" b", "  b").replace("a ", "aa  "))
 
 
+def test_toxicity_restores_every_obfuscation(spark):
+    from quarry.llm.toxicity import CODE, char_model, lattice, restore, spaced_words, spellings
+    text = "you are an idiot and a moron , what a loser . that asshole is a moron and an idiot too . a big loser he was . "
+    model = char_model(spark.createDataFrame([(text * 5,)], "text string"))
+    long = "idi" + "o" * 50 + "t"
+    spelled = {long: "idiot", "l-0-5-3-r": "loser", "1-d-1-0-t": "idiot", "i---d---i---o---t": "idiot", "4$$h0l3": "asshole", "iddiott": "idiot", "m*r*n": "moron"}
+    assert {w: restore(w, model) for w in spelled} == spelled
+    assert [restore(w, model) for w in ("2023", "10:30", "$400", "12,50%", "big")] == ["2023", "10:30", "$400", "12,50%", "big"]
+    for text, words in {"he is a m o r o n": {"a", "moron"}, "i\td\ti\to\tt": {"idiot"}, "b  i  g": {"big"}, "b i g": {"big"},
+                        "a n 1 d i 0 t": {"an", "idiot"}, "b i g  l o s e r": {"big", "loser"}, "1 2 3 4": set(), "no run": set()}.items():
+        got = spaced_words(text, model) | {restore(w, model) for w in spellings(text)}
+        assert got >= words, (text, got)
+    assert spaced_words("a m o r o n", model) >= {"a", "moron"}
+    # the exact optimum over all paths of a lattice with many states
+    word = "*1*!*"
+    best = [("", 0, 0, 0.0)]
+    for options in lattice(word):
+        new = []
+        for out, x, y, s in best:
+            for letters, cost in options:
+                a, b, t = x, y, s - cost
+                for ch in letters:
+                    z = CODE[ch]
+                    t += model.logp[a][b][z]
+                    a, b = b, z
+                new.append((out + letters, a, b, t))
+        best = new
+    top = max(s + model.logp[x][y][0] for _, x, y, s in best)
+    assert any(out == model.decode(lattice(word)) and abs(s + model.logp[x][y][0] - top) < 1e-9 for out, x, y, s in best)
+
+
 def test_classifiers_messy(spark, messy, empty, labels):
     from quarry.llm.quality import keep_quality, op6_quality
     from quarry.llm.toxicity import op5_toxicity
