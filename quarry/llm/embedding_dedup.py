@@ -12,7 +12,8 @@
    twice the link radius.
 5. Links are verified by the cosine in double precision and counted in one
    shard only (the smallest one that both ends share).  Blocks return counts
-   and a spanning forest, never the pairs of a group.
+   and a spanning forest of all links they found, those that another shard
+   counts included, never the pairs of a group.
 
 :func:`audit_recall` compares the links found with brute force.
 """
@@ -145,6 +146,17 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def link_rows(a: np.ndarray, c: np.ndarray, mult: np.ndarray, pivots: list, pivot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per node: linked rows over the links (a, c) that shard ``pivot`` counts, and the smallest node connected over all of them.
+
+    A pair is counted in the smallest shard that both ends share; another shard
+    that finds it connects its ends all the same.
+    """
+    mine = np.array([min(set(pivots[s]) & set(pivots[t])) == pivot for s, t in zip(a, c, strict=True)], dtype=bool)
+    n = np.bincount(a[mine], mult[c[mine]], len(mult)) + np.bincount(c[mine], mult[a[mine]], len(mult))
+    return n, forest(len(mult), a, c)
+
+
 def _local(cids: np.ndarray, lists) -> np.ndarray:
     """Neighbour lists by class number as an index matrix into ``cids`` (sorted), -1 where absent."""
     width = max((len(v) for v in lists), default=1) or 1
@@ -223,13 +235,8 @@ def embedding_links(classes: DataFrame, cosine: float, shard_rows: int, block_ro
         a, c = np.minimum(a, c), np.maximum(a, c)
         pair = np.unique((a * len(b) + c)[a != c])
         a, c = pair // len(b), pair % len(b)
-        # a pair belongs to the smallest shard that both ends share
-        lists = b["pivots"].tolist()
-        mine = np.array([min(set(lists[s]) & set(lists[t])) == pivot for s, t in zip(a, c, strict=True)], dtype=bool)
-        a, c = a[mine], c[mine]
-        n = np.bincount(a, mult[c], len(b)) + np.bincount(c, mult[a], len(b))
-        root = forest(len(b), a, c)
-        out = np.nonzero(n)[0]
+        n, root = link_rows(a, c, mult, b["pivots"].tolist(), pivot)
+        out = np.nonzero((n > 0) | (root != np.arange(len(b))))[0]
         return pd.DataFrame({"cid": cids[out], "n": n[out].astype("int64"), "other": cids[root[out]]})
 
     first = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1),

@@ -358,6 +358,16 @@ def test_embedding_links(spark, params):
     assert near_vectors(df.filter("false")).count() == 0
 
 
+def test_every_found_link_connects(spark):
+    """A pair that the smallest shared shard missed: shard 2 does not count it, but connects its ends."""
+    from quarry.llm.embedding_dedup import link_rows
+    mult = np.array([1, 2, 1, 3])
+    n, root = link_rows(np.array([0, 2]), np.array([1, 3]), mult, [[1, 2], [1, 2], [2], [2, 5]], 2)
+    assert n.tolist() == [0, 0, 3, 1] and root.tolist() == [0, 0, 2, 2]
+    n, _ = link_rows(np.array([0]), np.array([1]), mult, [[1, 2], [1, 2], [2], [2, 5]], 1)
+    assert n.tolist() == [2, 1, 0, 0]
+
+
 def test_embeddings_repeated_rows(spark):
     from quarry.llm.embedding_dedup import near_vectors
     df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.001], 0), (7, [0.0, 1.0], 0)], "vec_id long, embedding array<float>, label int")
