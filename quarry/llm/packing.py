@@ -87,7 +87,8 @@ class TokenBytes(dict):
                     ranks[bytes(letters[c] for c in body) + (self.END if body != token else b"")] = i
             self.pieces = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # TokenBytes or SpecialBytes decides on their strings
+        self.special = {t["content"].encode(): struct.pack("<I", t["id"]) for t in spec.get("added_tokens", []) if t.get("special")}
 
     def ids(self, word: bytes) -> list[int]:
         if word.isalpha() and self.split is not None:  # ASCII letters
@@ -113,12 +114,45 @@ class TokenBytes(dict):
         return out
 
 
+class SpecialBytes(dict):
+    """Like ``TokenBytes``, with the vocabulary's special tokens inside a word as their own ids.
+
+    They hold no white space, so a word is split at them as a text would be.
+    """
+
+    def __init__(self, words: TokenBytes):
+        super().__init__()
+        self.words = words
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, sorted(words.special, key=len, reverse=True))) + b")") if words.special else None
+
+    def __missing__(self, word: bytes) -> bytes:
+        special = self.words.special
+        if self.cut is None or not self.cut.search(word):
+            out = self.words[word]
+        else:
+            out = b"".join(special[part] if part in special else self.words[part] for part in self.cut.split(word) if part)
+        if len(self) < CACHE_WORDS:
+            self[word] = out
+        return out
+
+
 _TOKENS: dict[str, TokenBytes] = {}
+_SPECIAL: dict[str, SpecialBytes] = {}
+
 
+def document_ids(text: str | None, path: str, end_id: int = 0, special: bool = False) -> bytes:
+    """Ids of a document as little-endian unsigned 32-bit bytes, closed by ``end_id``.
 
-def document_ids(text: str | None, path: str, end_id: int = 0) -> bytes:
-    """Ids of a document as little-endian unsigned 32-bit bytes, closed by ``end_id``."""
-    words = _TOKENS.get(path) or _TOKENS.setdefault(path, TokenBytes(path))
+    With ``special``, as the operator has it, the strings of the vocabulary's
+    special tokens are these tokens; else they are ordinary text.
+    """
+    words = _TOKENS.get(path)
+    if words is None:
+        words = _TOKENS.setdefault(path, TokenBytes(path))
+    if special:
+        if path not in _SPECIAL:
+            _SPECIAL[path] = SpecialBytes(words)
+        words = _SPECIAL[path]
     raw = (text or "").encode("utf-8", "replace")
     return b"".join(map(words.__getitem__, raw.split())) + end_id.to_bytes(4, "little")
 
@@ -135,7 +169,7 @@ def cut_pieces(src: DataFrame, capacity: int, path: str) -> DataFrame:
         for b in batches:
             at, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(b["text"]):
-                ids = document_ids(text, path)
+                ids = document_ids(text, path, special=True)
                 for p, o in enumerate(range(0, len(ids), width)):
                     part = ids[o:o + width]
                     at.append(i)
@@ -371,7 +405,7 @@ def packed_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for b in batches:
             out = []
             for i, text, pieces in zip(b["id"], b["text"], b["pieces"], strict=True):
-                ids = np.frombuffer(document_ids(text, path), dtype="<u4").astype(np.int64)
+                ids = np.frombuffer(document_ids(text, path, special=True), dtype="<u4").astype(np.int64)
                 out += [(i, p["sequence_id"], p["offset"], ids[p["start"]:p["start"] + p["length"]]) for p in pieces]
             yield pd.DataFrame(out, columns=["id", "sequence_id", "offset", "ids"])
 

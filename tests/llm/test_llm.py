@@ -179,6 +179,22 @@ def test_token_cache_equals_library():
         assert np.frombuffer(document_ids(t, tokenizer_path()), dtype="<u4").tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0], t
 
 
+def test_special_tokens_in_a_text(spark):
+    """The library's ids with add_special_tokens=False: the strings of special tokens are these tokens."""
+    from tokenizers import Tokenizer
+
+    from quarry.llm.packing import document_ids, op1_packing, tokenizer_path
+    tok = Tokenizer.from_file(tokenizer_path())
+    texts = ["<|endoftext|>", "a<|startoftext|>b c", "x <|endoftext|><|endoftext|>, I'll<|startoftext|>'ll", "<|EndOfText|> <|endoftext |>", "é<|endoftext|>日本", "plain"]
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert document_ids(t, tokenizer_path(), special=True) == ids.tobytes(), t
+        want[i] = (len(ids), zlib.crc32(ids.tobytes()))
+    rows = op1_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in rows} == want
+
+
 # ------------------------------------------------------------------ 2 lines
 def brute_norm(x):
     return re.sub(r"\s+", " ", re.sub("[0-9]+", "0", x.lower())).strip(" ")
