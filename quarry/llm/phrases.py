@@ -1,19 +1,26 @@
 """Operator 13, phrase collocations: top-order windows marginalised to shorter phrases.
 
 Every word opens one window: itself and the next ``max_words - 1`` words of its
-piece (lead columns), padded with nulls at the piece's end.  Only these longest
-windows are counted; a phrase of k words occurs as often as the windows that
-begin with it, so ROLLUP over the window's columns gives the counts of all
-shorter phrases and, at its last level, of all words.
-
-Before the ROLLUP, windows are summed once over their last word, and what stays
-below ``min_count`` is folded into its prefix.  That loses nothing: a phrase
-below ``min_count`` is no candidate, and no part of one, while its occurrences
-still count in its prefixes.
+piece (lead columns of the word list), padded with nulls at the piece's end.
+Only these longest windows are counted, first inside the scanning tasks; a
+phrase of k words occurs as often as the windows that begin with it, so ROLLUP
+over the window's columns gives the counts of all shorter phrases and, at its
+last level, of all words.
+
+Counted windows are dealt out by their prefix (without the last word), so that
+windows and prefixes are summed in one place after one shuffle.  Prefixes that
+a sample shows to be very common are dealt out by their last word too; the sample
+decides where rows go, never what is counted.  Before the ROLLUP, what stays below
+``min_count`` is folded into its prefix.  That loses nothing: a phrase below
+``min_count`` is no candidate, and no part of one, while its occurrences still
+count in its prefixes.
 """
 
 from __future__ import annotations
 
+import collections
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,17 +31,54 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECE_ENDS = ".,;:!?\x0a\x0b\x0c\x0d"
 SCALE = 1_000_000
 SALTS = 32
+ENTRIES = 400_000  # windows a scanning task counts before it hands them on
+SAMPLE_DOCS, COMMON = 4000, 0.001  # a prefix with this share of the sample's windows is dealt out by last word: 1000 prefixes at most
 
 
 def windows(docs: DataFrame, max_words: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, phrase, n): padded longest windows, words joined by a space, counted."""
-    clean = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER + "\t" + PIECE_ENDS, LOWER + " " + "\n" * len(PIECE_ENDS))
-    pieces = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(clean, "\n")).alias("piece"))
-    words = pieces.select("lang", F.array_remove(F.split("piece", " "), "").alias("words"))
-    lead = [F.col("words") if k == 0 else F.slice("words", k + 1, F.size("words")) for k in range(max_words)]
-    opened = words.filter(F.size("words") > 0).select("lang", F.inline(F.arrays_zip(*lead)).alias(*[f"w{k + 1}" for k in range(max_words)]))
-    return opened.select("lang", F.concat_ws(" ", *[f"w{k + 1}" for k in range(max_words)]).alias("phrase")) \
-        .groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("n"))
+    """(lang, phrase, n): padded longest windows, words joined by a space, counted per task."""
+    table = str.maketrans(UPPER + "\t" + PIECE_ENDS, LOWER + " " + "\n" * len(PIECE_ENDS))
+
+    def count(batches):
+        found, size = collections.defaultdict(collections.Counter), 0
+
+        def batch():
+            langs = [lang for lang, c in found.items() for _ in range(len(c))]
+            return pa.RecordBatch.from_arrays([
+                pa.array(langs, pa.string()), pa.array([p for c in found.values() for p in c], pa.string()),
+                pa.array([n for c in found.values() for n in c.values()], pa.int64())], names=["lang", "phrase", "n"])
+
+        for b in batches:
+            for lang, text in zip(b.column(0), b.column(1)):
+                c = found[lang.as_py()]
+                size -= len(c)
+                for piece in text.as_py().translate(table).split("\n"):
+                    words = [w for w in piece.split(" ") if w]
+                    c.update(map(" ".join, zip(*[words[k:] for k in range(max_words)])))
+                    for k in range(1, min(max_words, len(words) + 1)):
+                        c[" ".join(words[-k:])] += 1
+                    if size + len(c) > ENTRIES:
+                        yield batch()
+                        found.clear()
+                        c, size = found[lang.as_py()], 0
+                size += len(c)
+        if size:
+            yield batch()
+
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.mapInArrow(count, "lang string, phrase string, n long")
+
+
+def common_prefixes(docs: DataFrame, max_words: int, text_col: str, lang_col: str) -> list[str]:
+    """Prefixes, after their language and a line feed, that hold at least COMMON of a sample's windows."""
+    rows = docs.count()
+    if not rows:
+        return []
+    sample = windows(docs.select(text_col, lang_col).sample(min(1.0, SAMPLE_DOCS / rows), seed=13), max_words, text_col, lang_col) \
+        .select(F.concat_ws("\n", "lang", F.substring_index("phrase", " ", max_words - 1)).alias("prefix"), "n")
+    counted = sample.groupBy("prefix").agg(F.sum("n").alias("n"))
+    total = sample.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return [r["prefix"] for r in counted.filter(F.col("n") >= max(COMMON * total, 2)).select("prefix").collect()]
 
 
 def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -42,15 +86,22 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, text
     columns = [f"w{k + 1}" for k in range(max_words)]
     last = max_words - 1
     word = F.split("phrase", " ")
-    kept = F.when((F.col("n") >= min_count) & (F.size(word) == max_words), F.struct("phrase", "n"))
-    once = windows(docs, max_words, text_col, lang_col) \
-        .select("lang", F.inline(F.array_compact(F.array(F.struct(F.substring_index("phrase", " ", last).alias("phrase"), "n"), kept)))) \
-        .groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    common = common_prefixes(docs, max_words, text_col, lang_col)
+    spread = F.when(F.concat_ws("\n", "lang", "prefix").isin(common), F.pmod(F.xxhash64("phrase"), F.lit(SALTS)) + 1).otherwise(F.lit(0)) \
+        if common else F.lit(0)
+    place = ["lang", "prefix", "salt"]
+    top = windows(docs, max_words, text_col, lang_col).withColumn("prefix", F.substring_index("phrase", " ", last)).withColumn("salt", spread) \
+        .select(*place, F.expr("substring(phrase, length(prefix) + 2)").alias("tail"), "n") \
+        .repartition(*place).groupBy(*place, "tail").agg(F.sum("n").alias("n"))
+    kept = F.when((F.col("n") >= min_count) & (F.col("tail") != ""), F.struct("tail", "n"))
+    once = top.select(*place, F.inline(F.array_compact(F.array(F.struct(F.lit("").alias("tail"), "n"), kept)))) \
+        .groupBy(*place, "tail").agg(F.sum("n").alias("n")) \
+        .select("lang", "salt", F.when(F.col("tail") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "tail")).alias("phrase"), "n")
     # a window that stays is taken off its prefix, whose sum holds it already; a rare prefix is folded once more
     def part(upto, n):
         return F.struct(upto.alias("upto"), n.alias("share"))
 
-    rare = F.when(F.col("n") >= min_count, F.lit(last)).otherwise(F.lit(max(last - 1, 1)))
+    rare = F.when((F.col("n") >= min_count) | (F.col("salt") > 0), F.lit(last)).otherwise(F.lit(max(last - 1, 1)))
     shares = F.when(F.size(word) == max_words, F.array(part(F.lit(max_words), F.col("n")), part(F.lit(last), -F.col("n")))) \
         .otherwise(F.array(part(rare, F.col("n"))))
     folded = once.select("lang", word.alias("word"), F.inline(shares)) \
