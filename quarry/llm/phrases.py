@@ -7,8 +7,8 @@ phrase of k words occurs as often as the windows that begin with it, so ROLLUP
 over the window's columns gives the counts of all shorter phrases and, at its
 last level, of all words.
 
-Counted windows are dealt out by their prefix (without the last word), so that
-windows and prefixes are summed in one place after one shuffle.  Prefixes that
+Counted windows are dealt out by their prefix (without the last word) in sorted
+blocks, so that windows and prefixes are summed in one place after one shuffle.  Prefixes that
 a sample shows to be very common are dealt out by their last word too; the sample
 decides where rows go, never what is counted.  Before the ROLLUP, what stays below
 ``min_count`` is folded into its prefix.  That loses nothing: a phrase below
@@ -19,6 +19,7 @@ count in its prefixes.
 from __future__ import annotations
 
 import collections
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,19 +36,32 @@ ENTRIES = 400_000  # windows a scanning task counts before it hands them on
 SAMPLE_DOCS, COMMON = 4000, 0.001  # a prefix with this share of the sample's windows is dealt out by last word: 1000 prefixes at most
 
 
-def windows(docs: DataFrame, max_words: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, phrase, n): padded longest windows, words joined by a space, counted per task."""
+def windows(docs: DataFrame, max_words: int, buckets: int, common: frozenset[str] = frozenset(), text_col: str = "text",
+            lang_col: str = "lang") -> DataFrame:
+    """(bucket, lang, block): padded longest windows counted per task, one ``phrase<tab>n`` a line, in order.
+
+    The bucket comes from the window's prefix, for ``common`` prefixes from the
+    whole window.  Sorted blocks take a third of the space of single rows.
+    """
     table = str.maketrans(UPPER + "\t" + PIECE_ENDS, LOWER + " " + "\n" * len(PIECE_ENDS))
+    last = max_words - 1
+
+    def blocks(found):
+        rows = []
+        for lang, counter in found.items():
+            lines = collections.defaultdict(list)
+            for phrase in sorted(counter):
+                words = phrase.split(" ", last)
+                key = phrase if len(words) <= last else phrase[:-len(words[last]) - 1]
+                if common and f"{lang}\n{key}" in common:
+                    key = phrase
+                lines[zlib.crc32(key.encode("utf-8", "surrogatepass")) % buckets].append(f"{phrase}\t{counter[phrase]}")
+            rows += [(b, lang, "\n".join(x)) for b, x in lines.items()]
+        bucket, lang, block = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(lang, pa.string()), pa.array(block, pa.string())], names=["bucket", "lang", "block"])
 
     def count(batches):
         found, size = collections.defaultdict(collections.Counter), 0
-
-        def batch():
-            langs = [lang for lang, c in found.items() for _ in range(len(c))]
-            return pa.RecordBatch.from_arrays([
-                pa.array(langs, pa.string()), pa.array([p for c in found.values() for p in c], pa.string()),
-                pa.array([n for c in found.values() for n in c.values()], pa.int64())], names=["lang", "phrase", "n"])
-
         for b in batches:
             for lang, text in zip(b.column(0), b.column(1)):
                 c = found[lang.as_py()]
@@ -58,15 +72,23 @@ def windows(docs: DataFrame, max_words: int, text_col: str = "text", lang_col: s
                     for k in range(1, min(max_words, len(words) + 1)):
                         c[" ".join(words[-k:])] += 1
                     if size + len(c) > ENTRIES:
-                        yield batch()
+                        yield blocks(found)
                         found.clear()
                         c, size = found[lang.as_py()], 0
                 size += len(c)
         if size:
-            yield batch()
+            yield blocks(found)
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(count, "lang string, phrase string, n long")
+    return texts.mapInArrow(count, "bucket int, lang string, block string")
+
+
+def block_lines(blocks: DataFrame, last: int) -> DataFrame:
+    """(bucket, lang, prefix, tail, n): the windows of blocks; tail is the last word of a full window, else empty."""
+    lines = blocks.select("bucket", "lang", F.explode(F.split("block", "\n")).alias("line")) \
+        .select("bucket", "lang", F.substring_index("line", "\t", 1).alias("phrase"), F.substring_index("line", "\t", -1).cast("long").alias("n"))
+    cut = lines.select("*", F.substring_index("phrase", " ", last).alias("prefix"))
+    return cut.select("bucket", "lang", "prefix", F.expr("substring(phrase, length(prefix) + 2)").alias("tail"), "n")
 
 
 def common_prefixes(docs: DataFrame, max_words: int, text_col: str, lang_col: str) -> list[str]:
@@ -74,10 +96,11 @@ def common_prefixes(docs: DataFrame, max_words: int, text_col: str, lang_col: st
     rows = docs.count()
     if not rows:
         return []
-    sample = windows(docs.select(text_col, lang_col).sample(min(1.0, SAMPLE_DOCS / rows), seed=13), max_words, text_col, lang_col) \
-        .select(F.concat_ws("\n", "lang", F.substring_index("phrase", " ", max_words - 1)).alias("prefix"), "n")
-    counted = sample.groupBy("prefix").agg(F.sum("n").alias("n"))
-    total = sample.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sample = docs.select(text_col, lang_col).sample(min(1.0, SAMPLE_DOCS / rows), seed=13)
+    counted = block_lines(windows(sample, max_words, 1, text_col=text_col, lang_col=lang_col), max_words - 1) \
+        .groupBy(F.concat_ws("\n", "lang", "prefix").alias("prefix")).agg(F.sum("n").alias("n"))
+    counted = scratch_table(counted, "prefixes")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return [r["prefix"] for r in counted.filter(F.col("n") >= max(COMMON * total, 2)).select("prefix").collect()]
 
 
@@ -87,21 +110,20 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, text
     last = max_words - 1
     word = F.split("phrase", " ")
     common = common_prefixes(docs, max_words, text_col, lang_col)
-    spread = F.when(F.concat_ws("\n", "lang", "prefix").isin(common), F.pmod(F.xxhash64("phrase"), F.lit(SALTS)) + 1).otherwise(F.lit(0)) \
-        if common else F.lit(0)
-    place = ["lang", "prefix", "salt"]
-    top = windows(docs, max_words, text_col, lang_col).withColumn("prefix", F.substring_index("phrase", " ", last)).withColumn("salt", spread) \
-        .select(*place, F.expr("substring(phrase, length(prefix) + 2)").alias("tail"), "n") \
-        .repartition(*place).groupBy(*place, "tail").agg(F.sum("n").alias("n"))
+    shared = F.concat_ws("\n", "lang", "prefix").isin(common) if common else F.lit(False)
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ["bucket", "lang", "prefix"]
+    dealt = windows(docs, max_words, buckets, frozenset(common), text_col, lang_col).repartition("bucket")
+    top = block_lines(dealt, last).groupBy(*place, "tail").agg(F.sum("n").alias("n"))
     kept = F.when((F.col("n") >= min_count) & (F.col("tail") != ""), F.struct("tail", "n"))
     once = top.select(*place, F.inline(F.array_compact(F.array(F.struct(F.lit("").alias("tail"), "n"), kept)))) \
         .groupBy(*place, "tail").agg(F.sum("n").alias("n")) \
-        .select("lang", "salt", F.when(F.col("tail") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "tail")).alias("phrase"), "n")
+        .select("lang", shared.alias("shared"), F.when(F.col("tail") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "tail")).alias("phrase"), "n")
     # a window that stays is taken off its prefix, whose sum holds it already; a rare prefix is folded once more
     def part(upto, n):
         return F.struct(upto.alias("upto"), n.alias("share"))
 
-    rare = F.when((F.col("n") >= min_count) | (F.col("salt") > 0), F.lit(last)).otherwise(F.lit(max(last - 1, 1)))
+    rare = F.when((F.col("n") >= min_count) | F.col("shared"), F.lit(last)).otherwise(F.lit(max(last - 1, 1)))
     shares = F.when(F.size(word) == max_words, F.array(part(F.lit(max_words), F.col("n")), part(F.lit(last), -F.col("n")))) \
         .otherwise(F.array(part(rare, F.col("n"))))
     folded = once.select("lang", word.alias("word"), F.inline(shares)) \
