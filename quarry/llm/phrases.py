@@ -31,6 +31,7 @@ from quarry.llm.common import scratch_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECE_ENDS = ".,;:!?\x0a\x0b\x0c\x0d"
 SCALE = 1_000_000
+PAD = "\x0b"
 SALTS = 32
 ENTRIES = 400_000  # windows a scanning task counts before it hands them on
 SAMPLE_DOCS, COMMON = 4000, 0.001  # a prefix with this share of the sample's windows is dealt out by last word: 1000 prefixes at most
@@ -40,23 +41,28 @@ def windows(docs: DataFrame, max_words: int, buckets: int, common: frozenset[str
             lang_col: str = "lang") -> DataFrame:
     """(bucket, lang, block): padded longest windows counted per task, one ``phrase<tab>n`` a line, in order.
 
-    The bucket comes from the window's prefix, for ``common`` prefixes from the
-    whole window.  Sorted blocks take a third of the space of single rows.
+    Pads are vertical tabs, which no word holds.  The bucket comes from the
+    window's prefix, for ``common`` prefixes from the whole window.  Sorted
+    blocks take a third of the space of single rows.
     """
-    table = str.maketrans(UPPER + "\t" + PIECE_ENDS, LOWER + " " + "\n" * len(PIECE_ENDS))
-    last = max_words - 1
+    table = str.maketrans(UPPER + "\t" + PIECE_ENDS, LOWER + " " + PAD * len(PIECE_ENDS))
+    pads = f" {PAD}" * (max_words - 1) + " "
+    widespread = collections.defaultdict(set)
+    for entry in common:
+        lang, _, prefix = entry.partition("\n")
+        widespread[lang].add(prefix)
 
     def blocks(found):
         rows = []
         for lang, counter in found.items():
-            lines = collections.defaultdict(list)
+            lines = [[] for _ in range(buckets)]
+            spread = widespread.get(lang, ())
             for phrase in sorted(counter):
-                words = phrase.split(" ", last)
-                key = phrase if len(words) <= last else phrase[:-len(words[last]) - 1]
-                if common and f"{lang}\n{key}" in common:
+                key = phrase[:phrase.rindex(" ")]
+                if key in spread:
                     key = phrase
                 lines[zlib.crc32(key.encode("utf-8", "surrogatepass")) % buckets].append(f"{phrase}\t{counter[phrase]}")
-            rows += [(b, lang, "\n".join(x)) for b, x in lines.items()]
+            rows += [(b, lang, "\n".join(x)) for b, x in enumerate(lines) if x]
         bucket, lang, block = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(lang, pa.string()), pa.array(block, pa.string())], names=["bucket", "lang", "block"])
 
@@ -64,31 +70,34 @@ def windows(docs: DataFrame, max_words: int, buckets: int, common: frozenset[str
         found, size = collections.defaultdict(collections.Counter), 0
         for b in batches:
             for lang, text in zip(b.column(0), b.column(1)):
-                c = found[lang.as_py()]
-                size -= len(c)
-                for piece in text.as_py().translate(table).split("\n"):
-                    words = [w for w in piece.split(" ") if w]
-                    c.update(map(" ".join, zip(*[words[k:] for k in range(max_words)])))
-                    for k in range(1, min(max_words, len(words) + 1)):
-                        c[" ".join(words[-k:])] += 1
-                    if size + len(c) > ENTRIES:
+                lang = lang.as_py()
+                words = [w for w in f"{text.as_py().translate(table)}{PAD}".replace(PAD, pads).split(" ") if w]
+                for at in range(0, len(words), ENTRIES):
+                    part = words[at:at + ENTRIES + max_words - 1]
+                    c = found[lang]
+                    size -= len(c)
+                    c.update(map(" ".join, zip(*[part[k:] for k in range(max_words)])))
+                    for opened_by_pad in [p for p in c if p[0] == PAD] if size + len(c) > ENTRIES else ():
+                        del c[opened_by_pad]
+                    size += len(c)
+                    if size > ENTRIES:
                         yield blocks(found)
                         found.clear()
-                        c, size = found[lang.as_py()], 0
-                size += len(c)
-        if size:
+                        size = 0
+        for c in found.values():
+            for opened_by_pad in [p for p in c if p[0] == PAD]:
+                del c[opened_by_pad]
+        if any(found.values()):
             yield blocks(found)
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.mapInArrow(count, "bucket int, lang string, block string")
 
 
-def block_lines(blocks: DataFrame, last: int) -> DataFrame:
-    """(bucket, lang, prefix, tail, n): the windows of blocks; tail is the last word of a full window, else empty."""
-    lines = blocks.select("bucket", "lang", F.explode(F.split("block", "\n")).alias("line")) \
-        .select("bucket", "lang", F.substring_index("line", "\t", 1).alias("phrase"), F.substring_index("line", "\t", -1).cast("long").alias("n"))
-    cut = lines.select("*", F.substring_index("phrase", " ", last).alias("prefix"))
-    return cut.select("bucket", "lang", "prefix", F.expr("substring(phrase, length(prefix) + 2)").alias("tail"), "n")
+def block_lines(blocks: DataFrame) -> DataFrame:
+    """(bucket, lang, phrase, n): the padded windows of blocks."""
+    lines = blocks.select("bucket", "lang", F.explode(F.split("block", "\n")).alias("line"))
+    return lines.select("bucket", "lang", F.substring_index("line", "\t", 1).alias("phrase"), F.substring_index("line", "\t", -1).cast("long").alias("n"))
 
 
 def common_prefixes(docs: DataFrame, max_words: int, text_col: str, lang_col: str) -> list[str]:
@@ -97,8 +106,8 @@ def common_prefixes(docs: DataFrame, max_words: int, text_col: str, lang_col: st
     if not rows:
         return []
     sample = docs.select(text_col, lang_col).sample(min(1.0, SAMPLE_DOCS / rows), seed=13)
-    counted = block_lines(windows(sample, max_words, 1, text_col=text_col, lang_col=lang_col), max_words - 1) \
-        .groupBy(F.concat_ws("\n", "lang", "prefix").alias("prefix")).agg(F.sum("n").alias("n"))
+    counted = block_lines(windows(sample, max_words, 1, text_col=text_col, lang_col=lang_col)) \
+        .groupBy(F.concat_ws("\n", "lang", F.substring_index("phrase", " ", max_words - 1)).alias("prefix")).agg(F.sum("n").alias("n"))
     counted = scratch_table(counted, "prefixes")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return [r["prefix"] for r in counted.filter(F.col("n") >= max(COMMON * total, 2)).select("prefix").collect()]
@@ -110,24 +119,24 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, text
     last = max_words - 1
     word = F.split("phrase", " ")
     common = common_prefixes(docs, max_words, text_col, lang_col)
-    shared = F.concat_ws("\n", "lang", "prefix").isin(common) if common else F.lit(False)
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = ["bucket", "lang", "prefix"]
+    place = ["bucket", "lang"]
     dealt = windows(docs, max_words, buckets, frozenset(common), text_col, lang_col).repartition("bucket")
-    top = block_lines(dealt, last).groupBy(*place, "tail").agg(F.sum("n").alias("n"))
-    kept = F.when((F.col("n") >= min_count) & (F.col("tail") != ""), F.struct("tail", "n"))
-    once = top.select(*place, F.inline(F.array_compact(F.array(F.struct(F.lit("").alias("tail"), "n"), kept)))) \
-        .groupBy(*place, "tail").agg(F.sum("n").alias("n")) \
-        .select("lang", shared.alias("shared"), F.when(F.col("tail") == "", F.col("prefix")).otherwise(F.concat_ws(" ", "prefix", "tail")).alias("phrase"), "n")
+    top = block_lines(dealt).groupBy(*place, "phrase").agg(F.sum("n").alias("n"))
+    prefix = F.substring_index("phrase", " ", last)
+    kept = F.when((F.col("n") >= min_count) & ~F.col("phrase").endswith(PAD), F.struct("phrase", "n"))
+    once = top.select(*place, F.inline(F.array_compact(F.array(F.struct(prefix.alias("phrase"), "n"), kept)))) \
+        .groupBy(*place, "phrase").agg(F.sum("n").alias("n"))
+    shared = F.concat_ws("\n", "lang", "phrase").isin(common) if common else F.lit(False)
     # a window that stays is taken off its prefix, whose sum holds it already; a rare prefix is folded once more
     def part(upto, n):
         return F.struct(upto.alias("upto"), n.alias("share"))
 
-    rare = F.when((F.col("n") >= min_count) | F.col("shared"), F.lit(last)).otherwise(F.lit(max(last - 1, 1)))
+    rare = F.when((F.col("n") >= min_count) | shared, F.lit(last)).otherwise(F.lit(max(last - 1, 1)))
     shares = F.when(F.size(word) == max_words, F.array(part(F.lit(max_words), F.col("n")), part(F.lit(last), -F.col("n")))) \
         .otherwise(F.array(part(rare, F.col("n"))))
     folded = once.select("lang", word.alias("word"), F.inline(shares)) \
-        .select("lang", *[F.when(F.lit(k) < F.col("upto"), F.get("word", F.lit(k))).alias(c) for k, c in enumerate(columns)], F.col("share").alias("n"))
+        .select("lang", *[F.when(F.lit(k) < F.col("upto"), F.nullif(F.get("word", F.lit(k)), F.lit(PAD))).alias(c) for k, c in enumerate(columns)], F.col("share").alias("n"))
     summed = folded.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     rows = []
     for k in range(max_words + 1):  # level of the first k words; padded windows are no phrases of k words
