@@ -7,7 +7,7 @@ phrase of k words occurs as often as the windows that begin with it, so ROLLUP
 over the window's columns gives the counts of all shorter phrases and, at its
 last level, of all words.
 
-Counted windows are dealt out by their prefix (without the last word) in sorted
+Counted windows are dealt out by their prefix (without the last word) in
 blocks, so that windows and prefixes are summed in one place after one shuffle.  Prefixes that
 a sample shows to be very common are dealt out by their last word too; the sample
 decides where rows go, never what is counted.  Before the ROLLUP, what stays below
@@ -39,11 +39,11 @@ SAMPLE_DOCS, COMMON = 4000, 0.001  # a prefix with this share of the sample's wi
 
 def windows(docs: DataFrame, max_words: int, buckets: int, common: frozenset[str] = frozenset(), text_col: str = "text",
             lang_col: str = "lang") -> DataFrame:
-    """(bucket, lang, block): padded longest windows counted per task, one ``phrase<tab>n`` a line, in order.
+    """(bucket, lang, block): padded longest windows counted per task, one ``phrase<tab>n`` a line.
 
     Pads are vertical tabs, which no word holds.  The bucket comes from the
-    window's prefix, for ``common`` prefixes from the whole window.  Sorted
-    blocks take a third of the space of single rows.
+    window's prefix, for ``common`` prefixes from the whole window.  Blocks take
+    half the space of single rows.
     """
     table = str.maketrans(UPPER + "\t" + PIECE_ENDS, LOWER + " " + PAD * len(PIECE_ENDS))
     pads = f" {PAD}" * (max_words - 1) + " "
@@ -57,11 +57,11 @@ def windows(docs: DataFrame, max_words: int, buckets: int, common: frozenset[str
         for lang, counter in found.items():
             lines = [[] for _ in range(buckets)]
             spread = widespread.get(lang, ())
-            for phrase in sorted(counter):
+            for phrase, n in counter.items():
                 key = phrase[:phrase.rindex(" ")]
                 if key in spread:
                     key = phrase
-                lines[zlib.crc32(key.encode("utf-8", "surrogatepass")) % buckets].append(f"{phrase}\t{counter[phrase]}")
+                lines[zlib.crc32(key.encode("utf-8", "surrogatepass")) % buckets].append(f"{phrase}\t{n}")
             rows += [(b, lang, "\n".join(x)) for b, x in enumerate(lines) if x]
         bucket, lang, block = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(lang, pa.string()), pa.array(block, pa.string())], names=["bucket", "lang", "block"])
