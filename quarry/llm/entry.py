@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import embedding_dedup, exact_dedup, html_text, language, line_dedup, minhash, mixing, packing, phrases, quality, secrets, toxicity
+from quarry.llm import conversations, embedding_dedup, exact_dedup, html_text, language, line_dedup, minhash, mixing, packing, phrases, quality, secrets, toxicity
 from quarry.llm.common import read_table
 
 
@@ -54,14 +54,18 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op11_language(read_table(spark, sf_dir, "documents"))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.op12_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.op13_phrases(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_line_dedup, op3_html, op4_embedding_dedup, op5_toxicity, op6_quality,
-                              op7_minhash, op8_mixing, op9_exact_dedup, op10_secrets, op11_language, op13_phrases)}
+                              op7_minhash, op8_mixing, op9_exact_dedup, op10_secrets, op11_language, op12_conversations, op13_phrases)}
 
 SQL: dict[str, str] = {"op4_embedding_dedup": embedding_dedup.OP4_SQL, "op7_minhash": minhash.OP7_SQL,
                        "op9_exact_dedup": exact_dedup.OP9_SQL, "op10_secrets": secrets.op10_sql(),
-                       "op13_phrases": phrases.op13_sql()}
+                       "op12_conversations": conversations.OP12_SQL, "op13_phrases": phrases.op13_sql()}
