@@ -22,12 +22,31 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import broadcast_if_small
 
 
+def level_factors(n: Column, sx: Column, c: Column, k: Column, published: Column, is_mean: bool, ratio: str) -> tuple[Column, Column, Column]:
+    """(r, d, contribution to the next level's S) of one group and measure.
+
+    ``n`` rows, ``sx`` sum of raw values, ``c`` / ``k`` sum and count of the level
+    below, ``published`` the total (null when there is none).
+    """
+    S = F.try_divide(c, k) if is_mean else F.coalesce(c, F.lit(0.0))
+    if ratio == "direct":
+        r = F.coalesce(F.try_divide(published, S), F.lit(1.0))
+    else:
+        r = F.coalesce(F.try_divide(S, published), F.lit(1.0))
+    ax = F.try_divide(sx, n) if is_mean else sx
+    if is_mean and ratio == "direct":
+        d = r * ax - published  # the mean itself reaches the published value
+    else:
+        d = F.try_divide(r * ax - published, n)
+    return r, d, r * sx - n * d
+
+
 def reconcile(detail: DataFrame, levels: Sequence[tuple[Sequence[str], DataFrame]], sums: Sequence[str],
               means: Sequence[str] = (), ratio: str = "reference") -> DataFrame:
     """``levels`` = [(keys, totals), ...] from the finest to the coarsest level.
@@ -58,18 +77,7 @@ def reconcile(detail: DataFrame, levels: Sequence[tuple[Sequence[str], DataFrame
         for m in measures:
             sx, c, k, D = F.col(f"sx_{m}"), F.col(f"c_{m}"), F.col(f"k_{m}"), F.col(f"D_{m}")
             is_mean = m in means
-            S = F.try_divide(c, k) if is_mean else F.coalesce(c, F.lit(0.0))
-            if ratio == "direct":
-                r = F.coalesce(F.try_divide(D, S), F.lit(1.0))
-            else:
-                r = F.coalesce(F.try_divide(S, D), F.lit(1.0))
-            ax = F.try_divide(sx, F.col("n")) if is_mean else sx
-            if is_mean and ratio == "direct":
-                d = r * ax - D  # the mean itself reaches the published value
-            else:
-                d = F.try_divide(r * ax - D, F.col("n"))
-            # contribution of the group to the next level's S: sum of y over its rows
-            contrib = r * sx - F.col("n") * d
+            r, d, contrib = level_factors(F.col("n"), sx, c, k, D, is_mean, ratio)
             cols += [sx.alias(f"sx_{m}"), contrib.alias(f"c_{m}"),
                      F.when(d.isNotNull(), F.col("n")).alias(f"k_{m}"), r.alias(f"r_{m}"), d.alias(f"d_{m}")]
         prev = g.select(*cols)
@@ -90,6 +98,12 @@ def ratio_normalise(rows: DataFrame, group: Sequence[str], measures: Sequence[st
     return j.select(*other, *[(F.col(m) * F.col(f"R_{m}")).alias(m) for m in measures])
 
 
+def split_by_name(rows: DataFrame, name_col: str, total_name: str, total_word: str = "Total") -> DataFrame:
+    """One table's rows marked ``is_total``: the rows named ``total_name``; rows with any other total's name go."""
+    named = F.coalesce(F.col(name_col), F.lit(""))
+    return rows.filter((named == total_name) | ~named.contains(total_word)).withColumn("is_total", named == total_name)
+
+
 def closing_check(reconciled: DataFrame, totals: DataFrame, keys: Sequence[str], measure: str,
                   tol: float = 1e-2) -> DataFrame:
     """Reconciled total within ``tol`` of the published total, per group."""
