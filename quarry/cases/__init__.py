@@ -91,4 +91,4 @@ def load_all() -> dict[str, Case]:
     return REGISTRY
 
 
-MODULES = ["c_valuation", "c_clean", "c_panel", "c_windows", "c_costing", "c_plan", "c_reconcile", "c_census", "c_census_flow", "c_misc", "c_sources"]
+MODULES = ["c_valuation", "c_clean", "c_panel", "c_windows", "c_forecast", "c_costing", "c_plan", "c_reconcile", "c_census", "c_census_flow", "c_misc", "c_sources"]

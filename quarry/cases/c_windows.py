@@ -344,14 +344,6 @@ def m05d(fx):
     return o.join(p.select("date", F.col("litres").alias("litres_pred"), F.col("price").alias("price_pred")), "date")
 
 
-@case("m06_forecast_normalized", None)
-def m06n(fx):
-    """Calendar recursion with the daily national total rescaled to a seeded N(870, 30) thousand-barrel target."""
-    def target(d):
-        return (F.lit(870.0) + F.lit(30.0) * seeded_normal(F.lit(11), d)) * F.lit(1000.0 * 158.9873027281)
-    return FC.forecast_calendar(fx.panel, LOC, width=28, horizon=14, target=target, saturate=True)
-
-
 @case("w05_squashed_change_dropped_first",
       with_views("SELECT state, mun, date, price, 1.0 / (1.0 + exp(-coalesce(price / NULLIF(prev, 0) - 1, 0.0))) AS chg "
                  "FROM (SELECT state, mun, date, price, lag(price) OVER (PARTITION BY state, mun ORDER BY date) AS prev "

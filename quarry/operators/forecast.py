@@ -161,54 +161,147 @@ def one_step_drift(df: DataFrame, keys: Sequence[str], order: str, values: Seque
     return df.select(*keys, order, *cols)
 
 
-def forecast_calendar(panel: DataFrame, keys: Sequence[str], width: int, horizon: int,
-                      target=None, saturate: bool = False, annual_cap: float = 0.09,
-                      date: str = "date", price: str = "price",
-                      litres: str = "litres") -> DataFrame:
-    """M06 with the national normalisation inside the recursion (M07) and calendar windows.
-
-    Day d is predicted for every location from its rows in [d - width, d - 1]
-    (drift between the first and last observed day of that window), then -
-    when ``target`` is given - the day's volumes are rescaled so their total
-    over locations equals ``target(d)`` *before* day d enters the next
-    windows, as in the original loop.  ``saturate`` clips the price change
-    against the value ``width`` days earlier.
-
-    The recursion is sequential in time, so this is a loop over days; each
-    step reads only the forecast state (locations x (width + steps so far)
-    rows, never the history) and the state is cut with a reliable
-    ``checkpoint()`` after every step (one small job per day).
+# ------------------------------------------------------------------ M06 on the calendar
+def _calendar(panel: DataFrame, date: str, init_date, final_date, horizon: int | None) -> tuple[Column, Column]:
+    """First forecast day (by default the day after the panel's last one) and the step numbers.
+
+    A default first day stays a scalar subquery with ``horizon``; up to a
+    ``final_date`` the last day is read first (one value).
+    """
+    def given(d):
+        return d if isinstance(d, Column) else F.to_date(F.lit(str(d)))
+    if final_date is None and horizon is None:
+        raise ValueError("give final_date or horizon")
+    last = panel.agg(F.max(date).cast("date").alias("last"))
+    if init_date is not None:
+        init = given(init_date)
+    elif final_date is None:
+        init = F.date_add(last.scalar(), 1)
+    else:
+        init = F.date_add(F.lit(last.first()["last"]).cast("date"), 1)
+    return init, F.sequence(F.lit(0), F.lit(horizon - 1) if final_date is None else F.datediff(given(final_date), init))
+
+
+def day_arrays(panel: DataFrame, keys: Sequence[str], values: Sequence[str], width: int, init: Column, date: str = "date",
+               filled: Sequence[str] = ()) -> DataFrame:
+    """(keys, one array per value): the ``width`` days before ``init`` as positions 1..width, days without a row null.
+
+    Only these days are read.  Entities without a row among them are absent; of
+    rows that repeat a day the smallest value counts.  ``filled`` values carry the
+    last known day forward and the first one back.
+    """
+    at = F.datediff(F.col(date).cast("date"), F.date_sub(init, width)) + 1
+    seen = panel.filter((F.col(date).cast("date") >= F.date_sub(init, width)) & (F.col(date).cast("date") < init)) \
+        .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), *[F.col(v).cast("double").alias(v) for v in values]))).alias("_seen"))
+
+    def dense(v: str) -> Column:
+        known = F.filter("_seen", lambda x: x[v].isNotNull())
+
+        def cell(i):
+            same = F.get(F.filter(known, lambda x: x["at"] == i), 0)[v]
+            if v not in filled:
+                return same
+            return F.coalesce(same, F.try_element_at(F.filter(known, lambda x: x["at"] <= i), F.lit(-1))[v], F.get(known, 0)[v])
+        return F.transform(F.sequence(F.lit(1), F.lit(width)), cell).alias(v)
+    return seen.select(*keys, *[dense(v) for v in values])
+
+
+def _fold(days: Column, steps: Column, width: int, model: str, clip: float | None, shock=None) -> Column:
+    """Array of one value per step.  State: the last ``width`` days, the last known value and its age."""
+    known = F.filter(days, lambda x: x.isNotNull())
+    age = F.array_position(F.transform(F.reverse(days), lambda x: x.isNotNull()), F.lit(True))
+    init = F.struct(days.alias("w"), F.try_element_at(known, F.lit(-1)).alias("last"), age.cast("int").alias("age"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc, i):
+        w, last, old = acc["w"], acc["last"], acc["age"]
+        first = F.get(F.filter(w, lambda x: x.isNotNull()), 0)
+        gap = (F.lit(width + 1) - old - F.array_position(w, first)).cast("int")
+        ratio = F.try_divide(last, first)
+        nxt = last * F.when((gap > 0) & (ratio > 0), F.pow(ratio, F.try_divide(old, gap))).otherwise(F.lit(1.0))
+        if model == "seasonal" and width >= 7:
+            nxt = F.coalesce(F.get(w, F.lit(width - 7)), last)  # the same weekday one week earlier
+        if shock is not None:
+            nxt = nxt * shock(i)
+        if clip is not None:
+            base = F.get(w, F.lit(0))
+            change = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.try_divide(nxt, base) - 1))
+            nxt = F.coalesce(base * (F.lit(1.0) + change), nxt)
+        return F.struct(F.slice(F.concat(w, F.array(nxt)), 2, width).alias("w"), F.coalesce(nxt, last).alias("last"),
+                        F.when(nxt.isNotNull(), F.lit(1)).otherwise(old + 1).alias("age"), F.concat(acc["out"], F.array(nxt)).alias("out"))
+    return F.aggregate(steps, init, step)["out"]
+
+
+def forecast_calendar(panel: DataFrame, keys: Sequence[str], width: int, horizon: int | None = None, target=None,
+                      saturate: bool = False, annual_cap: float = 0.09, date: str = "date", price: str = "price",
+                      litres: str = "litres", init_date=None, final_date=None, model: str = "drift") -> DataFrame:
+    """M06 on a common calendar: every entity from ``init_date`` to ``final_date`` (both included).
+
+    Each entity's state is a dense array of the ``width`` days before the forecast
+    day; days without a row stay null.  ``drift`` grows the last known value by the
+    daily rate between the first and last known day of that window, ``seasonal``
+    takes the value a week earlier.  Rows of the panel from ``init_date`` on are not
+    read: their days are forecast anew (``extend_panel`` overwrites or appends them).
+    ``saturate`` clips the price change against the value ``width`` days earlier.
+
+    ``target``: a function of the forecast date giving the day's total volume, met
+    before the day enters later windows (M07 inside the recursion).  No loop over
+    days is needed: one step is homogeneous of degree one in the volumes of its
+    window, so when every window has its known days in the same places, the scaled
+    recursion is the plain one times one factor per day, and that factor is the
+    target over the plain total.  Gaps in the volume would move the known days per
+    entity, and clipping is not homogeneous; so with a target the volume's gaps are
+    filled (last known day forward, first one back), and only the price is clipped.
     """
-    from quarry.session import cut_lineage
     keys = list(keys)
-    last = panel.agg(F.max(date)).first()[0]  # one value: where the calendar continues
-    state = panel.filter(F.col(date) > F.date_sub(F.lit(last), width)).select(*keys, date, price, litres)
-    state = cut_lineage(state)
-    ub = growth_bound(annual_cap, width)
-    for i in range(1, horizon + 1):
-        d = F.date_add(F.lit(last), i)
-        win = state.filter(F.col(date) >= F.date_sub(d, width))
-        row = F.struct(F.col(date).alias("t"), F.col(price).alias("p"), F.col(litres).alias("q"))
-        g = win.groupBy(*keys).agg(F.min_by(row, F.col(date)).alias("f"), F.max_by(row, F.col(date)).alias("l"),
-                                   F.max(F.when(F.col(date) == F.date_sub(d, width), F.col(price))).alias("base"))
-        gap = F.datediff(F.col("l.t"), F.col("f.t"))
-        ahead = F.datediff(d, F.col("l.t"))
-
-        def step(v):
-            ratio = F.try_divide(F.col(f"l.{v}"), F.col(f"f.{v}"))
-            grow = F.when((gap > 0) & (ratio > 0), F.pow(ratio, ahead / gap)).otherwise(F.lit(1.0))
-            return F.col(f"l.{v}") * grow
-
-        p_new, q_new = step("p"), step("q")
-        if saturate:
-            chg = F.greatest(F.lit(-ub), F.least(F.lit(ub), F.try_divide(p_new, F.col("base")) - 1))
-            p_new = F.coalesce(F.col("base") * (F.lit(1.0) + chg), p_new)
-        new = g.select(*keys, d.alias(date), p_new.alias(price), q_new.alias(litres))
-        if target is not None:
-            # one row per location for the day: the national total is a bounded window
-            tot = F.sum(litres).over(Window.partitionBy())
-            new = new.withColumn(litres, F.col(litres) * safe_div(target(d), tot))
-        # day d joins the state; the state is checkpointed every step because each step reads
-        # it twice (its window and the union), which would double the plan per day otherwise
-        state = cut_lineage(state.unionByName(new))
-    return state.filter(F.col(date) > F.lit(last))
+    init, span = _calendar(panel, date, init_date, final_date, horizon)
+    days = day_arrays(panel, keys, [price, litres], width, init, date, [litres] if target is not None else [])
+    ub = growth_bound(annual_cap, width) if saturate else None
+    z = days.select(*keys, F.arrays_zip(_fold(F.col(price), span, width, model, ub).alias(price), _fold(F.col(litres), span, width, model, None).alias(litres)).alias("_z"))
+    out = z.select(*keys, F.posexplode("_z").alias("_i", "_s")) \
+        .select(*keys, F.date_add(init, F.col("_i")).alias(date), F.col("_s")[price].alias(price), F.col("_s")[litres].alias(litres))
+    if target is None:
+        return out
+    return normalise_total(out, date, litres, target(F.col(date)))
+
+
+def extend_panel(panel: DataFrame, predicted: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
+    """The panel with its days from the forecast's first to its last one overwritten, later ones appended."""
+    bounds = predicted.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
+    day = F.col(date).cast("date")
+    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    kept = panel.filter(F.coalesce((day < lo) | (day > hi), F.lit(True)))
+    return kept.unionByName(predicted.select(*[F.col(c).cast(panel.schema[c].dataType).alias(c) for c in panel.columns]))
+
+
+# ------------------------------------------------------------------ M08 from forecasts
+def forecast_scenarios(panel: DataFrame, keys: Sequence[str], width: int, n_scenarios: int, horizon: int | None = None, seed: int = 0,
+                       grain: str = "year", price_sd: float = 0.05, volume_sd: float = 0.05, saturate: bool = True,
+                       annual_cap: float = 0.09, date: str = "date", price: str = "price", litres: str = "litres",
+                       init_date=None, final_date=None, model: str = "drift") -> tuple[DataFrame, DataFrame]:
+    """M08 on M06: many shocked forecasts reduced to period price and volume, and the period table of the forecast's days.
+
+    Every step of every scenario is multiplied by exp(sd z), z drawn by md5 from
+    (seed, metric, scenario, first key, step), so shocks feed later days; with
+    ``saturate`` the price is clipped after its shock.  All scenarios run in one
+    job: the day arrays (one row per entity) are expanded by the scenario ids.
+    """
+    keys = list(keys)
+    init, span = _calendar(panel, date, init_date, final_date, horizon)
+    ub = growth_bound(annual_cap, width) if saturate else None
+    days = day_arrays(panel, keys, [price, litres], width, init, date) \
+        .withColumn("scenario", F.explode(F.sequence(F.lit(0), F.lit(n_scenarios - 1))))
+
+    def shock(metric, sd):
+        return lambda i: F.exp(F.lit(sd) * seeded_normal(F.lit(seed), F.lit(metric), F.col("scenario"), F.col(keys[0]), i))
+    z = days.select(*keys, "scenario", F.arrays_zip(_fold(F.col(price), span, width, model, ub, shock("p", price_sd)).alias("p"),
+                                                    _fold(F.col(litres), span, width, model, None, shock("q", volume_sd)).alias("q")).alias("_z"))
+    def period(day):
+        return F.year(day) if grain == "year" else F.trunc(day, "MM")
+    daily = z.select(*keys, "scenario", F.posexplode("_z").alias("_i", "_s"))
+    sums = daily.groupBy("scenario", period(F.date_add(init, F.col("_i"))).alias("period"), *keys) \
+        .agg(F.sum("_s.q").alias(litres), F.sum(F.col("_s.p") * F.col("_s.q")).alias("revenue"))
+    calendar = panel.sparkSession.range(1).select(F.explode(span).alias("_i")).select(F.date_add(init, F.col("_i")).alias("day"))
+    periods = calendar.groupBy(period(F.col("day")).alias("period")).agg(F.count(F.lit(1)).alias("days"))
+    periods = periods.select("period", "days", (F.dense_rank().over(Window.orderBy("period")) - 1).cast("int").alias("T"))
+    out = sums.join(F.broadcast(periods.select("period", "T")), "period")  # one row per period of the calendar
+    return out.select("scenario", "period", *keys, litres, safe_div(F.col("revenue"), F.col(litres)).alias(price), "T"), periods

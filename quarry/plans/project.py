@@ -126,13 +126,13 @@ class Project:
         return W.sliding_windows(split, ["state", "mun", "split"], "date", ["price", "litres"], length, label_width)
 
     @staticmethod
-    def forecast(panel: DataFrame, width: int, horizon: int, model: str = "drift", saturate: bool = True,
-                 normalize_target=None) -> DataFrame:
-        """M06.  ``normalize_target``: a function of the forecast-date column giving the national
-        total; the rescaled volumes then feed the following days (calendar recursion)."""
-        if normalize_target is not None:
-            return FC.forecast_calendar(panel, ["state", "mun"], width, horizon, target=normalize_target,
-                                        saturate=saturate)
+    def forecast(panel: DataFrame, width: int, horizon: int | None = None, model: str = "drift", saturate: bool = True,
+                 normalize_target=None, init_date=None, final_date=None) -> DataFrame:
+        """M06.  ``init_date`` / ``final_date``: the same calendar for every location.  ``normalize_target``:
+        a function of the forecast-date column giving the national total of the day."""
+        if normalize_target is not None or init_date is not None or final_date is not None:
+            return FC.forecast_calendar(panel, ["state", "mun"], width, horizon, target=normalize_target, saturate=saturate,
+                                        init_date=init_date, final_date=final_date, model=model)
         return FC.forecast(panel, ["state", "mun"], "date", ["price", "litres"], width, horizon, model, saturate)
 
     @staticmethod
@@ -146,12 +146,19 @@ class Project:
         return FC.revenue_mape(obs, pred, history, ["state", "mun"])
 
     @staticmethod
-    def annual_data(panel: DataFrame, n_scenarios: int, seed: int = 0):
-        return FC.scenario_panels(panel, n_scenarios, seed, "year")
+    def annual_data(panel: DataFrame, n_scenarios: int, seed: int = 0, final_date=None, init_date=None, width: int = 56):
+        """M08 by year; with ``final_date`` from shocked forecasts up to that day, else from the panel's own days."""
+        return Project._periods(panel, n_scenarios, seed, "year", final_date, init_date, width)
 
     @staticmethod
-    def monthly_data(panel: DataFrame, n_scenarios: int, seed: int = 0):
-        return FC.scenario_panels(panel, n_scenarios, seed, "month")
+    def monthly_data(panel: DataFrame, n_scenarios: int, seed: int = 0, final_date=None, init_date=None, width: int = 56):
+        return Project._periods(panel, n_scenarios, seed, "month", final_date, init_date, width)
+
+    @staticmethod
+    def _periods(panel, n_scenarios, seed, grain, final_date, init_date, width):
+        if final_date is None:
+            return FC.scenario_panels(panel, n_scenarios, seed, grain)
+        return FC.forecast_scenarios(panel, ["state", "mun"], width, n_scenarios, seed=seed, grain=grain, init_date=init_date, final_date=final_date)
 
     # ------------------------------------------------------------ costing
     def get_refinery_data(self) -> DataFrame:
