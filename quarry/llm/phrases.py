@@ -21,6 +21,7 @@ from __future__ import annotations
 import collections
 import zlib
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,13 +34,14 @@ PIECE_ENDS = ".,;:!?\x0a\x0b\x0c\x0d"
 SCALE = 1_000_000
 PAD = "\x0b"
 SALTS = 32
-ENTRIES = 400_000  # windows a scanning task counts before it hands them on
+ENTRIES = 400_000  # distinct windows a scanning task counts before it hands them on; windows a bucket is to hold at most
+PLACES = 64        # buckets of the sample
 SAMPLE_DOCS, COMMON = 4000, 0.001  # a prefix with this share of the sample's windows is dealt out by last word: 1000 prefixes at most
 
 
 def windows(docs: DataFrame, max_words: int, buckets: int, common: frozenset[str] = frozenset(), text_col: str = "text",
             lang_col: str = "lang") -> DataFrame:
-    """(bucket, lang, block): padded longest windows counted per task, one ``phrase<tab>n`` a line.
+    """(bucket, lang, once, more): padded longest windows counted per task, one a line; ``more`` adds a tab and the count.
 
     Pads are vertical tabs, which no word holds.  The bucket comes from the
     window's prefix, for ``common`` prefixes from the whole window.  Blocks take
@@ -55,16 +57,20 @@ def windows(docs: DataFrame, max_words: int, buckets: int, common: frozenset[str
     def blocks(found):
         rows = []
         for lang, counter in found.items():
-            lines = [[] for _ in range(buckets)]
+            once, more = [[] for _ in range(buckets)], [[] for _ in range(buckets)]
             spread = widespread.get(lang, ())
             for phrase, n in counter.items():
                 key = phrase[:phrase.rindex(" ")]
                 if key in spread:
                     key = phrase
-                lines[zlib.crc32(key.encode("utf-8", "surrogatepass")) % buckets].append(f"{phrase}\t{n}")
-            rows += [(b, lang, "\n".join(x)) for b, x in enumerate(lines) if x]
-        bucket, lang, block = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(lang, pa.string()), pa.array(block, pa.string())], names=["bucket", "lang", "block"])
+                b = zlib.crc32(key.encode("utf-8", "surrogatepass")) % buckets
+                if n == 1:
+                    once[b].append(phrase)
+                else:
+                    more[b].append(f"{phrase}\t{n}")
+            rows += [(b, lang, "\n".join(x), "\n".join(y)) for b, (x, y) in enumerate(zip(once, more)) if x or y]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.string(), pa.string()))],
+                                          names=["bucket", "lang", "once", "more"])
 
     def count(batches):
         found, size = collections.defaultdict(collections.Counter), 0
@@ -91,58 +97,80 @@ def windows(docs: DataFrame, max_words: int, buckets: int, common: frozenset[str
             yield blocks(found)
 
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(count, "bucket int, lang string, block string")
+    return texts.mapInArrow(count, "bucket int, lang string, once string, more string")
 
 
-def block_lines(blocks: DataFrame) -> DataFrame:
-    """(bucket, lang, phrase, n): the padded windows of blocks."""
-    lines = blocks.select("bucket", "lang", F.explode(F.split("block", "\n")).alias("line"))
-    return lines.select("bucket", "lang", F.substring_index("line", "\t", 1).alias("phrase"), F.substring_index("line", "\t", -1).cast("long").alias("n"))
+def summed(blocks: pd.DataFrame) -> dict[str, collections.Counter]:
+    """Counts of the windows in blocks, per language."""
+    found = collections.defaultdict(collections.Counter)
+    for lang, once, more in zip(blocks["lang"], blocks["once"], blocks["more"]):
+        c = found[lang]
+        if once:
+            c.update(once.split("\n"))
+        for line in more.split("\n") if more else ():
+            phrase, _, n = line.rpartition("\t")
+            c[phrase] += int(n)
+    return found
 
 
-def common_prefixes(docs: DataFrame, max_words: int, text_col: str, lang_col: str) -> list[str]:
-    """Prefixes, after their language and a line feed, that hold at least COMMON of a sample's windows."""
+def common_prefixes(docs: DataFrame, max_words: int, text_col: str, lang_col: str) -> tuple[list[str], int]:
+    """Prefixes, after their language and a line feed, that hold at least COMMON of a sample's windows; windows to be expected in all rows."""
     rows = docs.count()
     if not rows:
-        return []
-    sample = docs.select(text_col, lang_col).sample(min(1.0, SAMPLE_DOCS / rows), seed=13)
-    counted = block_lines(windows(sample, max_words, 1, text_col=text_col, lang_col=lang_col)) \
-        .groupBy(F.concat_ws("\n", "lang", F.substring_index("phrase", " ", max_words - 1)).alias("prefix")).agg(F.sum("n").alias("n"))
-    counted = scratch_table(counted, "prefixes")
+        return [], 0
+    part = min(1.0, SAMPLE_DOCS / rows)
+    blocks = windows(docs.select(text_col, lang_col).sample(part, seed=13), max_words, PLACES, text_col=text_col, lang_col=lang_col)
+
+    def prefixes(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = collections.Counter()
+        for lang, c in summed(pdf).items():
+            for phrase, n in c.items():
+                out[f"{lang}\n{phrase[:phrase.rindex(' ')]}"] += n
+        return pd.DataFrame({"prefix": list(out), "n": list(out.values())})
+
+    counted = scratch_table(blocks.groupBy("bucket").applyInPandas(prefixes, "prefix string, n long"), "prefixes")
     total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return [r["prefix"] for r in counted.filter(F.col("n") >= max(COMMON * total, 2)).select("prefix").collect()]
+    often = counted.filter(F.col("n") >= max(COMMON * total, 2)).select("prefix").collect()
+    return [r["prefix"] for r in often], int(total / part)
 
 
 def phrase_counts(docs: DataFrame, max_words: int = 3, min_count: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, phrase, k, f): phrases of k words with f >= min_count; k = 0 and phrase '' hold all words of the language."""
+    common, expected = common_prefixes(docs, max_words, text_col, lang_col)
+    spread = frozenset(common)
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), expected // ENTRIES)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's windows and prefixes that reach min_count; what stays below is added to the next shorter prefix."""
+        out = []
+        for lang, c in summed(pdf).items():
+            prefixes, rest = collections.Counter(), collections.Counter()
+            for phrase, n in c.items():
+                prefixes[phrase[:phrase.rindex(" ")]] += n
+            for phrase, n in c.items():
+                if n >= min_count and phrase[-1] != PAD:
+                    out.append((lang, phrase, n))
+                    rest[phrase[:phrase.rindex(" ")]] -= n
+            shorter = collections.Counter()
+            for prefix, n in prefixes.items():
+                left = n + rest[prefix]
+                if n >= min_count or f"{lang}\n{prefix}" in spread:
+                    out.append((lang, prefix, left))
+                else:
+                    shorter[prefix.rpartition(" ")[0] or prefix] += left
+            out += [(lang, phrase, n) for phrase, n in shorter.items()]
+        return pd.DataFrame(out, columns=["lang", "phrase", "n"])
+
+    folded = windows(docs, max_words, buckets, spread, text_col, lang_col).groupBy("bucket").applyInPandas(fold, "lang string, phrase string, n long")
     columns = [f"w{k + 1}" for k in range(max_words)]
-    last = max_words - 1
     word = F.split("phrase", " ")
-    common = common_prefixes(docs, max_words, text_col, lang_col)
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place = ["bucket", "lang"]
-    dealt = windows(docs, max_words, buckets, frozenset(common), text_col, lang_col).repartition("bucket")
-    top = block_lines(dealt).groupBy(*place, "phrase").agg(F.sum("n").alias("n"))
-    prefix = F.substring_index("phrase", " ", last)
-    kept = F.when((F.col("n") >= min_count) & ~F.col("phrase").endswith(PAD), F.struct("phrase", "n"))
-    once = top.select(*place, F.inline(F.array_compact(F.array(F.struct(prefix.alias("phrase"), "n"), kept)))) \
-        .groupBy(*place, "phrase").agg(F.sum("n").alias("n"))
-    shared = F.concat_ws("\n", "lang", "phrase").isin(common) if common else F.lit(False)
-    # a window that stays is taken off its prefix, whose sum holds it already; a rare prefix is folded once more
-    def part(upto, n):
-        return F.struct(upto.alias("upto"), n.alias("share"))
-
-    rare = F.when((F.col("n") >= min_count) | shared, F.lit(last)).otherwise(F.lit(max(last - 1, 1)))
-    shares = F.when(F.size(word) == max_words, F.array(part(F.lit(max_words), F.col("n")), part(F.lit(last), -F.col("n")))) \
-        .otherwise(F.array(part(rare, F.col("n"))))
-    folded = once.select("lang", word.alias("word"), F.inline(shares)) \
-        .select("lang", *[F.when(F.lit(k) < F.col("upto"), F.nullif(F.get("word", F.lit(k)), F.lit(PAD))).alias(c) for k, c in enumerate(columns)], F.col("share").alias("n"))
-    summed = folded.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    totals = folded.select("lang", *[F.nullif(F.get(word, F.lit(k)), F.lit(PAD)).alias(c) for k, c in enumerate(columns)], "n") \
+        .rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     rows = []
     for k in range(max_words + 1):  # level of the first k words; padded windows are no phrases of k words
         at = F.col("level") == (1 << (max_words - k)) - 1
         rows.append(F.when(at & (F.col(columns[k - 1]).isNotNull() if k else F.lit(True)), F.lit(k)))
-    return summed.select("lang", F.concat_ws(" ", *columns).alias("phrase"), F.coalesce(*rows).alias("k"), "f") \
+    return totals.select("lang", F.concat_ws(" ", *columns).alias("phrase"), F.coalesce(*rows).alias("k"), "f") \
         .filter("k is not null").filter((F.col("k") == 0) | (F.col("f") >= min_count))
 
 

@@ -65,7 +65,7 @@ def test_collocations_flush_and_common_prefixes(spark, monkeypatch):
     monkeypatch.setattr(P, "ENTRIES", 5)
     monkeypatch.setattr(P, "COMMON", 0.01)
     docs = spark.createDataFrame(TEXTS, "lang string, text string")
-    assert P.common_prefixes(docs, 3, "text", "lang")
+    assert P.common_prefixes(docs, 3, "text", "lang")[0]
     got = sorted(tuple(r) for r in P.collocations(docs, 3, 2).collect())
     assert got == brute_collocations(TEXTS, 3, 2, 50, 2000)
 
