@@ -155,9 +155,16 @@ def run_lattice(run: str) -> list[list[tuple[str, float]]]:
     return units
 
 
-def spaced_words(text: str | None, model: CharModel) -> set[str]:
+def has_run(words: list[str]) -> bool:
+    """Whether three single characters follow each other, without which RUN and SPACED find nothing."""
+    return b"\1\1\1" in bytes([len(w) == 1 for w in words])
+
+
+def spaced_words(text: str | None, model: CharModel, words: list[str] | None = None) -> set[str]:
     """Words in the runs of spaced out characters, without those that ``spellings`` has joined already."""
     text = text or ""
+    if not has_run(text.split() if words is None else words):
+        return set()
     runs = [run for run in RUN.findall(text) if any(map(str.isalpha, run))]
     found = {word for run in runs for word in model.decode(run_lattice(run)).split()}
     return found.difference(restore(m.replace(" ", ""), model) for m in SPACED.findall(text)) if found else found
@@ -167,10 +174,11 @@ def features(word: str) -> list[str]:
     return [word, *["^" + word[:k] for k in PREFIXES if len(word) > k]] if len(word) > 2 else []
 
 
-def spellings(text: str | None) -> set[str]:
+def spellings(text: str | None, words: list[str] | None = None) -> set[str]:
     """Distinct raw words of a text, letters spaced out one by one joined."""
     text = text or ""
-    return set(text.split()).union(m.replace(" ", "") for m in SPACED.findall(text))
+    words = text.split() if words is None else words
+    return set(words).union(m.replace(" ", "") for m in SPACED.findall(text)) if has_run(words) else set(words)
 
 
 @dataclass
@@ -189,7 +197,8 @@ class Lexicon:
     def evidence(self, text: str | None) -> tuple[float, float, float]:
         """Strongest weight, sum of the three strongest, log of the number of toxic words."""
         cache = _cache(self)
-        hits = [*map(cache.__getitem__, spellings(text)), *map(self.weigh_restored, spaced_words(text, self.model))]
+        words = (text or "").split()
+        hits = [*map(cache.__getitem__, spellings(text, words)), *map(self.weigh_restored, spaced_words(text, self.model, words))]
         hits = sorted(filter(None, hits), reverse=True)
         return (hits[0] if hits else 0.0, sum(hits[:3]), float(np.log1p(len(hits))))
 
@@ -269,13 +278,14 @@ def weigh_features(sample: DataFrame, model: CharModel, max_features: int, floor
         for b in batches:
             for half, label, text in zip(b["half"], b["label"], b["text"], strict=True):
                 found: set[str] = {""}  # counts the documents
-                for w in spellings(text):
+                words = text.split()
+                for w in spellings(text, words):
                     if w not in spelled:
                         if len(spelled) >= COUNTED:
                             spelled.clear()
                         spelled[w] = features(restore(w, bc.value))
                     found.update(spelled[w])
-                for w in spaced_words(text, bc.value):
+                for w in spaced_words(text, bc.value, words):
                     found.update(features(w))
                 seen.setdefault((half, label), Counter()).update(found)
                 if sum(map(len, seen.values())) >= COUNTED:
