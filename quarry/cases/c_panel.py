@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.cases import case, r
-from quarry.operators.aggs import collapse_small
+from quarry.operators.aggs import collapse_small, quartile_cutoff
 from quarry.plans import panel as PN
 from quarry.sources.fixtures import with_views
 
@@ -188,6 +188,14 @@ def a07(fx):
     return loc.select("state", "mun", "state_share", "cutoff")
 
 
+@case("a07_quartile_cutoff_sorted_runs", chain_sql("SELECT state, mun, state_share, cutoff FROM cut", "cut"),
+      rounding=r(10, "state_share", "cutoff"))
+def a07_runs(fx):
+    """The way of tables above the one-pass size."""
+    loc = consumption(fx, aggregated=False)[0].select("state", "mun", "state_share")
+    return quartile_cutoff(loc, "state", one_pass_bytes=0)
+
+
 @case("p24_flag_ge", chain_sql("SELECT state, mun, flag FROM flagged", "flagged"))
 def p24(fx):
     return consumption(fx, aggregated=False)[0].select("state", "mun", "flag")

@@ -14,19 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.exprs import c, safe_div
-from quarry.session import broadcast_if_small
-
-
-def group_sum(df: DataFrame, keys: Sequence[str], measures: Sequence[str],
-              count_name: str | None = None, zero_empty: bool = False) -> DataFrame:
-    """Sums (or means, distinct keys) per key; optional row count."""
-    aggs = []
-    for m in measures:
-        s = F.sum(m)
-        aggs.append((F.coalesce(s, F.lit(0.0)) if zero_empty else s).alias(m))
-    if count_name:
-        aggs.append(F.count(F.lit(1)).alias(count_name))
-    return df.groupBy(*keys).agg(*aggs)
+from quarry.operators.ranks import global_rank, grouped_quantiles
+from quarry.session import DEFAULT_BROADCAST_BYTES, broadcast_if_small, plan_size_bytes
 
 
 def mean_coords(df: DataFrame, keys: Sequence[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -49,30 +38,25 @@ def share_of_total(df: DataFrame, key: str, value: str, out: str = "share") -> D
     return g.select(key, value, safe_div(F.col(value), F.sum(value).over(Window.partitionBy())).alias(out))
 
 
-def share_within(df: DataFrame, group: str, key: str, value: str, out: str = "state_share") -> DataFrame:
-    """Per-(group, key) sum divided by its group's sum."""
-    g = df.groupBy(group, key).agg(F.sum(value).alias(value))
-    return g.select(group, key, value,
-                    safe_div(F.col(value), F.sum(value).over(Window.partitionBy(group))).alias(out))
-
-
 def quartile_cutoff(df: DataFrame, group: str, share: str = "state_share",
                     min_share: float = 0.1, keep_above: float = 0.9, approx: bool = False,
-                    out: str = "cutoff") -> DataFrame:
+                    out: str = "cutoff", one_pass_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
     """max(min(p50 + 1.5 (p75 - p25), keep_above), min_share) per group, joined back.
 
-    The statistics are one grouped aggregate (partial maps of distinct values
-    per task), one row per group, joined back; no window gathers a group's rows.
-    Exact percentiles hold a group's distinct values in one buffer; use
-    ``approx=True`` where a group has too many of them.
+    The quartiles are exact and the same either way: up to ``one_pass_bytes`` of
+    estimated input one grouped aggregate, whose buffer holds a group's distinct
+    values; above, by sorted runs (``grouped_quantiles``), where no task holds a
+    group.  No window gathers a group's rows; one row per group is joined back.
     """
     if approx:
         q = F.percentile_approx(share, [0.25, 0.5, 0.75], 100000)
-        p25, p50, p75 = q[0], q[1], q[2]
+        stats = df.groupBy(F.col(group).alias("_g")).agg(q[0].alias("q0"), q[1].alias("q1"), q[2].alias("q2"))
+    elif plan_size_bytes(df) <= one_pass_bytes:
+        stats = df.groupBy(F.col(group).alias("_g")).agg(*[F.percentile(share, p).alias(f"q{i}") for i, p in enumerate((0.25, 0.5, 0.75))])
     else:
-        p25, p50, p75 = F.percentile(share, 0.25), F.percentile(share, 0.5), F.percentile(share, 0.75)
-    cut = F.greatest(F.least(p50 + F.lit(1.5) * (p75 - p25), F.lit(keep_above)), F.lit(min_share))
-    stats = df.groupBy(F.col(group).alias("_g")).agg(cut.alias(out))
+        stats = grouped_quantiles(df, group, share, (0.25, 0.5, 0.75))
+    cut = F.greatest(F.least(F.col("q1") + F.lit(1.5) * (F.col("q2") - F.col("q0")), F.lit(keep_above)), F.lit(min_share))
+    stats = stats.select("_g", cut.alias(out))
     return df.join(broadcast_if_small(stats), df[group].eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
@@ -125,13 +109,6 @@ def two_stage_stats(df: DataFrame, run: Sequence[str], entity: Sequence[str], me
     return per_run.groupBy(*entity).agg(*[fns[s](m).alias(f"{m}_{s}") for m in measures for s in stats])
 
 
-def lane_summary(lanes: DataFrame, keys: Sequence[str], cost: str = "cost") -> DataFrame:
-    """Min, mean, median, max of the lane cost over sources."""
-    return lanes.groupBy(*keys).agg(
-        F.min(cost).alias("freight_min"), F.avg(cost).alias("freight_mean"),
-        F.median(cost).alias("freight_median"), F.max(cost).alias("freight_max"))
-
-
 def histogram(df: DataFrame, value: str, bins: int = 20, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins between the (per group) min and max, with counts."""
     if by:
@@ -182,6 +159,4 @@ def market_view(sales: DataFrame, demand: DataFrame, run: str = "file", market:
         F.avg("demand").alias("demand"))
     p = demand.groupBy(market).agg(F.avg("price").alias("price"))
     j = s.join(d, market, "full_outer").join(p, market, "full_outer")
-    # one row per market (a dimension): the order-only window is bounded
-    rank = F.row_number().over(Window.orderBy(F.col("sales").desc_nulls_last(), F.col(market)))
-    return j.select(market, "sales", "demand", "price", rank.alias("rank"))
+    return global_rank(j.select(market, "sales", "demand", "price"), [F.col("sales").desc_nulls_last(), F.col(market)])
