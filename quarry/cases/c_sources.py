@@ -186,7 +186,8 @@ def s08(fx):
                                                 [T.StructField(c, T.StringType()) for c in cols]))
     sheet = hdr.unionByName(data.withColumn("_o", F.lit(2)))
     path = RD.scratch_path(fx.spark, "sheet")
-    sheet.orderBy("_o", "state").drop("_o").coalesce(1).write.option("header", False).csv(path)
+    # several files, the header in the first
+    sheet.repartitionByRange(4, "_o", "state").sortWithinPartitions("_o", "state").drop("_o").write.option("header", False).csv(path)
     long = RD.read_two_row_header(fx.spark, path, "ENTIDAD")
     return long.select("ENTIDAD", "year", "month_str", "price")
 

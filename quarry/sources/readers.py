@@ -126,20 +126,25 @@ def read_by_pattern(spark: SparkSession, folder: str, pattern: str, schema: T.St
 def read_two_row_header(spark: SparkSession, path: str, id_name: str = "ENTIDAD", sep: str = ",") -> DataFrame:
     """A sheet whose first two rows are (year, month) headers -> long (id, year, month_str, value).
 
-    The two header rows are turned into a small position map (one row per
-    column) and joined back by position after ``posexplode`` of each data row.
+    The two header rows are the first ones of the first file by name, however the
+    sheet is split into files and read in blocks: rows go by file, by where their
+    block starts, and by their order within the block.  They are turned into a
+    small position map (one row per column) and joined back by position after
+    ``posexplode`` of each data row.
     """
     raw = spark.read.option("header", False).option("sep", sep).csv(path)
     cols = raw.columns
-    idx = raw.select("*", F.monotonically_increasing_id().alias("_rid"))
-    first_two = idx.orderBy("_rid").limit(2)  # the header rows: a limit is the feature here
-    numbered = first_two.select("*", F.row_number().over(Window.orderBy("_rid")).alias("_h"))
+    place = ["_file", "_block", "_rid"]  # ids grow along a block, which one task reads in order
+    idx = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.monotonically_increasing_id().alias("_rid"))
+    first_two = idx.orderBy(*place).limit(2)  # the header rows: a limit is the feature here
+    numbered = first_two.select("*", F.row_number().over(Window.orderBy(*place)).alias("_h"))
     hdr = numbered.select("_h", F.posexplode(F.array(*[F.col(c) for c in cols[1:]])).alias("pos", "v"))
     hmap = hdr.groupBy("pos").agg(F.max(F.when(F.col("_h") == 1, F.col("v"))).alias("year_raw"),
                                   F.max(F.when(F.col("_h") == 2, F.col("v"))).alias("month_str"))
     w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     hmap = hmap.select("pos", F.last("year_raw", ignorenulls=True).over(w).alias("year"), "month_str")
-    body = idx.join(first_two.select("_rid"), "_rid", "left_anti")
+    body = idx.join(F.broadcast(first_two.select(*place)), place, "left_anti")
     long = body.select(F.col(cols[0]).alias(id_name),
                        F.posexplode(F.array(*[F.col(c) for c in cols[1:]])).alias("pos", "v"))
     return long.join(F.broadcast(hmap), "pos").select(
