@@ -12,6 +12,7 @@ from quarry.operators import aggs as AG
 from quarry.operators import reshape as RS
 from quarry.plans import census as CE
 from quarry.plans import valuation as V
+from quarry.plans import panel as PN
 from quarry.session import broadcast_if_small
 from quarry.sources.fixtures import with_views
 
@@ -26,9 +27,7 @@ PX = "sum(e) / NULLIF(sum(q), 0)"
                  "price_base"), rounding=r(4, "daily", "monthly"))
 def j02(fx):
     _, nm, nd = fx.product_prices("A")
-    d = nd.select("date", F.col("price").alias("daily"))
-    m = nm.select(F.col("year").alias("y"), F.col("month").alias("m"), F.col("price").alias("monthly"))
-    return d.join(m, (F.year("date") == F.col("y")) & (F.month("date") == F.col("m"))).select("date", "daily", "monthly")
+    return PN.daily_with_month(nd, nm).select("date", "daily", "monthly")
 
 
 # ------------------------------------------------------------------ J04 / V22

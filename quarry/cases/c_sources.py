@@ -136,6 +136,47 @@ def s05(fx):
     return runs["production"]
 
 
+def _name_files(fx, df, base, kind):
+    """One CSV file per run, named after it, as a planner leaves them."""
+    parts = os.path.join(base, f"_{kind}")
+    df.repartition("file").write.option("header", True).partitionBy("file").csv(parts)
+    jvm = fx.spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(fx.spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(os.path.join(base, kind)))
+    for run in fs.globStatus(path(os.path.join(parts, "file=*"))):
+        name = run.getPath().getName().split("=", 1)[1]
+        for f in fs.globStatus(path(run.getPath().toString() + "/part-*")):
+            fs.rename(f.getPath(), path(os.path.join(base, kind, f"{name}.csv")))
+
+
+@case("s05_runs_by_file_name", with_views(
+    "SELECT 'production' AS kind, file, T, plant AS place, production AS value FROM plan UNION ALL "
+    "SELECT 'market', file, T, plant || '@' || CAST(state AS VARCHAR), production * 0.5 FROM plan UNION ALL "
+    "SELECT 'demand', file, T, plant, production * 1.1 FROM plan UNION ALL "
+    "SELECT 'objective', file, CAST(T AS INTEGER), NULL, sum(ebitda) FROM plan GROUP BY file, T", "plan"), rounding=r(3, "value"))
+def s05_named(fx):
+    """All four result kinds, read by file name."""
+    base = RD.scratch_path(fx.spark, "runs")
+    p, zero = fx.plan, F.lit(0.0)
+    frames = {"production": _production(fx),
+              "market": p.select("file", "T", F.col("state").cast("string").alias("mun"), "plant", (F.col("production") * 0.5).alias("sales"), zero.alias("freight"), zero.alias("revenue"), zero.alias("ebitda")),
+              "demand": p.select("file", "T", F.col("plant").alias("mun"), (F.col("production") * 1.1).alias("demand"), *[zero.alias(x) for x in ("price", "freight_min", "freight_mean", "freight_median", "freight_max")]),
+              "objective": p.groupBy("file", "T").agg(F.sum("ebitda").alias("objective")).select("file", "objective", F.col("T").cast("int").alias("step"))}
+    for kind, df in frames.items():
+        _name_files(fx, df, base, kind)
+    runs = RD.read_scenarios(fx.spark, base)
+    rows = [runs["production"].select("file", "T", F.col("plant").alias("place"), F.col("production").alias("value")),
+            runs["market"].select("file", "T", F.concat("plant", F.lit("@"), "mun").alias("place"), F.col("sales").alias("value")),
+            runs["demand"].select("file", "T", F.col("mun").alias("place"), F.col("demand").alias("value")),
+            runs["objective"].select("file", F.col("step").alias("T"), F.lit(None).cast("string").alias("place"), F.col("objective").alias("value"))]
+    out = None
+    for kind, df in zip(("production", "market", "demand", "objective"), rows):
+        df = df.select(F.lit(kind).alias("kind"), "*")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 # ------------------------------------------------------------------ S06 / S11
 @case("s06_s11_partitioned_pattern_read", with_views("SELECT state, mun, date, price, litres FROM panel", "panel"),
       rounding=r(4, "price", "litres"))

@@ -257,3 +257,26 @@ def j11(fx):
     a = fx.plan.filter(F.col("file") == "1-URGENT")
     b = fx.plan.filter(F.col("file") == "2-HIGH")
     return V.scenario_difference(a, b, ["T", "plant"], J11_MEASURES, keep=["production"])
+
+
+# the other two key sets: markets by run, period, market and plant; objectives by run and step
+J11_MARKET = ("SELECT file, T, state AS mun, plant, production AS sales, revenues AS revenue, ebitda FROM plan")
+J11_STEPS = "SELECT file, CAST(T AS INTEGER) AS step, sum(fcf_wo_nwc) AS objective FROM plan GROUP BY 1, 2"
+
+
+@case("j11_market_difference", with_views(
+    f"SELECT file, T, mun, plant, a.sales - b.sales AS sales, a.revenue - b.revenue AS revenue, a.ebitda - b.ebitda AS ebitda FROM (SELECT * FROM ({J11_MARKET}) m WHERE T > 0) a "
+    f"FULL JOIN (SELECT * REPLACE (sales * 0.9 AS sales, revenue * 0.8 AS revenue) FROM ({J11_MARKET}) m WHERE T < 5) b USING (file, T, mun, plant)", "plan"),
+    rounding=r(3, "sales", "revenue", "ebitda"))
+def j11_market(fx):
+    m = fx.plan.select("file", "T", F.col("state").alias("mun"), "plant", F.col("production").alias("sales"), F.col("revenues").alias("revenue"), "ebitda")
+    other = m.filter("T < 5").withColumns({"sales": F.col("sales") * 0.9, "revenue": F.col("revenue") * 0.8})
+    return V.scenario_difference(m.filter("T > 0"), other, ["file", "T", "mun", "plant"], ["sales", "revenue", "ebitda"])
+
+
+@case("j11_objective_difference", with_views(
+    f"SELECT file, step, a.objective - b.objective AS objective FROM ({J11_STEPS}) a FULL JOIN (SELECT file, step, objective / 2 AS objective FROM ({J11_STEPS}) s WHERE step <> 2) b "
+    "USING (file, step)", "plan"), rounding=r(2, "objective"))
+def j11_objective(fx):
+    o = fx.plan.groupBy("file", F.col("T").cast("int").alias("step")).agg(F.sum("fcf_wo_nwc").alias("objective"))
+    return V.scenario_difference(o, o.filter("step <> 2").withColumn("objective", F.col("objective") / 2), ["file", "step"], ["objective"])

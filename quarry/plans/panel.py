@@ -24,6 +24,15 @@ from quarry.session import broadcast_if_small
 
 
 # ------------------------------------------------------------------ V01 / V02
+def daily_with_month(national_daily: DataFrame, national_month: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Every day's price beside its month's, joined on the computed (year, month)."""
+    keys = list(keys)
+    nd = national_daily.select(*keys, "date", F.col("price").alias("daily"),
+                               F.year("date").alias("year"), F.month("date").alias("month"))
+    nm = national_month.select(*keys, "year", "month", F.col("price").alias("monthly"))
+    return nd.join(nm, [*keys, "year", "month"])
+
+
 def daily_state_prices(state_month: DataFrame, national_month: DataFrame, national_daily: DataFrame,
                        mode: str = "reference", out: str = "price", keys: Sequence[str] = ()) -> DataFrame:
     """V01 (J02): state daily price = state monthly price x curve(date).
@@ -34,10 +43,7 @@ def daily_state_prices(state_month: DataFrame, national_month: DataFrame, nation
     (e.g. a product column) lets one call price every product at once.
     """
     keys = list(keys)
-    nd = national_daily.select(*keys, "date", F.col("price").alias("daily"),
-                               F.year("date").alias("year"), F.month("date").alias("month"))
-    nm = national_month.select(*keys, "year", "month", F.col("price").alias("monthly"))
-    cur = nd.join(nm, [*keys, "year", "month"])  # J02: join on computed (year, month)
+    cur = daily_with_month(national_daily, national_month, keys)
     curve = safe_div("monthly", "daily") if mode == "reference" else safe_div("daily", "monthly")
     cur = cur.select(*keys, "date", "year", "month", curve.alias("curve"))
     sm = state_month.select(*keys, "state", "year", "month", F.col("price").alias("sp"))

@@ -11,7 +11,7 @@ import os
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +88,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def file_name() -> Column:
+    """The source file's name as it is on disk; the metadata column holds it URL-encoded (a blank as %20)."""
+    return F.url_decode(F.regexp_replace(F.col("_metadata.file_name"), r"\+", "%2B"))
+
+
 def read_scenarios(spark: SparkSession, base: str, kinds: Sequence[str] = tuple(RESULT_KINDS),
                    tag_from: str = "name") -> dict:
     """One DataFrame per result kind over all run files, tagged with the file name.
@@ -106,7 +111,7 @@ def read_scenarios(spark: SparkSession, base: str, kinds: Sequence[str] = tuple(
         if tag_from == "partition":  # one folder per run (file=<tag>), as written by a partitioned job
             out[k] = df
         else:  # one file per run, tagged by its name
-            out[k] = df.withColumn("file", F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
+            out[k] = df.withColumn("file", F.regexp_replace(file_name(), r"\.csv$", ""))
     stats = os.path.join(base, "ts_specs", "stats.csv")
     out["periods"] = (spark.read.schema(PERIOD_SCHEMA).option("header", True).csv(stats)
                       if _exists(spark, stats) else None)
@@ -119,7 +124,7 @@ def read_by_pattern(spark: SparkSession, folder: str, pattern: str, schema: T.St
     r = spark.read.schema(schema).option("header", True).option("pathGlobFilter", pattern)
     for k, v in opts.items():
         r = r.option(k, v)
-    return r.csv(folder).withColumn("source_file", F.col("_metadata.file_name"))
+    return r.csv(folder).withColumn("source_file", file_name())
 
 
 # ------------------------------------------------------------------ S08
