@@ -1,7 +1,9 @@
 """Operator 11, language identification: nearest centroid over TF-IDF vectors of character n-grams.
 
 A text's letters, lower-cased and with one blank between runs, give n-grams of
-one to three characters, hashed into ``DIMS`` buckets.  Vectors are log term
+one to three characters, hashed into ``DIMS`` buckets.  Words that hold a digit
+or an @ (addresses, keys, numbers with units) say nothing about the language and
+are left out while other letters remain.  Vectors are log term
 counts times inverse document frequencies, normalised.  Document frequencies
 come from all training documents.  Each language gets several centroids:
 spherical k-means over a bounded sample of its distinct training texts
@@ -36,28 +38,28 @@ _classes: np.ndarray | None = None
 
 
 def _letter_table() -> np.ndarray:
-    """Per code point: 2 letter, 1 mark inside a word, 0 other."""
+    """Per code point: 2 letter, 1 mark inside a word, 3 white space, 4 digit or @, 0 other."""
     global _classes
     if _classes is None:
         import unicodedata
         _classes = np.zeros(0x110000, dtype=np.uint8)
         for i in range(0x34000):  # letters end below; the planes above hold none
-            kind = unicodedata.category(chr(i))[0]
-            _classes[i] = 2 if kind == "L" else 1 if kind == "M" else 0
+            kind = unicodedata.category(chr(i))
+            _classes[i] = 2 if kind[0] == "L" else 1 if kind[0] == "M" else 3 if chr(i).isspace() else 4 if kind == "Nd" or i == 64 else 0
     return _classes
 
 
-def has_letter(text: str | None) -> bool:
-    return any(c.isalpha() for c in text or "")
-
-
 def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(bucket ids, counts) of the whole text's n-grams; empty without letters."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kind = _letter_table()[codes]
     if not (kind == 2).any():
         return np.empty(0, dtype=np.int64), np.empty(0)
-    codes = np.where(kind > 0, codes, 32).astype(np.uint64)
+    word = np.cumsum(kind == 3)
+    named = np.bincount(word, weights=kind == 4)[word] > 0
+    if ((kind == 2) & ~named).any():
+        kind = np.where(named, 0, kind)
+    codes = np.where((kind == 1) | (kind == 2), codes, 32).astype(np.uint64)
     codes = np.concatenate([[32], codes, [32]]).astype(np.uint64)
     codes = codes[(codes != 32) | np.concatenate([[True], codes[:-1] != 32])]
     one, two, three = codes[1:-1], codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:], None

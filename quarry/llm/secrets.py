@@ -12,6 +12,7 @@ Positions are code points, from the lengths of the pieces between the matches:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,7 @@ RULES = (
     Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{8}"),
 )
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
+SLICE = 256  # matches whose places are summed together
 
 
 def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
@@ -50,17 +52,42 @@ def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.value)) if rule.value else found
     gaps = F.split(text, rule.pattern, -1)
-    steps = F.transform(found, lambda m, i: F.struct(F.length(gaps[i]).alias("gap"), F.length(m).alias("size"), F.length(value[i]).alias("value")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    sizes = F.zip_with(F.zip_with(found, value, lambda m, v: F.struct(F.length(m).alias("size"), F.length(v).alias("value"))), gaps,
+                       lambda m, gap: F.struct(F.length(gap).alias("gap"), m["size"].alias("size"), m["value"].alias("value")))
+    spans = once(sizes, lambda x: running_spans(x, rule, kind))
+    return F.when(F.regexp_like(text, F.lit(rule.hint)), spans).otherwise(F.array().cast(SPANS))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        span = F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + x["size"]).alias("stop"))
-        return F.struct((at + x["size"]).alias("at"),
-                        F.when(x["value"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(F.regexp_like(text, F.lit(rule.hint)), F.aggregate(steps, start, step, lambda acc: acc["out"])) \
-        .otherwise(F.array().cast(SPANS))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, however often ``use`` names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_spans(sizes: Column, rule: Rule, kind: int) -> Column:
+    """Spans from ``sizes``, an array of (gap before, size, value size) whose last element is the text after the last match.
+
+    Places are running sums.  They are taken in slices of SLICE matches, then over
+    the slices, so that arrays which grow by one element stay short and the work is
+    linear in the number of matches.
+    """
+    def within(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            at = acc["at"] + x["gap"]
+            end = at + F.coalesce(x["size"], F.lit(0))
+            span = F.array(F.struct(at.alias("start"), F.lit(kind).alias("kind"), end.alias("stop")))
+            return F.struct(end.alias("at"), F.when(x["value"] >= rule.least, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(part, start, step)
+
+    def placed(parts: Column) -> Column:
+        before = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+                             lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda p, at: F.transform(p["out"], lambda x: F.struct(
+            (x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["stop"] + at).alias("stop")))))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / SLICE).cast("int")), lambda i: within(F.slice(sizes, i * SLICE + 1, F.lit(SLICE))))
+    return once(parts, placed)
 
 
 def version_spans(text: Column, version: int, rules: tuple[Rule, ...]) -> Column:

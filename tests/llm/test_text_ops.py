@@ -233,3 +233,14 @@ def test_language_learns_outside_the_fold_only(spark):
     other = docs.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang")))
     key = lambda df: {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.op11_language(df).collect()}
     assert key(docs) == key(other)
+
+
+# ------------------------------------------------------------------ 10, long texts
+def test_secrets_of_a_long_text_full_of_keys(spark):
+    """Places over several slices of matches, some too short to count, against a plain scan."""
+    from quarry.llm import secrets as S
+    text = "é\U0001F600 ".join(f"token = {'x' * (3 + i % 9)}{i} " for i in range(3 * S.SLICE + 5)) + "AKIA" + "Z" * 40
+    row = S.op10_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = [(m.start(), m.end()) for m in re.finditer(S.RULES[0].pattern, text) if len(m[2]) >= 6]
+    got = [tuple(map(int, x.split(":")[1:])) for x in row["spans"].split(",") if x.startswith("assign:")]
+    assert got == want and row["n_assign"] == len(want) > 2 * S.SLICE and row["n_access"] == 1
