@@ -219,13 +219,6 @@ class Fixtures:
             F.col("n_regionkey").alias("region"), F.col("s_nationkey").alias("nation"),
             F.col("s_suppkey").alias("supplier"), F.col("l_partkey").alias("part"), "qty", "amount")
 
-    def hierarchy_totals(self, keys: list[str], factor_key: str) -> DataFrame:
-        """Published totals at one level: real totals x (1 + key % 7 / 100)."""
-        d = self.hierarchy_detail
-        f = F.lit(1.0) + (F.col(factor_key) % 7) / 100.0
-        return d.groupBy(*keys).agg(
-            (F.sum("qty") * f).alias("qty"), (F.sum("amount") * f).alias("amount"))
-
     # ------------------------------------------------------------ text fixtures
     @cached_property
     def sentinel_text(self) -> DataFrame:
@@ -471,13 +464,6 @@ SELECT user_id AS entity, event_type, ts, value AS x FROM events""",
 }
 
 
-def hierarchy_totals_sql(keys: list[str], factor_key: str) -> str:
-    k = ", ".join(keys)
-    f = f"(1.0 + ({factor_key} % 7) / 100.0)"
-    return (f"SELECT {k}, sum(qty) * {f} AS qty, sum(amount) * {f} AS amount "
-            f"FROM hierarchy_detail GROUP BY {k}")
-
-
 def with_views(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the CTEs it needs (in dependency order)."""
     parts = [f"{n} AS ({VIEW_SQL[n]})" for n in names]
