@@ -9,6 +9,7 @@ table by the oracle.
 from __future__ import annotations
 
 import os
+import zlib
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -246,3 +247,23 @@ def s12(fx):
     back = RD.cached_table(fx.spark, path, lambda: fx.coords, "csv", header=True, sep="|")  # reuses
     return back.select("state", "name", F.col("lat").cast("double").alias("lat"),
                        F.col("lon").cast("double").alias("lon"))
+
+
+def order_lines(fx, buckets: int = 32):
+    """Line items and orders kept bucketed by the order key, and their join."""
+    frames = {"lineitem": (fx.table("lineitem").select(F.col("l_orderkey").alias("order_key"), "l_suppkey", "l_extendedprice", "l_discount"), "l"),
+              "orders": (fx.table("orders").select(F.col("o_orderkey").alias("order_key"), "o_orderpriority", "o_orderdate"), "o")}
+    tag = zlib.crc32(fx.sf_dir.encode())
+    kept = []
+    for name, (df, alias) in frames.items():
+        table = f"quarry_{name}_{tag}_{buckets}"
+        kept.append(RD.bucketed_table(fx.spark, table, lambda df=df: df, "order_key", buckets, RD.scratch_path(fx.spark, table)).alias(alias))
+    return kept[0].join(kept[1].hint("merge"), "order_key")
+
+
+@case("s12_bucketed_join", with_views(
+    "SELECT o_orderpriority AS file, CAST(year(o_orderdate) AS INTEGER) AS year, l_suppkey, sum(l_extendedprice * (1 - l_discount)) AS revenue, count(DISTINCT l_orderkey) AS orders "
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3"), rounding=r(3, "revenue"))
+def s12_bucketed(fx):
+    return order_lines(fx).groupBy(F.col("o_orderpriority").alias("file"), F.year("o_orderdate").alias("year"), "l_suppkey") \
+        .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.countDistinct("order_key").alias("orders"))
