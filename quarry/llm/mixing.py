@@ -11,8 +11,11 @@
    shards.  Each node gives its left half a multivariate-hypergeometric share
    of its per-source quotas (one exact univariate draw per source, given what
    is left), and the right half the remainder: quotas add up exactly at every
-   level.  A shard owns consecutive draws of each source's permutation, and is
-   shuffled locally by ``order_key``.
+   level.  A shard owns consecutive draws of each source's permutation.  There
+   are about as many shards as blocks a shard, so the tables of quotas grow
+   with the square root of the corpus.
+4. Local shuffle: every copy gets a random ``order_key``, and ``write_shards``
+   writes each shard in that order.
 
 The tables per source and per shard have one row per source and shard; the
 tables of documents are only grouped by (source, block), so a source with a
@@ -26,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import DIMENSION_ROWS, WORD, scratch_table, text_or_empty
+from quarry.llm.common import DIMENSION_ROWS, WORD, same_row, scratch_table, text_or_empty
 
 SUPER = 1024  # blocks per superblock of the running sums
 
@@ -144,11 +147,13 @@ def _with_source(rows: DataFrame, sources: DataFrame, n_sources: int, cols: list
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, block_docs: int = 256,
-                levels: int = 4, seed: int = 20) -> DataFrame:
-    """The mix, one row per input row: id, thash, source, size, source_size, target, copies, taken, shards.
+                levels: int | None = None, seed: int = 20) -> DataFrame:
+    """The mix, one row per input row: id, thash, source, size, source_size, target, copies, taken, shards, order_keys.
 
     ``copies`` is how often the mix takes the document, ``taken`` its words
-    times that, ``shards`` the output shard (of ``2 ** levels``) of each copy.
+    times that, ``shards`` the output shard (of ``2 ** levels``; None: about the
+    square root of the block draws) of each copy, and ``order_keys`` each
+    copy's place in the shard's random order.
     Size is the number of white-space separated words; null and empty texts
     have size 0 and follow their block's draws.  A null source is a source.
     Rows that repeat id and text are separate documents.  The result depends on
@@ -187,6 +192,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("rest") - F.col("start") >= F.col("words")).alias("full"),
         ((F.col("rest") > F.col("start")) & (F.col("rest") - F.col("start") < F.col("words"))).alias("edge")), "drawn")
 
+    draws = scratch_table(block.groupBy("idx").agg((F.max(F.col("passes") * F.col("blocks")) + F.sum((F.col("full") | F.col("edge")).cast("long"))).alias("draws")), "draws")
+    if levels is None:
+        levels = round(math.log2(max(1, draws.agg(F.sum("draws")).first()[0] or 0)) / 2)
+    ends = scratch_table(shard_quotas(draws, levels, seed), "quotas")
+    ends = F.broadcast(ends) if n_sources << levels <= DIMENSION_ROWS else ends
+    # pass c of block b is draw c * blocks + b of its source; its shard is the one whose quota range holds it
+    last = F.greatest(F.col("passes") + (F.col("full") | F.col("edge")).cast("long"), F.lit(1)) - 1
+    shard = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda c: F.size(F.filter("ends", lambda e: e <= c * F.col("blocks") + F.col("block"))))
+    block = block.join(ends, "idx").withColumn("block_shards", shard).drop("ends")
+
     rows = dealt.select("id", "source", "size", "thash", "key", "row_no", "idx", "block").join(block, ["idx", "block"])
     edge = rows.filter("edge")
     edge_order = Window.partitionBy("idx", "block").orderBy(F.xxhash64("key", "thash"), "key", "thash", "row_no")
@@ -197,19 +212,48 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("miss", F.abs(F.col("gap") - F.col("size")))
     closer = F.min(F.when(~F.col("taken_in") & (F.col("miss") < F.col("gap")), F.struct("miss", "nth"))).over(whole)
     edge = edge.withColumn("extra", (F.col("taken_in") | F.coalesce(closer["nth"] == F.col("nth"), F.lit(False))).cast("int"))
-    out_cols = ["id", "source", "size", "thash", "key", "idx", "block", "source_size", "target", "passes", "blocks", "extra"]
+    out_cols = ["id", "source", "size", "thash", "key", "idx", "block", "source_size", "target", "passes", "block_shards", "extra"]
     rows = rows.filter("not edge").withColumn("extra", F.col("full").cast("int")).select(*out_cols).unionByName(edge.select(*out_cols))
 
-    draws = block.groupBy("idx").agg((F.max(F.col("passes") * F.col("blocks")) + F.sum((F.col("full") | F.col("edge")).cast("long"))).alias("draws"))
-    ends = scratch_table(shard_quotas(draws, levels, seed), "quotas")
-    ends = F.broadcast(ends) if n_sources <= DIMENSION_ROWS else ends
-    # copy c of block b is draw c * blocks + b of its source; its shard is the one whose quota range holds it
     copies = (F.col("passes") + F.col("extra")).cast("long")
-    shard = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(copies, F.lit(1)) - 1),
-                        lambda c: F.size(F.filter("ends", lambda e: e <= c * F.col("blocks") + F.col("block"))))
-    return rows.join(ends, "idx").select(
-        "id", "thash", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"),
-        F.when(copies > 0, shard).otherwise(F.array().cast("array<int>")).alias("shards"))
+    rows = rows.withColumn("copies", copies).withColumn("shards", F.slice("block_shards", F.lit(1), F.col("copies").cast("int")))
+    order = F.transform("shards", lambda k, c: F.xxhash64(F.lit(seed + 1), "key", "thash", k, c))
+    return rows.select("id", "thash", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
+                       "shards", order.alias("order_keys"))
+
+
+def mixed_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
+    """One row per copy that the mix takes: row (all columns of ``docs``), shard, order_key.
+
+    Rows of ``docs`` are joined to their copies on (id, text hash); rows that
+    repeat both are numbered on either side, so each takes its own copies.
+    """
+    plan = scratch_table(mix_sources(docs, id_col, text_col, source_col, **params)
+                         .select("id", "thash", F.arrays_zip("shards", "order_keys").alias("taken_as")), "mix")
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
+                         F.xxhash64(text_or_empty(text_col)).alias("thash"))
+    if plan.groupBy("id", "thash").count().filter("count > 1").isEmpty():
+        packed, plan = packed.withColumn("nth", F.lit(1)), plan.withColumn("nth", F.lit(1))
+    else:
+        same = Window.partitionBy("id", "thash")
+        packed = packed.withColumn("nth", F.row_number().over(same.orderBy(F.hash("row"))))
+        plan = plan.withColumn("nth", F.row_number().over(same.orderBy("taken_as")))
+    taken = plan.filter(F.size("taken_as") > 0)
+    rows = same_row(packed, taken.hint("shuffle_hash"), ["id", "thash", "nth"], "inner")
+    return rows.select("row", F.inline("taken_as")).select("row", F.col("shards").alias("shard"), F.col("order_keys").alias("order_key"))
+
+
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> None:
+    """Write the mix as Parquet, one folder ``shard=k`` per output shard, its rows in random order.
+
+    Rows are ranged by (shard, order_key), so a large shard is several files,
+    one after the other in its order, and no task holds more than its range.
+    The columns are those of ``docs`` but for one named shard, which gives way.
+    """
+    rows = mixed_shards(docs, id_col, text_col, source_col, **params)
+    rows = rows.repartitionByRange("shard", "order_key").sortWithinPartitions("shard", "order_key")
+    rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "shard"], "shard") \
+        .write.partitionBy("shard").parquet(path)
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
@@ -238,4 +282,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op8_mixing(docs: DataFrame) -> DataFrame:
     m = mix_sources(docs)
-    return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
+    return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shards", "order_keys")

@@ -590,6 +590,29 @@ def test_mixing(docs, messy, empty):
     assert op8_mixing(empty).count() == 0 and mixed_documents(empty).count() == 0
 
 
+def test_mixed_shards_on_disk(spark, docs, messy, empty, tmp_path):
+    from quarry.llm.mixing import mix_sources, write_shards
+    for k, df in enumerate((docs.withColumn("shard", F.lit("old")), messy, empty)):
+        path = str(tmp_path / str(k))
+        write_shards(df, path, block_docs=16, levels=3)
+        plan = mix_sources(df, block_docs=16, levels=3).collect()
+        want = collections.Counter((r.id, s) for r in plan for s in r.shards)
+        if not plan:
+            continue
+        out = spark.read.parquet(path)
+        assert set(out.columns) == {*df.columns, "shard"}
+        assert collections.Counter((r.doc_id, r.shard) for r in out.select("doc_id", "shard").collect()) == want
+        place = {(r.id, s): o for r in plan for s, o in zip(r.shards, r.order_keys)}
+        if k == 0:  # unique ids: each shard's rows lie in their random order, and shards differ by the size of a few blocks
+            for s in {s for _, s in want}:
+                ids = [r.doc_id for f in sorted((tmp_path / str(k) / f"shard={s}").glob("*.parquet")) for r in spark.read.parquet(str(f)).select("doc_id").collect()]
+                keys = [place[i, s] for i in ids if want[i, s] == 1]
+                assert keys == sorted(keys) and ids != sorted(ids)
+            assert len({s for _, s in want}) == 8
+            # a source's copies of one pass are disjoint: no document is twice in the same draw
+            assert max(collections.Counter(r.id for r in plan).values()) == 1
+
+
 def test_splitting_tree(spark):
     from quarry.llm.mixing import hypergeometric, shard_quotas
     quotas = [37, 5, 0, 1200, 61]
