@@ -10,14 +10,17 @@ clustered text (``released``).  The text-to-tag ratio of the other lines is
 smoothed over the page with a Gaussian; lines above the threshold form the
 content clusters.  A page's content is the smallest container that holds all of
 the clustered text, or its articles (else ``main``) if one of them holds more
-than half of it: all lines, short ones included, so that nothing inside the
-article is dropped.
+than half of it: all lines, short ones included.  A container that is not an
+article or ``main`` may hold menus and page ends, which go (``boilerplate``):
+unclustered lines of several links with no other text, runs of such lines, and
+copyright lines behind all other text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -42,11 +45,12 @@ ONE_OPEN = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"tabl
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
 NOISE = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|
     notice|notification|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|sidebar|side-?bar|widget|
-    nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|header|masthead|comments?|commentlist|disqus|replies|reply|
+    nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|header|masthead|comments?|commentlist|disqus|replies|reply|responses|discussion|
     related|recommend(?:ed|ations)?|share|sharing|social|toolbar|skip-?link|hidden)(?:$|[\s_-])""", re.I | re.X)
 # an article element of these classes is a comment or a teaser
-ASIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)|sponsor(?:ed)?|promo(?:tion)?s?|comments?|replies|reply|related|"
+ASIDE_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising)|sponsor(?:ed)?|promo(?:tion)?s?|comments?|replies|reply|responses|discussion|related|"
                            r"recommend(?:ed|ations)?|teasers?)(?:$|[\s_-])", re.I)
+COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b|all rights reserved\b)", re.I)
 MODIFIED = re.compile(r"(?:^|[_-])(?:has|no|with|without)[_-].*", re.I | re.S)  # has-sidebar, no-comments: what the element is not
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 SIGMA = 1.0  # of the smoothing, in lines
@@ -56,13 +60,16 @@ SIGMA = 1.0  # of the smoothing, in lines
 class Line:
     text: list[str] = field(default_factory=list)
     tags: int = 0
-    holders: tuple[int, ...] = ()  # numbers of the open section containers, outermost first
-    marks: tuple[int, ...] = ()  # numbers of the open elements with boilerplate classes
+    linked: int = 0  # characters inside links
+    links: int = 0
+    holder: int = -1  # number of the innermost open section container
+    mark: int = -1  # number of the innermost open element with boilerplate classes
 
 
 @dataclass(slots=True)
 class Mark:
     """An element with a boilerplate word in its class or id, and what it holds."""
+    outer: int  # the mark around it, or -1
     listing: bool  # the word is one of comments, teasers or adverts
     main: bool = False
     article: bool = False
@@ -74,18 +81,22 @@ class LineParser(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int]] = []  # name, boilerplate, container number or -1, mark number or -1
+        self.open: list[tuple[str, bool, int, int]] = []  # name, boilerplate, and the innermost container and mark (or -1) from here on
+        self.count: Counter[str] = Counter()  # open elements by name
         self.noise = 0  # open boilerplate elements
         self.lines: list[Line] = []
         self.line = Line()
         self.kinds: list[str] = []  # name of each container
+        self.outer: list[int] = []  # the container around each container, or -1
         self.marks: list[Mark] = []
 
+    def place(self) -> tuple[int, int]:
+        """Innermost open container and mark."""
+        return self.open[-1][2:] if self.open else (-1, -1)
+
     def end_line(self) -> None:
         if self.line.text:
-            self.line.holders = tuple(n for _, _, n, _ in self.open if n >= 0)
-            if self.marks:
-                self.line.marks = tuple(m for _, _, _, m in self.open if m >= 0)
+            self.line.holder, self.line.mark = self.place()
             self.lines.append(self.line)
             self.line = Line()
 
@@ -94,9 +105,12 @@ class LineParser(HTMLParser):
         if name in BLOCK:
             self.end_line()
         self.open.pop()
+        self.count[name] -= 1
         self.noise -= noise
 
     def close_to(self, name: str, stop: frozenset[str] | set[str]) -> None:
+        if not self.count[name]:
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == name:
                 while len(self.open) > i:
@@ -119,26 +133,31 @@ class LineParser(HTMLParser):
         if tag in VOID:
             return
         noise, mark = tag in SKIPPED, None
+        holder, marked = self.place()
         if attrs and tag != "a" and not noise:
             a = dict(attrs)
-            noise, mark = self.invisible(a), self.marked(tag, a)
+            noise, mark = self.invisible(a), self.marked(tag, a, marked)
         if tag == "header" and not noise:  # an article's own header holds its title
             noise = not self.in_article()
-        if self.marks and mark is None and not noise and tag in ("article", "main", "h1"):
-            for _, _, _, m in self.open:
-                if m >= 0:
-                    setattr(self.marks[m], tag, True)
-        number = -1
+        if mark is None and not noise and tag in ("article", "main", "h1"):
+            m = marked
+            while m >= 0 and not getattr(self.marks[m], tag):  # marks around one that has it have it too
+                setattr(self.marks[m], tag, True)
+                m = self.marks[m].outer
         if tag in SECTION:
-            number = len(self.kinds)
             self.kinds.append(tag)
+            self.outer.append(holder)
+            holder = len(self.kinds) - 1
         if mark is not None:
             self.marks.append(mark)
-        self.open.append((tag, noise, number, -1 if mark is None else len(self.marks) - 1))
+            marked = len(self.marks) - 1
+        self.line.links += tag == "a"
+        self.open.append((tag, noise, holder, marked))
+        self.count[tag] += 1
         self.noise += noise
 
     def in_article(self) -> bool:
-        return any(n >= 0 and self.kinds[n] in ("article", "main") for _, _, n, _ in self.open)
+        return self.count["article"] + self.count["main"] > 0
 
     @staticmethod
     def invisible(a: dict[str, str | None]) -> bool:
@@ -146,7 +165,7 @@ class LineParser(HTMLParser):
         return ((a.get("role") or "").lower() in ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true"
                 or bool(HIDDEN.search(a.get("style") or "")))
 
-    def marked(self, tag: str, a: dict[str, str | None]) -> Mark | None:
+    def marked(self, tag: str, a: dict[str, str | None], outer: int) -> Mark | None:
         """The mark of an element whose class or id holds a boilerplate word, modifiers left out."""
         names = f"{a.get('class') or ''} {a.get('id') or ''}"
         if tag in ("html", "body", "main") or not (ASIDE_ARTICLE if tag == "article" else NOISE).search(names):
@@ -156,7 +175,7 @@ class LineParser(HTMLParser):
         found = {w.strip(" _-").lower() for w in NOISE.findall(names)}
         if (tag == "article" or not found) and not listing or found == {"header"} and self.in_article():
             return None
-        return Mark(listing)
+        return Mark(outer, listing)
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers are not needed
@@ -174,6 +193,8 @@ class LineParser(HTMLParser):
         if not self.noise:
             if self.line.text or not data.isspace():
                 self.line.text.append(data)
+                if self.count["a"]:
+                    self.line.linked += len("".join(data.split()))
 
 
 def smooth(ratio: list[float], sigma: float = SIGMA) -> list[float]:
@@ -196,6 +217,40 @@ def clusters(texts: list[str], lines: list[Line]) -> list[bool]:
     return [r >= threshold for r in ratio]
 
 
+def inside(outer: list[int], chosen: set[int]) -> list[bool]:
+    """Whether each element is one of ``chosen`` or inside one; an element's number is above its outer one's."""
+    out: list[bool] = []
+    for n, o in enumerate(outer):
+        out.append(n in chosen or o >= 0 and out[o])
+    return out
+
+
+def sum_up(held: list[int], outer: list[int]) -> None:
+    """Add what each element holds to those around it."""
+    for n in range(len(held) - 1, -1, -1):
+        if outer[n] >= 0:
+            held[outer[n]] += held[n]
+
+
+def boilerplate(texts: list[str], lines: list[Line], clustered: list[bool]) -> list[bool]:
+    """Lines of the chosen container, not an article or ``main``, that are a menu or the end of the page.
+
+    A line is linked if all of it is links.  Unclustered linked lines go if they
+    hold several links or stand next to another linked line; a single linked
+    line in the text stays.  Copyright lines go if only such lines and menus
+    follow.  Lines that would leave nothing else all stay.
+    """
+    linked = [n.links > 0 and n.linked >= len("".join(t.split())) for t, n in zip(texts, lines, strict=True)]
+    near = lambda i: i > 0 and linked[i - 1] or i + 1 < len(linked) and linked[i + 1]
+    out = [linked[i] and not clustered[i] and (lines[i].links > 1 or near(i)) for i in range(len(lines))]
+    for i in range(len(lines) - 1, -1, -1):
+        if not out[i]:
+            if not COPYRIGHT.match(texts[i]):
+                break
+            out[i] = True
+    return [False] * len(out) if all(out) else out
+
+
 def released(parser: LineParser, texts: list[str], lines: list[Line]) -> set[int]:
     """Marked elements that count nevertheless.
 
@@ -207,12 +262,14 @@ def released(parser: LineParser, texts: list[str], lines: list[Line]) -> set[int
     """
     held = [0] * len(parser.marks)
     total, elsewhere = 0, False
+    named = inside(parser.outer, {n for n, kind in enumerate(parser.kinds) if kind in ("article", "main")})
     for text, line, hit in zip(texts, lines, clusters(texts, lines), strict=True):
         if hit:
             total += len(text)
-            for m in line.marks:
-                held[m] += len(text)
-            elsewhere |= not line.marks and any(parser.kinds[n] in ("article", "main") for n in line.holders)
+            if line.mark >= 0:
+                held[line.mark] += len(text)
+            elsewhere |= line.mark < 0 <= line.holder and named[line.holder]
+    sum_up(held, [mark.outer for mark in parser.marks])
     out = set()
     for m, mark in enumerate(parser.marks):
         most = 2 * held[m] > total
@@ -235,28 +292,33 @@ def extract_text(html: str | None) -> str:
             lines.append(line)
     if lines and parser.marks:
         counted = released(parser, texts, lines)
-        keep = [counted.issuperset(line.marks) for line in lines]
+        dropped = inside([mark.outer for mark in parser.marks], set(range(len(parser.marks))) - counted)
+        keep = [line.mark < 0 or not dropped[line.mark] for line in lines]
         texts, lines = [t for t, k in zip(texts, keep, strict=True) if k], [n for n, k in zip(lines, keep, strict=True) if k]
     if not lines:
         return ""
     clustered = clusters(texts, lines)
-    held: dict[int, int] = {}
+    held = [0] * len(parser.kinds)
     total = 0
     for text, line, hit in zip(texts, lines, clustered, strict=True):
         if hit:
             total += len(text)
-            for n in set(line.holders):
-                held[n] = held.get(n, 0) + len(text)
+            if line.holder >= 0:
+                held[line.holder] += len(text)
+    sum_up(held, parser.outer)
     chosen: set[int] = set()
     for kind in ("article", "main"):
-        named = [n for n in held if parser.kinds[n] == kind]
+        named = [n for n, size in enumerate(held) if size and parser.kinds[n] == kind]
         if not chosen and any(2 * held[n] > total for n in named):
             chosen = set(named)  # with the other articles that hold clustered text
+    marked_up = bool(chosen)
     if not chosen:
         # the smallest container with all of the clustered text, whole; the page itself if no container has it
-        chosen = {max((n for n, size in held.items() if size == total), default=-1)}
-    keep = [-1 in chosen or any(n in chosen for n in line.holders) for line in lines]
-    return "\n\n".join(t for t, k in zip(texts, keep, strict=True) if k)
+        chosen = {max((n for n, size in enumerate(held) if size == total), default=-1)}
+    within = inside(parser.outer, chosen)
+    kept = [i for i, line in enumerate(lines) if -1 in chosen or line.holder >= 0 and within[line.holder]]
+    ends = [False] * len(kept) if marked_up else boilerplate([texts[i] for i in kept], [lines[i] for i in kept], [clustered[i] for i in kept])
+    return "\n\n".join(texts[i] for i, end in zip(kept, ends, strict=True) if not end)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -328,6 +328,39 @@ def test_html_class_words_are_evidence_only(html, text):
     assert extract_text(html) == text
 
 
+MENU = "<ul><li><a href=/>Home</a><li><a href=/n>News</a><li><a href=/c>Contact</a></ul>"
+
+
+@pytest.mark.parametrize("html,text", [
+    (f"<body><div><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></div><h1>Title</h1><p>{LONG}<p>{LONG}<p>{LONG}<div>(c) 2024 Acme</div></body>",
+     f"Title\n\n{LONG}\n\n{LONG}\n\n{LONG}"),
+    (f"<body>{MENU}<h1>Title</h1><p>{LONG}</p><p>{LONG}</p></body>", f"Title\n\n{LONG}\n\n{LONG}"),
+    (f"<body><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><div>Copyright Acme. {LONG}</div>{MENU}</body>", f"Title\n\n{LONG}\n\n{LONG}"),
+    (f"<main><h1>Title</h1><p>{LONG}</p><section class=responses><p>{LONG}</p></section></main>", f"Title\n\n{LONG}"),
+    # one link in the text, links with other text, and copyright inside the text stay
+    (f"<body><p>{LONG}</p><p><a href=x>A source</a></p><p>Copyright law is old.</p><p>{LONG}</p><p>See <a href=x>this</a> and <a href=y>that</a></p></body>",
+     f"{LONG}\n\nA source\n\nCopyright law is old.\n\n{LONG}\n\nSee this and that"),
+    ("<body><p>Copyright Acme</p></body>", "Copyright Acme"),
+    # what an article element holds is its text
+    (f"<article><p>{LONG}</p>{MENU}<p>All rights reserved.</p></article>", f"{LONG}\n\nHome\n\nNews\n\nContact\n\nAll rights reserved."),
+])
+def test_html_boilerplate_inside_the_container(html, text):
+    from quarry.llm.html_text import extract_text
+    assert extract_text(html) == text
+
+
+def test_html_deep_pages_take_linear_time():
+    import time
+
+    from quarry.llm.html_text import extract_text
+    took = []
+    for n in (5_000, 20_000):
+        began = time.process_time()
+        assert extract_text("<div class=menu><div>" * n + "<p>x</p>" + "<div>y</i></section>" * n).count("y") in (0, n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1  # 16 times for a quadratic walk
+
+
 def test_html_messy(spark):
     from quarry.llm.html_text import op3_html
     df = spark.createDataFrame([(1, "u", None), (1, "u", None), (None, None, "<p>x</p>"), (2, "u", "<p>" + "y " * 200_000)], "page_id long, url string, html string") \
