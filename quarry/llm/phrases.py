@@ -60,6 +60,8 @@ def windows(docs: DataFrame, max_words: int, buckets: int, common: frozenset[str
             once, more = [[] for _ in range(buckets)], [[] for _ in range(buckets)]
             spread = widespread.get(lang, ())
             for phrase, n in counter.items():
+                if phrase[0] == PAD:  # opened by no word
+                    continue
                 key = phrase[:phrase.rindex(" ")]
                 if key in spread:
                     key = phrase
@@ -69,7 +71,8 @@ def windows(docs: DataFrame, max_words: int, buckets: int, common: frozenset[str
                 else:
                     more[b].append(f"{phrase}\t{n}")
             rows += [(b, lang, "\n".join(x), "\n".join(y)) for b, (x, y) in enumerate(zip(once, more)) if x or y]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.string(), pa.string()))],
+        columns = zip(*rows) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.string()))],
                                           names=["bucket", "lang", "once", "more"])
 
     def count(batches):
@@ -83,16 +86,11 @@ def windows(docs: DataFrame, max_words: int, buckets: int, common: frozenset[str
                     c = found[lang]
                     size -= len(c)
                     c.update(map(" ".join, zip(*[part[k:] for k in range(max_words)])))
-                    for opened_by_pad in [p for p in c if p[0] == PAD] if size + len(c) > ENTRIES else ():
-                        del c[opened_by_pad]
                     size += len(c)
                     if size > ENTRIES:
                         yield blocks(found)
                         found.clear()
                         size = 0
-        for c in found.values():
-            for opened_by_pad in [p for p in c if p[0] == PAD]:
-                del c[opened_by_pad]
         if any(found.values()):
             yield blocks(found)
 

@@ -70,6 +70,16 @@ def test_collocations_flush_and_common_prefixes(spark, monkeypatch):
     assert got == brute_collocations(TEXTS, 3, 2, 50, 2000)
 
 
+def test_collocations_languages_share_a_flushing_task(spark, monkeypatch):
+    """A task that holds several languages hands on none of the windows that a piece's end opens."""
+    monkeypatch.setattr(P, "ENTRIES", 40)
+    rng = random.Random(13)
+    rows = [(rng.choice(["en", "de", "fr", None]), " ".join(rng.choice(["red", "fox", "runs,", "home.", "a"]) for _ in range(12))) for _ in range(120)] + [("it", " , . ")] * 3
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    got = sorted(tuple(r) for r in P.collocations(docs, 3, 2).collect())
+    assert got == brute_collocations(rows, 3, 2, 50, 2000)
+
+
 def test_collocations_exact_beyond_64_bits(spark):
     docs = spark.createDataFrame([("en", "x y")] * 3, "lang string, text string")
     row = P.collocations(docs, 2, 1).first()
