@@ -167,13 +167,16 @@ def market_sourcing(demand: DataFrame, lanes: DataFrame, inflation: float = 0.06
     destination's state and name, so markets of one name in two states stay
     apart.  A lane with a missing cost -> 30 + 10 x max lane cost; with
     ``sources`` (one row per plant), a plant without any lane to the market ->
-    2 x max lane cost.  The largest lane cost is one aggregate.
+    2 x max lane cost.  The largest lane cost is one aggregate.  Lanes are dealt
+    out by market: a broadcast demand would leave them, times the periods, in
+    the few tasks that read the markets.
     """
     mx = lanes.agg(F.max("freight")).scalar()
     ln = lanes.select("source", F.col("destination_state").alias("state"), F.col("destination").alias("market"), "freight",
                       F.lit(True).alias("_lane"))
     if sources is None:
-        j = demand.join(ln, ["state", "market"])
+        tasks = int(demand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        j = demand.join(ln.repartition(tasks, "state", "market"), ["state", "market"])
     else:
         cand = attach_bounded(demand, sources.select(F.col("name").alias("source")), "_src")
         j = cand.join(ln, ["state", "market", "source"], "left")

@@ -231,3 +231,17 @@ def test_broadcast_hint_only_below_bound(spark):
     # the large side is not hinted: the static plan keeps a shuffle join (AQE may still demote it at runtime)
     plan = j_big._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan.lower() or "strategy=broadcast" not in plan
+
+
+def test_sourcing_lanes_are_dealt_out_by_market(spark):
+    """Lanes read by one task do not meet all periods and sort there."""
+    from pyspark.sql import functions as F
+    from quarry.plans import costing as CO
+    dem = spark.createDataFrame([(t, "A", f"m{k}", 5.0, 7.0) for t in range(3) for k in range(40)], "T int, state string, market string, demand double, price double")
+    lanes = spark.createDataFrame([("A", f"s{j}", "A", f"m{k}", float(j + k)) for j in range(4) for k in range(40)],
+                                  "source_state string, source string, destination_state string, destination string, freight double").coalesce(1)
+    src = CO.market_sourcing(F.broadcast(dem), lanes, inflation=0.0)
+    plants = src.filter("source <> 'Imports'")
+    assert plants.count() == 480 and plants.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    best = {r["market"]: (r["source"], r["cost"]) for r in CO.cheapest_source(src).collect()}
+    assert best["m0"] == ("s0", 0.0) and best["m39"] == ("Imports", 7.0 * 0.9)
