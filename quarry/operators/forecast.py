@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.exprs import safe_div, seeded_normal
 from quarry.operators.windows import growth_bound
-from quarry.session import broadcast_if_small
+from quarry.session import broadcast_if_small, cut_lineage
 
 
 # ------------------------------------------------------------------ M06
@@ -191,8 +195,9 @@ def day_arrays(panel: DataFrame, keys: Sequence[str], values: Sequence[str], wid
     last known day forward and the first one back.
     """
     at = F.datediff(F.col(date).cast("date"), F.date_sub(init, width)) + 1
+    tasks = int(panel.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # the few rows cost many steps: not to be coalesced by their size
     seen = panel.filter((F.col(date).cast("date") >= F.date_sub(init, width)) & (F.col(date).cast("date") < init)) \
-        .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), *[F.col(v).cast("double").alias(v) for v in values]))).alias("_seen"))
+        .repartition(tasks, *keys).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(at.alias("at"), *[F.col(v).cast("double").alias(v) for v in values]))).alias("_seen"))
 
     def dense(v: str) -> Column:
         known = F.filter("_seen", lambda x: x[v].isNotNull())
@@ -206,29 +211,58 @@ def day_arrays(panel: DataFrame, keys: Sequence[str], values: Sequence[str], wid
     return seen.select(*keys, *[dense(v) for v in values])
 
 
-def _fold(days: Column, steps: Column, width: int, model: str, clip: float | None, shock=None) -> Column:
-    """Array of one value per step.  State: the last ``width`` days, the last known value and its age."""
-    known = F.filter(days, lambda x: x.isNotNull())
-    age = F.array_position(F.transform(F.reverse(days), lambda x: x.isNotNull()), F.lit(True))
-    init = F.struct(days.alias("w"), F.try_element_at(known, F.lit(-1)).alias("last"), age.cast("int").alias("age"), F.array().cast("array<double>").alias("out"))
+def _fold(days: DataFrame, steps: Column, width: int, model: str, clips: dict[str, float | None], shocks: dict | None = None) -> DataFrame:
+    """``days`` with the arrays named in ``clips`` replaced by one value per step.  State: the last ``width`` days, the last known value and its age.
 
-    def step(acc, i):
-        w, last, old = acc["w"], acc["last"], acc["age"]
-        first = F.get(F.filter(w, lambda x: x.isNotNull()), 0)
-        gap = (F.lit(width + 1) - old - F.array_position(w, first)).cast("int")
-        ratio = F.try_divide(last, first)
-        nxt = last * F.when((gap > 0) & (ratio > 0), F.pow(ratio, F.try_divide(old, gap))).otherwise(F.lit(1.0))
-        if model == "seasonal" and width >= 7:
-            nxt = F.coalesce(F.get(w, F.lit(width - 7)), last)  # the same weekday one week earlier
-        if shock is not None:
-            nxt = nxt * shock(i)
-        if clip is not None:
-            base = F.get(w, F.lit(0))
-            change = F.greatest(F.lit(-clip), F.least(F.lit(clip), F.try_divide(nxt, base) - 1))
-            nxt = F.coalesce(base * (F.lit(1.0) + change), nxt)
-        return F.struct(F.slice(F.concat(w, F.array(nxt)), 2, width).alias("w"), F.coalesce(nxt, last).alias("last"),
-                        F.when(nxt.isNotNull(), F.lit(1)).otherwise(old + 1).alias("age"), F.concat(acc["out"], F.array(nxt)).alias("out"))
-    return F.aggregate(steps, init, step)["out"]
+    A batch of entities takes each step together, in arrays; known values are
+    marked apart, so that null is not NaN.  Comparisons are Spark's: NaN is above
+    every number, a division by zero is null, ``least`` and ``greatest`` pass nulls over.
+    """
+    def fold(window: pa.Array, each: pa.Array, clip: float | None) -> pa.Array:
+        rows = len(window)
+        cells, factors = window.flatten(), each.flatten()
+        w, known = (np.array(x.to_numpy(zero_copy_only=False)).reshape(rows, width) for x in (pc.fill_null(cells, 0.0), pc.is_valid(cells)))
+        horizon = len(factors) // max(rows, 1)
+        if shocks is not None:
+            by, given = (x.to_numpy(zero_copy_only=False).reshape(rows, horizon) for x in (pc.fill_null(factors, 0.0), pc.is_valid(factors)))
+        at = np.arange(rows)
+        some = known.any(axis=1)
+        age = np.where(some, known[:, ::-1].argmax(axis=1) + 1, 0)
+        last, has = w[at, width - np.maximum(age, 1)], some
+        out, valid = np.zeros((rows, horizon)), np.zeros((rows, horizon), dtype=bool)
+        with np.errstate(all="ignore"):
+            for i in range(horizon):
+                if model == "seasonal" and width >= 7:  # the same weekday one week earlier
+                    nxt, ok = np.where(known[:, width - 7], w[:, width - 7], last), known[:, width - 7] | has
+                else:
+                    place = known.argmax(axis=1)
+                    first = w[at, place]
+                    gap = width - age - place
+                    ratio = last / first
+                    grows = known.any(axis=1) & (first != 0) & (gap > 0) & ((ratio > 0) | np.isnan(ratio))
+                    rate = np.power(np.where(grows, ratio, 1.0), age / np.where(grows, gap, 1))
+                    nxt, ok = last * np.where(grows, rate, 1.0), has
+                if shocks is not None:
+                    nxt, ok = nxt * by[:, i], ok & given[:, i]
+                if clip is not None:
+                    base = w[:, 0]
+                    change = np.where(ok & (base != 0), np.maximum(-clip, np.fmin(clip, nxt / base - 1)), clip)
+                    nxt, ok = np.where(known[:, 0], base * (1.0 + change), nxt), known[:, 0] | ok
+                out[:, i], valid[:, i] = nxt, ok
+                w = np.concatenate([w[:, 1:], nxt[:, None]], axis=1)
+                known = np.concatenate([known[:, 1:], ok[:, None]], axis=1)
+                last, has, age = np.where(ok, nxt, last), has | ok, np.where(ok, 1, age + 1)
+        ends = pa.array(np.arange(rows + 1, dtype=np.int32) * horizon)
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel(), mask=~valid.ravel()))
+
+    def batches(found):
+        for x in found:
+            yield pa.RecordBatch.from_arrays([fold(x.column(c), x.column(f"_by_{c}"), clips[c]) if c in clips else x.column(c) for c in names], names=names)
+
+    names = days.columns
+    factors = {c: steps.cast("array<double>") if shocks is None else F.transform(steps, shocks[c]) for c in clips}
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name in clips else f.dataType) for f in days.schema])
+    return days.select(*names, *[f.alias(f"_by_{c}") for c, f in factors.items()]).mapInArrow(batches, schema)
 
 
 def forecast_calendar(panel: DataFrame, keys: Sequence[str], width: int, horizon: int | None = None, target=None,
@@ -256,7 +290,7 @@ def forecast_calendar(panel: DataFrame, keys: Sequence[str], width: int, horizon
     init, span = _calendar(panel, date, init_date, final_date, horizon)
     days = day_arrays(panel, keys, [price, litres], width, init, date, [litres] if target is not None else [])
     ub = growth_bound(annual_cap, width) if saturate else None
-    z = days.select(*keys, F.arrays_zip(_fold(F.col(price), span, width, model, ub).alias(price), _fold(F.col(litres), span, width, model, None).alias(litres)).alias("_z"))
+    z = _fold(days, span, width, model, {price: ub, litres: None}).select(*keys, F.arrays_zip(price, litres).alias("_z"))
     out = z.select(*keys, F.posexplode("_z").alias("_i", "_s")) \
         .select(*keys, F.date_add(init, F.col("_i")).alias(date), F.col("_s")[price].alias(price), F.col("_s")[litres].alias(litres))
     if target is None:
@@ -265,7 +299,11 @@ def forecast_calendar(panel: DataFrame, keys: Sequence[str], width: int, horizon
 
 
 def extend_panel(panel: DataFrame, predicted: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
-    """The panel with its days from the forecast's first to its last one overwritten, later ones appended."""
+    """The panel with its days from the forecast's first to its last one overwritten, later ones appended.
+
+    The forecast is read for its first day, its last day and its rows: it is computed once, into the checkpoint folder.
+    """
+    predicted = cut_lineage(predicted)
     bounds = predicted.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
     day = F.col(date).cast("date")
     lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
@@ -293,8 +331,8 @@ def forecast_scenarios(panel: DataFrame, keys: Sequence[str], width: int, n_scen
 
     def shock(metric, sd):
         return lambda i: F.exp(F.lit(sd) * seeded_normal(F.lit(seed), F.lit(metric), F.col("scenario"), F.col(keys[0]), i))
-    z = days.select(*keys, "scenario", F.arrays_zip(_fold(F.col(price), span, width, model, ub, shock("p", price_sd)).alias("p"),
-                                                    _fold(F.col(litres), span, width, model, None, shock("q", volume_sd)).alias("q")).alias("_z"))
+    z = _fold(days, span, width, model, {price: ub, litres: None}, {price: shock("p", price_sd), litres: shock("q", volume_sd)}) \
+        .select(*keys, "scenario", F.arrays_zip(F.col(price).alias("p"), F.col(litres).alias("q")).alias("_z"))
     def period(day):
         return F.year(day) if grain == "year" else F.trunc(day, "MM")
     daily = z.select(*keys, "scenario", F.posexplode("_z").alias("_i", "_s"))
