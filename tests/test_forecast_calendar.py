@@ -125,9 +125,7 @@ def test_empty_panel(spark):
 
 def test_few_entities_are_dealt_to_several_tasks(spark):
     """A forecast's many steps per row are not left to one task because its rows are few."""
-    import datetime
-    from pyspark.sql import functions as F
-    rows = [(f"s{k % 3}", f"m{k}", datetime.date(2020, 1, 1 + d), 1.0 + k, 2.0 + d) for k in range(40) for d in range(5)]
+    rows = [(f"s{k % 3}", f"m{k}", dt.date(2020, 1, 1 + d), 1.0 + k, 2.0 + d) for k in range(40) for d in range(5)]
     df = spark.createDataFrame(rows, "state string, mun string, date date, price double, litres double").coalesce(1)
     out = FC.forecast_calendar(df, ["state", "mun"], 4, 3)
     assert out.count() == 40 * 3

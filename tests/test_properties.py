@@ -235,8 +235,6 @@ def test_broadcast_hint_only_below_bound(spark):
 
 def test_sourcing_lanes_are_dealt_out_by_market(spark):
     """Lanes read by one task do not meet all periods and sort there."""
-    from pyspark.sql import functions as F
-    from quarry.plans import costing as CO
     dem = spark.createDataFrame([(t, "A", f"m{k}", 5.0, 7.0) for t in range(3) for k in range(40)], "T int, state string, market string, demand double, price double")
     lanes = spark.createDataFrame([("A", f"s{j}", "A", f"m{k}", float(j + k)) for j in range(4) for k in range(40)],
                                   "source_state string, source string, destination_state string, destination string, freight double").coalesce(1)
