@@ -8,6 +8,7 @@ import collections
 import hashlib
 import html as html_lib
 import os
+import random
 import re
 import zlib
 
@@ -269,6 +270,46 @@ def test_edited_lines_are_found(spark, n_words, edit, least):
     assert found >= least
 
 
+def test_keys_are_made_where_lines_lie(spark):
+    """Distinct lines are stored without keys, in buckets; words and keys of a line need no shuffle."""
+    from quarry.llm.common import scratch_table
+    from quarry.llm.line_dedup import line_classes, line_keys, line_rows
+    df = spark.createDataFrame([(i, "\n".join(words(5 + k, str(k)) for k in range(i, i + 9))) for i in range(30)], "doc_id long, text string")
+    classes = line_classes(scratch_table(line_rows(df, "doc_id", "text"), "occurrences"))
+    assert classes.columns == ["cid", "h1", "h2", "n_chars", "norm"]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = line_keys(classes)
+        assert "hashpartitioning" not in keys._jdf.queryExecution().executedPlan().toString()
+        n = {r.cid: r.n for r in keys.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows = classes.collect()
+    assert len({r.norm for r in rows}) == len(rows) == len({r.cid for r in rows})
+    assert n == {r.cid: 4 + 32 * (r.n_chars > 64) + 40 * (r.n_chars <= 80) for r in rows}
+
+
+def test_similar_lines_against_edit_distance(spark):
+    """Every pair is decided by its whole edit distance, also where only common or only rare characters differ."""
+    from quarry.llm.line_dedup import similar_lines
+    rng = random.Random(5)
+    base = "the quiet aeiou year over 0, 0. again? a yellow boat: no; oh! bcd-fgh"
+    texts = [base, "aeiouy 0", "aeiou 0", "bcdfg", "bcdfx", "é ü 日本 語", "é ü 日本 x", "a", "b"]
+    for size in (5, 12, 14, 16, 20):
+        for letters in ("aeiouy ", "bcdfghz", "abcdefghijklmno "):
+            new = list(base)
+            for at in rng.sample(range(len(new)), size):
+                new[at] = rng.choice(letters)
+            texts.append(" ".join("".join(new).split()))
+    lines = list(enumerate(texts))
+    classes = spark.createDataFrame([(i, i, -i, len(t), t) for i, t in lines], "cid long, h1 long, h2 long, n_chars int, norm string")
+    pairs = [(a, b) for a, _ in lines for b, _ in lines if a < b]
+    got = {(r.a, r.b) for r in similar_lines(spark.createDataFrame(pairs, "a long, b long"), classes).collect()}
+    want = {(a, b) for a, b in pairs if 5 * levenshtein(texts[a], texts[b]) <= max(len(texts[a]), len(texts[b]))}
+    assert got == want and 10 < len(want) < len(pairs)
+
+
 # ------------------------------------------------------------------ 3 html
 def test_html_articles(spark):
     from quarry.llm.html_text import op3_html
