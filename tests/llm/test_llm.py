@@ -310,6 +310,84 @@ def test_similar_lines_against_edit_distance(spark):
     assert got == want and 10 < len(want) < len(pairs)
 
 
+def test_chunked_keys_equal_those_of_single_features(spark):
+    """Hashing several words or triples in one row gives the same keys, whatever the number of words."""
+    from quarry.llm import line_dedup as ld
+    texts = [words(n, str(n)) for n in (1, 2, 3, 7, 8, 9, 15, 16, 17, 119, 120, 121, 128, 129, 241, 700)] + ["a", "a a a a a a a a b", "\U0001F600 é " * 9 + "z"]
+    classes = spark.createDataFrame([(i, i, -i, len(t), t) for i, t in enumerate(texts)], "cid long, h1 long, h2 long, n_chars int, norm string")
+    got = collections.defaultdict(list)
+    for r in ld.line_keys(classes).collect():
+        got[r.cid].append(r.key)
+    hashed = classes.select("cid", F.explode(F.array_distinct(F.split("norm", " "))).alias("word")).select("cid", F.xxhash64("word").alias("w0"), F.xxhash64(F.lit(7), "word").alias("w1"))
+    of = collections.defaultdict(list)
+    for r in hashed.collect():
+        of[r.cid].append((r.w0, r.w1))
+    sims = [(cid, *[int.from_bytes(sum((2 * sum(w[h] >> b & 1 for w in ws) > len(ws)) << b for b in range(64)).to_bytes(8, "little"), "little", signed=True) for h in (0, 1)])
+            for cid, ws in of.items()]
+    want = {r.cid: list(r[1:]) for r in spark.createDataFrame(sims, "cid long, s1 long, s2 long").select("cid", *ld.block_keys()).collect()}
+    triples = classes.filter(F.col("n_chars") <= 80).select("cid", F.concat(F.lit("  "), "norm", F.lit("  ")).alias("p")) \
+        .select("cid", F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - 2), lambda i: F.xxhash64(F.substr("p", i, F.lit(3))))).alias("w0"))
+    for rows, kind, bands in ((hashed.join(classes.filter(F.col("n_chars") > 64), "cid"), 1, ld.WORD_BANDS), (triples, 2, ld.TRIPLE_BANDS)):
+        mins = rows.groupBy("cid").agg(*[F.min(F.xxhash64(F.lit(i), "w0")).alias(f"m{i}") for i in range(ld.HASHES)])
+        for r in mins.select("cid", ld.band_keys(kind, bands).alias("keys")).collect():
+            want[r.cid] += r["keys"]
+    assert {i: sorted(k) for i, k in got.items()} == {i: sorted(k) for i, k in want.items()}
+
+
+def test_words_are_hashed_several_a_row(spark):
+    """A row a word, three times over, was most of the time of the keys."""
+    from quarry.llm import line_dedup as ld
+    classes = spark.createDataFrame([(1, 1, -1, 700, words(80))], "cid long, h1 long, h2 long, n_chars int, norm string")
+    keys = ld.line_keys(classes)
+    plan = keys._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(norm") == 1 and "explode(split(" not in plan and "explode(array_distinct(" not in plan
+    assert ld.chunk_hashes(classes.select("cid", F.split("norm", " ").alias("words")), "0", "size(words)", "get(words, {k})", ["cid"]).count() == 10
+
+
+def test_bounds_of_the_edit_distance(spark):
+    """The sum over pieces is never below the distance, and copies with scattered edits or a longer insertion stay near it."""
+    from quarry.llm.line_dedup import letter_counts, piecewise
+    rng = random.Random(8)
+    base = words(90) + " " + words(40, "q")
+    pairs = []
+    for kind in ("typos", "words", "insert", "delete", "other") * 6:
+        w = base.split(" ")
+        for at in rng.sample(range(len(w)), 6):
+            w[at] = w[at][:1] + "#" + w[at][2:] if kind == "typos" else rng.choice(w) if kind == "words" else w[at]
+        at = rng.randrange(len(w))
+        w = w[:at] + [f"n{rng.random()}" for _ in range(4)] + w[at:] if kind == "insert" else w[:at] + w[at + 9:] if kind == "delete" else w
+        pairs.append((base, " ".join(w) if kind != "other" else words(130, "z")))
+    df = spark.createDataFrame([(i, a, b, 10_000) for i, (a, b) in enumerate(pairs)], "i int, ra string, rb string, most int")
+    got = {r.i: r.d for r in df.select("i", piecewise("ra", "rb", "most").alias("d")).collect()}
+    true = {i: levenshtein(a, b) for i, (a, b) in enumerate(pairs)}
+    assert all(got[i] >= true[i] for i in true)
+    near = [i for i in true if 5 * true[i] <= len(base)]
+    assert len(near) == 24 and sum(5 * got[i] <= len(base) for i in near) >= 16
+    lines = ["abc def", "abd def", "xyz 0", "日本 abc", "", "a" * 120]
+    counts = {r.norm: r.bag for r in spark.createDataFrame([(t, len(t)) for t in [*lines, "b" * 121]], "norm string, n_chars int").select("norm", letter_counts().alias("bag")).collect()}
+    assert counts["b" * 121] is None
+    for x in lines:
+        for y in lines:
+            assert sum(abs(p - q) for p, q in zip(counts[x], counts[y])) + abs(len(x) - len(y)) <= 2 * levenshtein(x, y)
+
+
+def test_unlike_short_lines_are_not_compared(spark, monkeypatch):
+    """Lines of one template whose letters rule a link out do not reach the edit distance; links stay."""
+    from quarry.llm import line_dedup as ld
+    rng = random.Random(4)
+    name = lambda n: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(n))
+    lines = [f"add to {name(11)} {name(10)} in stock" for _ in range(300)]
+    lines += [x[:9] + "#" + x[10:] for x in lines[:40]]
+    tested = []
+    real = ld.similar_lines
+    monkeypatch.setattr(ld, "similar_lines", lambda pairs, classes: tested.append(pairs.count()) or real(pairs, classes))
+    rows = ld.op2_line_dedup(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).collect()
+    spot = {r.line_no: r.keep_line for r in rows}
+    assert all(spot[300 + i] == spot[i] for i in range(40))
+    print(tested)
+    assert sum(tested) < 2000
+
+
 # ------------------------------------------------------------------ 3 html
 def test_html_articles(spark):
     from quarry.llm.html_text import op3_html
